@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, quality_rules
+from . import bpe, language_id, license_scan, mixing, quality_rules
 from .store import read
 
 
@@ -19,6 +19,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guess.select("doc_id", "held_out", "g.lang_pred", "g.score", "g.bits_per_byte")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed, plan = mixing.mix(docs, F.array("source"))
+    return mixing.with_targets(mixed, plan, "source").select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality figures and verdict of every document."""
     judged = quality_rules.judge(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -31,7 +38,20 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def vocabulary() -> str:
+    """The vocabulary file that op5 names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoding and decoding of every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", bpe.digests("text", vocabulary()).alias("d"))
+    return docs.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op3_quality_rules, op4_license_scan)
+    f.__name__: f for f in (op1_language_id, op2_mixing, op3_quality_rules, op4_license_scan, op5_bpe)
 }
 ORACLES: dict[str, str] = {}

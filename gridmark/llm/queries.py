@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, license_scan, mixing, quality_rules
+from . import bpe, language_id, license_scan, mixing, near_dedup, quality_rules
 from .store import read
 
 
@@ -51,7 +51,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents, on four-word shingles as its contract asks."""
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), width=4)[0]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_mixing, op3_quality_rules, op4_license_scan, op5_bpe)
+    f.__name__: f for f in (op1_language_id, op2_mixing, op3_quality_rules, op4_license_scan, op5_bpe, op7_near_dedup)
 }
 ORACLES: dict[str, str] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, license_scan, mixing, near_dedup, quality_rules
+from . import bpe, html_text, language_id, license_scan, mixing, near_dedup, quality_model, quality_rules
 from .store import read
 
 
@@ -51,12 +51,27 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", html_text.main_text("html").alias("text"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents, on four-word shingles as its contract asks."""
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), width=4)[0]
 
 
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from labels of the rows that aren't held out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", language_id.held_out("doc_id", 5, 0))
+    labels = read(spark, sf_dir, "labels").where(~language_id.held_out("doc_id", 5, 0))
+    model = quality_model.train(docs.where("NOT held_out"), labels)
+    scored = docs.select("doc_id", "held_out", quality_model.score(model, spark, "text").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_mixing, op3_quality_rules, op4_license_scan, op5_bpe, op7_near_dedup)
+    f.__name__: f for f in (op1_language_id, op2_mixing, op3_quality_rules, op4_license_scan, op5_bpe, op6_html_text, op7_near_dedup, op10_quality_model)
 }
 ORACLES: dict[str, str] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, language_id, license_scan, mixing, near_dedup, quality_model, quality_rules
+from . import bpe, html_text, language_id, license_scan, media, mixing, near_dedup, quality_model, quality_rules, warc_zip
 from .store import read
 
 
@@ -62,6 +62,21 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), width=4)[0]
 
 
+def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC records in ZIP packages, and read back."""
+    return warc_zip.read_back(warc_zip.write(read(spark, sf_dir, "pages")))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text kept as media: an interleaved page refers to it by digest, and the join resolves what was stored."""
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("digest"), raw.alias("payload"))
+    figures = media.features(media.store(docs, "digest", "payload"))
+    page = F.concat(F.lit('<figure><img src="sha256:'), "digest", F.lit('"><figcaption>text of '), F.coalesce(F.col("doc_id").cast("string"), F.lit("no id")), F.lit("</figcaption></figure>"))
+    resolved = media.resolve(docs.select("doc_id", "n_bytes", media.sequence(page).alias("pieces")), "pieces", figures)
+    return resolved.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
 def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from labels of the rows that aren't held out."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", language_id.held_out("doc_id", 5, 0))
@@ -72,6 +87,6 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_mixing, op3_quality_rules, op4_license_scan, op5_bpe, op6_html_text, op7_near_dedup, op10_quality_model)
+    f.__name__: f for f in (op1_language_id, op2_mixing, op3_quality_rules, op4_license_scan, op5_bpe, op6_html_text, op7_near_dedup, op8_warc_zip, op9_media, op10_quality_model)
 }
 ORACLES: dict[str, str] = {}

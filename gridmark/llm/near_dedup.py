@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import byte_numbers, drawn, groups, mix, span_hashes, spans, text_bytes, white
+from .quality_rules import WORD
 from .store import settled, written
 
 SYMBOLS, CHUNKS, DISTANCE = 64, 14, 27
@@ -93,8 +94,8 @@ def _signed(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             hashes, at = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
             sig = signatures(hashes, at)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(_digests(hashes, at), pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())],
-                names=["doc", "n", "digest", "sig"],
+                [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(np.diff(at)), pa.array(_digests(hashes, at), pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())],
+                names=["doc", "md5", "n", "digest", "sig"],
             )
 
 
@@ -144,9 +145,10 @@ def _distance(x: str, y: str):
     return F.aggregate(F.sequence(F.lit(0), F.lit(SYMBOLS - 1)), F.lit(0), lambda n, i: n + (F.substring(F.col(x), i * 4 + 1, F.lit(4)) != F.substring(F.col(y), i * 4 + 1, F.lit(4))).cast("int"))
 
 
-def near_duplicates(df: DataFrame, doc_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """Per row of ``df``: its doc id, n_shingles, component_id, kept; and the confirmed links between nodes (a, b, with
-    the smallest doc ids of their copies as doc_a, doc_b).
+def linked(df: DataFrame, doc_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """Per row of ``df``: doc (its id), md5 (of its text), n (its set's size), root (its component's number, null
+    for an empty set), component_id; and the links confirmed between nodes (a, b, with the smallest doc ids of their
+    copies as doc_a, doc_b): enough links to connect every component, not all within it.
 
     ``width`` words a shingle, links at 100 * intersection >= ``percent`` * union; DISTANCE suits percent >= 80.
     """
@@ -154,7 +156,8 @@ def near_duplicates(df: DataFrame, doc_col: str = "doc_id", text_col: str = "tex
         raise ValueError("the signature distance is set for similarities of 0.8 and more")
     base = df.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text"))
     doc_type = base.schema["doc"].dataType.simpleString()
-    signed = written(base.mapInArrow(partial(_signed, width), f"doc {doc_type}, n bigint, digest binary, sig binary"), "signed")
+    hashed = base.withColumn("md5", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    signed = written(hashed.mapInArrow(partial(_signed, width), f"doc {doc_type}, md5 string, n bigint, digest binary, sig binary"), "signed")
     nodes = signed.where("n > 0").groupBy("digest", "n").agg(F.min("doc").alias("doc"), F.first("sig").alias("sig"))
     nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
     probes = written(nodes.select("id", "sig").mapInArrow(_keys, "key bigint, id bigint"), "probes")
@@ -197,12 +200,32 @@ def near_duplicates(df: DataFrame, doc_col: str = "doc_id", text_col: str = "tex
     rooted = components(links)
     named = nodes.select("id", "digest", "n", "doc").join(rooted, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = named.groupBy("root").agg(F.min("doc").alias("component_id"))
-    named = named.join(least, "root").select("digest", F.col("n").alias("_n"), "component_id")
-    rows = signed.select("doc", "n", "digest").join(named, (signed["digest"] == named["digest"]) & (F.col("n") == F.col("_n")), "left")
-    result = rows.select(F.col("doc").alias(doc_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc")).otherwise(F.col("component_id")).alias("component_id"))
-    result = result.withColumn("kept", F.col(doc_col).eqNullSafe(F.col("component_id")))
+    named = named.join(least, "root").select("digest", F.col("n").alias("_n"), "root", "component_id")
+    rows = signed.select("doc", "md5", "n", "digest").join(named, (signed["digest"] == named["digest"]) & (F.col("n") == F.col("_n")), "left")
+    groups_ = rows.select("doc", "md5", "n", "root", F.when(F.col("n") == 0, F.col("doc")).otherwise(F.col("component_id")).alias("component_id"))
     ends = [nodes.select(F.col("id").alias(k), F.col("doc").alias(f"doc_{k}")) for k in "ab"]
-    return result, links.join(ends[0], "a").join(ends[1], "b")
+    return groups_, links.join(ends[0], "a").join(ends[1], "b")
+
+
+def near_duplicates(df: DataFrame, doc_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of ``df``: its doc id, n_shingles, component_id, kept (the doc id is the component's)."""
+    rows = linked(df, doc_col, text_col, width, percent)[0]
+    result = rows.select(F.col("doc").alias(doc_col), F.col("n").alias("n_shingles"), "component_id")
+    return result.withColumn("kept", F.col(doc_col).eqNullSafe(F.col("component_id")))
+
+
+def deduplicated(df: DataFrame, doc_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``df``, one of each component: that of the smallest doc id, then the smallest digest of the text.
+    Repeated rows count once; rows without words stay, each one."""
+    rows = linked(df, doc_col, text_col, width, percent)[0].where("n > 0")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "md5")).alias("m"))
+    first = settled(first.select(F.col("m.doc").alias("_doc"), F.col("m.md5").alias("_md5")))
+    md5 = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    full = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
+    marked = df.withColumn("_key", F.when(full, md5))
+    same = marked[doc_col].eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_md5"))
+    chosen = marked.where("_key IS NOT NULL").join(first, same, "left_semi").dropDuplicates([doc_col, "_key"])
+    return chosen.unionByName(marked.where("_key IS NULL")).drop("_key")
 
 
 def _own(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -59,7 +59,7 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents, on four-word shingles as its contract asks."""
-    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), width=4)[0]
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), width=4)
 
 
 def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:

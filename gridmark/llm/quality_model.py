@@ -63,18 +63,33 @@ def index_vectors(n: int, seed: int) -> np.ndarray:
     return out
 
 
-def word_vectors(bucket: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Normalised sums of the neighbours' index vectors for every bucket."""
-    index, text = index_vectors(BUCKETS, 11), np.repeat(np.arange(len(at) - 1), np.diff(at))
+def word_vectors(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Normalised sums of the neighbours' index vectors for every bucket, over texts in a flat buffer."""
+    index = index_vectors(BUCKETS, 11)
     out = np.zeros((BUCKETS, WIDTH), np.float32)
-    for away in (1, 2):
-        near = text[away:] == text[:-away]
-        left, right = bucket[:-away][near], bucket[away:][near]
-        for d in range(WIDTH):
-            out[:, d] += np.bincount(left, index[right, d], BUCKETS) + np.bincount(right, index[left, d], BUCKETS)
+    for i, j in groups(offsets):
+        bucket, _, at = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        text = np.repeat(np.arange(j - i), np.diff(at))
+        for away in (1, 2):
+            near = text[away:] == text[:-away]
+            left, right = bucket[:-away][near], bucket[away:][near]
+            for d in range(WIDTH):
+                out[:, d] += np.bincount(left, index[right, d], BUCKETS) + np.bincount(right, index[left, d], BUCKETS)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1)
 
 
+def pooled(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray, forms: np.ndarray) -> np.ndarray:
+    """[text, 2 * WIDTH] means of the words' and of the forms' vectors; zeros for texts without words."""
+    out = np.zeros((len(offsets) - 1, 2 * WIDTH))
+    for i, j in groups(offsets):
+        bucket, form, at = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        full = np.flatnonzero(np.diff(at))
+        for base, table, ids in ((0, vectors, bucket), (WIDTH, forms, form)):
+            for d in range(WIDTH if len(full) else 0):
+                out[i + full, base + d] = np.add.reduceat(table[ids, d].astype(np.float64), at[full]) / np.diff(at)[full]
+    return out
+
+
 @dataclass(frozen=True)
 class QualityModel:
     """Fixed-point first layer by bucket and by form, [hidden, ...]; its bias; second layer; temperature."""
@@ -102,15 +117,8 @@ class QualityModel:
 def fit(texts: pa.Array, labels: np.ndarray, seed: int = 0, epochs: int = 60) -> QualityModel:
     """The model for a sample held in memory.  Without texts, or with one class, scores are the smoothed share of 1."""
     data, offsets = text_bytes(texts)
-    bucket, form, at = words(data, offsets)
-    vectors, forms = word_vectors(bucket, at), index_vectors(FORMS, 12)
-    n, full = np.maximum(np.diff(at), 1)[:, None], np.diff(at) > 0
-    x = np.zeros((len(labels), 2 * WIDTH))
-    for d in range(WIDTH):
-        for base, table, ids in ((0, vectors, bucket), (WIDTH, forms, form)):
-            if full.any():
-                x[full, base + d] = np.add.reduceat(table[ids, d].astype(np.float64), at[:-1][full])
-    x /= n
+    vectors, forms = word_vectors(data, offsets), index_vectors(FORMS, 12)
+    x = pooled(data, offsets, vectors, forms)
     y, share = labels.astype(np.float64), (labels.sum() + 1) / (len(labels) + 2)
     scale = np.maximum(x.std(0), 1e-3) if len(x) else np.ones(2 * WIDTH)
     rng = np.random.default_rng(seed)
@@ -145,12 +153,12 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 0, epochs: int = 60) ->
     return QualityModel(fixed(vectors @ first[:WIDTH]), fixed(forms @ first[WIDTH:]), b1, w2, float(b2), temperature)
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 6000, longest: int = 50_000) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, doc_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 4000, longest: int = 50_000) -> QualityModel:
     """A model from the labelled documents given (the caller keeps held-out rows away).
 
     A doc id with several labels counts with the largest; null labels and texts are left out.  At most ``sample_rows``
     labels, in hash order, are broadcast to the documents, and their texts of at most ``longest`` bytes come to the
-    driver: 6,000 texts of a few KB.  Repeated documents count as often as they occur, up to ``sample_rows`` texts.
+    driver: 4,000 texts of a few KB.  Repeated documents count as often as they occur, up to ``sample_rows`` texts.
     """
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(doc_col).alias("_id")).agg(F.max(label_col).alias("y"))
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)

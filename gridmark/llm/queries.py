@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, html_text, language_id, license_scan, media, mixing, near_dedup, quality_model, quality_rules, warc_zip
+from .oracles import ORACLES  # noqa: F401  (read with QUERIES)
 from .store import read
 
 
@@ -89,4 +90,4 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_language_id, op2_mixing, op3_quality_rules, op4_license_scan, op5_bpe, op6_html_text, op7_near_dedup, op8_warc_zip, op9_media, op10_quality_model)
 }
-ORACLES: dict[str, str] = {}
+

@@ -92,7 +92,7 @@ class Archive:
         tail_at = max(0, size - (1 << 16) - 22 - 20 - 56)
         tail = file.read_at(size - tail_at, tail_at)
         end = tail.rfind(b"PK\x05\x06")
-        while end >= 0 and tail_at + end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != size:
+        while end >= 0 and (end + 22 > len(tail) or tail_at + end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != size):
             end = tail.rfind(b"PK\x05\x06", 0, end)
         if end < 0:
             raise ValueError("no ZIP end record")

@@ -150,3 +150,36 @@ def detections(rasters: DataFrame, tiles: DataFrame, by: list[str], detector: De
 
     kinds = "pdf_path string, page int, t_idx int, label int, score double, x1 double, y1 double, x2 double, y2 double"
     return rasters.where("error IS NULL").join(wanted, by).mapInPandas(run, kinds)
+
+
+#: Colours of classes, red, green, blue, by class number modulo 22.
+PALETTE = (
+    (230, 25, 75), (60, 180, 75), (0, 130, 200), (245, 130, 48), (145, 30, 180), (70, 240, 240), (240, 50, 230), (210, 245, 60),
+    (250, 190, 190), (0, 128, 128), (170, 110, 40), (128, 0, 0), (170, 255, 195), (128, 128, 0), (255, 215, 180), (0, 0, 128),
+    (128, 128, 128), (255, 225, 25), (0, 200, 200), (100, 100, 255), (200, 100, 0), (0, 160, 90),
+)
+
+
+def outlined(image: np.ndarray, boxes: list[tuple[int, float, float, float, float]], width: int = 3) -> np.ndarray:
+    """A copy of an RGB image with the outlines of (label, x1, y1, x2, y2) in their class's colour, clipped to it."""
+    out = image.copy()
+    high, wide = out.shape[:2]
+    for label, *corners in boxes:
+        x1, y1, x2, y2 = (round(c) for c in corners)
+        for a, b, c, d in ((x1, y1, x2, y1 + width), (x1, y2 - width, x2, y2), (x1, y1, x1 + width, y2), (x2 - width, y1, x2, y2)):
+            out[max(b, 0) : max(min(d, high), 0), max(a, 0) : max(min(c, wide), 0)] = PALETTE[label % len(PALETTE)]
+    return out
+
+
+def previews(rasters: DataFrame, detections: DataFrame, by: list[str], width: int = 3) -> DataFrame:
+    """(pdf_path, page, image as PNG) of each raster with its detections (by, label, x1, y1, x2, y2) outlined; sheets
+    without any keep their plain image.  Names and counts of the legend are ``stitch.legend``."""
+    listed = detections.groupBy(*by).agg(F.collect_list(F.struct("label", "x1", "y1", "x2", "y2")).alias("boxes"))
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples():
+                found = [(b["label"], b["x1"], b["y1"], b["x2"], b["y2"]) for b in (r.boxes if r.boxes is not None else [])]
+                yield pd.DataFrame({"pdf_path": [r.pdf_path], "page": [r.page], "image": [png(outlined(_image(r), found, width))]})
+
+    return rasters.where("error IS NULL").join(listed, by, "left").mapInPandas(draw, "pdf_path string, page int, image binary")

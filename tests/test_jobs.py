@@ -127,3 +127,17 @@ def test_stream_counts(spark, root, tmp_path):
     query.awaitTermination(120)
     rows = {(r["discipline"], r["name"]): r["n"] for r in spark.table("arrived").collect()}
     assert rows[("mechanical", "Fan")] == 1 and rows[("electrical", "Panel")] == 1
+
+
+def test_previews(spark):
+    pages = spark.createDataFrame([("/a.pdf", 1, 60, 40), ("/a.pdf", 2, 60, 40)], "pdf_path string, page int, width int, height int")
+    found = spark.createDataFrame([("/a.pdf", 1, 23, 5.0, -2.0, 20.0, 30.0)], "pdf_path string, page int, label int, x1 double, y1 double, x2 double, y2 double")
+    rows = {r["page"]: bytes(r["image"]) for r in rasters.previews(rasters.rendered(pages, Plain()), found, ["pdf_path", "page"]).collect()}
+    assert rows[1] != rows[2] and all(x.startswith(b"\x89PNG") for x in rows.values())
+    image = rasters.outlined(np.zeros((40, 60, 3), np.uint8), [(23, 5.0, -2.0, 20.0, 30.0)])
+    assert tuple(image[10, 5]) == rasters.PALETTE[1] and tuple(image[10, 10]) == (0, 0, 0) and tuple(image[29, 10]) == rasters.PALETTE[1]
+
+
+class Plain(Blank):
+    def __call__(self, pdf_path, page, dpi, size):
+        return np.full((size[1], size[0], 3), 90, np.uint8)

@@ -6,7 +6,7 @@ capacity and a convex cost (the first use is free, every further one dearer), ar
 arcs from the sources to the end that hold the source's target words.  The cheapest largest flow says how many words
 every pattern gives to which source.  Documents are then selected within each pattern: every document is taken
 floor(flow / words) times, and what is left goes once more to documents in seeded order: to hash buckets (16,384 a
-pattern) as long as they fit, then to the one bucket that best fills the gap.
+pattern) as long as they fit, then to ``FILLERS`` single buckets that best fill the gap.
 
 Targets: sources by code point, null last, get weights in rotation; a target stops at ``most_repeats`` times its
 source's words and the excess is shared again by weight among the others.
@@ -29,6 +29,8 @@ from .quality_rules import WORD
 from .store import settled
 
 BUCKETS = 1 << 14
+#: Hash buckets that fill what the seeded order leaves: the largest that fit, and at last the closest.
+FILLERS = 3
 MOST_PATTERNS = 20_000
 #: Weights in rotation, and what a document's first, second and third use cost.
 WEIGHTS, REPEAT_COSTS = (5, 2, 1), (0, 1, 3)
@@ -151,15 +153,19 @@ def mix(df: DataFrame, sources: Column, doc_col: str = "doc_id", text_col: str =
     through = F.sum("n").over(Window.partitionBy("_pattern").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
     filled = buckets.where("n > 0").withColumn("_through", through).join(F.broadcast(table), "_pattern").where("_rest > 0")
     inside = F.col("_through") <= F.col("_rest")
-    fill = filled.groupBy("_pattern").agg(F.max(F.when(inside, F.col("_bucket"))).alias("last"), F.coalesce(F.max(F.when(inside, F.col("_through"))), F.lit(0)).alias("words"))
-    gap = F.col("_rest") - F.col("words")
-    miss = F.struct(F.abs(F.col("n") - gap).alias("miss"), F.col("_bucket").alias("bucket"))
-    closest = filled.join(F.broadcast(fill), "_pattern").where(~inside).groupBy("_pattern").agg(F.min(F.when(F.abs(F.col("n") - gap) < gap, miss)).alias("m"))
-    last = {r["_pattern"]: r["last"] for r in fill.collect()}
-    extra = {r["_pattern"]: r["m"]["bucket"] for r in closest.collect() if r["m"]}
-    more = lambda found, p: -1 if found.get(p) is None else found[p]
-    cuts = spark.createDataFrame([(p, b, more(last, p), more(extra, p)) for p, b, _ in parts], "_pattern string, _base int, _last int, _extra int")
-    again = (F.col("_bucket") <= F.col("_last")) | (F.col("_bucket") == F.col("_extra"))
+    fill = filled.groupBy("_pattern").agg(F.max(F.when(inside, F.col("_bucket"))).alias("last"), F.coalesce(F.max(F.when(inside, F.col("_through"))), F.lit(0)).alias("words"), F.first("_rest").alias("rest")).collect()
+    last = {r["_pattern"]: -1 if r["last"] is None else r["last"] for r in fill}
+    gap, extra = {r["_pattern"]: r["rest"] - r["words"] for r in fill}, defaultdict(list)
+    for turn in range(FILLERS):
+        now = spark.createDataFrame([(p, last[p], g, extra[p]) for p, g in gap.items() if g], "_pattern string, _last int, _gap bigint, _extra array<int>")
+        free = buckets.where("n > 0").join(F.broadcast(now), "_pattern").where((F.col("_bucket") > F.col("_last")) & ~F.array_contains("_extra", F.col("_bucket")))
+        miss = F.abs(F.col("_gap") - F.col("n"))
+        fits = free.where(miss < F.col("_gap") if turn == FILLERS - 1 else F.col("n") <= F.col("_gap"))
+        for r in fits.groupBy("_pattern").agg(F.min(F.struct(miss.alias("miss"), "_bucket", "n")).alias("m")).collect():
+            extra[r["_pattern"]].append(r["m"]["_bucket"])
+            gap[r["_pattern"]] -= r["m"]["n"]
+    cuts = spark.createDataFrame([(p, b, last.get(p, -1), extra[p]) for p, b, _ in parts], "_pattern string, _base int, _last int, _extra array<int>")
+    again = (F.col("_bucket") <= F.col("_last")) | F.array_contains("_extra", F.col("_bucket"))
     out = rows.join(F.broadcast(cuts), "_pattern", "left").withColumn("copies", F.col("_base") + again.cast("int"))
     return out.withColumn("taken", F.col("copies") * F.col("size")).drop("_pattern", "_bucket", "_base", "_last", "_extra"), Plan(dict(sizes), goal, given, patterns)
 

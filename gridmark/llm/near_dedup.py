@@ -7,16 +7,20 @@ Signatures have ``SYMBOLS`` = 64 symbols of 16 bits.  Two sets of similarity s d
 1 - s, so at s = 0.8 more than ``DISTANCE`` = 27 symbols differ about once in 10^5 pairs.  All node pairs within that
 distance meet: the symbols are split into 14 chunks, and 27 errors leave a chunk with one error at most (pigeonhole),
 so every node is listed under each chunk with each one of its symbols left out (the errors enumerated): 64 keys.
+A longer sketch, 512 symbols of 8 bits that begin with those, tells before texts are read whether a pair may reach the
+threshold; it asks for five standard deviations less than a pair at the threshold shares.
 
 Candidates aren't all pairs under a key.  First every node is paired with the smallest node under each of its keys.
-Links found give components; under a key whose nodes are one component nothing is left to learn.  Keys that still hold
-several components get a second star, around another node; what is open after that is paired exhaustively between
-components (never within one), behind tests of signature distance and set size.  So no link between components is
-lost, and a group of near copies costs a few stars, not its square.
+Links found give components; a key whose nodes are one component has nothing left to tell.  Under the other keys only
+pairs between components are open.  Small groups (``SMALL`` nodes) join with themselves.  Large groups are dealt as
+pairs of blocks of ``BLOCK_NODES`` nodes and compared by sketch inside the tasks: in a first round every node names
+its best partner outside its component, in the second all open pairs that pass the sketch are named, each under its
+first common key alone.  So no link between components is lost, a group of near copies costs stars and block
+comparisons, and rows grow with what passes the sketch, not with a group's square.
 
 A link is confirmed on the full sets of both texts.  Components come from alternating large and small stars (minimum
 labels), each round settled in the shared folder.  Keys, joins and counts are shuffles that AQE can split; nothing is
-gathered to the driver but row counts.
+gathered to the driver but row counts and a bit table of fixed size.
 
 Null text counts as empty.  ``component_id`` is the smallest doc_id reachable (null ids last: only components without
 any id have none).  Repeated rows share a node and keep their rows.
@@ -36,8 +40,10 @@ from .flat import byte_numbers, drawn, groups, mix, span_hashes, spans, text_byt
 from .quality_rules import WORD
 from .store import settled, written
 
-SYMBOLS, CHUNKS, DISTANCE = 64, 14, 27
-_FACTORS = drawn(7, SYMBOLS) | np.uint64(1)
+SYMBOLS, CHUNKS, DISTANCE, SKETCH = 64, 14, 27, 512
+SMALL, BLOCK_NODES, BITS, KEPT_HASHES = 32, 1024, 1 << 23, 4_000_000
+_FACTORS = (drawn(7, SKETCH) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_PARTS = np.array_split(np.arange(SYMBOLS), CHUNKS)
 _PLACES = drawn(8, 64) | np.uint64(1)
 
 
@@ -76,14 +82,15 @@ def _digests(hashes: np.ndarray, at: np.ndarray) -> list[bytes]:
 
 
 def signatures(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """[text, symbol] 16-bit symbols: the low bits of the smallest hash under each of 64 multiplications."""
-    out = np.zeros((len(at) - 1, SYMBOLS), np.uint16)
+    """[text, symbol] 16-bit symbols: bits of the smallest hash under each of SKETCH multiplications modulo 2^32."""
+    out = np.zeros((len(at) - 1, SKETCH), np.uint16)
     own = np.flatnonzero(at[1:] > at[:-1])
+    short = (hashes >> np.uint64(16)).astype(np.uint32)
     for a in range(0, len(own), 256):
         rows = own[a : a + 256]
-        part, base = hashes[at[rows[0]] : at[rows[-1] + 1]], at[rows] - at[rows[0]]
-        for k in range(SYMBOLS):
-            out[rows, k] = mix(np.minimum.reduceat(part * _FACTORS[k], base)) & np.uint64(0xFFFF)
+        part, base = short[at[rows[0]] : at[rows[-1] + 1]], at[rows] - at[rows[0]]
+        for k in range(SKETCH):
+            out[rows, k] = mix(np.minimum.reduceat(part * _FACTORS[k], base).astype(np.uint64)) & np.uint64(0xFFFF)
     return out
 
 
@@ -93,56 +100,194 @@ def _signed(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         for i, j in groups(offsets):
             hashes, at = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
             sig = signatures(hashes, at)
+            more = sig[:, SYMBOLS:].astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(np.diff(at)), pa.array(_digests(hashes, at), pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())],
-                names=["doc", "md5", "n", "digest", "sig"],
-            )
+                [
+                    batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(np.diff(at)), pa.array(_digests(hashes, at), pa.binary()),
+                    pa.array([x[:SYMBOLS].tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in more], pa.binary()),
+                ],
+                names=["doc", "md5", "n", "digest", "sig", "more"],
+            )
+
+
+def _bytes(column: pa.Array, kind: type, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
+
+def _key_table(sig: np.ndarray) -> np.ndarray:
+    """[node, key number]: for every chunk of a signature and every symbol of it, the hash of the others."""
+    weighed = (sig.astype(np.uint64) + np.uint64(1)) * _PLACES
+    keys = [mix(weighed[:, [x for x in part if x != out]].sum(1) + np.uint64((int(out) + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) for part in _PARTS for out in part]
+    return np.stack(keys, 1).view(np.int64)
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node) for every chunk of a signature and every symbol of it left out."""
-    parts = np.array_split(np.arange(SYMBOLS), CHUNKS)
+    """(key, id) for every key of a node."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 1024):
+            keys = _key_table(_bytes(batch.column(1).slice(a, 1024), np.uint16, SYMBOLS))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).slice(a, 1024).to_numpy(), SYMBOLS))], names=["key", "id"])
+
+
+def _least_shared(percent: int) -> float:
+    """Sketch symbols that a pair at the threshold shares, less five standard deviations."""
+    p = percent / 100
+    return SKETCH * p - 5 * (SKETCH * p * (1 - p)) ** 0.5
+
+
+def _likely(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, n_a, n_b, sig_a, sig_b, more_a, more_b) whose sizes and sketches allow a link."""
     for batch in batches:
-        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, SYMBOLS).astype(np.uint64)
-        weighed = (sig + np.uint64(1)) * _PLACES
-        keys = [mix(weighed[:, [x for x in part if x != out]].sum(1) + np.uint64((int(out) + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) for part in parts for out in part]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(batch.column(0).to_numpy(), len(keys)))], names=["key", "id"])
+        for i in range(0, batch.num_rows, 4096):
+            part = batch.slice(i, 4096)
+            n, m = (part.column(k).to_numpy() for k in (2, 3))
+            shared = np.zeros(part.num_rows, np.int64)
+            for x, y, kind, wide in ((4, 5, np.uint16, SYMBOLS), (6, 7, np.uint8, SKETCH - SYMBOLS)):
+                shared += (_bytes(part.column(x), kind, wide) == _bytes(part.column(y), kind, wide)).sum(1)
+            fit = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (shared >= _least_shared(percent))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(fit))
+
+
+def _compared(percent: int, best: bool, table: pa.Table) -> pa.Table:
+    """Pairs between components within one pair of blocks (x, y) of a key's nodes: rows key, x, y, block, id, root, n,
+    sig, more.  ``best``: each node's best partner alone; else all pairs that have this key as their first in common."""
+    table = table.combine_chunks()
+    ids, roots, n, block = (table[c].to_numpy() for c in ("id", "root", "n", "block"))
+    column = lambda c: table[c].combine_chunks() if isinstance(table[c], pa.ChunkedArray) else table[c]
+    flat = lambda c: pa.concat_arrays(column(c).chunks) if isinstance(column(c), pa.ChunkedArray) else column(c)
+    sig, more = _bytes(flat("sig"), np.uint16, SYMBOLS), _bytes(flat("more"), np.uint8, SKETCH - SYMBOLS)
+    x, y = table["x"][0].as_py(), table["y"][0].as_py()
+    left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+    number = int(np.flatnonzero(_key_table(sig[:1])[0] == table["key"][0].as_py())[0])
+    least, found = _least_shared(percent), ([], [], [])
+    bounds = SYMBOLS * (percent / 100) - 5 * (SYMBOLS * percent * (100 - percent) / 1e4) ** 0.5
+    for a in range(0, len(left), 256):
+        rows = left[a : a + 256]
+        same = np.zeros((len(rows), len(right)), np.uint8)
+        for k in range(SYMBOLS):
+            same += sig[rows, k][:, None] == sig[right, k][None, :]
+        open_ = (roots[rows][:, None] != roots[right][None, :]) & (same >= bounds)
+        open_ &= 100 * np.minimum(n[rows][:, None], n[right][None, :]) >= percent * np.maximum(n[rows][:, None], n[right][None, :])
+        if x == y:
+            open_ &= ids[rows][:, None] < ids[right][None, :]
+        i, j = np.nonzero(open_)
+        for c in range(0, len(i), 1 << 14):
+            p, q = rows[i[c : c + (1 << 14)]], right[j[c : c + (1 << 14)]]
+            shared = (more[p] == more[q]).sum(1) + same[i[c : c + (1 << 14)], j[c : c + (1 << 14)]]
+            fit = shared >= least
+            if not best and fit.any():
+                fit[fit] = _first_key(sig[p[fit]] != sig[q[fit]]) == number
+            for out, values in zip(found, (p[fit], q[fit], shared[fit]), strict=True):
+                out.append(values)
+    p, q, shared = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in found)
+    if best and len(p):
+        ends, others, both = np.concatenate([p, q]), np.concatenate([q, p]), np.concatenate([shared, shared])
+        order = np.lexsort((ids[others], -both, ends))
+        first = order[np.flatnonzero(np.diff(ends[order], prepend=-1))]
+        p, q, shared = ends[first], others[first], both[first]
+    return pa.table({"a": ids[p], "b": ids[q], "shared": shared.astype(np.int64)})
+
+
+def _first_key(differ: np.ndarray) -> np.ndarray:
+    """Number of the first key that two signatures share, from where they differ; -1 for none."""
+    out, base = np.full(len(differ), -1), 0
+    for part in _PARTS:
+        wrong = differ[:, part]
+        count = wrong.sum(1)
+        hit = (out < 0) & (count <= 1)
+        out[hit] = base + np.where(count[hit] == 0, 0, wrong[hit].argmax(1))
+        base += len(part)
+    return out
 
 
 def _confirmed(width: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) whose sets meet 100 * intersection >= percent * union."""
+    """Pairs (a, b) whose sets meet 100 * intersection >= percent * union; rows a, b, text of a, text of b.  A text's
+    set is made once while it is among the last ones used."""
+    sets: dict[int, np.ndarray] = {}
+    load = 0
     for batch in batches:
-        keep = []
-        sides = [text_bytes(batch.column(k)) for k in (2, 3)]
-        for r in range(batch.num_rows):
-            x, y = (shingle_sets(data[at[r] : at[r + 1]], np.array([0, at[r + 1] - at[r]]), width)[0] for data, at in sides)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= percent * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for start in range(0, batch.num_rows, 512):
+            part = batch.slice(start, 512)
+            a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
+            if load > KEPT_HASHES:
+                sets, load = {}, 0
+            new = {i: (side, r) for side, ids in ((2, a), (3, b)) for r, i in enumerate(ids) if i not in sets}
+            for side in (2, 3):
+                ids = [i for i, (k, _) in new.items() if k == side]
+                data, offsets = text_bytes(part.column(side).take(pa.array([new[i][1] for i in ids], pa.int64())))
+                for x, y in groups(offsets):
+                    hashes, at = shingle_sets(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], width)
+                    sets.update((ids[x + k], hashes[at[k] : at[k + 1]]) for k in range(y - x))
+                    load += len(hashes)
+            keep = []
+            for i, j in zip(a, b, strict=True):
+                x, y = sets[i], sets[j]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, root) for every node of a link table, root being the smallest id reachable; alternating stars."""
     stars = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    before = None
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        down = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select("v", "m", "u")
-        stars = settled(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        now = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first())
-        if now == before or now[0] == 0 or (now[0] == now[2] and stars.join(stars.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()):
-            break
-        before = now
-    return stars.select(F.col("u").alias("id"), F.col("v").alias("root")).union(stars.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
-
-
-def _distance(x: str, y: str):
-    """Differing symbols of two hexadecimal signatures (4 digits a symbol)."""
-    return F.aggregate(F.sequence(F.lit(0), F.lit(SYMBOLS - 1)), F.lit(0), lambda n, i: n + (F.substring(F.col(x), i * 4 + 1, F.lit(4)) != F.substring(F.col(y), i * 4 + 1, F.lit(4))).cast("int"))
+        ends = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")
+        stars = settled(down.join(least, "u").select(ends).select("e.u", "e.v").where("u <> v").distinct())
+        role = F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("leaf")), F.struct(F.col("v").alias("x"), F.lit(0).alias("leaf")))).alias("e")
+        both_roles = "leaves > 1 OR leaves = 1 AND hub = 1"
+        unsettled = stars.select(role).select("e.x", "e.leaf").groupBy("x").agg(F.sum("leaf").alias("leaves"), F.max(1 - F.col("leaf")).alias("hub")).where(both_roles)
+        if unsettled.isEmpty():
+            return stars.select(F.col("u").alias("id"), F.col("v").alias("root")).union(stars.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+
+
+def _sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow a link."""
+    for k in "ab":
+        pairs = pairs.join(sketches.toDF(k, f"n_{k}", f"sig_{k}", f"more_{k}"), k)
+    return pairs.select("a", "b", "n_a", "n_b", "sig_a", "sig_b", "more_a", "more_b").mapInArrow(partial(_likely, percent), "a bigint, b bigint")
+
+
+def _in_blocks(opened: DataFrame, sketches: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs of ``_compared`` over all (key, id, root, many): nodes of a key fall into blocks by hash, and each pair of
+    blocks is a group of its own, of about 2 * BLOCK_NODES rows whatever the key holds."""
+    blocks = F.ceil(F.col("many") / BLOCK_NODES).cast("int")
+    dealt = opened.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("id"), blocks).cast("int")})
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    spread = dealt.withColumn("_o", other).select("key", F.least("block", "_o").alias("x"), F.greatest("block", "_o").alias("y"), "block", "id", "root")
+    rows = spread.join(sketches, "id").select("key", "x", "y", "block", "id", "root", "n", "sig", "more")
+
+    def compared(table: pa.Table) -> pa.Table:
+        return _compared(percent, best, table)
+
+    pairs = rows.groupBy("key", "x", "y").applyInArrow(compared, "a bigint, b bigint, shared bigint")
+    if best:
+        top = pairs.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("b"))).alias("m")).select("a", (-F.col("m.b")).alias("b"))
+        return top.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.select("a", "b")
+
+
+def _confirm(base: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that are links, a < b.  The text of a node is read from the row of its smallest doc
+    id; rows that can't be asked for are dropped before the shuffle by a bit table of their ids' hashes, of BITS bits
+    whatever the input (a full table only drops less)."""
+    spark = base.sparkSession
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+    asked = settled(nodes.select("id", "doc", "digest").join(ends, "id", "left_semi"))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+    bits = asked.select(place("doc").alias("p")).groupBy(F.floor(F.col("p") / 64).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("_bits"))
+    table = spark.createDataFrame([tuple(r) for r in bits.collect()], "_word bigint, _bits bigint")
+    near = base.withColumn("_p", place("doc")).join(F.broadcast(table), F.floor(F.col("_p") / 64) == F.col("_word"))
+    near = near.where(F.getbit("_bits", (F.col("_p") % 64).cast("int")) == 1).select(F.col("doc").alias("_doc"), "text")
+    texts = near.join(asked, F.col("_doc").eqNullSafe(F.col("doc"))).select("id", "digest", "text")
+    texts = texts.mapInArrow(partial(_own, width), "id bigint, text string").groupBy("id").agg(F.min("text").alias("text"))
+    texts = written(texts, "texts")
+    sides = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+    return sides.select("a", "b", "x", "y").mapInArrow(partial(_confirmed, width, percent), "a bigint, b bigint")
 
 
 def linked(df: DataFrame, doc_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -157,46 +302,32 @@ def linked(df: DataFrame, doc_col: str = "doc_id", text_col: str = "text", width
     base = df.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text"))
     doc_type = base.schema["doc"].dataType.simpleString()
     hashed = base.withColumn("md5", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    signed = written(hashed.mapInArrow(partial(_signed, width), f"doc {doc_type}, md5 string, n bigint, digest binary, sig binary"), "signed")
-    nodes = signed.where("n > 0").groupBy("digest", "n").agg(F.min("doc").alias("doc"), F.first("sig").alias("sig"))
+    signed = written(hashed.mapInArrow(partial(_signed, width), f"doc {doc_type}, md5 string, n bigint, digest binary, sig binary, more binary"), "signed")
+    nodes = signed.where("n > 0").groupBy("digest", "n").agg(F.min("doc").alias("doc"), F.first("sig").alias("sig"), F.first("more").alias("more"))
     nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    sketches = nodes.select("id", "n", "sig", "more")
     probes = written(nodes.select("id", "sig").mapInArrow(_keys, "key bigint, id bigint"), "probes")
-    shared = probes.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("far")).where("hub < far")
-    stars = probes.join(shared.select("key", "hub"), "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        """Those of (a, b) that are links; texts come from one row of each node."""
-        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        asked = nodes.select("id", "doc", "digest").join(asked, "id", "left_semi")
-        texts = base.join(asked.hint("shuffle_hash"), base["doc"].eqNullSafe(asked["doc"])).select("id", "digest", "text")
-        texts = texts.mapInArrow(partial(_own, width), "id bigint, text string").groupBy("id").agg(F.first("text").alias("text"))
-        texts = written(texts, "texts")
-        sides = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-        return sides.select("a", "b", "x", "y").mapInArrow(partial(_confirmed, width, percent), "a bigint, b bigint")
-
-    links = settled(confirm(stars))
-    tried = stars
-    for exhaustive in (False, True):
-        rooted = components(links)
-        root = F.coalesce("root", "id")
-        member = settled(probes.join(shared.select("key"), "key", "left_semi").join(rooted, "id", "left").select("key", "id", root.alias("root")))
-        open_keys = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("root", "id")).alias("top")).where("lo < hi")
-        inside = member.join(open_keys, "key")
-        if exhaustive:
-            x, y = (inside.select("key", F.col("id").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab")
-            pairs = x.join(y, "key").where("root_a < root_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    hubs = probes.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("far")).where("hub < far").select("key", "hub")
+    member = written(probes.join(hubs, "key"), "member")
+    links = None
+    for stage in ("stars", "best", "all"):
+        if stage == "stars":
+            asked = member.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+            pairs = _sketched(asked, sketches, percent)
         else:
-            pairs = inside.where("root <> top.root").select(F.least("id", "top.id").alias("a"), F.greatest("id", "top.id").alias("b"))
-        pairs = pairs.distinct().join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        sigs = nodes.select("id", "n", F.hex("sig").alias("sig"))
-        for k in "ab":
-            pairs = pairs.join(sigs.toDF(k, f"n_{k}", f"sig_{k}"), k)
-        pairs = pairs.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (_distance("sig_a", "sig_b") <= DISTANCE)).select("a", "b")
-        pairs = settled(pairs)
-        if not pairs.isEmpty():
-            links = settled(links.unionByName(confirm(pairs)).distinct())
-            tried = tried.select("a", "b").unionByName(pairs)
+            root = F.coalesce("root", "id")
+            rooted = member.select("key", "id").join(components(links), "id", "left").select("key", "id", root.alias("root"))
+            several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("many")).where("lo < hi").select("key", "many")
+            opened = written(rooted.join(several, "key"), "open")
+            if stage == "best" and opened.where(F.col("many") > SMALL).isEmpty():
+                continue
+            pairs = _in_blocks(opened.where(F.col("many") > SMALL), sketches, percent, stage == "best")
+            if stage == "all":
+                x, y = (opened.where(F.col("many") <= SMALL).select("key", F.col("id").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab")
+                few = x.join(y, "key").where("root_a <> root_b AND a < b").select("a", "b").distinct().join(asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+                pairs = pairs.unionByName(_sketched(few, sketches, percent))
+        confirmed = _confirm(base, nodes, pairs, width, percent)
+        links = settled(confirmed if links is None else links.unionByName(confirmed).distinct())
     rooted = components(links)
     named = nodes.select("id", "digest", "n", "doc").join(rooted, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = named.groupBy("root").agg(F.min("doc").alias("component_id"))

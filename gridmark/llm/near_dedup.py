@@ -13,10 +13,11 @@ threshold; it asks for five standard deviations less than a pair at the threshol
 Candidates aren't all pairs under a key.  First every node is paired with the smallest node under each of its keys.
 Links found give components; a key whose nodes are one component has nothing left to tell.  Under the other keys only
 pairs between components are open.  Small groups (``SMALL`` nodes) join with themselves.  Large groups are dealt as
-pairs of blocks of ``BLOCK_NODES`` nodes and compared by sketch inside the tasks: in a first round every node names
-its best partner outside its component, in the second all open pairs that pass the sketch are named, each under its
-first common key alone.  So no link between components is lost, a group of near copies costs stars and block
-comparisons, and rows grow with what passes the sketch, not with a group's square.
+pairs of blocks of ``BLOCK_NODES`` nodes (fewer where sets are large: ``BLOCK_HASHES``) that carry the full sets.  Inside
+a task all open pairs that pass the sketch, each under its first common key alone, are confirmed at once, unless links
+that the task has found connect them already.  Only such links leave the task, fewer than it has nodes.  So no link
+between components is lost, and neither near copies nor groups of texts just below the threshold make rows by the
+square.
 
 A link is confirmed on the full sets of both texts.  Components come from alternating large and small stars (minimum
 labels), each round settled in the shared folder.  Keys, joins and counts are shuffles that AQE can split; nothing is
@@ -41,7 +42,7 @@ from .quality_rules import WORD
 from .store import settled, written
 
 SYMBOLS, CHUNKS, DISTANCE, SKETCH = 64, 14, 27, 512
-SMALL, BLOCK_NODES, BITS, KEPT_HASHES = 32, 1024, 1 << 23, 4_000_000
+SMALL, BLOCK_NODES, BLOCK_HASHES, BITS, KEPT_HASHES = 32, 1024, 1 << 22, 1 << 23, 4_000_000
 _FACTORS = (drawn(7, SKETCH) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _PARTS = np.array_split(np.arange(SYMBOLS), CHUNKS)
 _PLACES = drawn(8, 64) | np.uint64(1)
@@ -148,19 +149,26 @@ def _likely(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(fit))
 
 
-def _compared(percent: int, best: bool, table: pa.Table) -> pa.Table:
-    """Pairs between components within one pair of blocks (x, y) of a key's nodes: rows key, x, y, block, id, root, n,
-    sig, more.  ``best``: each node's best partner alone; else all pairs that have this key as their first in common."""
-    table = table.combine_chunks()
+def _compared(percent: int, table: pa.Table) -> pa.Table:
+    """Links between components within one pair of blocks (x, y) of a key's nodes: rows key, x, y, block, id, root, n,
+    sig, more, own (the set).  Pairs with an earlier key in common are left to that key; of the others, links enough to
+    connect what they connect."""
     ids, roots, n, block = (table[c].to_numpy() for c in ("id", "root", "n", "block"))
-    column = lambda c: table[c].combine_chunks() if isinstance(table[c], pa.ChunkedArray) else table[c]
-    flat = lambda c: pa.concat_arrays(column(c).chunks) if isinstance(column(c), pa.ChunkedArray) else column(c)
-    sig, more = _bytes(flat("sig"), np.uint16, SYMBOLS), _bytes(flat("more"), np.uint8, SKETCH - SYMBOLS)
+    sig, more = _bytes(table["sig"], np.uint16, SYMBOLS), _bytes(table["more"], np.uint8, SKETCH - SYMBOLS)
+    sets = [np.frombuffer(own, np.uint64) for own in table["own"].to_pylist()]
     x, y = table["x"][0].as_py(), table["y"][0].as_py()
     left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
     number = int(np.flatnonzero(_key_table(sig[:1])[0] == table["key"][0].as_py())[0])
-    least, found = _least_shared(percent), ([], [], [])
+    least = _least_shared(percent)
     bounds = SYMBOLS * (percent / 100) - 5 * (SYMBOLS * percent * (100 - percent) / 1e4) ** 0.5
+    above: dict[int, int] = {}
+    links: list[tuple[int, int]] = []
+
+    def top(root: int) -> int:
+        while (up := above.get(root, root)) != root:
+            above[root] = root = above.get(up, up)
+        return root
+
     for a in range(0, len(left), 256):
         rows = left[a : a + 256]
         same = np.zeros((len(rows), len(right)), np.uint8)
@@ -174,18 +182,14 @@ def _compared(percent: int, best: bool, table: pa.Table) -> pa.Table:
         for c in range(0, len(i), 1 << 14):
             p, q = rows[i[c : c + (1 << 14)]], right[j[c : c + (1 << 14)]]
             shared = (more[p] == more[q]).sum(1) + same[i[c : c + (1 << 14)], j[c : c + (1 << 14)]]
-            fit = shared >= least
-            if not best and fit.any():
-                fit[fit] = _first_key(sig[p[fit]] != sig[q[fit]]) == number
-            for out, values in zip(found, (p[fit], q[fit], shared[fit]), strict=True):
-                out.append(values)
-    p, q, shared = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in found)
-    if best and len(p):
-        ends, others, both = np.concatenate([p, q]), np.concatenate([q, p]), np.concatenate([shared, shared])
-        order = np.lexsort((ids[others], -both, ends))
-        first = order[np.flatnonzero(np.diff(ends[order], prepend=-1))]
-        p, q, shared = ends[first], others[first], both[first]
-    return pa.table({"a": ids[p], "b": ids[q], "shared": shared.astype(np.int64)})
+            fit = np.flatnonzero(shared >= least)
+            fit = fit[_first_key(sig[p[fit]] != sig[q[fit]]) == number]
+            for k in fit[np.argsort(-shared[fit], kind="stable")]:  # the likeliest links first: they spare others
+                one, two = top(int(roots[p[k]])), top(int(roots[q[k]]))
+                if one != two and _similar(sets[p[k]], sets[q[k]], percent):
+                    above[one] = two
+                    links.append((ids[p[k]], ids[q[k]]))
+    return pa.table({k: pa.array([pair[side] for pair in links], pa.int64()) for side, k in enumerate("ab")})
 
 
 def _first_key(differ: np.ndarray) -> np.ndarray:
@@ -200,6 +204,22 @@ def _first_key(differ: np.ndarray) -> np.ndarray:
     return out
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets meet 100 * intersection >= percent * union."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _sets(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, own): the set of every text as bytes."""
+    for batch in batches:
+        data, offsets = text_bytes(batch.column(1))
+        for i, j in groups(offsets):
+            hashes, at = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
+            own = pa.array([hashes[at[k] : at[k + 1]].tobytes() for k in range(j - i)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), own], names=["id", "own"])
+
+
 def _confirmed(width: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) whose sets meet 100 * intersection >= percent * union; rows a, b, text of a, text of b.  A text's
     set is made once while it is among the last ones used."""
@@ -219,11 +239,7 @@ def _confirmed(width: int, percent: int, batches: Iterator[pa.RecordBatch]) -> I
                     hashes, at = shingle_sets(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], width)
                     sets.update((ids[x + k], hashes[at[k] : at[k + 1]]) for k in range(y - x))
                     load += len(hashes)
-            keep = []
-            for i, j in zip(a, b, strict=True):
-                x, y = sets[i], sets[j]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = [_similar(sets[i], sets[j], percent) for i, j in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -251,41 +267,40 @@ def _sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "sig_a", "sig_b", "more_a", "more_b").mapInArrow(partial(_likely, percent), "a bigint, b bigint")
 
 
-def _in_blocks(opened: DataFrame, sketches: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Pairs of ``_compared`` over all (key, id, root, many): nodes of a key fall into blocks by hash, and each pair of
-    blocks is a group of its own, of about 2 * BLOCK_NODES rows whatever the key holds."""
-    blocks = F.ceil(F.col("many") / BLOCK_NODES).cast("int")
-    dealt = opened.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("id"), blocks).cast("int")})
+def _in_blocks(opened: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of ``_compared`` over all (key, id, root, many, hashes): nodes of a key fall into blocks by hash, and each
+    pair of blocks is a group of its own, of about 2 * BLOCK_NODES rows and 2 * BLOCK_HASHES hashes whatever the key
+    holds."""
+    blocks = F.ceil(F.greatest(F.col("many") / BLOCK_NODES, F.col("hashes") / BLOCK_HASHES)).cast("int")
+    dealt = opened.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     spread = dealt.withColumn("_o", other).select("key", F.least("block", "_o").alias("x"), F.greatest("block", "_o").alias("y"), "block", "id", "root")
-    rows = spread.join(sketches, "id").select("key", "x", "y", "block", "id", "root", "n", "sig", "more")
+    rows = spread.join(sketches.join(sets, "id"), "id").select("key", "x", "y", "block", "id", "root", "n", "sig", "more", "own")
 
     def compared(table: pa.Table) -> pa.Table:
-        return _compared(percent, best, table)
+        return _compared(percent, table)
 
-    pairs = rows.groupBy("key", "x", "y").applyInArrow(compared, "a bigint, b bigint, shared bigint")
-    if best:
-        top = pairs.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("b"))).alias("m")).select("a", (-F.col("m.b")).alias("b"))
-        return top.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs.select("a", "b")
+    return rows.groupBy("key", "x", "y").applyInArrow(compared, "a bigint, b bigint")
 
 
-def _confirm(base: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that are links, a < b.  The text of a node is read from the row of its smallest doc
-    id; rows that can't be asked for are dropped before the shuffle by a bit table of their ids' hashes, of BITS bits
-    whatever the input (a full table only drops less)."""
-    spark = base.sparkSession
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-    asked = settled(nodes.select("id", "doc", "digest").join(ends, "id", "left_semi"))
+def _texts(base: DataFrame, nodes: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, text) of the nodes named by ``ids``.  The text of a node is read from the row of its smallest doc id; rows
+    that can't be asked for are dropped before the shuffle by a bit table of their ids' hashes, of BITS bits whatever
+    the input (a full table only drops less)."""
+    asked = settled(nodes.select("id", "doc", "digest").join(ids, "id", "left_semi"))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
     bits = asked.select(place("doc").alias("p")).groupBy(F.floor(F.col("p") / 64).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("_bits"))
-    table = spark.createDataFrame([tuple(r) for r in bits.collect()], "_word bigint, _bits bigint")
+    table = base.sparkSession.createDataFrame([tuple(r) for r in bits.collect()], "_word bigint, _bits bigint")
     near = base.withColumn("_p", place("doc")).join(F.broadcast(table), F.floor(F.col("_p") / 64) == F.col("_word"))
     near = near.where(F.getbit("_bits", (F.col("_p") % 64).cast("int")) == 1).select(F.col("doc").alias("_doc"), "text")
     texts = near.join(asked, F.col("_doc").eqNullSafe(F.col("doc"))).select("id", "digest", "text")
-    texts = texts.mapInArrow(partial(_own, width), "id bigint, text string").groupBy("id").agg(F.min("text").alias("text"))
-    texts = written(texts, "texts")
+    return written(texts.mapInArrow(partial(_own, width), "id bigint, text string").groupBy("id").agg(F.min("text").alias("text")), "texts")
+
+
+def _confirm(base: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that are links, a < b."""
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    texts = _texts(base, nodes, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), width)
     sides = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
     return sides.select("a", "b", "x", "y").mapInArrow(partial(_confirmed, width, percent), "a bigint, b bigint")
 
@@ -309,25 +324,19 @@ def linked(df: DataFrame, doc_col: str = "doc_id", text_col: str = "text", width
     probes = written(nodes.select("id", "sig").mapInArrow(_keys, "key bigint, id bigint"), "probes")
     hubs = probes.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("far")).where("hub < far").select("key", "hub")
     member = written(probes.join(hubs, "key"), "member")
-    links = None
-    for stage in ("stars", "best", "all"):
-        if stage == "stars":
-            asked = member.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-            pairs = _sketched(asked, sketches, percent)
-        else:
-            root = F.coalesce("root", "id")
-            rooted = member.select("key", "id").join(components(links), "id", "left").select("key", "id", root.alias("root"))
-            several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("many")).where("lo < hi").select("key", "many")
-            opened = written(rooted.join(several, "key"), "open")
-            if stage == "best" and opened.where(F.col("many") > SMALL).isEmpty():
-                continue
-            pairs = _in_blocks(opened.where(F.col("many") > SMALL), sketches, percent, stage == "best")
-            if stage == "all":
-                x, y = (opened.where(F.col("many") <= SMALL).select("key", F.col("id").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab")
-                few = x.join(y, "key").where("root_a <> root_b AND a < b").select("a", "b").distinct().join(asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-                pairs = pairs.unionByName(_sketched(few, sketches, percent))
-        confirmed = _confirm(base, nodes, pairs, width, percent)
-        links = settled(confirmed if links is None else links.unionByName(confirmed).distinct())
+    asked = member.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    stars = settled(_confirm(base, nodes, _sketched(asked, sketches, percent), width, percent))
+    placed = nodes.select("id", "n").join(components(stars), "id", "left").select("id", "n", F.coalesce("root", "id").alias("root"))
+    rooted = member.select("key", "id").join(placed, "id")
+    several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("many"), F.sum("n").alias("hashes")).where("lo < hi").drop("lo", "hi")
+    opened = written(rooted.drop("n").join(several, "key"), "open")
+    large = opened.where(F.col("many") > SMALL)
+    sets = _texts(base, nodes, large.select("id"), width).mapInArrow(partial(_sets, width), "id bigint, own binary")
+    found = _in_blocks(large, sketches, sets, percent)
+    x, y = (opened.where(F.col("many") <= SMALL).select("key", F.col("id").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab")
+    few = x.join(y, "key").where("root_a <> root_b AND a < b").select("a", "b").distinct()
+    few = few.join(asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    links = settled(stars.unionByName(found).unionByName(_confirm(base, nodes, _sketched(few, sketches, percent), width, percent)).distinct())
     rooted = components(links)
     named = nodes.select("id", "digest", "n", "doc").join(rooted, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = named.groupBy("root").agg(F.min("doc").alias("component_id"))

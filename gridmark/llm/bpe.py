@@ -52,6 +52,11 @@ class Kept:
         self.load += self.weigh(value)
 
 
+def _window(parts: list[bytes], i: int) -> bytes:
+    """The join ``parts[i]`` with the whole word before it and the whole word after it."""
+    return b" ".join([*parts[i - 1].rsplit(None, 1)[-1:], parts[i], *parts[i + 1].split(None, 1)[:1]])
+
+
 class Encoder:
     """Ids as bytes of little-endian unsigned 32-bit integers, for a tokenizer file that drops white space."""
 
@@ -128,10 +133,9 @@ class Encoder:
         windows, odd = {}, set()
         for _, parts in texts:
             for i in range(1, len(parts), 2):
-                before, after = parts[i - 1][-64:].split()[-1:], parts[i + 1][:64].split()[:1]
-                windows[b" ".join([*before, parts[i], *after])] = None
+                windows[_window(parts, i)] = None
         keys = list(windows)
-        for key, e in zip(keys, self.tokenizer.encode_batch_fast([k.decode(errors="ignore") for k in keys], add_special_tokens=False), strict=True):
+        for key, e in zip(keys, self.tokenizer.encode_batch_fast([k.decode() for k in keys], add_special_tokens=False), strict=True):
             windows[key] = array("I", e.ids).tobytes()
         known = self._learn({w for k in keys for w in k.split()})
         for key in keys:
@@ -139,7 +143,7 @@ class Encoder:
                 odd.add(key)
         out = []
         for ids, parts in texts:
-            wrong = odd and any(b" ".join([*parts[i - 1][-64:].split()[-1:], parts[i], *parts[i + 1][:64].split()[:1]]) in odd for i in range(1, len(parts), 2))
+            wrong = odd and any(_window(parts, i) in odd for i in range(1, len(parts), 2))
             out.append(self.whole(b"".join(parts)) if wrong else b"".join(ids))
         return out
 

@@ -49,6 +49,20 @@ def test_small_stores_change_nothing(library, monkeypatch):
     assert ids_of(texts) == [library.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+@pytest.mark.parametrize("bits", [4, 7])
+def test_long_words_beside_a_join(library, monkeypatch, bits):
+    monkeypatch.setattr(bpe, "CUT_BITS", bits)
+    monkeypatch.setattr(bpe, "_encoders", {})
+    rng = np.random.default_rng(3)
+    scripts = [(0x4E00, 0x9000), (0x3041, 0x3096), (0x0E01, 0x0E2E), (0x0430, 0x044F), (0x61, 0x7A)]
+
+    def line():
+        return "".join(chr(rng.integers(*scripts[rng.integers(len(scripts))])) for _ in range(rng.integers(20, 90)))
+
+    texts = ["\n".join(line() for _ in range(200)) for _ in range(5)]
+    assert ids_of(texts) == [library.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_cuts_depend_on_content():
     own = bpe.encoder(vocabulary())
     rng = np.random.default_rng(0)

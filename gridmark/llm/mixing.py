@@ -5,8 +5,9 @@ sources); the flow network has an arc from the start to each pattern for each re
 capacity and a convex cost (the first use is free, every further one dearer), arcs from a pattern to its sources, and
 arcs from the sources to the end that hold the source's target words.  The cheapest largest flow says how many words
 every pattern gives to which source.  Documents are then selected within each pattern: every document is taken
-floor(flow / words) times, and what is left goes once more to documents in seeded order: to hash buckets (16,384 a
-pattern) as long as they fit, then to ``FILLERS`` single buckets that best fill the gap.
+floor(flow / words) times, and what is left goes once more to documents in seeded order: to every hash bucket (16,384
+a pattern) that fits what the ones before it left, then to documents of buckets that don't fit, a few buckets a round,
+until no document fits that isn't selected; at last to the bucket that comes closest, if one does.
 
 Targets: sources by code point, null last, get weights in rotation; a target stops at ``most_repeats`` times its
 source's words and the excess is shared again by weight among the others.
@@ -19,8 +20,11 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,8 +33,8 @@ from .quality_rules import WORD
 from .store import settled
 
 BUCKETS = 1 << 14
-#: Hash buckets that fill what the seeded order leaves: the largest that fit, and at last the closest.
-FILLERS = 3
+#: Documents (more or less) of a pattern whose buckets are split in one round.
+SPLIT = 1024
 MOST_PATTERNS = 20_000
 #: Weights in rotation, and what a document's first, second and third use cost.
 WEIGHTS, REPEAT_COSTS = (5, 2, 1), (0, 1, 3)
@@ -118,6 +122,32 @@ class Plan:
     patterns: dict[Pattern, int]
 
 
+def first_fit(sizes: list[int], gap: int) -> tuple[list[int], int]:
+    """Places of the sizes that are taken in order, each if it fits what is left, and what stays."""
+    taken = []
+    for i, n in enumerate(sizes):
+        if n <= gap:
+            taken.append(i)
+            gap -= n
+    return taken, gap
+
+
+def _fill(column: str) -> Callable[[pa.Table], pa.Table]:
+    """One pattern's rows (at most one a bucket, or the documents of a round) to the selected values of ``column``."""
+
+    def filled(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(column)
+        taken, gap = first_fit(rows["n"].to_pylist(), rows["_gap"][0].as_py())
+        at = rows[column].to_numpy()[taken]
+        if column == "_bucket":
+            words = np.zeros(max(1, BUCKETS >> 6), np.uint64)
+            np.bitwise_or.at(words, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+            at = words.view(np.int64)
+        return pa.table({"_pattern": rows["_pattern"][:1], "_taken": pa.array([at.tolist()], pa.list_(pa.int64())), "_gap": pa.array([gap], pa.int64())})
+
+    return filled
+
+
 def mix(df: DataFrame, sources: Column, doc_col: str = "doc_id", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, costs: tuple[int, ...] = REPEAT_COSTS, seed: int = 0) -> tuple[DataFrame, Plan]:
     """``df`` with size, copies and taken = copies * size, and the plan behind it.
 
@@ -127,9 +157,11 @@ def mix(df: DataFrame, sources: Column, doc_col: str = "doc_id", text_col: str =
     """
     spark = df.sparkSession
     members = F.array_sort(F.array_distinct(F.when(F.coalesce(F.size(sources), F.lit(0)) > 0, sources).otherwise(F.array(F.lit(None).cast("string")))))
-    bucket = F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_col, text_col), 50).cast("int")
-    rows = df.withColumns({"size": size(F.col(text_col)), "_pattern": F.to_json(members), "_bucket": bucket})
-    buckets = rows.groupBy("_pattern", "_bucket").agg(F.sum("size").alias("n"), F.first(members).alias("members"))
+    key = F.xxhash64(F.lit(seed), doc_col, text_col)
+    keyed = df.withColumns({"_pattern": F.to_json(members), "_key": key, "_bucket": F.shiftrightunsigned(key, 65 - BUCKETS.bit_length()).cast("int")})
+    rows = keyed.withColumn("size", size(F.col(text_col)))
+    worded = F.when(F.col("size") > 0, F.col("_key"))
+    buckets = rows.groupBy("_pattern", "_bucket").agg(F.sum("size").alias("n"), F.first(members).alias("members"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"), (F.min(worded) < F.max(worded)).alias("several"))
     buckets = settled(buckets)  # small (patterns times buckets), and used three times
     found = buckets.groupBy("_pattern").agg(F.first("members").alias("members"), F.sum("n").alias("n")).orderBy("_pattern").limit(MOST_PATTERNS + 1).collect()
     if len(found) > MOST_PATTERNS:
@@ -149,25 +181,42 @@ def mix(df: DataFrame, sources: Column, doc_col: str = "doc_id", text_col: str =
         words = sum(given[p, s] for s in p)
         base = min(len(costs), words // n) if n else 0
         parts.append((r["_pattern"], base, words - base * n if base < len(costs) else 0))
-    table = spark.createDataFrame(parts, "_pattern string, _base int, _rest bigint")
-    through = F.sum("n").over(Window.partitionBy("_pattern").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
-    filled = buckets.where("n > 0").withColumn("_through", through).join(F.broadcast(table), "_pattern").where("_rest > 0")
-    inside = F.col("_through") <= F.col("_rest")
-    fill = filled.groupBy("_pattern").agg(F.max(F.when(inside, F.col("_bucket"))).alias("last"), F.coalesce(F.max(F.when(inside, F.col("_through"))), F.lit(0)).alias("words"), F.first("_rest").alias("rest")).collect()
-    last = {r["_pattern"]: -1 if r["last"] is None else r["last"] for r in fill}
-    gap, extra = {r["_pattern"]: r["rest"] - r["words"] for r in fill}, defaultdict(list)
-    for turn in range(FILLERS):
-        now = spark.createDataFrame([(p, last[p], g, extra[p]) for p, g in gap.items() if g], "_pattern string, _last int, _gap bigint, _extra array<int>")
-        free = buckets.where("n > 0").join(F.broadcast(now), "_pattern").where((F.col("_bucket") > F.col("_last")) & ~F.array_contains("_extra", F.col("_bucket")))
-        miss = F.abs(F.col("_gap") - F.col("n"))
-        fits = free.where(miss < F.col("_gap") if turn == FILLERS - 1 else F.col("n") <= F.col("_gap"))
-        for r in fits.groupBy("_pattern").agg(F.min(F.struct(miss.alias("miss"), "_bucket", "n")).alias("m")).collect():
-            extra[r["_pattern"]].append(r["m"]["_bucket"])
-            gap[r["_pattern"]] -= r["m"]["n"]
-    cuts = spark.createDataFrame([(p, b, last.get(p, -1), extra[p]) for p, b, _ in parts], "_pattern string, _base int, _last int, _extra array<int>")
-    again = (F.col("_bucket") <= F.col("_last")) | F.array_contains("_extra", F.col("_bucket"))
+    table = spark.createDataFrame([(p, rest) for p, _, rest in parts if rest], "_pattern string, _gap bigint")
+    shape = "_pattern string, _taken array<bigint>, _gap bigint"
+    filled = settled(buckets.where("n > 0").join(F.broadcast(table), "_pattern").select("_pattern", "_bucket", "n", "_gap").groupBy("_pattern").applyInArrow(_fill("_bucket"), shape))
+    inside = F.coalesce(F.getbit(F.get("_taken", F.shiftright("_bucket", 6)), F.col("_bucket").bitwiseAND(63)) == 1, F.lit(False))
+    gap = {r["_pattern"]: r["_gap"] for r in filled.where("_gap > 0").select("_pattern", "_gap").collect()}
+    free = buckets.where("n > 0").join(F.broadcast(filled.drop("_gap")), "_pattern").where(~inside).drop("_taken")
+    split, extra = defaultdict(list), defaultdict(list)
+
+    def behind() -> DataFrame:
+        now = spark.createDataFrame([(p, g, split[p]) for p, g in gap.items() if g], "_pattern string, _gap bigint, _split array<int>")
+        return free.join(F.broadcast(now), "_pattern").where(~F.array_contains("_split", F.col("_bucket")))
+
+    while any(gap.values()):
+        first = Window.partitionBy("_pattern").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        rough = F.coalesce(F.sum(F.ceil(F.col("n") / F.col("least"))).over(first), F.lit(0))
+        next_ones = behind().where("several AND least <= _gap").withColumn("_rough", rough).where(F.col("_rough") < SPLIT).select("_pattern", "_bucket", "_gap").collect()
+        if not next_ones:
+            break
+        for r in next_ones:
+            split[r["_pattern"]].append(r["_bucket"])
+        chosen = spark.createDataFrame(next_ones, "_pattern string, _bucket int, _gap bigint")
+        parted = keyed.join(F.broadcast(chosen), ["_pattern", "_bucket"]).withColumn("size", size(F.col(text_col))).where("size > 0")
+        single = parted.groupBy("_pattern", "_key").agg(F.sum("size").alias("n"), F.first("_gap").alias("_gap")).where("n <= _gap")
+        for r in single.groupBy("_pattern").applyInArrow(_fill("_key"), shape).collect():
+            extra[r["_pattern"]] += r["_taken"]
+            gap[r["_pattern"]] = r["_gap"]
+    miss = F.abs(F.col("_gap") - F.col("n"))
+    closest = defaultdict(lambda: -1)
+    if any(gap.values()):
+        for r in behind().where(miss < F.col("_gap")).groupBy("_pattern").agg(F.min(F.struct(miss.alias("miss"), "_bucket")).alias("m")).collect():
+            closest[r["_pattern"]] = r["m"]["_bucket"]
+    cuts = spark.createDataFrame([(p, b, closest[p], split[p], extra[p]) for p, b, _ in parts], "_pattern string, _base int, _closest int, _split array<int>, _extra array<bigint>")
+    cuts = cuts.join(filled.drop("_gap"), "_pattern", "left")
+    again = inside | (F.col("_bucket") == F.col("_closest")) | (F.array_contains("_split", F.col("_bucket")) & F.array_contains("_extra", F.col("_key")))
     out = rows.join(F.broadcast(cuts), "_pattern", "left").withColumn("copies", F.col("_base") + again.cast("int"))
-    return out.withColumn("taken", F.col("copies") * F.col("size")).drop("_pattern", "_bucket", "_base", "_last", "_extra"), Plan(dict(sizes), goal, given, patterns)
+    return out.withColumn("taken", F.col("copies") * F.col("size")).drop("_pattern", "_key", "_bucket", "_base", "_closest", "_split", "_extra", "_taken"), Plan(dict(sizes), goal, given, patterns)
 
 
 def with_targets(mixed: DataFrame, plan: Plan, source: str) -> DataFrame:

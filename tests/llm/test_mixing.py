@@ -76,3 +76,34 @@ def test_empty_and_repeated_rows(spark):
     twice = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s"), (None, None, None)], "doc_id long, text string, source string")
     mixed, _ = mixing.mix(twice, F.array("source"))
     assert sorted(r["taken"] for r in mixed.collect()) == [0, 2, 2]
+
+
+def test_a_long_document_early_in_the_order_stops_nothing(spark):
+    rng = random.Random(5)
+    sizes = {0: [5184] + [rng.randint(1, 200) for _ in range(180)], 1: [60_000]}
+    rows = [(i, " ".join(["w"] * n), f"s{s}") for s, own in sizes.items() for i, n in enumerate(own)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for seed in range(6):
+        mixed, plan = mixing.mix(df, F.array("source"), weights=(1, 2), seed=seed)
+        own = mixed.where("source = 's0'").collect()
+        gap = plan.targets["s0"] - sum(r["taken"] for r in own)
+        base = min(r["copies"] for r in own)
+        assert gap < 20 and all(r["size"] > gap - 1 for r in own if r["copies"] == base)  # targets are rounded to words
+
+
+def test_buckets_that_do_not_fit_are_split(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKETS", 4)
+    monkeypatch.setattr(mixing, "SPLIT", 50)
+    df = documents(spark)
+    mixed, plan = mixing.mix(df.union(df.limit(40)), F.array("source"))
+    rows = mixing.with_targets(mixed, plan, "source").collect()
+    for source in ("s0", "s1", "s2", None):
+        own = [r for r in rows if r["source"] == source]
+        gap = own[0]["target"] - sum(r["taken"] for r in own)
+        base = min(r["copies"] for r in own if r["size"])
+        together = {}
+        for r in own:
+            together[r["doc_id"]] = together.get(r["doc_id"], 0) + r["size"]
+        assert abs(gap) < 20 and all(together[r["doc_id"]] > gap - 1 for r in own if r["size"] and r["copies"] == base)
+    copies = {}
+    assert all(copies.setdefault(r["doc_id"], r["copies"]) == r["copies"] for r in rows)

@@ -2,13 +2,14 @@
 
 Words are runs of letters (and all bytes from 128 on), of digits, or of punctuation, with A-Z lower-cased, in
 ``BUCKETS`` hash buckets.  Every bucket has a sparse ternary index vector; a bucket's word vector is the normalised
-sum of its neighbours' index vectors (two to each side) over the training texts.  A word also has a form (case, digit,
+sum of its neighbours' index vectors (two to each side) over all documents, held out or not, as no label is read.  A
+word also has a form (case, digit,
 punctuation; the word before repeated or not), and every form an index vector.  A document is the mean of its words'
 vectors beside the mean of its forms' vectors.  A tanh layer and a logistic unit, trained with Adam in numpy, give a
 logit; a temperature fitted on a fifth of the sample that training doesn't see turns it into a probability.
 
-The sample is bounded: ``sample_rows`` labelled rows in hash order whose texts have at most ``longest`` bytes.  Both
-are read whole; scoring reads all of every text.  As the first layer is linear in the mean, the frozen model is one
+The sample that the network and the temperature are fitted on is bounded: ``sample_rows`` labelled rows in hash order
+whose texts have at most ``longest`` bytes.  Word vectors and scoring read all of every text.  As the first layer is linear in the mean, the frozen model is one
 table [bucket, hidden unit] in fixed point, so scores don't depend on batches, and scoring is a gather over flat
 bytes.  Null and empty texts have a mean of zero and get the score of that.
 """
@@ -63,19 +64,51 @@ def index_vectors(n: int, seed: int) -> np.ndarray:
     return out
 
 
-def word_vectors(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Normalised sums of the neighbours' index vectors for every bucket, over texts in a flat buffer."""
+#: Pairs of neighbours that are summed at a time.
+PAIRS = 1 << 18
+
+
+def neighbour_sums(data: np.ndarray, offsets: np.ndarray, out: np.ndarray) -> None:
+    """Adds to ``out`` [bucket, WIDTH], integers, the index vectors of every word's neighbours in texts of a flat buffer."""
     index = index_vectors(BUCKETS, 11)
-    out = np.zeros((BUCKETS, WIDTH), np.float32)
+    places = np.argsort(index == 0, axis=1, kind="stable")[:, :4]  # of the non-zero numbers; zeros where there are fewer
+    values = np.take_along_axis(index, places, 1)
     for i, j in groups(offsets):
         bucket, _, at = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         text = np.repeat(np.arange(j - i), np.diff(at))
         for away in (1, 2):
-            near = text[away:] == text[:-away]
-            left, right = bucket[:-away][near], bucket[away:][near]
-            for d in range(WIDTH):
-                out[:, d] += np.bincount(left, index[right, d], BUCKETS) + np.bincount(right, index[left, d], BUCKETS)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1)
+            near = np.flatnonzero(text[away:] == text[:-away])
+            for k in range(0, len(near), PAIRS):
+                left, right = bucket[near[k : k + PAIRS]], bucket[near[k : k + PAIRS] + away]
+                cells = np.concatenate([(a[:, None] * WIDTH + places[b]).ravel() for a, b in ((left, right), (right, left))])
+                found = np.bincount(cells, np.concatenate([values[right].ravel(), values[left].ravel()]), out.size)
+                out += np.rint(found).astype(np.int64).reshape(out.shape)
+
+
+def normalised(sums: np.ndarray) -> np.ndarray:
+    return (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1)).astype(np.float32)
+
+
+def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """Normalised sums of the neighbours' index vectors for every bucket, over all texts.
+
+    Every task gives one row a bucket that it met, at most BUCKETS, and so many come to the driver.
+    """
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((BUCKETS, WIDTH), np.int64)
+        for batch in batches:
+            neighbour_sums(*text_bytes(batch.column(0)), out)
+        met = np.flatnonzero(out.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(met), *(pa.array(out[met, d]) for d in range(WIDTH))], names=names)
+
+    names = ["bucket", *(f"d{d}" for d in range(WIDTH))]
+    parts = docs.select(text_col).mapInArrow(partial, ", ".join(f"{n} bigint" for n in names))
+    rows = parts.groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names[1:])).toArrow()
+    out = np.zeros((BUCKETS, WIDTH), np.int64)
+    if len(rows):
+        out[rows["bucket"].to_numpy()] = np.stack([rows[n].to_numpy() for n in names[1:]], 1)
+    return normalised(out)
 
 
 def pooled(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray, forms: np.ndarray) -> np.ndarray:
@@ -114,10 +147,14 @@ class QualityModel:
         return result
 
 
-def fit(texts: pa.Array, labels: np.ndarray, seed: int = 0, epochs: int = 60) -> QualityModel:
-    """The model for a sample held in memory.  Without texts, or with one class, scores are the smoothed share of 1."""
+def fit(texts: pa.Array, labels: np.ndarray, seed: int = 0, epochs: int = 60, vectors: np.ndarray | None = None) -> QualityModel:
+    """The model for a sample held in memory, whose own word vectors are taken if none are given.  Without texts, or with one class, scores are the smoothed share of 1."""
     data, offsets = text_bytes(texts)
-    vectors, forms = word_vectors(data, offsets), index_vectors(FORMS, 12)
+    if vectors is None:
+        own = np.zeros((BUCKETS, WIDTH), np.int64)
+        neighbour_sums(data, offsets, own)
+        vectors = normalised(own)
+    forms = index_vectors(FORMS, 12)
     x = pooled(data, offsets, vectors, forms)
     y, share = labels.astype(np.float64), (labels.sum() + 1) / (len(labels) + 2)
     scale = np.maximum(x.std(0), 1e-3) if len(x) else np.ones(2 * WIDTH)
@@ -153,9 +190,11 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 0, epochs: int = 60) ->
     return QualityModel(fixed(vectors @ first[:WIDTH]), fixed(forms @ first[WIDTH:]), b1, w2, float(b2), temperature)
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 4000, longest: int = 50_000) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, doc_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 4000, longest: int = 50_000, corpus: DataFrame | None = None) -> QualityModel:
     """A model from the labelled documents given (the caller keeps held-out rows away).
 
+    ``corpus``: all documents, for the word vectors; ``docs`` if not given.
+
     A doc id with several labels counts with the largest; null labels and texts are left out.  At most ``sample_rows``
     labels, in hash order, are broadcast to the documents, and their texts of at most ``longest`` bytes come to the
     driver: 4,000 texts of a few KB.  Repeated documents count as often as they occur, up to ``sample_rows`` texts.
@@ -165,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_col: str = "doc_id", text_col:
     held = docs.where((F.octet_length(text_col) <= longest) & (F.octet_length(text_col) > 0)).join(F.broadcast(sample), F.col(doc_col) == F.col("_id"))
     rows = held.select(F.col(text_col).alias("text"), "y", F.xxhash64(F.col(text_col), "_id").alias("h")).orderBy("h", "text").limit(sample_rows).toArrow().combine_chunks()
     texts = pa.concat_arrays(rows["text"].chunks) if len(rows) else pa.array([], pa.string())
-    return fit(texts, rows["y"].to_numpy())
+    return fit(texts, rows["y"].to_numpy(), vectors=word_vectors(docs if corpus is None else corpus, text_col))
 
 
 def score(model: QualityModel, spark, text: Column | str) -> Column:

@@ -82,7 +82,7 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from labels of the rows that aren't held out."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", language_id.held_out("doc_id", 5, 0))
     labels = read(spark, sf_dir, "labels").where(~language_id.held_out("doc_id", 5, 0))
-    model = quality_model.train(docs.where("NOT held_out"), labels)
+    model = quality_model.train(docs.where("NOT held_out"), labels, corpus=docs)
     scored = docs.select("doc_id", "held_out", quality_model.score(model, spark, "text").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 

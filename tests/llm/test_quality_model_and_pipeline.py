@@ -39,6 +39,30 @@ def test_no_labels_or_one_class(spark):
     assert docs.select(quality_model.score(model, spark, "text")).count() == 2
 
 
+def test_word_vectors_cover_documents_outside_the_sample(spark):
+    texts = [f"plain words number {i} here" for i in range(40)] + ["rareword beside unlabelled " * 3, "longest " + "farword nearword " * 5000, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    model = quality_model.train(docs, labels)
+    for word in ("rareword", "farword"):
+        data, offsets = text_bytes(pa.array([word]))
+        assert model.by_word[:, quality_model.words(data, offsets)[0][0]].any()
+    sums = np.zeros((quality_model.BUCKETS, quality_model.WIDTH), np.int64)
+    quality_model.neighbour_sums(*text_bytes(pa.array(texts)), sums)
+    assert np.array_equal(quality_model.word_vectors(docs), quality_model.normalised(sums))
+    assert not quality_model.word_vectors(docs.limit(0)).any()
+    index, slow = quality_model.index_vectors(quality_model.BUCKETS, 11), np.zeros_like(sums)
+    for text in texts[:41]:
+        own = quality_model.words(*text_bytes(pa.array([text])))[0]
+        for i in range(len(own)):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(own):
+                    slow[own[i]] += index[own[j]].astype(np.int64)
+    sums[:] = 0
+    quality_model.neighbour_sums(*text_bytes(pa.array(texts[:41])), sums)
+    assert np.array_equal(sums, slow)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

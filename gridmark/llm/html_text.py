@@ -1,10 +1,12 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read into blocks, each with its root-to-leaf tag path.  Subtrees that are furniture by their tag (nav,
-header, footer, aside, form, script, ...) or by a word of their class, id or role are left out.  Over what remains,
-text length and punctuation are aggregated per tag path and divided by the number of the path's text nodes; the
-ratios are smoothed along the page, fused (length times one plus punctuation), and paths that reach ``SHARE`` of the
-best fused ratio are content paths.  The content is the smallest element that holds most of the content paths' text
+header, footer, aside, form, script, ...) are left out, and those by a word of their class, id or role, unless they
+hold an article, a main element, a heading or more than half of the text around them (of their article or main
+element; of the page if it has none), or nothing would be left.  Over what
+remains, text length and punctuation are aggregated per tag path and divided by the number of the path's text nodes;
+the ratios are smoothed along the page, fused (length times one plus punctuation), and paths that reach ``SHARE`` of
+the best fused ratio are content paths.  The content is the smallest element that holds most of the content paths' text
 (an article or main element where one does), and its blocks are the text: short headings stay with their article,
 blocks that are mostly link text go.
 
@@ -39,6 +41,8 @@ FURNITURE = frozenset(
     "popup modal overlay newsletter subscribe subscription social share sharing related recommended breadcrumb breadcrumbs comment comments disqus reply replies "
     "pagination pager widget toolbar login signup search copyright legal".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+NAMED = frozenset(("article", "main"))
 SHARE = 0.15
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 
@@ -50,33 +54,56 @@ def _marked(attributes: str) -> bool:
 def blocks(html: str) -> list[tuple[tuple[tuple[str, int], ...], str, float]]:
     """(path, text, share of link text) of every block outside furniture; a path is (tag, element number) from the
     root on."""
-    found, pieces, links = [], [], 0
+    found, pieces = [], []
     stack: list[tuple[str, int]] = []
-    hidden, anchors, number, at = 0, 0, 0, 0  # depth from which all is furniture, 0 if none
+    hidden, anchors, number, at = 0, 0, 0, 0  # depth from which all is furniture by its tag, 0 if none
+    marked: tuple[int, ...] = ()  # open elements that a word of their attributes marks
+    cleared, before, weights, total = set(), {}, {}, 0  # marked elements that stay; text before and in an element; the page's
+    base: dict[int, int] = {}  # article or main element around a marked one, 0 if none
 
     def close() -> None:
-        nonlocal pieces, links
+        nonlocal pieces
         if pieces:
-            if text := " ".join("".join(pieces).split()):
-                found.append((tuple(x for x in stack if x[0] in BLOCK or x[0] == "main"), text, links / len(text)))
-            pieces, links = [], 0
+            found.append((tuple(x for x in stack if x[0] in BLOCK or x[0] == "main"), pieces))
+            pieces = []
+
+    def add(piece: str) -> None:
+        nonlocal total
+        pieces.append((piece, anchors > 0, marked))
+        total += sum(map(len, piece.split()))
+
+    def shown(cleared: set[int]) -> list[tuple[tuple[tuple[str, int], ...], str, float]]:
+        out = []
+        for path, pieces in found:
+            own = [(piece, link) for piece, link, around in pieces if cleared.issuperset(around)]
+            if text := " ".join("".join(piece for piece, _ in own).split()):
+                out.append((path, text, sum(len(piece) for piece, link in own if link) / len(text)))
+        return out
 
     def pop(depth: int) -> None:
-        nonlocal hidden, anchors
+        nonlocal hidden, anchors, marked
         if any(x[0] in BLOCK for x in stack[depth:]):
             close()
         anchors -= sum(x[0] == "a" for x in stack[depth:])
+        while marked and depth < len(stack) and marked[-1] >= stack[depth][1]:
+            marked = marked[:-1]
+        for _, element in stack[depth:]:
+            if element in before:
+                weights[element] = total - before[element]
         del stack[depth:]
         hidden = hidden if hidden <= depth else 0
 
     while True:
         m = TAG.search(html, at)
         if not hidden and (piece := html[at : m.start() if m else len(html)]):
-            pieces.append(unescape(piece))
-            links += len(pieces[-1]) if anchors else 0
+            add(unescape(piece))
         if not m:
+            pop(0)
             close()
-            return found
+            if any(weights[element] for element in weights.keys() - base.keys()):  # an article: text beside it can't outweigh it
+                base = {element: around for element, around in base.items() if around}
+            cleared.update(element for element, around in base.items() if 2 * weights[element] > (weights[around] if around else total))
+            return shown(cleared) or shown(set(weights))
         at = m.end()
         if not m[2]:
             continue
@@ -94,7 +121,7 @@ def blocks(html: str) -> list[tuple[tuple[tuple[str, int], ...], str, float]]:
             if tag in BLOCK:
                 close()
             elif tag == "br" and not hidden:
-                pieces.append(" ")
+                add(" ")
             continue
         if tag in BLOCK:
             same = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ("p",))
@@ -108,8 +135,16 @@ def blocks(html: str) -> list[tuple[tuple[tuple[str, int], ...], str, float]]:
         number += 1
         stack.append((tag, number))
         anchors += tag == "a"
-        if not hidden and (tag in OUT or tag not in ("html", "body", "article", "main") and m[3] and _marked(m[3])):
+        if not hidden and tag in OUT:
             hidden = len(stack)
+        elif not hidden and (tag in NAMED or tag in HEADINGS):
+            cleared.update(marked)
+            if tag in NAMED:
+                before[number] = total
+        elif not hidden and tag not in ("html", "body") and m[3] and _marked(m[3]):
+            marked += (number,)
+            before[number] = total
+            base[number] = next((x for t, x in reversed(stack) if t in NAMED), 0)
 
 
 def content(html: str) -> str:

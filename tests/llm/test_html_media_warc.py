@@ -32,6 +32,17 @@ def test_page_without_an_article_element():
     assert html_text.content(html) == "\n".join(["Title", LONG.strip(), LONG.strip()])
 
 
+@pytest.mark.parametrize("wrapper", ['<div class="layout has-sidebar">', '<div id="page" class="site sticky-header">', '<div class="post social-sharing-on">', "<div><div role=search>"])
+def test_a_marked_wrapper_does_not_hide_the_article(wrapper):
+    ad = f'<div class="ad">Buy</div><div class="sidebar"><p>{LONG}</p></div>'
+    for inside in (f"<article><p>{LONG}</p><p>{LONG}</p></article>", f"<h2>Head</h2><p>{LONG}</p><p>{LONG}</p>", f"<p>{LONG}</p><p>{LONG}</p>", f"<h1 class=header>Head</h1><p>{LONG}</p><p>{LONG}</p>", f"<main><div class=share><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div></main>"):
+        want = ["Head"] * ("Head" in inside) + [LONG.strip()] * inside.count("<p>")
+        assert html_text.content(f"<body>{wrapper}{ad}{inside}</div></body>") == "\n".join(want)
+    assert html_text.content(f"<body><div class=ad>{LONG}</div><article><h1>Short</h1><p>Text</p></article></body>") == "Short\nText"
+    forum = f"<body><div class=comment><p>{LONG}</p></div><div class=comment><p>{LONG}</p></div></body>"
+    assert html_text.content(forum).count(LONG.strip()) == 2
+
+
 @pytest.mark.parametrize("html", ["", "<", "<p", "<script>", "<!--", "<p class='", "</p></p>", "<a><b><c>", "plain", "<p>x<script>y", "&amp;&bogus;&#0;"])
 def test_broken_pages(html):
     assert isinstance(html_text.content(html), str)

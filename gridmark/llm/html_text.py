@@ -6,9 +6,9 @@ hold an article, a main element, a heading or more than half of the text around
 element; of the page if it has none), or nothing would be left.  Over what
 remains, text length and punctuation are aggregated per tag path and divided by the number of the path's text nodes;
 the ratios are smoothed along the page, fused (length times one plus punctuation), and paths that reach ``SHARE`` of
-the best fused ratio are content paths.  The content is the smallest element that holds most of the content paths' text
-(an article or main element where one does), and its blocks are the text: short headings stay with their article,
-blocks that are mostly link text go.
+the best fused ratio are content paths.  All their blocks are the text.  Short blocks join them: all of the article or
+main element around a content block, or else of the smallest element that holds most of the content paths' text, and
+headings and list items beside a content block.  Outside article and main, blocks that are mostly link text go.
 
 Character references are decoded, white space within a block becomes one space, blocks are joined by a newline in
 page order.  Null or empty html gives an empty text.  Rows are independent and a page is the most that is held.
@@ -43,6 +43,7 @@ FURNITURE = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NAMED = frozenset(("article", "main"))
+LISTS, SHORT = frozenset(("ul", "ol", "dl")), HEADINGS | {"li", "dt", "dd"}
 SHARE = 0.15
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 
@@ -147,6 +148,26 @@ def blocks(html: str) -> list[tuple[tuple[tuple[str, int], ...], str, float]]:
             base[number] = next((x for t, x in reversed(stack) if t in NAMED), 0)
 
 
+def _beside(found: list[tuple[tuple[tuple[str, int], ...], str, float]], chosen: set[int]) -> list[bool]:
+    """Whether a block is a heading or list item with only such between it and a content block inside its parent (the
+    list's, for an item); headings look ahead, items back."""
+    out = [False] * len(found)
+    for order, tags in ((range(len(found)), SHORT - HEADINGS), (range(len(found) - 1, -1, -1), HEADINGS)):
+        last: tuple[tuple[str, int], ...] = ()
+        inside: frozenset[tuple[str, int]] = frozenset()
+        for i in order:
+            path = found[i][0]
+            if i in chosen:
+                last, inside = path, frozenset(path)
+            elif path and path[-1][0] in SHORT:
+                if last and path[-1][0] in tags:
+                    parent = next((x for x in path[-2::-1] if x[0] not in LISTS and x[0] not in SHORT), None)
+                    out[i] = parent is None or parent in inside
+            else:
+                last, inside = (), frozenset()
+    return out
+
+
 def content(html: str) -> str:
     """The main text of a page."""
     found = blocks(html)
@@ -179,8 +200,13 @@ def content(html: str) -> str:
     named = [x for x in holders if x[1][0] in ("article", "main")]
     near_all = [x for x in holders if 10 * held[x[1]] >= 9 * total]
     holder = max(named or near_all or holders, default=(0, None))[1]
-    kept = [(text, link) for path, text, link in found if holder is None or holder in path]
-    return "\n".join(text for text, link in kept if link < 0.6)
+    content_blocks = set(chosen)
+    around = {named[-1] for i in chosen if (named := [x for x in found[i][0] if x[0] in NAMED])} | ({holder} if holder else set())
+    kept = []
+    for i, ((path, text, link), beside) in enumerate(zip(found, _beside(found, content_blocks), strict=True)):
+        if (i in content_blocks or beside or holder is None or not around.isdisjoint(path)) and (link < 0.6 or any(tag in NAMED for tag, _ in path)):
+            kept.append(text)
+    return "\n".join(kept)
 
 
 def main_text(html: Column | str) -> Column:

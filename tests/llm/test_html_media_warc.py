@@ -43,6 +43,23 @@ def test_a_marked_wrapper_does_not_hide_the_article(wrapper):
     assert html_text.content(forum).count(LONG.strip()) == 2
 
 
+def test_blocks_of_content_paths_outside_the_holder_stay():
+    a, b, c = (f"{x} {LONG}".strip() for x in "abc")
+    assert html_text.content(f"<body><main><h1>T</h1><p>{a}</p><article><h2>H</h2><p>{b}</p><p>{c}</p></article></main></body>") == "\n".join(["T", a, "H", b, c])
+    two = "".join(f"<article><h2>{x[0]}</h2><p>{x}</p></article>" for x in (a + b + c, b))
+    assert html_text.content(f"<body>{two}</body>") == "\n".join(["a", a + b + c, "b", b])
+    lead = f"<body><div id=content><h1>T</h1><p class=lead>{a}</p><div class=body>{f'<p>{b}</p>' * 12}</div></div><div>Menu</div></body>"
+    assert html_text.content(lead) == "\n".join(["T", a, *[b] * 12])
+    section = lambda n: f"<section><h2>S</h2><p>{a}</p><ul><li>one</ul>{f'<p>{b}</p>' * n}</section>"
+    assert html_text.content(f"<body>{section(20)}<div>{section(0)}</div></body>") == "\n".join(["S", a, "one", *[b] * 20, "S", a, "one"])
+
+
+def test_links_stay_inside_an_article():
+    links = "<p><a href=x>A reference alone</a></p><ul><li><a href=y>Another reference</a></ul>"
+    html = f"<body><article><p>{LONG}</p>{links}</article><div>{links}</div></body>"
+    assert html_text.content(html) == "\n".join([LONG.strip(), "A reference alone", "Another reference"])
+
+
 @pytest.mark.parametrize("html", ["", "<", "<p", "<script>", "<!--", "<p class='", "</p></p>", "<a><b><c>", "plain", "<p>x<script>y", "&amp;&bogus;&#0;"])
 def test_broken_pages(html):
     assert isinstance(html_text.content(html), str)

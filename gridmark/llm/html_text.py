@@ -1,17 +1,22 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read into blocks, each with its root-to-leaf tag path.  Subtrees that are furniture by their tag (nav,
-header, footer, aside, form, script, ...) are left out, and those by a word of their class, id or role, unless they
-hold an article, a main element, a heading or more than half of the text around them (of their article or main
-element; of the page if it has none), or nothing would be left.  Over what
-remains, text length and punctuation are aggregated per tag path and divided by the number of the path's text nodes;
-the ratios are smoothed along the page, fused (length times one plus punctuation), and paths that reach ``SHARE`` of
-the best fused ratio are content paths.  All their blocks are the text.  Short blocks join them: all of the article or
-main element around a content block, or else of the smallest element that holds most of the content paths' text, and
-headings and list items beside a content block.  Outside article and main, blocks that are mostly link text go.
+header, footer, aside, script, ...) are left out, and so are those that a class, id or role marks, unless they hold an
+article, a main element, an h1 or more than half of the text around them (of their article or main element; of the page
+if it has none), or nothing would be left.  A mark is a whole name of ``FURNITURE`` or a compound of such names and
+``QUALIFIERS`` alone (site-header, comment-list; not related-work); inside article and main only ``STRONG`` names mark.
+
+Over what remains, text length, link text and punctuation are aggregated per tag path and divided by the number of the
+path's blocks; the ratios are smoothed along the page, fused (length without links times one plus punctuation), and
+paths that reach ``SHARE`` of the best fused ratio are content paths.  All their blocks are the text.  Short blocks join
+them: all of the article or main element around a content block, or else of the smallest element that holds most of the
+content paths' text, and headings and list items beside a content block.  Outside article and main, paths that are
+mostly link text go, never a single block.
 
 Character references are decoded, white space within a block becomes one space, blocks are joined by a newline in
-page order.  Null or empty html gives an empty text.  Rows are independent and a page is the most that is held.
+page order.  Null or empty html gives an empty text; equal pages give equal texts; other columns of a table play no
+part.  Reading is linear in the page's length, however broken its markup: tags without an end are text, a quote without
+an end is no quote.  Rows are independent and a page is the most that is held.
 """
 
 from __future__ import annotations
@@ -19,192 +24,312 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+SIGN = re.compile(r"<(?=/?[a-zA-Z]|[!?])")
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r">|=\s*[\"']")
 MARKS = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Elements by what they are to a reader.
 RAW = frozenset("script style noscript template svg math iframe object textarea title".split())
-OUT = frozenset("head nav header footer aside form button select dialog menu canvas audio video".split()) | RAW
+OUT = frozenset("head nav header footer aside button select dialog menu canvas audio video".split()) | RAW
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption table thead tbody tfoot tr td th caption hr address details summary center "
     "nav header footer aside form fieldset head".split()
 )
-#: Words of class, id and role that mark furniture.
-FURNITURE = frozenset(
-    "nav navbar navigation menu header footer sidebar aside ad ads advert advertisement adverts sponsor sponsored promo banner cookie cookies consent gdpr notice alert "
-    "popup modal overlay newsletter subscribe subscription social share sharing related recommended breadcrumb breadcrumbs comment comments disqus reply replies "
-    "pagination pager widget toolbar login signup search copyright legal".split()
+#: Names of class, id and role that mark furniture, everywhere and outside article and main.
+STRONG = frozenset(
+    "ad ads advert adverts advertisement advertisements sponsor sponsored promo cookie cookies consent gdpr popup modal newsletter subscribe subscription share sharing social related recommended "
+    "breadcrumb breadcrumbs comment comments disqus sidebar nav navbar navigation pagination".split()
+)
+FURNITURE = STRONG | frozenset("menu header footer aside banner notice notices alert overlay reply replies pager widget toolbar login signup search copyright legal".split())
+#: What stands beside such a name in a compound and says where or what part it is.
+QUALIFIERS = frozenset(
+    "site page main top bottom left right global primary secondary box bar block list item items area wrap wrapper container section inner outer links link buttons button slot unit text body content "
+    "title form thread reader user post posts article articles story entry".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NAMED = frozenset(("article", "main"))
 LISTS, SHORT = frozenset(("ul", "ol", "dl")), HEADINGS | {"li", "dt", "dd"}
-SHARE = 0.15
+SHARE, LINKS = 0.15, 0.6
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
+_LONG_REFERENCE = re.compile(r"&#(?:0*[0-9]{8,}|[xX]0*[0-9a-fA-F]{8,});?")
+
+
+def decoded(text: str) -> str:
+    """``text`` with its character references decoded; numbers that no character has become U+FFFD."""
+    return unescape(_LONG_REFERENCE.sub("�", text)) if "&" in text else text
+
+
+def scanned(html: str) -> Iterator[tuple[str, str, str]]:
+    """("text", text, ""), ("open", tag, attributes) and ("close", tag, "") in page order; comments, declarations and
+    the insides of RAW elements are skipped.  Every position is passed a fixed number of times."""
+    at, text, quotes, missing = 0, 0, True, set()
+
+    def find(mark: str, start: int) -> int:
+        place = -1 if mark in missing else html.find(mark, start)
+        if place < 0:
+            missing.add(mark)
+        return place
+
+    while sign := SIGN.search(html, at):
+        at = sign.start()
+        name, end = NAME.match(html, at + 1), -1
+        if name:
+            stop = name.end()
+            while quotes and (m := STOP.search(html, stop)):
+                if m[0] == ">":
+                    end = m.start()
+                    break
+                closed = find(m[0][-1], m.end())
+                stop = closed + 1 if closed >= 0 else m.end()
+            else:
+                quotes, end = False, find(">", name.end())  # quotes that swallow the rest of the page are none
+        elif html.startswith("<!--", at):
+            end = find("-->", at + 4)
+            end = end + 2 if end >= 0 else len(html) - 1
+        elif html.startswith("<![CDATA[", at):
+            end = find("]]>", at + 9)
+            end = end + 2 if end >= 0 else len(html) - 1
+        elif html.startswith(("<!", "<?"), at):
+            end = find(">", at + 2)
+            end = end if end >= 0 else len(html) - 1
+        if end < 0:
+            at += 1
+            continue
+        if at > text:
+            yield "text", html[text:at], ""
+        at = text = end + 1
+        if name:
+            tag, attributes = name[2].lower(), html[name.end() : end]
+            if not name[1] and tag in RAW and not attributes.endswith("/"):
+                closing = _RAW_END[tag].search(html, at)
+                end = find(">", closing.end()) if closing else -1
+                at = text = end + 1 if end >= 0 else len(html)
+            else:
+                yield ("close" if name[1] else "open"), tag, attributes
+    if text < len(html):
+        yield "text", html[text:], ""
+
+
+def _name_marks(name: str, known: frozenset[str]) -> bool:
+    parts = [x for x in re.split(r"[-_]+", name) if x]
+    return any(x in known for x in parts) and all(x in known or x in FURNITURE or x in QUALIFIERS for x in parts)
+
+
+def marked(attributes: str, known: frozenset[str] = FURNITURE) -> bool:
+    """Whether a class, id, role or label names furniture."""
+    return any(_name_marks(name, known) for a, b, c in MARKS.findall(attributes) for name in (a or b or c).lower().split())
+
+
+@dataclass
+class Page:
+    """Blocks (element, text, characters of link text) of a page, and its tree of block elements; element 0 is above the
+    root.  Elements are numbered in page order, so a parent's number is smaller than its children's."""
+
+    tags: list[str] = field(default_factory=lambda: [""])
+    parent: list[int] = field(default_factory=lambda: [0])
+    paths: list[int] = field(default_factory=lambda: [0])
+    blocks: list[tuple[int, str, int]] = field(default_factory=list)
+    names: dict[tuple[int, str], int] = field(default_factory=dict)
+
+    def add(self, tag: str, parent: int) -> int:
+        self.tags.append(tag)
+        self.parent.append(parent)
+        self.paths.append(self.names.setdefault((self.paths[parent], tag), len(self.names) + 1))
+        return len(self.tags) - 1
+
+    def inherited(self, own) -> list[int]:
+        """For every element the nearest one of it and its ancestors that ``own`` holds for, 0 if none."""
+        out = [0] * len(self.tags)
+        for e in range(1, len(out)):
+            out[e] = e if own(e) else out[self.parent[e]]
+        return out
 
 
-def _marked(attributes: str) -> bool:
-    return any(not FURNITURE.isdisjoint(re.split(r"[^a-z0-9]+", (a or b or c).lower())) for a, b, c in MARKS.findall(attributes))
+@dataclass
+class _Mark:
+    around: int  # the mark around it, 0 if none
+    base: int  # the article or main element around it, 0 if none
+    before: int  # text before it
+    weight: int = 0
+    stays: bool = False
 
 
-def blocks(html: str) -> list[tuple[tuple[tuple[str, int], ...], str, float]]:
-    """(path, text, share of link text) of every block outside furniture; a path is (tag, element number) from the
-    root on."""
-    found, pieces = [], []
-    stack: list[tuple[str, int]] = []
-    hidden, anchors, number, at = 0, 0, 0, 0  # depth from which all is furniture by its tag, 0 if none
-    marked: tuple[int, ...] = ()  # open elements that a word of their attributes marks
-    cleared, before, weights, total = set(), {}, {}, 0  # marked elements that stay; text before and in an element; the page's
-    base: dict[int, int] = {}  # article or main element around a marked one, 0 if none
+def parsed(html: str) -> Page:
+    """The page's blocks outside furniture."""
+    page, stack, count = Page(), [], defaultdict(int)  # stack: (tag, element or 0, mark or 0)
+    found: list[tuple[int, list[tuple[str, bool, int]]]] = []
+    pieces: list[tuple[str, bool, int]] = []
+    marks, named, starts, weights = [_Mark(0, 0, 0, stays=True)], [0], {}, {}
+    element = mark = hidden = total = 0
 
     def close() -> None:
         nonlocal pieces
         if pieces:
-            found.append((tuple(x for x in stack if x[0] in BLOCK or x[0] == "main"), pieces))
+            found.append((element, pieces))
             pieces = []
 
-    def add(piece: str) -> None:
-        nonlocal total
-        pieces.append((piece, anchors > 0, marked))
-        total += sum(map(len, piece.split()))
-
-    def shown(cleared: set[int]) -> list[tuple[tuple[tuple[str, int], ...], str, float]]:
-        out = []
-        for path, pieces in found:
-            own = [(piece, link) for piece, link, around in pieces if cleared.issuperset(around)]
-            if text := " ".join("".join(piece for piece, _ in own).split()):
-                out.append((path, text, sum(len(piece) for piece, link in own if link) / len(text)))
-        return out
-
     def pop(depth: int) -> None:
-        nonlocal hidden, anchors, marked
-        if any(x[0] in BLOCK for x in stack[depth:]):
-            close()
-        anchors -= sum(x[0] == "a" for x in stack[depth:])
-        while marked and depth < len(stack) and marked[-1] >= stack[depth][1]:
-            marked = marked[:-1]
-        for _, element in stack[depth:]:
-            if element in before:
-                weights[element] = total - before[element]
+        nonlocal element, mark, hidden
+        for tag, own, sign in reversed(stack[depth:]):
+            count[tag] -= 1
+            if own:
+                close()
+                element = page.parent[own]
+            if sign:
+                marks[sign].weight = total - marks[sign].before
+                mark = marks[sign].around
+            if own and tag in NAMED and named[-1] == own:
+                weights[own] = total - starts[own]
+                named.pop()
         del stack[depth:]
         hidden = hidden if hidden <= depth else 0
 
-    while True:
-        m = TAG.search(html, at)
-        if not hidden and (piece := html[at : m.start() if m else len(html)]):
-            add(unescape(piece))
-        if not m:
-            pop(0)
-            close()
-            if any(weights[element] for element in weights.keys() - base.keys()):  # an article: text beside it can't outweigh it
-                base = {element: around for element, around in base.items() if around}
-            cleared.update(element for element, around in base.items() if 2 * weights[element] > (weights[around] if around else total))
-            return shown(cleared) or shown(set(weights))
-        at = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
-                pop(depth)
-            continue
-        if tag in RAW and not m[3].endswith("/"):
-            end = re.compile(f"</{tag}\\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
-            continue
-        if tag in VOID:
+    for kind, tag, attributes in scanned(html):
+        if kind == "text":
+            if not hidden:
+                text = decoded(tag)
+                pieces.append((text, count["a"] > 0, mark))
+                total += sum(map(len, text.split()))
+        elif kind == "close":
+            if count[tag] > 0:
+                pop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
+        elif tag in VOID:
             if tag in BLOCK:
                 close()
             elif tag == "br" and not hidden:
-                add(" ")
-            continue
-        if tag in BLOCK:
-            same = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ("p",))
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in (*same, "p"):
-                    pop(i)
-                    break
-                if stack[i][0] in BLOCK:
-                    break
-            close()
-        number += 1
-        stack.append((tag, number))
-        anchors += tag == "a"
-        if not hidden and tag in OUT:
-            hidden = len(stack)
-        elif not hidden and (tag in NAMED or tag in HEADINGS):
-            cleared.update(marked)
-            if tag in NAMED:
-                before[number] = total
-        elif not hidden and tag not in ("html", "body") and m[3] and _marked(m[3]):
-            marked += (number,)
-            before[number] = total
-            base[number] = next((x for t, x in reversed(stack) if t in NAMED), 0)
-
-
-def _beside(found: list[tuple[tuple[tuple[str, int], ...], str, float]], chosen: set[int]) -> list[bool]:
+                pieces.append((" ", False, mark))
+        else:
+            own = sign = 0
+            if tag in BLOCK:
+                same = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ("p",))
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] in (*same, "p"):
+                        pop(i)
+                        break
+                    if stack[i][0] in BLOCK:
+                        break
+                close()
+                element = own = page.add(tag, element)
+            if not hidden and tag in OUT:
+                hidden = len(stack) + 1
+            elif not hidden and (tag in NAMED or tag == "h1"):
+                sign = mark
+                while sign and not marks[sign].stays:
+                    marks[sign].stays = True
+                    sign = marks[sign].around
+                sign = 0
+                if tag in NAMED:
+                    starts[own] = total
+                    named.append(own)
+            elif not hidden and tag not in ("html", "body") and tag not in HEADINGS and (tag == "form" or attributes and marked(attributes, STRONG if named[-1] else FURNITURE)):
+                marks.append(_Mark(mark, named[-1], total))
+                mark = sign = len(marks) - 1
+            stack.append((tag, own, sign))
+            count[tag] += 1
+    pop(0)
+    close()
+    if any(weights.values()):  # an article: text beside it can't outweigh it
+        judged = [m for m in marks[1:] if m.base]
+    else:
+        judged = marks[1:]
+    for m in judged:
+        m.stays = m.stays or 2 * m.weight > (weights.get(m.base, total) if m.base else total)
+    for everything in (False, True):
+        shown = [True]
+        for m in marks[1:]:
+            shown.append(shown[m.around] and (m.stays or everything))
+        for owner, parts in found:
+            own = [(text, link) for text, link, sign in parts if shown[sign]]
+            if text := " ".join("".join(text for text, _ in own).split()):
+                page.blocks.append((owner, text, min(len(text), sum(len(x) for x, link in own if link))))
+        if page.blocks:
+            break
+    return page
+
+
+def fused(paths: list[int], lengths: list[int], marks: list[int]) -> list[float]:
+    """The fused ratio at every block: length and punctuation of its path by the path's blocks, each smoothed with the
+    block before and after (weights 1, 2, 1), the one times one plus the other."""
+    long, mark, nodes = defaultdict(int), defaultdict(int), defaultdict(int)
+    for p, n, m in zip(paths, lengths, marks, strict=True):
+        long[p] += n
+        mark[p] += m
+        nodes[p] += 1
+    own = [(long[p] / nodes[p], mark[p] / nodes[p]) for p in paths]
+    out = []
+    for i in range(len(own)):
+        near = [(own[j], 2 if j == i else 1) for j in range(max(0, i - 1), min(len(own), i + 2))]
+        weight = sum(w for _, w in near)
+        a, b = (sum(x[k] * w for x, w in near) / weight for k in (0, 1))
+        out.append(a * (1 + b))
+    return out
+
+
+def _beside(page: Page, chosen: set[int]) -> list[bool]:
     """Whether a block is a heading or list item with only such between it and a content block inside its parent (the
     list's, for an item); headings look ahead, items back."""
-    out = [False] * len(found)
-    for order, tags in ((range(len(found)), SHORT - HEADINGS), (range(len(found) - 1, -1, -1), HEADINGS)):
-        last: tuple[tuple[str, int], ...] = ()
-        inside: frozenset[tuple[str, int]] = frozenset()
+    out, last = [False] * len(page.blocks), list(range(len(page.tags)))
+    for e in range(len(last) - 1, 0, -1):
+        last[page.parent[e]] = max(last[page.parent[e]], last[e])
+    anchor = [0] * len(page.tags)
+    for e in range(1, len(anchor)):
+        p = page.parent[e]
+        anchor[e] = anchor[p] if page.tags[p] in LISTS or page.tags[p] in SHORT else p
+    for order, tags in ((range(len(out)), SHORT - HEADINGS), (range(len(out) - 1, -1, -1), HEADINGS)):
+        near = -1
         for i in order:
-            path = found[i][0]
+            e = page.blocks[i][0]
             if i in chosen:
-                last, inside = path, frozenset(path)
-            elif path and path[-1][0] in SHORT:
-                if last and path[-1][0] in tags:
-                    parent = next((x for x in path[-2::-1] if x[0] not in LISTS and x[0] not in SHORT), None)
-                    out[i] = parent is None or parent in inside
+                near = e
+            elif page.tags[e] in SHORT:
+                if near >= 0 and page.tags[e] in tags:
+                    out[i] = not anchor[e] or anchor[e] <= near <= last[anchor[e]]
             else:
-                last, inside = (), frozenset()
+                near = -1
     return out
 
 
 def content(html: str) -> str:
     """The main text of a page."""
-    found = blocks(html)
-    if not found:
+    page = parsed(html)
+    if not page.blocks:
         return ""
-    names = ["/".join(tag for tag, _ in path) for path, _, _ in found]
-    length, marks, nodes = defaultdict(int), defaultdict(int), defaultdict(int)
-    for name, (_, text, link) in zip(names, found, strict=True):
-        length[name] += int(len(text) * (1 - min(link, 1)))
-        marks[name] += len(PUNCTUATION.findall(text))
-        nodes[name] += 1
-    own = [(length[n] / nodes[n], marks[n] / nodes[n]) for n in names]
-    fused = []
-    for i in range(len(own)):
-        near = own[max(0, i - 1) : i + 2]
-        weight = [2 if own[i] is x else 1 for x in near]
-        long, mark = (sum(w * x[k] for w, x in zip(weight, near, strict=True)) / sum(weight) for k in (0, 1))
-        fused.append(long * (1 + mark))
-    best: dict[str, float] = defaultdict(float)
-    for n, f in zip(names, fused, strict=True):
-        best[n] = max(best[n], f)
+    paths = [page.paths[e] for e, _, _ in page.blocks]
+    ratios = fused(paths, [len(text) - link for _, text, link in page.blocks], [len(PUNCTUATION.findall(text)) for _, text, _ in page.blocks])
+    best, length, links = defaultdict(float), defaultdict(int), defaultdict(int)
+    for p, f, (_, text, link) in zip(paths, ratios, page.blocks, strict=True):
+        best[p] = max(best[p], f)
+        length[p] += len(text)
+        links[p] += link
     least = SHARE * max(best.values())
-    chosen = [i for i, n in enumerate(names) if best[n] >= least]
-    total = sum(len(found[i][1]) for i in chosen)
-    held: dict[tuple[str, int], int] = defaultdict(int)
+    chosen = {i for i, p in enumerate(paths) if best[p] >= least}
+
+    held = [0] * len(page.tags)
     for i in chosen:
-        for element in found[i][0]:
-            held[element] += len(found[i][1])
-    holders = [(depth, element) for i in chosen for depth, element in enumerate(found[i][0]) if 2 * held[element] >= total]
-    named = [x for x in holders if x[1][0] in ("article", "main")]
-    near_all = [x for x in holders if 10 * held[x[1]] >= 9 * total]
-    holder = max(named or near_all or holders, default=(0, None))[1]
-    content_blocks = set(chosen)
-    around = {named[-1] for i in chosen if (named := [x for x in found[i][0] if x[0] in NAMED])} | ({holder} if holder else set())
+        held[page.blocks[i][0]] += len(page.blocks[i][1])
+    depth = [0] * len(held)
+    for e in range(1, len(held)):
+        depth[e] = depth[page.parent[e]] + 1
+    for e in range(len(held) - 1, 0, -1):
+        held[page.parent[e]] += held[e]
+    most = [e for e in range(1, len(held)) if held[e] and 2 * held[e] >= held[0]]
+    holder = max([e for e in most if page.tags[e] in NAMED] or [e for e in most if 10 * held[e] >= 9 * held[0]] or most, key=lambda e: (depth[e], e), default=0)
+
+    article = page.inherited(lambda e: page.tags[e] in NAMED)
+    around = {article[page.blocks[i][0]] for i in chosen} - {0} | {holder} - {0}
+    inside = page.inherited(around.__contains__)
     kept = []
-    for i, ((path, text, link), beside) in enumerate(zip(found, _beside(found, content_blocks), strict=True)):
-        if (i in content_blocks or beside or holder is None or not around.isdisjoint(path)) and (link < 0.6 or any(tag in NAMED for tag, _ in path)):
+    for i, ((e, text, _), beside) in enumerate(zip(page.blocks, _beside(page, chosen), strict=True)):
+        if (i in chosen or beside or not holder or inside[e]) and (article[e] or links[paths[i]] < LINKS * length[paths[i]]):
             kept.append(text)
     return "\n".join(kept)
 
@@ -215,6 +340,6 @@ def main_text(html: Column | str) -> Column:
     @F.arrow_udf("string")
     def extracted(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in pages:
-            yield pa.array([content(x) if x else "" for x in column.to_pylist()], pa.string())
+            yield pa.array((content(x.as_py()) if x.is_valid else "" for x in column), pa.string())
 
     return extracted(html)

@@ -7,27 +7,35 @@ A media table keeps every payload losslessly as an 8-bit grey PNG image, 576 sam
 bytes 255 to whole rows, one at least.  ``store`` writes it to the shared folder; a payload is written once for each
 task that meets it, so copies that lie together cost nothing and no payload is shuffled.  ``features`` reads the
 stored bytes back, checks every chunk's CRC, and keeps one row of figures a digest; only these are joined.
+
+Null payloads and texts count as empty: one row of bytes 255, a page of the two references.  Null ids are carried
+along; repeated rows give repeated results; an empty table gives an empty one; a text of any length is one payload.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
-from html import unescape
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .html_text import BLOCK, RAW, TAG
+from .html_text import BLOCK, decoded, scanned
 from .store import written
 
 ROW = 576
 MAGIC = b"\x89PNG\r\n\x1a\n"
 PIECE = "struct<position:int,kind:string,text:string,ref:string,caption:string>"
+PIECES = ("position", "kind", "text", "ref", "caption")
+SPACES = re.compile(r"[ \t\n\f\r]+")
+ATTRIBUTES = re.compile(r"""([\w-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+#: Digests that a task remembers to have stored; when it has met more, it forgets them and may store one again.
+SEEN = 100_000
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
@@ -86,6 +94,8 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = []
             for digest, raw in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                 if digest not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
                     seen.add(digest)
                     new.append((digest, to_png(padded(raw.as_py() or b""))))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in new], pa.string()), pa.array([x for _, x in new], pa.binary())], names=["digest", "image"])
@@ -111,53 +121,50 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def features(media: DataFrame) -> DataFrame:
-    """One row of figures for each digest of a media table, from the stored bytes."""
+    """One row of figures for each digest of a media table, from the stored bytes; written, so that a join with it can
+    be split where one digest has many rows."""
     kinds = "digest string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
     read = media.mapInArrow(_read, kinds)
-    return read.groupBy("digest").agg(*(F.first(c).alias(c) for c in read.columns[1:]))
+    return written(read.groupBy("digest").agg(*(F.first(c).alias(c) for c in read.columns[1:])), "figures")
+
+
+def _plain(parts: list[str]) -> str:
+    return SPACES.sub(" ", "".join(parts)).strip(" ")
 
 
 def pieces(html: str) -> list[dict]:
     """The page in order: text pieces, and one piece for each img, audio, video or source that has a src; a figure's
-    caption, else an alt text, is the caption of its references."""
-    import re
-
+    caption, else an alt text, is the caption of its references.  Linear in the page's length."""
     out: list[dict] = []
     text: list[str] = []
-    figure, caption, in_caption, at = None, [], False, 0
+    figure, caption, in_caption = None, [], False
 
     def close() -> None:
-        if joined := " ".join("".join(text).split()):
+        if joined := _plain(text):
             out.append({"position": len(out), "kind": "text", "text": joined, "ref": None, "caption": None})
         text.clear()
 
-    while True:
-        m = TAG.search(html, at)
-        (caption if in_caption else text).append(unescape(html[at : m.start() if m else len(html)]))
-        if not m:
-            close()
-            return out
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if tag in RAW and not m[1]:
-            end = re.compile(f"</{tag}\\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
+    for kind, tag, attributes in scanned(html):
+        if kind == "text":
+            (caption if in_caption else text).append(decoded(tag))
         elif tag == "figcaption":
-            in_caption = not m[1]
+            in_caption = kind == "open"
         elif tag == "figure":
             close()
-            if m[1] and figure is not None:
-                said = " ".join("".join(caption).split())
+            if kind == "close" and figure is not None:
+                said = _plain(caption)
                 for piece in out[figure:]:
                     piece["caption"] = said or piece["caption"] if piece["kind"] != "text" else None
-            figure, caption, in_caption = (None if m[1] else len(out)), [], False
-        elif tag in ("img", "audio", "video", "source") and not m[1]:
-            marks = {a.lower(): unescape(b or c or d) for a, b, c, d in re.findall(r"""([\w-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", m[3])}
+            figure, caption, in_caption = (None if kind == "close" else len(out)), [], False
+        elif tag in ("img", "audio", "video", "source") and kind == "open":
+            marks = {a.lower(): decoded(b or c or d) for a, b, c, d in ATTRIBUTES.findall(attributes)}
             if marks.get("src"):
                 close()
                 out.append({"position": len(out), "kind": "image" if tag == "img" else tag, "text": None, "ref": marks["src"], "caption": marks.get("alt")})
-        elif tag in BLOCK:
+        elif tag in BLOCK or tag == "br":
             close()
+    close()
+    return out
 
 
 def sequence(html: Column | str) -> Column:
@@ -167,14 +174,42 @@ def sequence(html: Column | str) -> Column:
     def parsed(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())]))
         for column in pages:
-            yield pa.array([pieces(x) if x else [] for x in column.to_pylist()], kind)
+            yield pa.array((pieces(x.as_py()) if x.is_valid else [] for x in column), kind)
 
     return parsed(html)
 
 
 def resolve(df: DataFrame, pieces_col: str, media: DataFrame) -> DataFrame:
-    """One row per piece, in ``position`` order, with the columns of ``media`` for its digest.  References read
-    ``sha256:<digest>``; what doesn't resolve keeps its place with nulls.  Other columns of ``df`` are kept."""
-    rows = df.select(*(c for c in df.columns if c != pieces_col), F.explode(pieces_col).alias("_p"))
-    rows = rows.select(*(c for c in df.columns if c != pieces_col), "_p.*").withColumn("_digest", F.regexp_extract("ref", "^sha256:([0-9a-f]{64})$", 1))
-    return rows.join(media.withColumnRenamed("digest", "_key"), F.col("_digest") == F.col("_key"), "left").drop("_digest", "_key")
+    """One row per piece with its position, and the columns of ``media`` for its digest.  References read
+    ``sha256:<digest>``; what doesn't resolve keeps its place with nulls.  Rows without pieces give none.
+
+    Other columns of ``df`` are kept, but those named like a piece's or the media table's are replaced.  Pieces meet
+    the media by a shuffle on the digest, both sides plain, so that Spark can split a digest which many pieces name;
+    pieces that name none are dealt evenly.
+    """
+    figures = [c for c in media.columns if c != "digest"]
+    kept = [c for c in df.columns if c.lower() not in {x.lower() for x in (pieces_col, *PIECES, *figures)}]
+    rows = df.select(F.struct(F.lit(True).alias("_"), *(F.col(f"`{c}`") for c in kept)).alias("row"), F.explode(F.col(pieces_col)).alias("piece"))
+    named = F.regexp_extract("piece.ref", "^sha256:([0-9a-f]{64})$", 1)
+    spread = F.concat(F.lit("#"), F.xxhash64("row", "piece").cast("string"))
+    keyed = rows.withColumn("key", F.when(F.coalesce(named, F.lit("")) != "", named).otherwise(spread))
+    table = media.select(F.col("digest").alias("digest"), F.struct(*(F.col(f"`{c}`") for c in figures)).alias("figures"))
+    joined = keyed.join(table, F.col("key") == F.col("digest"), "left")
+    return joined.select(*(F.col(f"row.`{c}`") for c in kept), "piece.*", *(F.col(f"figures.`{c}`") for c in figures))
+
+
+def paragraphs(text: Column) -> Column:
+    """The non-empty lines of a text, white space within them as ``pieces`` leaves it."""
+    plain = lambda line: F.trim(F.regexp_replace(line, SPACES.pattern, " "))
+    return F.array_remove(F.transform(F.split(text, "\n"), plain), "")
+
+
+def page(text: Column, cover: Column, whole: Column, caption: Column) -> Column:
+    """An html page of a text: a reference to its cover, half of its paragraphs, a figure that refers to the whole text,
+    and the other paragraphs.  ``cover`` and ``whole`` are digests."""
+    escaped = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = paragraphs(escaped)
+    half = F.floor(F.size(lines) / 2).cast("int")
+    body = lambda part: F.array_join(F.transform(part, lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "")
+    figure = F.concat(F.lit('<figure><img src="sha256:'), whole, F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure>"))
+    return F.concat(F.lit('<img src="sha256:'), cover, F.lit('" alt="cover">'), body(F.slice(lines, 1, half)), figure, body(F.slice(lines, half + 1, F.size(lines))))

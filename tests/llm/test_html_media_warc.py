@@ -2,6 +2,7 @@ import base64
 import hashlib
 import io
 import random
+import time
 import zipfile
 import zlib
 
@@ -76,6 +77,82 @@ def test_many_unclosed_elements_are_quick():
     assert html_text.content("<p>word " * 20_000).startswith("word\nword")
 
 
+HUGE = {
+    "bare": "<" * 2_000_000, "tags without an end": "a <b " * 400_000, "quotes without an end": "<a x=\"y>" * 150_000 + "text", "single quotes": "<a x='>\" " * 200_000, "mixed": "<p class='a\">x" * 150_000,
+    "deep": "<div>x" * 150_000, "closers": "<div>" * 100_000 + "</p>" * 100_000 + "x", "marks": "<div class=ad>x" * 100_000, "spans": "<span class=ad>x" * 100_000, "scripts": "<script>x</script" * 100_000,
+    "comments": "<!--" * 300_000, "declarations": "<!x" * 300_000, "cdata": "<![CDATA[" * 100_000, "references": "&#" + "9" * 1_000_000 + "; &" * 100_000, "equals": "<a " + "= " * 500_000 + ">x",
+}
+
+
+@pytest.mark.parametrize("name", sorted(HUGE))
+def test_broken_pages_of_megabytes_are_quick(name):
+    began = time.time()
+    html_text.content(HUGE[name])
+    media.pieces(HUGE[name])
+    assert time.time() - began < 15
+
+
+def test_bare_signs_are_quick():
+    began = time.time()
+    html_text.content("<" * 2_000_000)
+    assert time.time() - began < 2
+
+
+CONTENT_NAMES = ["related-work", "legal-history", "reply-rate", "copyright-law", "ad-spend", "post", "lead", "shared-values", "menu-engineering", "story"]
+PARTS = ['<nav><a href=/>x</a></nav>', '<div class="ad">{0}</div>', '<div class="ad-slot"><p>{0}</p></div>', '<aside><p>{0}</p></aside>', '<div class="sidebar widget">{0}</div>', '<form><input><p>{0}</p></form>', '<script>{0}</script>', '<section class="comment-list"><h3>c</h3><p>{0}</p></section>', '<div id="cookie-notice">{0}</div>', '<footer><p>{0}</p></footer>', '<header><p>{0}</p></header>', '<!-- {0} -->']
+
+
+def test_generated_pages_give_their_articles():
+    rng = random.Random(11)
+    sentence = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "of", "the"]) for _ in range(rng.randint(4, 14))).capitalize() + rng.choice([".", ", and so on.", "!"])
+    for n in range(200):
+        blocks, body = [f"Title {n}"], [f"<h1>Title {n}</h1>"]
+        for _ in range(rng.randint(3, 12)):
+            text = " ".join(sentence() for _ in range(rng.randint(1, 5)))
+            kind, mark = rng.randrange(7), rng.choice(CONTENT_NAMES)
+            if kind == 0:
+                body.append(f"<p><a href=x>{text}</a></p>")
+            elif kind == 1:
+                body.append(f'<ul class="{mark}"><li><a href=y>{text}</a></ul>')
+            elif kind == 2:
+                body.append(f'<div class="{mark}">{text}</div>')
+            elif kind == 3:
+                body.append(f'<section id="{rng.choice([mark, "legal"])}"><p>{text}</section>')
+            elif kind == 4:
+                body.append(f'<table class="{mark}"><tr><td>{text}</table>')
+            else:
+                body.append(f"<p class={mark}>{text}</p>" if kind == 5 else f"<p>{text}")
+            blocks.append(text)
+            if rng.random() < 0.4:
+                body.append(rng.choice(PARTS).format("Furniture " + sentence()))
+        frame = ["".join(rng.choice(PARTS).format("Furniture " + sentence()) for _ in range(rng.randint(0, 3))) for _ in range(2)]
+        article = rng.choice(["<article>{}</article>", "<main>{}</main>", "<main><article class=post>{}</article></main>", '<div class="layout has-sidebar"><article>{}</article></div>'])
+        assert html_text.content(f"<html><body>{frame[0]}{article.format(''.join(body))}{frame[1]}</body></html>") == "\n".join(blocks)
+
+
+def test_ratios_equal_a_plain_count():
+    rng = random.Random(6)
+    for _ in range(100):
+        n = rng.randint(1, 30)
+        paths, lengths, marks = ([rng.randint(0, k) for _ in range(n)] for k in (4, 300, 9))
+        mean = lambda values, i: sum(v for v, p in zip(values, paths) if p == paths[i]) / paths.count(paths[i])
+        smooth = lambda values, i: sum(w * mean(values, i + d) for d, w in ((-1, 1), (0, 2), (1, 1)) if 0 <= i + d < n) / sum(w for d, w in ((-1, 1), (0, 2), (1, 1)) if 0 <= i + d < n)
+        want = [smooth(lengths, i) * (1 + smooth(marks, i)) for i in range(n)]
+        assert html_text.fused(paths, lengths, marks) == pytest.approx(want)
+
+
+def test_link_share_is_of_the_path():
+    html = f"<body><div id=text><p>{LONG}</p><p>{LONG}</p><p><a href=x>One paragraph that is a link</a></p><p>{LONG}</p></div><div id=more><ul><li><a href=1>menu</a><li><a href=2>menu</a></ul></div></body>"
+    assert html_text.content(html).split("\n") == [LONG.strip(), LONG.strip(), "One paragraph that is a link", LONG.strip()]
+
+
+def test_comment_section_with_a_title_goes():
+    html = f"<body><article><h1>T</h1><p>{LONG}</p></article><section id=comments><h2>Comments</h2><p>{LONG}</p></section><form action=x><div><p>{LONG}</p></div></form></body>"
+    assert html_text.content(html) == f"T\n{LONG.strip()}"
+    around = f"<body><form action=x><article><h1>T</h1><p>{LONG}</p></article></form></body>"
+    assert html_text.content(around) == f"T\n{LONG.strip()}"
+
+
 def test_html_column(spark):
     df = spark.createDataFrame([(1, PAGE, "x"), (1, PAGE, "x"), (None, None, None)], "page_id long, html string, text string")
     out = [r[0] for r in df.select(html_text.main_text("html")).collect()]
@@ -108,8 +185,64 @@ def test_pieces_stay_in_order(spark):
     ]
 
 
+def slow_feature(payload):
+    bins, half = [0] * 8, max(1, len(payload) // 576 // 2) * 576
+    for b in payload:
+        bins[b // 32] += 1
+    return "h:" + ",".join(str(n * 10_000 // len(payload)) for n in bins) + ";m:" + ",".join(str(sum(x) * 100 // max(1, len(x))) for x in (payload[:half], payload[half:]))
+
+
+def opened(image):
+    """Samples of a PNG, read by the published format apart from the operator."""
+    assert image[:8] == b"\x89PNG\r\n\x1a\n"
+    at, chunks = 8, []
+    while at < len(image):
+        n = int.from_bytes(image[at : at + 4], "big")
+        kind, body = image[at + 4 : at + 8], image[at + 8 : at + 8 + n]
+        assert int.from_bytes(image[at + 8 + n : at + 12 + n], "big") == zlib.crc32(kind + body)
+        chunks.append((kind, body))
+        at += 12 + n
+    assert [k for k, _ in chunks] == [b"IHDR", b"IDAT", b"IEND"]
+    head = chunks[0][1]
+    width, height = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big")
+    assert head[8:] == bytes([8, 0, 0, 0, 0])
+    raw, out, above = zlib.decompress(chunks[1][1]), b"", bytes(width)
+    for y in range(height):
+        line = raw[y * (width + 1) : (y + 1) * (width + 1)]
+        assert line[0] in (0, 2)
+        row = line[1:] if line[0] == 0 else bytes((a + b) & 255 for a, b in zip(line[1:], above))
+        out, above = out + row, row
+    return width, height, out
+
+
+@pytest.mark.parametrize("raw", [b"", b"a" * 576, b"b" * 577, bytes(range(256)) * 20])
+def test_images_open_in_an_independent_reader(raw):
+    payload = media.padded(raw)
+    assert opened(media.to_png(payload)) == (576, len(payload) // 576, payload)
+
+
+def test_columns_may_clash_with_pieces_and_media(spark):
+    df = spark.createDataFrame([(1, '<p>a</p><img src="sha256:%s">' % ("1" * 64), "t", 7, "r", "k")], "doc_id long, html string, text string, payload_bytes int, ref string, key string")
+    table = spark.createDataFrame([("1" * 64, 5, "x")], "digest string, payload_bytes long, row string")
+    out = media.resolve(df.withColumn("p", media.sequence("html")), "p", table)
+    assert len(set(out.columns)) == len(out.columns)
+    assert sorted((r["position"], r["doc_id"], r["key"], r["text"], r["payload_bytes"], r["row"]) for r in out.collect()) == [(0, 1, "k", "a", None, None), (1, 1, "k", None, 5, "x")]
+
+
+def test_pieces_give_the_text_back_in_order():
+    rng = random.Random(3)
+    words = ["a", "b & c", "<i>", "x > y", "&amp;", "é\u00a0ü", '"q"', "z = \"1", "日本"]
+    for _ in range(50):
+        lines = [" ".join(rng.choices(words, k=rng.randint(1, 9))) for _ in range(rng.randint(0, 12))]
+        escaped = [x.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;") for x in lines]
+        html = "".join(f'<p>{x}</p><img src="{i}" alt="c{i}">' for i, x in enumerate(escaped))
+        found = media.pieces(html)
+        assert [p["text"] for p in found if p["kind"] == "text"] == lines
+        assert [(p["position"], p["ref"], p["caption"]) for p in found if p["kind"] != "text"] == [(2 * i + 1, str(i), f"c{i}") for i in range(len(lines))]
+
+
 def test_media_query(spark, tmp_path):
-    rows = [(1, "a" * 576), (2, ""), (None, None), (4, "é" * 5000), (4, "é" * 5000), (5, "a" * 577)]
+    rows = [(7, "one & <b>\ntwo\x0b x\r\n\n three  four\n5\n6"), (8, "a\n" * 700), (1, "a" * 576), (2, ""), (None, None), (4, "é" * 5000), (4, "é" * 5000), (5, "a" * 577)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     out = op9_media(spark, str(tmp_path)).collect()
     assert len(out) == len(rows)
@@ -118,7 +251,11 @@ def test_media_query(spark, tmp_path):
         raw = texts[r["doc_id"]].encode()
         payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
-        assert r["media_sha256"] == hashlib.sha256(media.to_png(payload)).hexdigest() and r["position"] == 0
+        assert r["media_sha256"] == hashlib.sha256(media.to_png(payload)).hexdigest()
+        lines = [x for x in texts[r["doc_id"]].split("\n") if x.strip()]
+        assert r["in_order"] and r["position"] == 1 + len(lines) // 2 and r["n_pieces"] == 2 + len(lines)
+        image = media.to_png(payload)
+        assert r["media_bytes"] == len(image) and r["feature"] == slow_feature(payload)
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert op9_media(spark, str(tmp_path / "none")).count() == 0
 

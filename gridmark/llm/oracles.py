@@ -21,7 +21,7 @@ line AS (SELECT r, l, regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS w FROM (SELE
 judged AS (SELECT r, l, len(w) AS n, greatest(length(regexp_replace(l, '{_SYMBOLS}', '', 'g')), len(regexp_extract_all(l, '!!+|\?\?+'))) AS marks,
   len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS again, len(regexp_extract_all(l, '[»›•·]')) AS seps,
   {" OR ".join(f"contains(lower(l), '{p}')" for p in _PHRASES)} AS furniture FROM line),
-verdict AS (SELECT *, n > 0 AND (marks >= 0.3::DOUBLE * n OR (n >= 8 AND again >= 0.3::DOUBLE * n) OR (length(l) < 400 AND n <= 25 AND (seps >= 2 OR furniture))) AS fails FROM judged),
+verdict AS (SELECT *, n > 0 AND (marks >= 0.3::DOUBLE * n OR (n >= 8 AND again >= 0.3::DOUBLE * n) OR (n <= 25 AND (seps >= 2 OR furniture))) AS fails FROM judged),
 byline AS (SELECT r, count(*) FILTER (n > 0) - count(DISTINCT l) FILTER (n > 0) AS dup, coalesce(sum(length(l)) FILTER (fails), 0) AS lost FROM verdict GROUP BY r),
 f AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(text, '{_SYMBOLS}', '', 'g'))::BIGINT AS n_symbols,
   dup::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, CASE WHEN length(text) = 0 THEN 0.0::DOUBLE ELSE lost::DOUBLE / length(text) END AS lost_share

@@ -16,13 +16,18 @@ get equal results and an empty table gives an empty one.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import unused
+
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
+_WHITE = r"\x20\x09-\x0D"
+SYMBOLS, SEPARATORS = "#*$%&|<>", "»›•·"
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
 LINE_SHARE, MOST_LOST, SHORT_LINE = 0.3, 0.3, 25
 #: Phrases of page furniture, lower case.
@@ -39,61 +44,67 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
 def symbols(text: Column) -> Column:
-    return F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
+    return F.regexp_count(text, F.lit(f"[{SYMBOLS}]"))
 
 
 def repeated_words(tokens: Column, window: int = WINDOW) -> Column:
-    """How many words stand in windows of ``window`` words that occur at least twice.  Windows are compared by 64-bit
-    hash; sorting (hash, place) keeps the cost near-linear in the text, whatever repeats in it."""
+    """How many words stand in windows of ``window`` words (a power of two) that occur at least twice.  Windows are
+    compared by 64-bit hash, made by doubling: hashes of 1, 2, 4, ... words.  With the sort of (hash, place) the cost is
+    near-linear in the text, whatever its length and whatever repeats in it."""
 
     def covered(hashes: Column) -> Column:
         ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         twice = let(ordered, lambda s: F.sort_array(F.transform(F.filter(s, lambda x, k: (x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"])), lambda x: x["i"])))
         return let(twice, lambda p: F.aggregate(F.transform(p, lambda v, k: F.least(F.lit(window), F.coalesce(F.get(p, k + 1) - v, F.lit(window)))), F.lit(0), lambda a, b: a + b))
 
-    hashes = F.transform(F.sequence(F.lit(1), F.size(tokens) - window + 1), lambda i: F.xxhash64(F.slice(tokens, i, window)))
-    some = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered(h)))
-    return F.when(F.size(tokens) <= window, 0).otherwise(some)
+    def windows(hashes: Column, width: int) -> Column:
+        if width == window:
+            return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered(h)))
+        later = lambda h: F.slice(h, width + 1, F.size(h) - width)
+        return let(hashes, lambda h: windows(F.zip_with(F.slice(h, 1, F.size(h) - width), later(h), lambda x, y: F.xxhash64(x, y)), 2 * width))
+
+    return F.when(F.size(tokens) <= window, 0).otherwise(windows(F.transform(tokens, lambda w: F.xxhash64(w)), 1))
+
+
+def stutters(text: Column) -> Column:
+    """How many words equal the word after them."""
+    return F.regexp_count(text, F.lit(rf"(?<![^{_WHITE}])([^{_WHITE}]++)(?=[{_WHITE}]++\1(?![^{_WHITE}]))"))
 
 
 def line_fails(line: Column) -> Column:
-    n = F.regexp_count(line, F.lit(WORD))
     marks = F.greatest(symbols(line), F.regexp_count(line, F.lit(r"!!+|\?\?+")))
-    furniture = F.lit(False)
-    for phrase in BOILERPLATE:
-        furniture = furniture | F.contains(F.lower(line), F.lit(phrase))
-    short = (F.length(line) < 400) & (n <= SHORT_LINE)
-    stutter = let(words(line), lambda w: F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))) >= LINE_SHARE * F.size(w))
-    return (n > 0) & ((marks >= LINE_SHARE * n) | ((n >= 8) & stutter) | (short & ((F.regexp_count(line, F.lit("[»›•·]")) >= 2) | furniture)))
+    signs = line.rlike(rf"[{SYMBOLS}]|!!|\?\?")
+    separators = F.regexp_count(line, F.lit(f"[{SEPARATORS}]"))
+    furniture = let(F.lower(line), lambda low: reduce(or_, (F.contains(low, F.lit(phrase)) for phrase in BOILERPLATE)))
+    fails = lambda n: (n > 0) & ((signs & (marks >= LINE_SHARE * n)) | ((n <= SHORT_LINE) & ((separators >= 2) | furniture)) | ((n >= 8) & (stutters(line) >= LINE_SHARE * n)))
+    return let(F.regexp_count(line, F.lit(WORD)), fails)
 
 
 def judge(df: DataFrame, text_col: str = "text", cleaned_col: str = "cleaned") -> DataFrame:
     """``df`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, lost_share (double:
-    removed code points of all of them), kept, and ``cleaned_col``: the text without its failed lines.  Columns of
-    ``df`` with these names are replaced."""
+    removed code points of all of them, 0 for an empty text), kept, and ``cleaned_col``: the text without its failed
+    lines.  Columns of ``df`` with these names are replaced; all others stay, whatever their names."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.split(text, "\n")
     full = F.filter(lines, lambda x: x.rlike(WORD))
-    facts = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words")))
-    removed = F.aggregate(F.transform(F.filter(lines, line_fails), F.length), F.lit(0), lambda a, b: a + b)
-    return (
-        df.withColumn("_facts", facts)
-        .withColumns(
-            {
-                "n_words": F.col("_facts.n_words"),
-                "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
-                "n_symbols": symbols(text).cast("long"),
-                "n_dup_lines": let(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-                "n_repeat_words": F.col("_facts.n_repeat_words"),
-                "lost_share": F.when(F.length(text) == 0, 0.0).otherwise(removed / F.length(text)),
-                cleaned_col: F.array_join(F.filter(lines, lambda x: ~line_fails(x)), "\n"),
-            }
-        )
-        .drop("_facts")
-        .withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
-        .withColumn("kept", ~F.col("base_failed") & (F.col("lost_share") <= MOST_LOST))
-    )
+    counted = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeated_words(w).cast("long").alias("repeated")))
+    parted = let(F.filter(lines, lambda x: ~line_fails(x)), lambda k: F.struct(F.array_join(k, "\n").alias("text"), F.greatest(F.size(k) - 1, F.lit(0)).alias("breaks")))
+    lost = let(parted, lambda k: F.struct(k["text"].alias("text"), (F.length(text) - F.size(lines) + 1 - F.length(k["text"]) + k["breaks"]).alias("lost")))
+    facts = F.struct(
+        counted.alias("counted"), symbols(text).cast("long").alias("n_symbols"),
+        let(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), F.length(text).alias("length"),
+        lost.alias("lines"),
+    )
+    facts_col, new = unused(df, "facts"), {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_share", "kept", cleaned_col}
+    f = F.col(facts_col)
+    failed = (f["counted"]["n"] < LEAST_WORDS) | (100 * f["counted"]["repeated"] > MOST_REPEATED * f["counted"]["n"])
+    share = F.when(f["length"] == 0, 0.0).otherwise(f["lines"]["lost"] / f["length"])
+    # generated, so that a filter on the verdict doesn't compute the facts a second time
+    return df.select("*", F.explode_outer(F.array(facts)).alias(facts_col)).select(
+        *(F.col(f"`{c}`") for c in df.columns if c not in new), f["counted"]["n"].alias("n_words"), f["counted"]["chars"].alias("word_chars"), f["n_symbols"].alias("n_symbols"), f["n_dup_lines"].alias("n_dup_lines"),
+        f["counted"]["repeated"].alias("n_repeat_words"), share.alias("lost_share"), f["lines"]["text"].alias(cleaned_col), failed.alias("base_failed"), (~failed & (share <= MOST_LOST)).alias("kept"),
+    )

@@ -30,20 +30,21 @@ SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NO
 
 
 def _op4() -> str:
-    from .license_scan import NOTICES, PHRASES
+    from .license_scan import TEMPLATES, classes
 
-    longest = max(len(t.words) for t in PHRASES + NOTICES)
     listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
-    phrases = ", ".join(f"('{t.label}', {listed(t.words)})" for t in PHRASES)
-    notices = ", ".join(f"('{t.label}', {listed(sorted(set(t.words)))}, {t.threshold}::DOUBLE)" for t in NOTICES)
+    phrases = ", ".join(f"('{t.label}', {listed(t.words)})" for t in TEMPLATES if t.phrase)
+    long = {k: n for n, members in classes(TEMPLATES).items() for k in members}
+    notices = ", ".join(f"({long[k]}, '{t.label}', {listed(sorted(set(t.words)))}, {t.threshold}::DOUBLE)" for k, t in enumerate(TEMPLATES) if not t.phrase)
+    blocks = " UNION ALL ".join(f"SELECT r, {n} AS n, w[s:s + {2 * n} - 1] AS w FROM (SELECT r, w, unnest(range(1, len(w) + 1, {n})) AS s FROM d)" for n in classes(TEMPLATES))
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 phrase(label, words) AS (VALUES {phrases}),
-notice(label, words, least) AS (VALUES {notices}),
+notice(n, label, words, least) AS (VALUES {notices}),
 place AS (SELECT r, label, p FROM (SELECT r, label, words, w, unnest(range(0, len(w))) AS p FROM d CROSS JOIN phrase WHERE list_has_all(w, words)) WHERE w[p + 1:p + len(words)] = words),
 base AS (SELECT r, count(*) AS n, min(p) AS a, max(p) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM place GROUP BY r),
-block AS (SELECT r, w[s:s + {2 * longest} - 1] AS w FROM (SELECT r, w, unnest(range(1, len(w) + 1, {longest})) AS s FROM d)),
-hit AS (SELECT r, label, max(len(list_intersect(w, words)) / len(words)) AS share FROM block CROSS JOIN notice WHERE len(list_intersect(w, words)) >= ceil(least * len(words) - 1e-9) GROUP BY ALL
+block AS ({blocks}),
+hit AS (SELECT r, label, max(len(list_intersect(w, words)) / len(words)) AS share FROM block JOIN notice USING (n) WHERE len(list_intersect(w, words)) >= ceil(least * len(words) - 1e-9) GROUP BY ALL
   UNION ALL SELECT DISTINCT r, label, 1.0 FROM place),
 every AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS share FROM hit GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.a::BIGINT AS first_word, b.b::BIGINT AS last_word, coalesce(b.labels, '') AS base_labels, coalesce(e.labels, '') AS labels, coalesce(e.share, 0)::DOUBLE AS score

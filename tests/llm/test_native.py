@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -48,6 +49,20 @@ def test_quality_figures(spark):
     assert quality_rules.judge(df.limit(0)).count() == 0
 
 
+def test_lines_of_any_length_and_clashing_names(spark):
+    nav = "Home » News » " + " ".join(["Sport"] * 4 + ["W" * 90] * 4)
+    long_nav = nav.replace("W" * 90, "W" * 400)
+    body = "\n".join(" ".join(f"word{i}x{j}" for i in range(12)) for j in range(4))
+    rows = [(1, f"{nav}\n{body}", 1, "a"), (2, f"{long_nav}\n{body}", 1, "a"), (3, " ".join(f"v{i % 90_000}" for i in range(300_000)), 1, "a"), (4, " ".join(f"v{i}" for i in range(250_000)) + " end" * 30, 1, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, facts int, _facts string")
+    out = {r["doc_id"]: r for r in quality_rules.judge(df).collect()}
+    assert all(out[k]["cleaned"] == body and out[k]["facts"] == 1 and out[k]["_facts"] == "a" for k in (1, 2))
+    assert out[1]["lost_share"] == len(nav) / len(rows[0][1]) and out[2]["lost_share"] == len(long_nav) / len(rows[1][1])
+    assert out[3]["n_repeat_words"] == 300_000 and out[3]["base_failed"] and out[4]["n_repeat_words"] == 30
+    plan = quality_rules.judge(df).where("kept")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_count(lambda") + plan.count("regexp_count(namedlambdavariable(), [^\\x20") <= 2  # facts aren't computed by the filter again
+
+
 LICENSES = [
     None, "", "Released under the MIT License.", "under the\nMIT\n\nlicense under the mit license", "Apache License, Version 2.0", "apache license version 3",
     "cc-by-nc " * 3, "word " * 5000 + "cc by nc", "é" * 50 + " under the MIT license",
@@ -68,7 +83,7 @@ def test_license_places(spark):
             at = [i for i in range(len(words)) if tuple(words[i : i + len(t.words)]) == t.words]
             places += at
             labels |= {t.label} if at else set()
-        notices = {t.label for t in license_scan.NOTICES if len(words) < 84 and len(set(t.words) & set(words)) >= t.threshold * len(set(t.words))}
+        notices = {t.label for t in license_scan.NOTICES + license_scan.LICENSES if len(words) < 84 and len(set(t.words) & set(words)) >= t.threshold * len(set(t.words))}
         want.append((doc is None, doc or 0, len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | notices))))
     assert out == sorted(want)
     assert license_scan.scan(df.limit(0)).count() == 0
@@ -80,6 +95,52 @@ def test_notice_of_the_method(spark):
     assert (r["base_labels"], r["labels"]) == ("", "bsd") and 0.8 <= r["score"] < 1
 
 
+def test_whole_licenses_in_long_texts_and_clashing_names(spark):
+    filler = " ".join(f"f{i}" for i in range(9000))
+    mit = " ".join(license_scan.LICENSES[0].words).upper()
+    rows = [(1, f"{filler} {mit} {filler}", 1, "k"), (2, mit, 1, "k"), (3, f"{filler} under the MIT license {filler} cc by nc", 1, "k"), (4, None, 1, "k"), (1, "other", 1, "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key int, digest string")
+    out = {(r["doc_id"], r["text"]): r for r in license_scan.scan(df).collect()}
+    assert set(license_scan.scan(df).columns) >= {"_key", "digest", "text"} and all(r["_key"] == 1 and r["digest"] == "k" for r in out.values())
+    assert [out[k[:2]]["labels"] for k in rows] == ["mit", "mit", "cc-by-nc,mit", "", ""]
+    assert out[rows[0][:2]]["score"] == 1.0 and (out[rows[2][:2]]["first_word"], out[rows[2][:2]]["last_word"]) == (9000, 18004)
+
+
+def test_filters_reject_and_lose_nothing(spark):
+    rng = random.Random(8)
+    templates = license_scan.TEMPLATES
+    vocabulary = sorted({w for t in templates for w in t.words})
+    texts = []
+    for n in range(120):
+        t = rng.choice(templates)
+        words = [w for w in t.words if rng.random() < rng.choice([0.5, 0.8, 0.9, 1.0])] + rng.choices(vocabulary, k=rng.randint(0, 12)) + [f"x{rng.randint(0, 50)}" for _ in range(rng.randint(0, 60))]
+        texts.append(" ".join(words if n % 2 else rng.sample(words, len(words))))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    count = license_scan.frequencies(df, "text", vocabulary)
+    assert count == {w: n for w in vocabulary if (n := sum(w in t.split() for t in texts))}
+    want = set()
+    for doc, text in enumerate(texts):
+        words = text.split()
+        for longest, members in license_scan.classes(templates).items():
+            for at in range(0, len(words), longest):
+                block = set(words[at : at + 2 * longest])
+                want |= {(doc, at, k) for k in members if len(block & set(templates[k].words)) >= templates[k].threshold * len(set(templates[k].words)) - 1e-9}
+    near = {(r["doc"], r["start"], r["template"]) for r in license_scan.candidates(df, templates, count).select("doc", "start", "template").collect()}
+    assert want <= near
+    ranked, table = license_scan.prefixes(templates, count)
+    unfiltered, unplaced = set(), set()
+    for doc, text in enumerate(texts):
+        words = text.split()
+        for longest, word, k, place, _, alpha, *_ in table:
+            for at in range(0, len(words), longest):
+                own = [w for w in ranked if w in words[at : at + 2 * longest]]
+                if word in own:
+                    unfiltered.add((doc, at, k))
+                    if len(own) >= alpha:
+                        unplaced.add((doc, at, k))
+    assert near < unplaced < unfiltered  # the length filter rejects, and the positional filter rejects more
+
+
 @pytest.mark.parametrize("name", ["op3_quality_rules", "op4_license_scan"])
 def test_no_python_in_the_plan(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().toString()

@@ -13,21 +13,36 @@ def step(tile: int, overlap: float) -> int:
     return max(1, round(tile * (1 - overlap)))
 
 
-def starts(length: Column, tile: int, overlap: float) -> Column:
-    """Sorted starts of tiles that cover a side; the last one is moved inward to end with it."""
-    last = F.greatest(F.lit(0), length - tile)
-    regular = F.sequence(F.lit(0), F.greatest(F.lit(1), length - tile + 1) - 1, F.lit(step(tile, overlap)))
-    return F.array_sort(F.array_distinct(F.concat(regular, F.array(last))))
-
-
-def touching_starts(low: Column, high: Column, length: Column, tile: int, overlap: float) -> Column:
-    """Those starts whose tiles may meet the open interval (low, high); computed, not searched."""
-    s = step(tile, overlap)
-    last = F.greatest(F.lit(0), length - tile)
-    first = F.greatest(F.lit(0), F.floor((low - tile) / s).cast("int"))
-    end = F.least(F.floor((F.greatest(F.lit(1), length - tile + 1) - 1) / s).cast("int"), F.floor(high / s).cast("int"))
-    regular = F.when(end >= first, F.transform(F.sequence(first, end), lambda k: k * s)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.concat(regular, F.array(last)))
+def last_start(length: Column, tile: int) -> Column:
+    return F.greatest(F.lit(0), length - tile)
+
+
+def n_starts(length: Column, tile: int, overlap: float) -> Column:
+    """How many tiles cover a side."""
+    return (F.ceil(last_start(length, tile) / step(tile, overlap)) + 1).cast("int")
+
+
+def start(index: Column, length: Column, tile: int, overlap: float) -> Column:
+    """Where tile ``index`` of a side begins; the last one is moved inward to end with the side."""
+    return F.least(index * step(tile, overlap), last_start(length, tile))
+
+
+def indices(length: Column, tile: int, overlap: float) -> Column:
+    return F.sequence(F.lit(0), n_starts(length, tile, overlap) - 1)
+
+
+def touching(low: Column, high: Column, length: Column, tile: int, overlap: float) -> Column:
+    """Numbers of the tiles that may meet the open interval (low, high); computed, not searched."""
+    s, most = step(tile, overlap), n_starts(length, tile, overlap) - 1
+    first = F.least(F.greatest(F.lit(0), F.floor((low - tile) / s).cast("int")), most)
+    end = F.when(high > last_start(length, tile), most).otherwise(F.greatest(first, F.floor(high / s).cast("int")))
+    return F.sequence(first, end)
+
+
+def start_list(length: int, tile: int, overlap: float) -> list[int]:
+    """``start`` of every tile, for code inside workers."""
+    last = max(0, length - tile)
+    return [min(k, last) for k in range(0, last + step(tile, overlap), step(tile, overlap))]
 
 
 def overlap_sides(x: Column, y: Column, w: Column, h: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> tuple[Column, Column, Column, Column]:

@@ -41,18 +41,28 @@ def box_sizes(resolved: DataFrame) -> DataFrame:
     return resolved.select("discipline", "name", two(F.col("w")).alias("w"), two(F.col("h")).alias("h"), two(F.col("w") * F.col("h")).alias("area"), F.col("width").alias("img_w"), F.col("height").alias("img_h"))
 
 
-def spread(values: DataFrame, value: str) -> DataFrame:
+def spread(values: DataFrame, value: str, buckets: int = 1024, rounds: int = 2) -> DataFrame:
     """min, upper median and max of a column: the value at place n // 2 of the ascending order.
 
-    Counts per distinct value, then a running sum over those, give the median without gathering the values.
+    Values fall into equal buckets between bounds; running sums over at most ``buckets`` counts tell the bucket that
+    holds the middle, and the next round brackets that one alone.  Only the distinct values of the last bracket are
+    ranked, so no window runs over all values.
     """
-    counted = values.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    total = F.sum("n").over(Window.partitionBy())
-    placed = counted.withColumns({"_before": F.coalesce(before, F.lit(0)), "_all": total})
-    middle = F.floor(F.col("_all") / 2)
-    holds = (F.col("_before") <= middle) & (middle < F.col("_before") + F.col("n"))
-    return placed.agg(F.sum("n").alias("n"), F.min(value).alias("min_value"), F.max(F.when(holds, F.col(value))).alias("median_value"), F.max(value).alias("max_value"))
+    v = F.col(value).cast("double")
+    full = values.where(F.col(value).isNotNull()).select(value)
+    whole = full.agg(F.count("*").alias("n"), F.min(value).alias("min_value"), F.max(value).alias("max_value"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+    bracket = whole.select("_lo", "_hi", F.floor(F.col("n") / 2).alias("_rank"))
+    place = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(buckets - 1), F.floor((v - F.col("_lo")) * buckets / (F.col("_hi") - F.col("_lo"))))).otherwise(0)
+    for _ in range(rounds):
+        placed = full.crossJoin(F.broadcast(bracket)).where(v.between(F.col("_lo"), F.col("_hi"))).withColumn("_b", place)
+        counted = placed.groupBy("_b").agg(F.count("*").alias("_n"), F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.first("_rank").alias("_rank"))
+        before = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        held = counted.withColumn("_before", before).where((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_n")))
+        bracket = held.select("_lo", "_hi", (F.col("_rank") - F.col("_before")).alias("_rank"))
+    last = full.crossJoin(F.broadcast(bracket)).where(v.between(F.col("_lo"), F.col("_hi"))).groupBy(value).agg(F.count("*").alias("_n"), F.first("_rank").alias("_rank"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    middle = last.withColumn("_before", before).where((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_n")))
+    return whole.select("n", "min_value", "max_value").crossJoin(middle.agg(F.max(value).alias("median_value"))).select("n", "min_value", "median_value", "max_value")
 
 
 def histogram(values: DataFrame, value: str, bins: int) -> DataFrame:

@@ -70,10 +70,10 @@ def label_name(detections: DataFrame, classes: DataFrame, label: str = "label")
 
 def source_pdf(images: DataFrame, pdfs: DataFrame) -> DataFrame:
     """Images with ``pdf_path`` of their folder and ``page``: none without a candidate, the only one, or of several
-    the first (by path) whose stem is part of the image's, else the first.  Overlays are no candidates."""
-    clean = pdfs.where(~N.is_overlay("pdf_path", ".pdf")).select("folder", "pdf_path", N.stem(N.basename("pdf_path")).alias("_stem"))
-    keys = [c for c in images.columns]
-    joined = images.join(clean, "folder", "left")
-    hit = F.coalesce(F.contains(N.stem("file_name"), F.col("_stem")), F.lit(False))
-    rank = F.row_number().over(Window.partitionBy("file_id", "image_id").orderBy(F.when(hit, 0).otherwise(1), "pdf_path"))
-    return joined.withColumn("_rank", rank).where("_rank = 1").select(*[c for c in keys if c != "page"], "pdf_path", N.page_or_first("page").alias("page"))
+    the first (by path) whose stem is part of the image's, else the first.  Overlays are no candidates.  A folder's
+    PDFs are one array, so images aren't multiplied by them."""
+    clean = pdfs.where(~N.is_overlay("pdf_path", ".pdf")).select("folder", F.struct("pdf_path", N.stem(N.basename("pdf_path")).alias("stem")).alias("p"))
+    listed = clean.groupBy("folder").agg(F.sort_array(F.collect_set("p")).alias("_pdfs"))
+    named = F.filter("_pdfs", lambda p: F.contains(N.stem("file_name"), p["stem"]))
+    chosen = F.coalesce(F.get(named, F.lit(0))["pdf_path"], F.get("_pdfs", F.lit(0))["pdf_path"])
+    return images.join(listed, "folder", "left").select(*[c for c in images.columns if c != "page"], chosen.alias("pdf_path"), N.page_or_first("page").alias("page"))

@@ -20,10 +20,11 @@ TILE, OVERLAP, LEAST_VISIBLE = 1280, 0.2, 0.3
 def grid(images: DataFrame, tile: int = TILE, overlap: float = OVERLAP, keep: list[str] | None = None) -> DataFrame:
     """Every tile of every sheet: t_idx, x0, y0, x1, y1, numbered column by column from 0."""
     keep = keep or ["file_id", "image_id"]
-    columns, rows = G.starts(F.col("width"), tile, overlap), G.starts(F.col("height"), tile, overlap)
-    wide = images.select(*keep, "width", "height", F.size(rows).alias("_n"), rows.alias("_rows"), F.posexplode(columns).alias("_i", "x0"))
-    deep = wide.select(*keep, "width", "height", "_n", "_i", "x0", F.posexplode("_rows").alias("_j", "y0"))
-    return deep.select(*keep, (F.col("_i") * F.col("_n") + F.col("_j")).alias("t_idx"), "x0", "y0", F.least(F.col("x0") + tile, "width").alias("x1"), F.least(F.col("y0") + tile, "height").alias("y1"))
+    wide = images.select(*keep, "width", "height", F.explode(G.indices(F.col("width"), tile, overlap)).alias("_i"))
+    deep = wide.select(*keep, "width", "height", "_i", F.explode(G.indices(F.col("height"), tile, overlap)).alias("_j"))
+    x0, y0 = G.start(F.col("_i"), F.col("width"), tile, overlap), G.start(F.col("_j"), F.col("height"), tile, overlap)
+    number = F.col("_i") * G.n_starts(F.col("height"), tile, overlap) + F.col("_j")
+    return deep.select(*keep, number.alias("t_idx"), x0.alias("x0"), y0.alias("y0"), F.least(x0 + tile, "width").alias("x1"), F.least(y0 + tile, "height").alias("y1"))
 
 
 def batches(tiles: DataFrame, size: int = 16) -> DataFrame:
@@ -35,15 +36,15 @@ def assign(boxes: DataFrame, tile: int = TILE, overlap: float = OVERLAP, least:
     """Boxes on each tile that shows at least ``least`` of them: ``boxes`` (x, y, w, h, width, height, other columns)
     with t_idx, x0, y0, x1, y1 and the clipped box in tile coordinates cx, cy, cw, ch.  A box may be on several."""
     c = F.col
-    near = boxes.withColumn("x0", F.explode(G.touching_starts(c("x"), c("x") + c("w"), c("width"), tile, overlap)))
-    near = near.withColumn("y0", F.explode(G.touching_starts(c("y"), c("y") + c("h"), c("height"), tile, overlap)))
-    near = near.withColumns({"x1": F.least(c("x0") + tile, c("width")), "y1": F.least(c("y0") + tile, c("height"))})
+    wide = boxes.withColumn("_i", F.explode(G.touching(c("x"), c("x") + c("w"), c("width"), tile, overlap))).withColumn("x0", G.start(c("_i"), c("width"), tile, overlap))
+    wide = wide.withColumn("x1", F.least(c("x0") + tile, c("width"))).where((c("x") < c("x1")) & (c("x") + c("w") > c("x0")))
+    near = wide.withColumn("_j", F.explode(G.touching(c("y"), c("y") + c("h"), c("height"), tile, overlap))).withColumn("y0", G.start(c("_j"), c("height"), tile, overlap))
+    near = near.withColumn("y1", F.least(c("y0") + tile, c("height")))
     sides = [c(k) for k in ("x", "y", "w", "h", "x0", "y0", "x1", "y1")]
     shown = near.where(G.visible(*sides, least=least))
     a, b, d, e = G.overlap_sides(*sides)
-    place = lambda at, length: F.array_position(G.starts(c(length), tile, overlap), c(at)).cast("int") - 1
-    rows = F.size(G.starts(c("height"), tile, overlap))
-    return shown.withColumns({"t_idx": place("x0", "width") * rows + place("y0", "height"), "cx": a - c("x0"), "cy": b - c("y0"), "cw": d - a, "ch": e - b})
+    number = c("_i") * G.n_starts(c("height"), tile, overlap) + c("_j")
+    return shown.withColumns({"t_idx": number, "cx": a - c("x0"), "cy": b - c("y0"), "cw": d - a, "ch": e - b}).drop("_i", "_j")
 
 
 def yolo_labels(assigned: DataFrame) -> DataFrame:

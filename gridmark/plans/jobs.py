@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..operators import accuracy, profile, resolve, stitch, tiles
-from ..sources import coco, rasters, sinks
+from ..sources import coco, rasters, scratch, sinks
 
 SHEET = ["file_id", "image_id"]
 SEEN = ("path", "ann_seq")
@@ -25,14 +25,14 @@ def _seen() -> F.Column:
 def analyze(spark: SparkSession, root: str, out: str) -> dict:
     """Class, sheet and box tables, class maps, and the report in JSON and Markdown; returns the report."""
     data = coco.dataset(coco.documents(spark, root))
-    resolved = _resolved(data)
+    resolved = scratch.written(_resolved(data), "resolved")
     by_class = profile.class_counts(resolved, ["discipline", "name"], _seen()).orderBy("place")
     sinks.csv(by_class.select(F.col("name").alias("class"), "discipline", F.col("n").alias("instances")), f"{out}/class_counts.csv")
     sheets = profile.sheet_counts(resolved, ["discipline", "coco_file", *SHEET, "file_name", "width", "height"])
     first = resolved.groupBy(*SHEET).agg(F.min(_seen()).alias("_first"))
     ordered = sheets.join(first, SHEET).orderBy("_first")
-    sinks.csv(ordered.select("discipline", "coco_file", "file_name", "width", "height", "num_objects", "num_classes"), f"{out}/sheet_counts.csv")
-    sinks.csv(profile.box_sizes(resolved).withColumnRenamed("name", "class"), f"{out}/box_sizes.csv")
+    sinks.csv(ordered.select("discipline", "coco_file", "file_name", "width", "height", "num_objects", "num_classes"), f"{out}/sheet_counts.csv", parts=True)
+    sinks.csv(profile.box_sizes(resolved).withColumnRenamed("name", "class"), f"{out}/box_sizes.csv", parts=True)
     maps = {mode: resolve.class_map(_category_names(data, mode)) for mode in ("combined", "mechanical", "electrical")}
     listed = {mode: [r["name"] for r in m.orderBy("class_id").collect()] for mode, m in maps.items()}
     for mode, m in maps.items():
@@ -62,16 +62,18 @@ def _category_names(data: coco.Dataset, mode: str) -> DataFrame:
 
 def prepare(spark: SparkSession, root: str, out: str, mode: str = "combined", tile: int = 1280, overlap: float = 0.2, dpi: int = 150, val_frac: float = 0.2, empty_frac: float = 0.1, least_visible: float = 0.3, renderer: rasters.Renderer | None = None) -> DataFrame:
     """Label rows and label files, class map and dataset.yaml, and with a renderer the tiles' images; returns tiles
-    and boxes per split.  Without a renderer the recorded sizes stand for the rasters'."""
+    and boxes per split.  Without a renderer the recorded sizes stand for the rasters'.  Pages that can't be rendered are
+    left out."""
     data = coco.dataset(coco.documents(spark, root))
     files = resolve.in_discipline(data.files, mode)
     classes = resolve.class_map(_category_names(data, mode))
     images = resolve.source_pdf(data.images.join(files.select("file_id", "folder", "coco_file", "discipline"), "file_id"), coco.pdfs(spark, root)).where("pdf_path IS NOT NULL")
     images = tiles.with_split(images.withColumns({"width": N.size_or_zero("width"), "height": N.size_or_zero("height")}), val_frac)
     if renderer is not None:
-        drawn = rasters.rendered(images, renderer, dpi)
-        sizes = drawn.where("error IS NULL").select("pdf_path", "page", F.col("width").alias("_w"), F.col("height").alias("_h"))
-        images = images.join(sizes, ["pdf_path", "page"]).withColumns({"width": F.col("_w"), "height": F.col("_h")}).drop("_w", "_h")
+        sizes = rasters.page_sizes(images, renderer, dpi).select("pdf_path", "page", F.col("width").alias("_w"), F.col("height").alias("_h"))
+        sized = (F.col("width") > 0) & (F.col("height") > 0)
+        known, unknown = images.where(sized), images.where(~sized).join(sizes.where("_w > 0"), ["pdf_path", "page"])
+        images = scratch.written(known.unionByName(unknown.withColumns({"width": F.col("_w"), "height": F.col("_h")}).drop("_w", "_h")), "pages")
     boxes = resolve.with_class(resolve.annotations_resolved(data.annotations, images, data.categories), classes)
     shown = tiles.yolo_labels(tiles.assign(boxes, tile, overlap, least_visible))
     name = N.tile_name(N.stem("file_name"), "t_idx", "x0", "y0").alias("tile_name")
@@ -80,33 +82,41 @@ def prepare(spark: SparkSession, root: str, out: str, mode: str = "combined", ti
     empty = tiles.sampled_empty(tiles.empty_tiles(grid, shown), empty_frac)
     bare = empty.select("split", *SHEET, "t_idx", "x0", "y0", "x1", "y1", name)
     everything = full.unionByName(bare, allowMissingColumns=True)
+    if renderer is not None:
+        everything = scratch.written(everything, "tiles")
+        wanted = everything.select(*SHEET, "tile_name", "x0", "y0", "x1", "y1").distinct().groupBy(*SHEET).agg(F.collect_list(F.struct("tile_name", "x0", "y0", "x1", "y1")).alias("tiles"))
+        pages = images.join(wanted, SHEET).groupBy("pdf_path", "page", "width", "height").agg(F.flatten(F.collect_list("tiles")).alias("tiles"))
+        rasters.tile_images(pages, renderer, dpi).write.mode("overwrite").parquet(f"{out}/images")
+        failed = spark.read.parquet(f"{out}/images").where("error IS NOT NULL").select("pdf_path", "page").join(images, ["pdf_path", "page"]).select(*SHEET)
+        everything = everything.join(failed, SHEET, "left_anti")
     sinks.labels(everything, f"{out}/tiles")
     written = spark.read.parquet(f"{out}/tiles")
     sinks.label_files(sinks.label_lines(written, ["ann_seq"]), f"{out}/labels")
     sinks.class_map(classes, f"{out}/classes.json")
     sinks.dataset_yaml(classes, f"{out}/dataset.yaml", out)
-    if renderer is not None:
-        pages = images.select(*SHEET, "pdf_path", "page")
-        cuts = written.select(*SHEET, "tile_name", "x0", "y0", "x1", "y1").distinct().join(pages, SHEET).select("pdf_path", "page", "tile_name", "x0", "y0", "x1", "y1")
-        rasters.tile_images(drawn, cuts, ["pdf_path", "page"]).write.mode("overwrite").parquet(f"{out}/images")
     return tiles.split_stats(written.where("class_id IS NOT NULL"))
 
 
+def _stitched(found: DataFrame, conf: float, nms_iou: float) -> DataFrame:
+    """Confident detections of pages, moved to the sheet and suppressed by class."""
+    confident = found.where(F.col("label").isNotNull() & (F.col("score") >= conf))
+    placed = confident.withColumns({k: F.col(k) + F.col(k[0] + "0") for k in ("x1", "y1", "x2", "y2")}).drop("x0", "y0", "width", "height", "error")
+    return stitch.nms(placed, [*SHEET, "label"], ["t_idx"], nms_iou)
+
+
 def predict(spark: SparkSession, pdf_paths: list[str], class_map_path: str, out: str, renderer: rasters.Renderer, detector: rasters.Detector, tile: int = 1280, overlap: float = 0.2, dpi: int = 150, conf: float = 0.25, nms_iou: float = 0.5, pages: list[int] | None = None, batch: int = 16) -> DataFrame:
-    """Sheet records and counts of every page: rendered, tiled, detected, moved to the sheet, stitched."""
+    """Sheet records and counts of every page: rendered, tiled and detected once, moved to the sheet, stitched."""
     classes = coco.class_map(spark, class_map_path)
     pdfs = spark.createDataFrame([(p,) for p in pdf_paths], "pdf_path string")
-    drawn = rasters.rendered(rasters.page_list(pdfs, renderer, pages).withColumns({"width": F.lit(0), "height": F.lit(0)}), renderer, dpi)
-    sheets = drawn.where("error IS NULL").select(F.col("pdf_path").alias("file_id"), F.col("page").alias("image_id"), "width", "height")
-    grid = tiles.grid(sheets, tile, overlap)
-    tiled = grid.select(F.col("file_id").alias("pdf_path"), F.col("image_id").alias("page"), "t_idx", "x0", "y0", "x1", "y1")
-    found = rasters.detections(drawn, tiled, ["pdf_path", "page"], detector, batch).where(F.col("score") >= conf).withColumnsRenamed({"pdf_path": "file_id", "page": "image_id"})
-    kept = stitch.nms(tiles.offset(found, grid), [*SHEET, "label"], ["t_idx"], nms_iou)
+    listed = rasters.page_list(pdfs, renderer, pages).withColumns({"width": F.lit(0), "height": F.lit(0)})
+    drawn = scratch.written(rasters.page_detections(listed, renderer, detector, tile, overlap, dpi, batch), "detections").withColumnsRenamed({"pdf_path": "file_id", "page": "image_id"})
+    sheets = drawn.where("label IS NULL AND error IS NULL").select(*SHEET, "width", "height")
+    kept = scratch.written(_stitched(drawn, conf, nms_iou), "kept")
     objects = stitch.object_records(kept, classes, SHEET, ["t_idx", "x1", "y1", "x2", "y2"])
     counts = stitch.sheet_class_counts(kept, classes, SHEET)
     ident = N.sheet_id(N.stem(N.basename("file_id")), "image_id").alias("sheet_id")
     records = stitch.sheet_records(objects, counts, sheets.select(*SHEET, ident, "width", "height", F.lit(dpi).alias("dpi")), SHEET)
-    shaped = records.select("sheet_id", F.col("file_id").alias("source"), F.col("image_id").alias("page"), "width", "height", "dpi", "scale", "counts", "objects")
+    shaped = scratch.written(records.select("sheet_id", F.col("file_id").alias("source"), F.col("image_id").alias("page"), "width", "height", "dpi", "scale", "counts", "objects"), "records")
     sinks.records(shaped, f"{out}/records")
     summary = counts.select(N.basename("file_id").alias("source"), ident, F.col("name").alias("class"), F.col("n").alias("count"))
     sinks.counts_summary(summary, f"{out}/counts_summary.csv")
@@ -121,7 +131,7 @@ def count_scores(truth: coco.Dataset, predicted: DataFrame, classes: DataFrame,
     errors = accuracy.count_errors(counted, predicted, [*SHEET, "name"])
     if out:
         listed = errors.join(truth.files.select("file_id", "discipline", "coco_file"), "file_id")
-        sinks.csv(listed.select("discipline", "coco_file", "image_id", F.col("name").alias("class"), "gt", "pred", "abs_err").orderBy("coco_file", "image_id", "class"), f"{out}/count_accuracy.csv")
+        sinks.csv(listed.select("discipline", "coco_file", "image_id", F.col("name").alias("class"), "gt", "pred", "abs_err").orderBy("coco_file", "image_id", "class"), f"{out}/count_accuracy.csv", parts=True)
     return accuracy.count_accuracy_overall(errors)
 
 
@@ -133,13 +143,9 @@ def evaluate(spark: SparkSession, root: str, class_map_path: str, out: str, rend
     images = resolve.source_pdf(data.images.join(files.select("file_id", "folder", "coco_file"), "file_id"), coco.pdfs(spark, root)).where("pdf_path IS NOT NULL")
     images = tiles.with_split(images)
     images = images.where(F.col("split") == split) if split else images
-    drawn = rasters.rendered(images, renderer, dpi).where("error IS NULL")
-    sheets = images.select(*SHEET, "pdf_path", "page").join(drawn.select("pdf_path", "page", "width", "height"), ["pdf_path", "page"])
-    grid = tiles.grid(sheets, tile, overlap, [*SHEET, "pdf_path", "page"])
-    wanted = grid.select("pdf_path", "page", "t_idx", "x0", "y0", "x1", "y1").distinct()
-    found = rasters.detections(drawn, wanted, ["pdf_path", "page"], detector).where(F.col("score") >= conf)
-    placed = found.join(sheets.select(*SHEET, "pdf_path", "page"), ["pdf_path", "page"])
-    kept = stitch.nms(tiles.offset(placed, grid), [*SHEET, "label"], ["t_idx"], nms_iou)
+    drawn = scratch.written(rasters.page_detections(images, renderer, detector, tile, overlap, dpi), "detections")
+    sheets = images.select(*SHEET, "pdf_path", "page").join(drawn.where("label IS NULL AND error IS NULL").select("pdf_path", "page"), ["pdf_path", "page"])
+    kept = _stitched(drawn.join(sheets, ["pdf_path", "page"]), conf, nms_iou)
     seen = sheets.select(*SHEET).distinct()
     truth = coco.Dataset(files, data.images.join(seen, SHEET, "left_semi"), data.categories, data.annotations, data.quarantine)
     return count_scores(truth, stitch.sheet_class_counts(kept, classes, SHEET), classes, out)

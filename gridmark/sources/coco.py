@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import names as N
 from ..operators import resolve
+from . import scratch
 
 
 @dataclass(frozen=True)
@@ -43,11 +44,11 @@ def parsed(docs: DataFrame) -> DataFrame:
 
 
 def dataset(docs: DataFrame, single: str = "duct_segment") -> Dataset:
-    """The tables of the usable documents that hold object annotations.
+    """The tables of the usable documents that hold object annotations.  JSON is parsed once, into a scratch table.
 
     Of images or categories that repeat an id within a file, the last one counts.
     """
-    rows = parsed(docs)
+    rows = scratch.written(parsed(docs).drop("content"), "documents")
     good = rows.where("reason IS NULL").select(F.col("path").alias("file_id"), "path", "doc")
     named = F.filter(F.transform("doc.categories", lambda c: c["name"]), lambda n: n.isNotNull())
     kept = good.where((F.size(named) > 0) & (F.size(F.array_except(named, F.array(F.lit(single)))) > 0))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..functions.geometry import start_list
 
 
 class Renderer(Protocol):
@@ -91,12 +92,8 @@ def rendered(pages: DataFrame, renderer: Renderer, dpi: int = 150) -> DataFrame:
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.itertuples():
-                try:
-                    size = (int(r.width), int(r.height)) if r.width and r.height else None
-                    image = np.ascontiguousarray(renderer(r.pdf_path, int(r.page), dpi, size), np.uint8)
-                    row = [r.pdf_path, r.page, image.shape[1], image.shape[0], image.shape[2], image.tobytes(), None]
-                except Exception as e:  # what a page raises is the page's result
-                    row = [r.pdf_path, r.page, 0, 0, 0, b"", f"{type(e).__name__}: {e}"]
+                image, error = _drawn(renderer, r, dpi)
+                row = [r.pdf_path, r.page, 0, 0, 0, b"", error] if image is None else [r.pdf_path, r.page, image.shape[1], image.shape[0], image.shape[2], image.tobytes(), None]
                 yield pd.DataFrame([row], columns=["pdf_path", "page", "width", "height", "channels", "pixels", "error"])
 
     sized = pages.select("pdf_path", "page", F.coalesce("width", F.lit(0)).alias("width"), F.coalesce("height", F.lit(0)).alias("height"))
@@ -113,43 +110,72 @@ def png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 4)) + chunk(b"IEND", b"")
 
 
-def _image(r) -> np.ndarray:
-    return np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width, r.channels)
+def _drawn(renderer: Renderer, r, dpi: int) -> tuple[np.ndarray | None, str | None]:
+    """The page's raster, or what it raised."""
+    try:
+        size = (int(r.width), int(r.height)) if r.width and r.height else None
+        return np.ascontiguousarray(renderer(r.pdf_path, int(r.page), dpi, size), np.uint8), None
+    except Exception as e:  # what a page raises is the page's result
+        return None, f"{type(e).__name__}: {e}"
 
 
-def tile_images(rasters: DataFrame, tiles: DataFrame, by: list[str]) -> DataFrame:
-    """(tile_name, image as PNG) of the tiles (by, tile_name, x0, y0, x1, y1) of each raster; a sheet's tiles are one
-    row's array, so pixels move once."""
-    wanted = tiles.groupBy(*by).agg(F.collect_list(F.struct("tile_name", "x0", "y0", "x1", "y1")).alias("tiles"))
+def tile_images(pages: DataFrame, renderer: Renderer, dpi: int = 150) -> DataFrame:
+    """(pdf_path, page, tile_name, image as PNG, error) of the wanted tiles of pages (pdf_path, page, width, height,
+    tiles: array of tile_name, x0, y0, x1, y1).  A page is rendered and cut in one task, so no pixels are moved; a page
+    that can't be rendered gives one row with its error."""
+    columns = ["pdf_path", "page", "tile_name", "image", "error"]
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.itertuples():
-                image = _image(r)
+                image, error = _drawn(renderer, r, dpi)
+                if image is None:
+                    yield pd.DataFrame([(r.pdf_path, r.page, None, None, error)], columns=columns)
+                    continue
                 for t in r.tiles:
-                    yield pd.DataFrame({"tile_name": [t["tile_name"]], "image": [png(image[t["y0"] : t["y1"], t["x0"] : t["x1"]])]})
+                    yield pd.DataFrame([(r.pdf_path, r.page, t["tile_name"], png(image[t["y0"] : t["y1"], t["x0"] : t["x1"]]), None)], columns=columns)
 
-    return rasters.where("error IS NULL").join(wanted, by).mapInPandas(cut, "tile_name string, image binary")
+    return pages.select("pdf_path", "page", "width", "height", "tiles").mapInPandas(cut, "pdf_path string, page int, tile_name string, image binary, error string")
 
 
-def detections(rasters: DataFrame, tiles: DataFrame, by: list[str], detector: Detector, batch: int = 16) -> DataFrame:
-    """What a detector finds on the tiles (by, t_idx, x0, y0, x1, y1) of each raster, in tile coordinates, ``batch``
-    tiles at a time: (pdf_path, page, t_idx, label, score, x1, y1, x2, y2)."""
-    wanted = tiles.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("t_idx", "x0", "y0", "x1", "y1"))).alias("tiles"))
-    columns = ["pdf_path", "page", "t_idx", "label", "score", "x1", "y1", "x2", "y2"]
+def page_sizes(pages: DataFrame, renderer: Renderer, dpi: int = 150) -> DataFrame:
+    """``pages`` (pdf_path, page, width, height) with the rendered size where none is recorded: only those pages are
+    rendered for it.  What can't be rendered has size 0."""
+
+    def sized(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples():
+                image, _ = _drawn(renderer, r, dpi)
+                rows.append((r.pdf_path, r.page, 0 if image is None else image.shape[1], 0 if image is None else image.shape[0]))
+            yield pd.DataFrame(rows, columns=["pdf_path", "page", "width", "height"])
+
+    known = (F.col("width") > 0) & (F.col("height") > 0)
+    keys = pages.select("pdf_path", "page", "width", "height").distinct()
+    return keys.where(known).unionByName(keys.where(~F.coalesce(known, F.lit(False))).mapInPandas(sized, "pdf_path string, page int, width int, height int"))
+
+
+def page_detections(pages: DataFrame, renderer: Renderer, detector: Detector, tile: int = 1280, overlap: float = 0.2, dpi: int = 150, batch: int = 16) -> DataFrame:
+    """Every page (pdf_path, page, width, height) rendered, tiled and detected in one task: one row a page with its
+    rendered size (label null) or its error, and one row a detection in tile coordinates with its tile's number and
+    origin."""
+    columns = ["pdf_path", "page", "width", "height", "t_idx", "x0", "y0", "label", "score", "x1", "y1", "x2", "y2", "error"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.itertuples():
-                image, rows = _image(r), []
-                for a in range(0, len(r.tiles), batch):
-                    part = r.tiles[a : a + batch]
-                    found = detector([image[t["y0"] : t["y1"], t["x0"] : t["x1"]] for t in part])
-                    rows += [(r.pdf_path, r.page, t["t_idx"], *box) for t, boxes in zip(part, found, strict=True) for box in boxes]
-                yield pd.DataFrame(rows, columns=columns)
+                image, error = _drawn(renderer, r, dpi)
+                high, wide = (0, 0) if image is None else image.shape[:2]
+                rows = [(r.pdf_path, r.page, wide, high, *[None] * 9, error)]
+                places = [] if image is None else [(x, y) for x in start_list(wide, tile, overlap) for y in start_list(high, tile, overlap)]
+                for a in range(0, len(places), batch):
+                    found = detector([image[y : y + tile, x : x + tile] for x, y in places[a : a + batch]])
+                    rows += [(r.pdf_path, r.page, wide, high, a + k, *places[a + k], *box, None) for k, boxes in enumerate(found) for box in boxes]
+                out = pd.DataFrame(rows, columns=columns)
+                yield out.astype({c: "Int64" for c in ("t_idx", "x0", "y0", "label")} | {c: "float64" for c in ("score", "x1", "y1", "x2", "y2")})
 
-    kinds = "pdf_path string, page int, t_idx int, label int, score double, x1 double, y1 double, x2 double, y2 double"
-    return rasters.where("error IS NULL").join(wanted, by).mapInPandas(run, kinds)
+    kinds = "pdf_path string, page int, width int, height int, t_idx int, x0 int, y0 int, label int, score double, x1 double, y1 double, x2 double, y2 double, error string"
+    return pages.select("pdf_path", "page", F.coalesce("width", F.lit(0)).alias("width"), F.coalesce("height", F.lit(0)).alias("height")).distinct().mapInPandas(run, kinds)
 
 
 #: Colours of classes, red, green, blue, by class number modulo 22.
@@ -171,15 +197,18 @@ def outlined(image: np.ndarray, boxes: list[tuple[int, float, float, float, floa
     return out
 
 
-def previews(rasters: DataFrame, detections: DataFrame, by: list[str], width: int = 3) -> DataFrame:
-    """(pdf_path, page, image as PNG) of each raster with its detections (by, label, x1, y1, x2, y2) outlined; sheets
-    without any keep their plain image.  Names and counts of the legend are ``stitch.legend``."""
+def previews(pages: DataFrame, renderer: Renderer, detections: DataFrame, by: list[str], width: int = 3, dpi: int = 150) -> DataFrame:
+    """(pdf_path, page, image as PNG) of each page with its detections (by, label, x1, y1, x2, y2) outlined; pages
+    without any keep their plain image.  Boxes join the page, which is rendered and drawn on in one task.  Names and
+    counts of the legend are ``stitch.legend``."""
     listed = detections.groupBy(*by).agg(F.collect_list(F.struct("label", "x1", "y1", "x2", "y2")).alias("boxes"))
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.itertuples():
-                found = [(b["label"], b["x1"], b["y1"], b["x2"], b["y2"]) for b in (r.boxes if r.boxes is not None else [])]
-                yield pd.DataFrame({"pdf_path": [r.pdf_path], "page": [r.page], "image": [png(outlined(_image(r), found, width))]})
+                image, _ = _drawn(renderer, r, dpi)
+                if image is not None:
+                    found = [(b["label"], b["x1"], b["y1"], b["x2"], b["y2"]) for b in (r.boxes if r.boxes is not None else [])]
+                    yield pd.DataFrame({"pdf_path": [r.pdf_path], "page": [r.page], "image": [png(outlined(image, found, width))]})
 
-    return rasters.where("error IS NULL").join(listed, by, "left").mapInPandas(draw, "pdf_path string, page int, image binary")
+    return pages.join(listed, by, "left").select("pdf_path", "page", "width", "height", "boxes").mapInPandas(draw, "pdf_path string, page int, image binary")

@@ -1,7 +1,7 @@
 """Writers: CSV, JSON and text as the consumers of these files expect them.
 
 Single files are written through Hadoop's file system API, so paths may be in any store.  Tables that go into single
-files (class maps, reports, counts) are aggregates of classes or sheets.
+files (class maps, reports, counts of classes) are aggregates; tables of boxes or sheets are written in parts.
 """
 
 from __future__ import annotations
@@ -23,9 +23,10 @@ def text_file(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
-def csv(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """A folder with one CSV file (or one a partition): header, CRLF, quotes doubled, null as empty."""
-    writer = df.coalesce(1).write.mode("overwrite").options(header=True, escape='"', emptyValue="", nullValue="", lineSep="\r\n")
+def csv(df: DataFrame, path: str, partition_by: list[str] | None = None, parts: bool = False) -> None:
+    """A folder with one CSV file (or one a value of ``partition_by``), or with as many as ``df`` has partitions: header,
+    CRLF, quotes doubled, null as empty."""
+    writer = (df if parts else df.repartition(*partition_by) if partition_by else df.coalesce(1)).write.mode("overwrite").options(header=True, escape='"', emptyValue="", nullValue="", lineSep="\r\n")
     (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
 
 
@@ -52,13 +53,13 @@ def report_json(spark: SparkSession, report: dict, path: str) -> None:
 
 def report_markdown(spark: SparkSession, report: dict, by_discipline: dict[str, list[tuple[str, int]]], areas: tuple | None, path: str) -> None:
     """Totals, a table of classes for each discipline with its TOTAL, and the spread of box areas."""
-    out = ["# Dataset analysis", ""]
-    out += [f"- COCO files: **{report['num_coco_files']}** ({report['files_per_discipline']})", f"- Sheets/pages: **{report['num_sheets']}**", f"- Total annotations: **{report['total_annotations']}**"]
-    out += [f"- Classes — mechanical **{report['num_classes_mechanical']}**, electrical **{report['num_classes_electrical']}**, combined **{report['num_classes_combined']}**", ""]
+    out = ["# Annotated sheets at a glance", "", "| What | How many |", "|---|---:|"]
+    out += [f"| annotation files | {report['num_coco_files']} |", *(f"| of them {k} | {n} |" for k, n in report["files_per_discipline"].items()), f"| sheets | {report['num_sheets']} |", f"| boxes | {report['total_annotations']} |"]
+    out += [f"| classes, {mode} | {report[f'num_classes_{mode}']} |" for mode in ("combined", "mechanical", "electrical")] + [""]
     for name, rows in by_discipline.items():
-        out += [f"## {name.title()} classes", "", "| Class | Instances |", "|---|---:|", *(f"| {c} | {n} |" for c, n in rows), f"| **TOTAL** | **{sum(n for _, n in rows)}** |", ""]
+        out += [f"## Boxes by class: {name.title()}", "", "| Class | Boxes |", "|---|---:|", *(f"| {c} | {n} |" for c, n in rows), f"| **TOTAL** | **{sum(n for _, n in rows)}** |", ""]
     if areas:
-        out += ["## Bounding-box size (px area)", "", "- min {:.0f}, median {:.0f}, max {:.0f}".format(*areas), ""]
+        out += ["## Box areas in pixels", "", "smallest {:.0f}, upper median {:.0f}, largest {:.0f}".format(*areas), ""]
     text_file(spark, path, "\n".join(out))
 
 
@@ -82,24 +83,30 @@ def label_lines(rows: DataFrame, order: list[str]) -> DataFrame:
     return listed.mapInPandas(formatted, "split string, tile_name string, body string")
 
 
-def label_files(lines: DataFrame, folder: str) -> None:
-    """One ``<split>/<tile_name>.txt`` a tile, written by the tasks; a repeated task writes the same bytes again."""
+def files(rows: DataFrame, folder: str) -> None:
+    """One file for each row (name, body) below a folder, written by the tasks; names may have folders of their own.  A
+    repeated task writes the same bytes again."""
 
-    def write(rows) -> None:
+    def write(part) -> None:
         from pyarrow import fs
 
-        store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-        for r in rows:
-            store.create_dir(f"{base}/{r['split']}", recursive=True)
-            with store.open_output_stream(f"{base}/{r['split']}/{r['tile_name']}.txt") as out:
+        store, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:/") else (fs.LocalFileSystem(), folder)
+        for r in part:
+            store.create_dir(f"{base}/{r['name']}".rpartition("/")[0], recursive=True)
+            with store.open_output_stream(f"{base}/{r['name']}") as out:
                 out.write(r["body"].encode())
 
-    lines.foreachPartition(write)
+    rows.select("name", "body").foreachPartition(write)
+
+
+def label_files(lines: DataFrame, folder: str) -> None:
+    """One ``<split>/<tile_name>.txt`` a tile."""
+    files(lines.select(F.concat("split", F.lit("/"), "tile_name", F.lit(".txt")).alias("name"), "body"), folder)
 
 
 def records(sheets: DataFrame, path: str) -> None:
-    """Nested sheet records as JSON, null fields kept, one folder a sheet."""
-    sheets.withColumn("sheet", F.col("sheet_id")).write.mode("overwrite").option("ignoreNullFields", False).partitionBy("sheet").json(path)
+    """Nested sheet records as JSON, one line a sheet, null fields kept; in parts, not a file or folder a sheet."""
+    sheets.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def counts_summary(counts: DataFrame, path: str) -> None:

@@ -1,4 +1,5 @@
 import json
+import uuid
 from pathlib import Path
 
 import numpy as np
@@ -63,6 +64,32 @@ class Blank:
         return image
 
 
+class Counted(Blank):
+    """Leaves a file for every page that it renders."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def __call__(self, pdf_path, page, dpi, size):
+        Path(self.folder, uuid.uuid4().hex).write_text(f"{pdf_path} {page}")
+        return super().__call__(pdf_path, page, dpi, size)
+
+
+@pytest.mark.parametrize("job", ["prepare", "predict", "evaluate"])
+def test_every_page_is_rendered_once(spark, root, tmp_path, job):
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    sinks.class_map(spark.createDataFrame([("Fan", 0)], "name string, class_id int"), str(tmp_path / "classes.json"))
+    if job == "prepare":
+        jobs.prepare(spark, root, str(tmp_path), renderer=Counted(str(seen))).collect()
+    elif job == "predict":
+        jobs.predict(spark, ["/x/plan.pdf"], str(tmp_path / "classes.json"), str(tmp_path / "out"), Counted(str(seen)), bright).collect()
+    else:
+        jobs.evaluate(spark, root, str(tmp_path / "classes.json"), str(tmp_path), Counted(str(seen)), bright).collect()
+    pages = [f.read_text() for f in seen.iterdir()]
+    assert pages and len(pages) == len(set(pages))
+
+
 def bright(images):
     """Finds the bounding box of white pixels; scores by tile width."""
     out = []
@@ -132,7 +159,7 @@ def test_stream_counts(spark, root, tmp_path):
 def test_previews(spark):
     pages = spark.createDataFrame([("/a.pdf", 1, 60, 40), ("/a.pdf", 2, 60, 40)], "pdf_path string, page int, width int, height int")
     found = spark.createDataFrame([("/a.pdf", 1, 23, 5.0, -2.0, 20.0, 30.0)], "pdf_path string, page int, label int, x1 double, y1 double, x2 double, y2 double")
-    rows = {r["page"]: bytes(r["image"]) for r in rasters.previews(rasters.rendered(pages, Plain()), found, ["pdf_path", "page"]).collect()}
+    rows = {r["page"]: bytes(r["image"]) for r in rasters.previews(pages, Plain(), found, ["pdf_path", "page"]).collect()}
     assert rows[1] != rows[2] and all(x.startswith(b"\x89PNG") for x in rows.values())
     image = rasters.outlined(np.zeros((40, 60, 3), np.uint8), [(23, 5.0, -2.0, 20.0, 30.0)])
     assert tuple(image[10, 5]) == rasters.PALETTE[1] and tuple(image[10, 10]) == (0, 0, 0) and tuple(image[29, 10]) == rasters.PALETTE[1]

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .flat import drawn, groups, text_bytes, white
 
 WINDOW, CUT_BITS = 16, 10
-WORDS_KEPT, CHUNK_BYTES_KEPT = 200_000, 12_000_000
+WORDS_KEPT, CHUNK_BYTES_KEPT, TEXT_BYTES = 100_000, 6_000_000, 1 << 21
 
 
 class Kept:
@@ -165,7 +165,7 @@ def encoder(path: str) -> Encoder:
 def _encoded(path: str, column: pa.Array) -> Iterator[bytes]:
     own = encoder(path)
     data, offsets = text_bytes(column)
-    for i, j in groups(offsets, 1 << 22):
+    for i, j in groups(offsets, TEXT_BYTES):
         yield from own.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 

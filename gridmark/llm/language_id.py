@@ -4,15 +4,21 @@ Every language has a context tree over bytes with contexts of 0 to 3 bytes.  Sym
 PPM's method C with exclusion: a symbol seen n times in a context with t occurrences and d distinct symbols has
 n / (t + d), the escape to the next shorter context d / (t + d); symbols met on the way are excluded below, and the
 shortest context is uniform over the 256 byte values.  The trees are frozen after training, so the code length of a
-byte depends on its context alone; a text's code length is the exact sum, in 1/1024 bit units, and the language with
+byte depends on its context alone; a text's code length is the exact sum, in 1/640 bit units, and the language with
 the smallest one wins.
 
-Frozen trees flatten into one table [context node, byte] of code lengths for each language.  The node set is shared:
-all contexts of two bytes, and those of three bytes that are frequent in the training sample (variable order).
+Frozen trees flatten into one table [context node, byte] of code lengths for each language.  The node set is shared and
+of variable order: of all contexts of up to three bytes in the training sample (of three bytes those seen ``LEAST``
+times) the most frequent ones, as many as ``most_cells`` numbers for all languages together allow; a context that is no
+node has its longest suffix that is one.  So the model's size is bounded whatever the number of languages.
 Scoring is a numpy gather over a batch's flat byte buffer, in blocks, so memory doesn't grow with text length.
 
 Training reads a bounded sample: about ``sample_bytes`` of text for each language, drawn by text hash (repeated texts
-count as often as they occur).  Scoring reads all of every text.
+count as often as they occur), of every language at least one text, of every text at most ``sample_bytes``
+characters.  Scoring reads all of every text.
+
+Null texts, texts without a letter and models without languages give ``und``; null or repeated ids and other columns
+play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,16 +31,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .flat import BLOCK, text_bytes
+from .flat import BLOCK, groups, text_bytes
+from .store import small_batches
 
-UNIT = 1024
+UNIT = 640
 UNKNOWN = "und"
+LEAST = 8
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """``symbol``: byte value to symbol, 0 is the time before a text; ``node``: three context symbols to node;
-    ``cost``: for each language, code lengths by node * width + symbol."""
+    """``symbol``: byte value to symbol, 0 is the time before a text; ``node``: three context symbols to node (16 bits);
+    ``cost``: for each language, code lengths by node * width + symbol (16 bits)."""
 
     languages: tuple[str, ...]
     symbol: np.ndarray
@@ -44,19 +52,21 @@ class LanguageModel:
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of (language, three context bytes, byte) by batch; bytes count from 1, 0 stands before a text."""
+    """Counts of (language, three context bytes, byte) by block; bytes count from 1, 0 stands before a text."""
     for batch in batches:
         names = batch.column(0).dictionary_encode()
         data, offsets = text_bytes(batch.column(1))
-        lang = np.repeat(names.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(offsets))
-        rank = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
-        key = lang
-        for back in (3, 2, 1, 0):
-            past = np.zeros(len(data), np.int64)
-            past[back:] = data[: len(data) - back]
-            key = key << 9 | np.where(rank >= back, past + 1, 0)
-        keys, n = np.unique(key, return_counts=True)
-        yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(keys >> 36)), pa.array(keys & (1 << 36) - 1), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+        number = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        for i, j in groups(offsets):
+            part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            rank = np.arange(len(part)) - np.repeat(at[:-1], np.diff(at))
+            key = np.repeat(number[i:j], np.diff(at))
+            for back in (3, 2, 1, 0):
+                past = np.zeros(len(part), np.int64)
+                past[back:] = part[: len(part) - back]
+                key = key << 9 | np.where(rank >= back, past + 1, 0)
+            keys, n = np.unique(key, return_counts=True)
+            yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(keys >> 36)), pa.array(keys & (1 << 36) - 1), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
 
 def _lengths(levels: list[np.ndarray], known: int) -> np.ndarray:
@@ -71,25 +81,26 @@ def _lengths(levels: list[np.ndarray], known: int) -> np.ndarray:
         escape = np.where(total > 0, share * distinct, escape)
         seen |= counts > 0
     p = np.where(seen, p, (escape / (256 - seen.sum(1)))[:, None])
-    return np.rint(-np.log2(np.maximum(p, 1e-30)) * UNIT).astype(np.int32)
+    return np.rint(-np.log2(np.maximum(p, 1e-30)) * UNIT).astype(np.uint16)
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_bytes: int = 2_000_000, most_nodes: int = 16_384) -> LanguageModel:
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_bytes: int = 2_000_000, most_cells: int = 16_000_000) -> LanguageModel:
     """Trees from the non-null, non-empty labelled texts.  With none, a model without languages.
 
-    ``sample_bytes`` bounds the expected training text of each language, ``most_nodes`` the contexts of three bytes.
+    ``sample_bytes`` bounds the expected training text of each language, ``most_cells`` the model: two bytes a cell.
     What reaches the driver are gram counts of that sample.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND length(text) > 0")
-    totals = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()
+    draw = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 20))
+    totals = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n"), F.min(draw).alias("first")).collect()
     if not totals:
-        return LanguageModel((), np.zeros(256, np.int32), np.zeros(1, np.int32), (), 1)
-    share = F.lit(0.0)
-    for r in totals:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, sample_bytes / r["n"])).otherwise(share)
-    draw = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
-    counts = rows.where(draw < share).mapInArrow(_grams, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    names = tuple(sorted({r["lang"] for r in totals}))
+        return LanguageModel((), np.zeros(256, np.int32), np.zeros(1, np.uint16), (), 1)
+    limits = {r["lang"]: max(r["first"] + 1, int(min(1.0, sample_bytes / r["n"]) * (1 << 20))) for r in totals}
+    limit = F.element_at(F.create_map(*(F.lit(x) for pair in limits.items() for x in pair)), F.col("lang"))
+    sample = rows.where(draw < limit).select("lang", F.substring("text", 1, sample_bytes).alias("text"))
+    counts = sample.mapInArrow(_grams, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    names = tuple(sorted(limits))
     lang = np.searchsorted(np.array(names, object), np.array(counts["lang"].to_pylist(), object))
     gram, n = counts["gram"].to_numpy(), counts["n"].to_numpy()
     past = [gram >> 9 * k & 511 for k in (3, 2, 1, 0)]
@@ -97,35 +108,52 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     width = len(known) + 2
     symbol = np.full(256, width - 1, np.int32)
     symbol[known] = np.arange(1, len(known) + 1)
-    c3, c2, c1, s = (np.where(x > 0, symbol[np.maximum(x, 1) - 1], 0) for x in past)
-
-    deep = (c3 * width + c2) * width + c1
-    contexts, place = np.unique(deep, return_inverse=True)
-    weight = np.bincount(place, weights=n)
-    order = np.lexsort((contexts, -weight))[:most_nodes]
-    chosen = np.sort(contexts[order[weight[order] >= 8]])
-    node = np.tile(np.arange(width * width, dtype=np.int32), width)
-    node[chosen] = width * width + np.arange(len(chosen), dtype=np.int32)
-
-    costs = []
-    for k in range(len(names)):
-        own = lang == k
-        flat = lambda key, size: np.bincount(key[own], weights=n[own], minlength=size)
-        o0 = flat(s, width).reshape(1, width)
-        o1 = flat(c1 * width + s, width**2).reshape(width, width)
-        o2 = flat((c2 * width + c1) * width + s, width**3).reshape(width**2, width)
-        at = np.searchsorted(chosen, deep)
-        at = np.where((at < len(chosen)) & (chosen[np.minimum(at, len(chosen) - 1)] == deep), at, -1) if len(chosen) else np.full(len(deep), -1)
-        mine = own & (at >= 0)
-        o3 = np.bincount(at[mine] * width + s[mine], weights=n[mine], minlength=len(chosen) * width).reshape(-1, width)
-        cost = np.empty((width**2 + len(chosen), width), np.int32)
-        for a in range(0, len(cost), 4096):
-            rows_at = np.arange(a, min(a + 4096, len(cost)))
-            two = np.where(rows_at < width**2, rows_at, chosen[np.maximum(rows_at - width**2, 0)] % width**2 if len(chosen) else rows_at)
-            levels = [o2[two], o1[two % width], np.broadcast_to(o0, (len(rows_at), width))]
-            if a + 4096 > width**2 and len(chosen):
-                levels.insert(0, np.where((rows_at >= width**2)[:, None], o3[np.maximum(rows_at - width**2, 0)], 0))
-            cost[rows_at] = _lengths(levels, len(known))
+    *context, s = (np.where(x > 0, symbol[np.maximum(x, 1) - 1], 0).astype(np.int64) for x in past)
+    c3, c2, c1 = context
+
+    # keys of the contexts of 0 to 3 bytes that end in a byte, and the most frequent contexts of all orders
+    keys = [np.zeros(len(s), np.int64), c1, c2 * width + c1, (c3 * width + c2) * width + c1]
+    found = [np.unique(k, return_inverse=True) for k in keys]
+    weights = [np.bincount(place, weights=n) for _, place in found]
+    order = np.concatenate([np.full(len(w), k) for k, w in enumerate(weights)])
+    every, which = np.concatenate(weights), np.concatenate([k for k, _ in found])
+    full = (order < 3) | (every >= LEAST)
+    most = max(1, min(most_cells // (len(names) * width), (1 << 16) - 1))
+    chosen = np.lexsort((which, order, -every))
+    chosen = np.sort(chosen[full[chosen]][:most])  # by order, then by key
+    order, which = order[chosen], which[chosen]
+    nodes = [which[order == k] for k in range(4)]
+    base = np.concatenate([[0], np.cumsum([len(x) for x in nodes])])
+
+    node = np.zeros(1, np.uint16)
+    for k in (1, 2, 3):
+        node = np.tile(node, width)
+        node[nodes[k]] = base[k] + np.arange(len(nodes[k]))
+    node = node if len(node) == width**3 else np.tile(node, width**3 // len(node))
+
+    # for every node its suffixes that are nodes, shortest last; those missing count nothing
+    costs, size = [], len(which)
+    suffix = [[np.zeros(0, np.int64)] * 4 for _ in range(4)]
+    for k in range(4):
+        for j in range(k + 1):
+            key = nodes[k] % width**j
+            at = np.minimum(np.searchsorted(nodes[j], key), max(len(nodes[j]) - 1, 0))
+            suffix[k][j] = np.where(nodes[j][at] == key, base[j] + at, -1) if len(nodes[j]) else np.full(len(key), -1)
+    back = np.stack([np.concatenate([suffix[k][j] if j <= k else np.full(len(nodes[k]), -1) for k in range(4)]) for j in range(4)], 1)
+    places = []
+    for k in range(4):
+        at = np.minimum(np.searchsorted(nodes[k], keys[k]), max(len(nodes[k]) - 1, 0))
+        places.append(np.where(nodes[k][at] == keys[k], base[k] + at, -1) if len(nodes[k]) else np.full(len(s), -1))
+    for m in range(len(names)):
+        table = np.zeros(size * width, np.int64)
+        for at in places:
+            own = (lang == m) & (at >= 0)
+            table += np.bincount(at[own] * width + s[own], weights=n[own], minlength=size * width).astype(np.int64)
+        table = table.reshape(size, width)
+        cost = np.empty((size, width), np.uint16)
+        for a in range(0, size, 4096):
+            part = back[a : a + 4096]
+            cost[a : a + 4096] = _lengths([np.where((part[:, j] >= 0)[:, None], table[part[:, j]], 0) for j in (3, 2, 1, 0)], len(known))
         costs.append(cost.ravel())
     return LanguageModel(names, symbol, node, tuple(costs), width)
 
@@ -146,7 +174,7 @@ def code_lengths(model: LanguageModel, data: np.ndarray, offsets: np.ndarray) ->
             for ahead in range(k):
                 at = starts + ahead - a
                 past[k - 1][at[(at >= 0) & (at < b - a)]] = 0
-        place = model.node[(past[2] * width + past[1]) * width + past[0]] * width + now
+        place = model.node[(past[2] * width + past[1]) * width + past[0]].astype(np.int32) * width + now
         i = int(np.searchsorted(offsets, a, "right")) - 1
         j = int(np.searchsorted(offsets, b, "left"))
         cut = np.clip(offsets[i : j + 1], a, b) - a
@@ -160,9 +188,10 @@ def identify(model: LanguageModel, spark, text: Column | str) -> Column:
     """A struct column lang_pred, score, bits_per_byte.
 
     ``und`` with score 0 for a null text, a text without a letter, or a model without languages.  ``score`` is the
-    winner's posterior at equal priors; equal code lengths go to the first language by code point.  The table of the
-    model is broadcast: at most (most_nodes + symbols^2) * symbols * 4 bytes for each language.
+    winner's posterior at equal priors; equal code lengths go to the first language by code point.  The model is
+    broadcast: two bytes for each of ``most_cells`` cells, and for each of at most 258^3 contexts.
     """
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred:string,score:double,bits_per_byte:double>")

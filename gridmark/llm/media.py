@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .html_text import BLOCK, decoded, scanned
-from .store import written
+from .store import small_batches, written
 
 ROW = 576
 MAGIC = b"\x89PNG\r\n\x1a\n"
@@ -104,6 +104,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def store(df: DataFrame, digest: str, payload: str) -> DataFrame:
     """A media table (digest, image) of the binary column ``payload`` (null: empty), written and read back.  Digests
     may repeat across tasks."""
+    small_batches(df.sparkSession)
     return written(df.select(digest, F.col(payload).cast("binary")).mapInArrow(_packed, "digest string, image binary"), "media")
 
 

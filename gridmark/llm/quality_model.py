@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .flat import byte_numbers, drawn, groups, span_hashes, spans, sums, text_bytes
+from .store import small_batches
 
 BUCKETS, FORMS, WIDTH, HIDDEN, UNIT = 1 << 15, 12, 64, 16, 1 << 16
 
@@ -102,6 +103,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         met = np.flatnonzero(out.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(met), *(pa.array(out[met, d]) for d in range(WIDTH))], names=names)
 
+    small_batches(docs.sparkSession)
     names = ["bucket", *(f"d{d}" for d in range(WIDTH))]
     parts = docs.select(text_col).mapInArrow(partial, ", ".join(f"{n} bigint" for n in names))
     rows = parts.groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names[1:])).toArrow()
@@ -209,6 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_col: str = "doc_id", text_col:
 
 def score(model: QualityModel, spark, text: Column | str) -> Column:
     """The probability of label 1.  The model's table is broadcast: BUCKETS * HIDDEN * 4 bytes."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, html_text, language_id, license_scan, media, mixing, near_dedup, quality_model, quality_rules, warc_zip
 from .oracles import ORACLES  # noqa: F401  (read with QUERIES)
-from .store import read
+from .store import read, small_batches
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,12 +48,14 @@ def vocabulary() -> str:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoding and decoding of every document."""
+    small_batches(spark)
     docs = read(spark, sf_dir, "documents").select("doc_id", bpe.digests("text", vocabulary()).alias("d"))
     return docs.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
+    small_batches(spark)
     pages = read(spark, sf_dir, "pages").select("page_id", "url", html_text.main_text("html").alias("text"))
     return pages.withColumn("n_chars", F.length("text").cast("long"))
 

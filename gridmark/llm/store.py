@@ -13,6 +13,18 @@ def shared_dir(spark: SparkSession) -> str:
     return told or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
+#: Rows of a text column that go to a Python worker at a time.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session hold ``BATCH_ROWS`` rows at most; a smaller setting stays.  Texts are
+    long, and a batch stands in the executor's and the worker's memory several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once, its lineage cut by a checkpoint in the shared folder."""
     spark = df.sparkSession

@@ -32,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import settled, shared_dir
+from .store import settled, shared_dir, small_batches
 
 ARCHIVE_BYTES = 16 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -175,6 +175,7 @@ def _write(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 def write(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Archives of the rows of ``df``; the settled manifest (archive, records)."""
     spark = df.sparkSession
+    small_batches(spark)
     folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     store, path = _at(folder)
     store.create_dir(path, recursive=True)

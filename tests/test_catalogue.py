@@ -1,7 +1,7 @@
 import pytest
 
-from gridmark.plans.catalogue import QUERIES
-from gridmark.plans.oracles import ORACLES
+from gridmark.plans.file_oracles import ORACLES
+from gridmark.plans.files import QUERIES
 
 from .compare import assert_equal, tables
 

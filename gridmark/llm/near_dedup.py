@@ -5,26 +5,27 @@ without words has an empty set and no link.  Texts with equal sets (copies) shar
 
 Signatures have ``SYMBOLS`` = 64 symbols of 16 bits.  Two sets of similarity s differ in a symbol with probability
 1 - s, so at s = 0.8 more than ``DISTANCE`` = 27 symbols differ about once in 10^5 pairs.  All node pairs within that
-distance meet: the symbols are split into 14 chunks, and 27 errors leave a chunk with one error at most (pigeonhole),
-so every node is listed under each chunk with each one of its symbols left out (the errors enumerated): 64 keys.
-A longer sketch, 512 symbols of 8 bits that begin with those, tells before texts are read whether a pair may reach the
-threshold; it asks for five standard deviations less than a pair at the threshold shares.
+distance meet: the symbols are split into ten chunks of four and eight chunks of three, and 27 errors leave one of the
+former with at most one error or one of the latter with none (pigeonhole: 10 * 2 + 8 * 1 > 27), so every node is listed
+under each chunk of three and under each chunk of four with each of its symbols left out (the errors enumerated):
+``KEYS`` = 48 keys of three symbols.  Every pair that meets and is within the distance is confirmed on the full sets.
 
 Candidates aren't all pairs under a key.  First every node is paired with the smallest node under each of its keys.
 Links found give components; a key whose nodes are one component has nothing left to tell.  Under the other keys only
 pairs between components are open.  Small groups (``SMALL`` nodes) join with themselves.  Large groups are dealt as
 pairs of blocks of ``BLOCK_NODES`` nodes (fewer where sets are large: ``BLOCK_HASHES``) that carry the full sets.  Inside
-a task all open pairs that pass the sketch, each under its first common key alone, are confirmed at once, unless links
+a task all open pairs within the distance, each under its first common key alone, are confirmed at once, unless links
 that the task has found connect them already.  Only such links leave the task, fewer than it has nodes.  So no link
-between components is lost, and neither near copies nor groups of texts just below the threshold make rows by the
-square.
+between components is lost.  Near copies of one another are one component before blocks are dealt; a key that M nodes
+of other components share takes M^2 / BLOCK_NODES rows, as each pair of blocks is a task of its own.
 
 A link is confirmed on the full sets of both texts.  Components come from alternating large and small stars (minimum
 labels), each round settled in the shared folder.  Keys, joins and counts are shuffles that AQE can split; nothing is
-gathered to the driver but row counts and a bit table of fixed size.
+gathered to the driver.  Before wide rows are shuffled for a join, those without a partner are dropped by a broadcast
+table of ``BITS`` bits, of that size whatever the input; a full table only drops less.
 
 Null text counts as empty.  ``component_id`` is the smallest doc_id reachable (null ids last: only components without
-any id have none).  Repeated rows share a node and keep their rows.
+any id have none).  Repeated rows share a node and keep their rows.  Other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -39,12 +40,14 @@ from pyspark.sql import functions as F
 
 from .flat import byte_numbers, drawn, groups, mix, span_hashes, spans, text_bytes, white
 from .quality_rules import WORD
-from .store import settled, written
-
-SYMBOLS, CHUNKS, DISTANCE, SKETCH = 64, 14, 27, 512
-SMALL, BLOCK_NODES, BLOCK_HASHES, BITS, KEPT_HASHES = 32, 1024, 1 << 22, 1 << 23, 4_000_000
-_FACTORS = (drawn(7, SKETCH) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_PARTS = np.array_split(np.arange(SYMBOLS), CHUNKS)
+from .store import settled, small_batches, written
+
+SYMBOLS, DISTANCE = 64, 27
+SMALL, BLOCK_NODES, BLOCK_HASHES, BITS, KEPT_HASHES = 32, 1024, 1 << 21, 1 << 23, 2_000_000
+_FACTORS = (drawn(7, SYMBOLS) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+#: Chunks of symbols, and the errors allowed in each; errors and chunks together exceed DISTANCE.
+_PARTS = [(np.arange(4 * k, 4 * k + 4), 1) for k in range(10)] + [(np.arange(40 + 3 * k, 43 + 3 * k), 0) for k in range(8)]
+KEYS = sum(len(part) if errors else 1 for part, errors in _PARTS)
 _PLACES = drawn(8, 64) | np.uint64(1)
 
 
@@ -83,14 +86,14 @@ def _digests(hashes: np.ndarray, at: np.ndarray) -> list[bytes]:
 
 
 def signatures(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """[text, symbol] 16-bit symbols: bits of the smallest hash under each of SKETCH multiplications modulo 2^32."""
-    out = np.zeros((len(at) - 1, SKETCH), np.uint16)
+    """[text, symbol] 16-bit symbols: bits of the smallest hash under each of SYMBOLS multiplications modulo 2^32."""
+    out = np.zeros((len(at) - 1, SYMBOLS), np.uint16)
     own = np.flatnonzero(at[1:] > at[:-1])
     short = (hashes >> np.uint64(16)).astype(np.uint32)
     for a in range(0, len(own), 256):
         rows = own[a : a + 256]
         part, base = short[at[rows[0]] : at[rows[-1] + 1]], at[rows] - at[rows[0]]
-        for k in range(SKETCH):
+        for k in range(SYMBOLS):
             out[rows, k] = mix(np.minimum.reduceat(part * _FACTORS[k], base).astype(np.uint64)) & np.uint64(0xFFFF)
     return out
 
@@ -101,14 +104,10 @@ def _signed(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         for i, j in groups(offsets):
             hashes, at = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
             sig = signatures(hashes, at)
-            more = sig[:, SYMBOLS:].astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(np.diff(at)), pa.array(_digests(hashes, at), pa.binary()),
-                    pa.array([x[:SYMBOLS].tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in more], pa.binary()),
-                ],
-                names=["doc", "md5", "n", "digest", "sig", "more"],
-            )
+                [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(np.diff(at)), pa.array(_digests(hashes, at), pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())],
+                names=["doc", "md5", "n", "digest", "sig"],
+            )
 
 
 def _bytes(column: pa.Array, kind: type, width: int) -> np.ndarray:
@@ -116,9 +115,10 @@ def _bytes(column: pa.Array, kind: type, width: int) -> np.ndarray:
 
 
 def _key_table(sig: np.ndarray) -> np.ndarray:
-    """[node, key number]: for every chunk of a signature and every symbol of it, the hash of the others."""
+    """[node, key number]: for every chunk of a signature the hash of its symbols, all of them or each one left out."""
     weighed = (sig.astype(np.uint64) + np.uint64(1)) * _PLACES
-    keys = [mix(weighed[:, [x for x in part if x != out]].sum(1) + np.uint64((int(out) + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) for part in _PARTS for out in part]
+    left_out = [(part, out) for part, errors in _PARTS for out in (part if errors else [-1 - part[0]])]
+    keys = [mix(weighed[:, [x for x in part if x != out]].sum(1) + np.uint64((int(out) + SYMBOLS + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) for part, out in left_out]
     return np.stack(keys, 1).view(np.int64)
 
 
@@ -127,40 +127,30 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, batch.num_rows, 1024):
             keys = _key_table(_bytes(batch.column(1).slice(a, 1024), np.uint16, SYMBOLS))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).slice(a, 1024).to_numpy(), SYMBOLS))], names=["key", "id"])
-
-
-def _least_shared(percent: int) -> float:
-    """Sketch symbols that a pair at the threshold shares, less five standard deviations."""
-    p = percent / 100
-    return SKETCH * p - 5 * (SKETCH * p * (1 - p)) ** 0.5
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).slice(a, 1024).to_numpy(), KEYS))], names=["key", "id"])
 
 
-def _likely(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, n_a, n_b, sig_a, sig_b, more_a, more_b) whose sizes and sketches allow a link."""
+def _near(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, n_a, n_b, sig_a, sig_b) within the distance whose sizes allow a link."""
     for batch in batches:
         for i in range(0, batch.num_rows, 4096):
             part = batch.slice(i, 4096)
             n, m = (part.column(k).to_numpy() for k in (2, 3))
-            shared = np.zeros(part.num_rows, np.int64)
-            for x, y, kind, wide in ((4, 5, np.uint16, SYMBOLS), (6, 7, np.uint8, SKETCH - SYMBOLS)):
-                shared += (_bytes(part.column(x), kind, wide) == _bytes(part.column(y), kind, wide)).sum(1)
-            fit = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (shared >= _least_shared(percent))
+            differ = (_bytes(part.column(4), np.uint16, SYMBOLS) != _bytes(part.column(5), np.uint16, SYMBOLS)).sum(1)
+            fit = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (differ <= DISTANCE)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(fit))
 
 
 def _compared(percent: int, table: pa.Table) -> pa.Table:
     """Links between components within one pair of blocks (x, y) of a key's nodes: rows key, x, y, block, id, root, n,
-    sig, more, own (the set).  Pairs with an earlier key in common are left to that key; of the others, links enough to
+    sig, own (the set).  Pairs with an earlier key in common are left to that key; of the others, links enough to
     connect what they connect."""
     ids, roots, n, block = (table[c].to_numpy() for c in ("id", "root", "n", "block"))
-    sig, more = _bytes(table["sig"], np.uint16, SYMBOLS), _bytes(table["more"], np.uint8, SKETCH - SYMBOLS)
+    sig = _bytes(table["sig"], np.uint16, SYMBOLS)
     sets = [np.frombuffer(own, np.uint64) for own in table["own"].to_pylist()]
     x, y = table["x"][0].as_py(), table["y"][0].as_py()
     left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
     number = int(np.flatnonzero(_key_table(sig[:1])[0] == table["key"][0].as_py())[0])
-    least = _least_shared(percent)
-    bounds = SYMBOLS * (percent / 100) - 5 * (SYMBOLS * percent * (100 - percent) / 1e4) ** 0.5
     above: dict[int, int] = {}
     links: list[tuple[int, int]] = []
 
@@ -174,17 +164,16 @@ def _compared(percent: int, table: pa.Table) -> pa.Table:
         same = np.zeros((len(rows), len(right)), np.uint8)
         for k in range(SYMBOLS):
             same += sig[rows, k][:, None] == sig[right, k][None, :]
-        open_ = (roots[rows][:, None] != roots[right][None, :]) & (same >= bounds)
+        open_ = (roots[rows][:, None] != roots[right][None, :]) & (same >= SYMBOLS - DISTANCE)
         open_ &= 100 * np.minimum(n[rows][:, None], n[right][None, :]) >= percent * np.maximum(n[rows][:, None], n[right][None, :])
         if x == y:
             open_ &= ids[rows][:, None] < ids[right][None, :]
         i, j = np.nonzero(open_)
         for c in range(0, len(i), 1 << 14):
             p, q = rows[i[c : c + (1 << 14)]], right[j[c : c + (1 << 14)]]
-            shared = (more[p] == more[q]).sum(1) + same[i[c : c + (1 << 14)], j[c : c + (1 << 14)]]
-            fit = np.flatnonzero(shared >= least)
-            fit = fit[_first_key(sig[p[fit]] != sig[q[fit]]) == number]
-            for k in fit[np.argsort(-shared[fit], kind="stable")]:  # the likeliest links first: they spare others
+            fit = np.flatnonzero(_first_key(sig[p] != sig[q]) == number)
+            shared = same[i[c : c + (1 << 14)], j[c : c + (1 << 14)]]
+            for k in fit[np.argsort(-shared[fit].astype(np.int64), kind="stable")]:  # the likeliest links first: they spare others
                 one, two = top(int(roots[p[k]])), top(int(roots[q[k]]))
                 if one != two and _similar(sets[p[k]], sets[q[k]], percent):
                     above[one] = two
@@ -195,12 +184,12 @@ def _compared(percent: int, table: pa.Table) -> pa.Table:
 def _first_key(differ: np.ndarray) -> np.ndarray:
     """Number of the first key that two signatures share, from where they differ; -1 for none."""
     out, base = np.full(len(differ), -1), 0
-    for part in _PARTS:
+    for part, errors in _PARTS:
         wrong = differ[:, part]
         count = wrong.sum(1)
-        hit = (out < 0) & (count <= 1)
+        hit = (out < 0) & (count <= errors)
         out[hit] = base + np.where(count[hit] == 0, 0, wrong[hit].argmax(1))
-        base += len(part)
+        base += len(part) if errors else 1
     return out
 
 
@@ -260,14 +249,24 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return stars.select(F.col("u").alias("id"), F.col("v").alias("root")).union(stars.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
-def _sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and sketches allow a link."""
+def sifted(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``column`` may be among the values of the one column of ``wanted``: all that are, and
+    those that share a bit with one.  The table of bits is broadcast, BITS / 64 rows at most."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))
+    bits = wanted.select(place(wanted.columns[0]).alias("p")).groupBy(F.floor(F.col("p") / 64).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    placed = df.withColumn("_p", place(column)).join(F.broadcast(bits), F.floor(F.col("_p") / 64) == F.col("_word"))
+    return placed.where(F.getbit("_bits", (F.col("_p") % 64).cast("int")) == 1).select(df.columns)
+
+
+def _within(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) within the distance whose sizes allow a link."""
     for k in "ab":
-        pairs = pairs.join(sketches.toDF(k, f"n_{k}", f"sig_{k}", f"more_{k}"), k)
-    return pairs.select("a", "b", "n_a", "n_b", "sig_a", "sig_b", "more_a", "more_b").mapInArrow(partial(_likely, percent), "a bigint, b bigint")
+        pairs = pairs.join(sifted(signed, "id", pairs.select(k)).toDF(k, f"n_{k}", f"sig_{k}"), k)
+    return pairs.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(partial(_near, percent), "a bigint, b bigint")
 
 
-def _in_blocks(opened: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _in_blocks(opened: DataFrame, signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links of ``_compared`` over all (key, id, root, many, hashes): nodes of a key fall into blocks by hash, and each
     pair of blocks is a group of its own, of about 2 * BLOCK_NODES rows and 2 * BLOCK_HASHES hashes whatever the key
     holds."""
@@ -275,7 +274,7 @@ def _in_blocks(opened: DataFrame, sketches: DataFrame, sets: DataFrame, percent:
     dealt = opened.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     spread = dealt.withColumn("_o", other).select("key", F.least("block", "_o").alias("x"), F.greatest("block", "_o").alias("y"), "block", "id", "root")
-    rows = spread.join(sketches.join(sets, "id"), "id").select("key", "x", "y", "block", "id", "root", "n", "sig", "more", "own")
+    rows = spread.join(signed.join(sets, "id"), "id").select("key", "x", "y", "block", "id", "root", "n", "sig", "own")
 
     def compared(table: pa.Table) -> pa.Table:
         return _compared(percent, table)
@@ -284,15 +283,9 @@ def _in_blocks(opened: DataFrame, sketches: DataFrame, sets: DataFrame, percent:
 
 
 def _texts(base: DataFrame, nodes: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, text) of the nodes named by ``ids``.  The text of a node is read from the row of its smallest doc id; rows
-    that can't be asked for are dropped before the shuffle by a bit table of their ids' hashes, of BITS bits whatever
-    the input (a full table only drops less)."""
+    """(id, text) of the nodes named by ``ids``.  The text of a node is read from the row of its smallest doc id."""
     asked = settled(nodes.select("id", "doc", "digest").join(ids, "id", "left_semi"))
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
-    bits = asked.select(place("doc").alias("p")).groupBy(F.floor(F.col("p") / 64).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("_bits"))
-    table = base.sparkSession.createDataFrame([tuple(r) for r in bits.collect()], "_word bigint, _bits bigint")
-    near = base.withColumn("_p", place("doc")).join(F.broadcast(table), F.floor(F.col("_p") / 64) == F.col("_word"))
-    near = near.where(F.getbit("_bits", (F.col("_p") % 64).cast("int")) == 1).select(F.col("doc").alias("_doc"), "text")
+    near = sifted(base, "doc", asked.select("doc")).select(F.col("doc").alias("_doc"), "text")
     texts = near.join(asked, F.col("_doc").eqNullSafe(F.col("doc"))).select("id", "digest", "text")
     return written(texts.mapInArrow(partial(_own, width), "id bigint, text string").groupBy("id").agg(F.min("text").alias("text")), "texts")
 
@@ -314,29 +307,30 @@ def linked(df: DataFrame, doc_col: str = "doc_id", text_col: str = "text", width
     """
     if percent < 80:
         raise ValueError("the signature distance is set for similarities of 0.8 and more")
+    small_batches(df.sparkSession)
     base = df.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text"))
     doc_type = base.schema["doc"].dataType.simpleString()
     hashed = base.withColumn("md5", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    signed = written(hashed.mapInArrow(partial(_signed, width), f"doc {doc_type}, md5 string, n bigint, digest binary, sig binary, more binary"), "signed")
-    nodes = signed.where("n > 0").groupBy("digest", "n").agg(F.min("doc").alias("doc"), F.first("sig").alias("sig"), F.first("more").alias("more"))
+    signed = written(hashed.mapInArrow(partial(_signed, width), f"doc {doc_type}, md5 string, n bigint, digest binary, sig binary"), "signed")
+    nodes = signed.where("n > 0").groupBy("digest", "n").agg(F.min("doc").alias("doc"), F.first("sig").alias("sig"))
     nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
-    sketches = nodes.select("id", "n", "sig", "more")
-    probes = written(nodes.select("id", "sig").mapInArrow(_keys, "key bigint, id bigint"), "probes")
-    hubs = probes.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("far")).where("hub < far").select("key", "hub")
-    member = written(probes.join(hubs, "key"), "member")
-    asked = member.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    stars = settled(_confirm(base, nodes, _sketched(asked, sketches, percent), width, percent))
+    marked = nodes.select("id", "n", "sig")
+    probes = nodes.select("id", "sig").mapInArrow(_keys, "key bigint, id bigint")
+    hubs = written(probes.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("many")).where("many > 1").select("key", "hub"), "hubs")
+    member = written(sifted(probes, "key", hubs.select("key")).join(hubs, "key"), "member")
+    asked = written(member.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "asked")
+    stars = settled(_confirm(base, nodes, _within(asked, marked, percent), width, percent))
     placed = nodes.select("id", "n").join(components(stars), "id", "left").select("id", "n", F.coalesce("root", "id").alias("root"))
     rooted = member.select("key", "id").join(placed, "id")
     several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("many"), F.sum("n").alias("hashes")).where("lo < hi").drop("lo", "hi")
     opened = written(rooted.drop("n").join(several, "key"), "open")
     large = opened.where(F.col("many") > SMALL)
     sets = _texts(base, nodes, large.select("id"), width).mapInArrow(partial(_sets, width), "id bigint, own binary")
-    found = _in_blocks(large, sketches, sets, percent)
+    found = _in_blocks(large, marked, sets, percent)
     x, y = (opened.where(F.col("many") <= SMALL).select("key", F.col("id").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab")
     few = x.join(y, "key").where("root_a <> root_b AND a < b").select("a", "b").distinct()
-    few = few.join(asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    links = settled(stars.unionByName(found).unionByName(_confirm(base, nodes, _sketched(few, sketches, percent), width, percent)).distinct())
+    few = written(few.join(asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "few")
+    links = settled(stars.unionByName(found).unionByName(_confirm(base, nodes, _within(few, marked, percent), width, percent)).distinct())
     rooted = components(links)
     named = nodes.select("id", "digest", "n", "doc").join(rooted, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = named.groupBy("root").agg(F.min("doc").alias("component_id"))

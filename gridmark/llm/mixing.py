@@ -12,13 +12,14 @@ until no document fits that isn't selected; at last to the bucket that comes clo
 Targets: sources by code point, null last, get weights in rotation; a target stops at ``most_repeats`` times its
 source's words and the excess is shared again by weight among the others.
 
-The driver holds one row for each pattern, ``MOST_PATTERNS`` at most (an error beyond), and the result's thresholds
-are broadcast at that size.  Document rows meet partial aggregation only, so a hot source is no hot task.
+The driver holds one row for each pattern; the flow's time is near-linear in them.  The result's thresholds are
+broadcast for ``BROADCAST_PATTERNS`` patterns or fewer, else joined as Spark plans it.  Document rows meet partial
+aggregation only, so a hot source is no hot task.  Null texts and texts without words have size 0; null ids and
+repeated rows are documents like others, equal rows fare alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -30,12 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .quality_rules import WORD
-from .store import settled
+from .store import settled, unused
 
 BUCKETS = 1 << 14
 #: Documents (more or less) of a pattern whose buckets are split in one round.
 SPLIT = 1024
-MOST_PATTERNS = 20_000
+#: Patterns up to which the tables of thresholds (about 2 KB a pattern) are broadcast; with more, Spark plans the joins.
+BROADCAST_PATTERNS = 4096
 #: Weights in rotation, and what a document's first, second and third use cost.
 WEIGHTS, REPEAT_COSTS = (5, 2, 1), (0, 1, 3)
 
@@ -64,52 +66,81 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
     return out
 
 
+class _Network:
+    """A flow network from node 0 to node 1; arcs in pairs, the reverse of arc i is i ^ 1."""
+
+    def __init__(self, nodes: int):
+        self.to, self.left, self.out = [], [], [[] for _ in range(nodes)]
+
+    def arc(self, a: int, b: int, capacity: int) -> int:
+        for x, y, c in ((a, b, capacity), (b, a, 0)):
+            self.out[x].append(len(self.to))
+            self.to.append(y)
+            self.left.append(c)
+        return len(self.to) - 2
+
+    def fill(self) -> None:
+        """Raises the flow to a largest one: blocking flows in layers by distance."""
+        while True:
+            depth, layer = [-1] * len(self.out), [0]
+            depth[0] = 0
+            for x in layer:
+                for i in self.out[x]:
+                    if self.left[i] and depth[self.to[i]] < 0:
+                        depth[self.to[i]] = depth[x] + 1
+                        layer.append(self.to[i])
+            if depth[1] < 0:
+                return
+            at, path, x = [0] * len(self.out), [], 0
+            while True:
+                if x == 1:
+                    push = min(self.left[i] for i in path)
+                    for i in path:
+                        self.left[i] -= push
+                        self.left[i ^ 1] += push
+                    keep = next(k for k, i in enumerate(path) if not self.left[i])
+                    x = self.to[path[keep] ^ 1]
+                    del path[keep:]
+                while at[x] < len(self.out[x]):
+                    i = self.out[x][at[x]]
+                    if self.left[i] and depth[self.to[i]] == depth[x] + 1:
+                        break
+                    at[x] += 1
+                else:
+                    if not path:
+                        break
+                    x = self.to[path.pop() ^ 1]
+                    at[x] += 1
+                    continue
+                path.append(i)
+                x = self.to[i]
+
+
 def flow(patterns: dict[Pattern, int], quotas: dict[str | None, int], costs: tuple[int, ...] = REPEAT_COSTS) -> dict[tuple[Pattern, str | None], int]:
-    """Words that each pattern gives to each of its sources: a largest flow of least cost, by successive shortest
-    paths with potentials.  Ties fall by the order of the input."""
-    nodes = ["start", "end", *patterns, *(("source", s) for s in quotas)]
-    number = {x: i for i, x in enumerate(nodes)}
-    arcs: list[list[int]] = []  # to, capacity, cost; the arc at i ^ 1 is the reverse
-    out: dict[int, list[int]] = defaultdict(list)
-
-    def arc(a: int, b: int, capacity: int, cost: int) -> int:
-        for x, y, c, w in ((a, b, capacity, cost), (b, a, 0, -cost)):
-            out[x].append(len(arcs))
-            arcs.append([y, c, w])
-        return len(arcs) - 2
-
-    gives = {}
-    for p, words in patterns.items():
-        for cost in costs:
-            arc(0, number[p], words, cost)
-        for s in p:
-            gives[p, s] = arc(number[p], number["source", s], words * len(costs), 0)
-    for s, quota in quotas.items():
-        arc(number["source", s], 1, quota, 0)
-    height = [0] * len(nodes)
-    while True:
-        far, via, heap = {0: 0}, {}, [(0, 0)]
-        while heap:
-            d, x = heapq.heappop(heap)
-            if d > far[x]:
-                continue
-            for i in out[x]:
-                y, capacity, cost = arcs[i]
-                if capacity and (e := d + cost + height[x] - height[y]) < far.get(y, 1 << 60):
-                    far[y], via[y] = e, i
-                    heapq.heappush(heap, (e, y))
-        if 1 not in far:
-            return {k: arcs[i ^ 1][1] for k, i in gives.items()}
-        most = max(far.values())
-        height = [h + far.get(i, most) for i, h in enumerate(height)]
-        path, x = [], 1
-        while x:
-            path.append(via[x])
-            x = arcs[via[x] ^ 1][0]
-        push = min(arcs[i][1] for i in path)
-        for i in path:
-            arcs[i][1] -= push
-            arcs[i ^ 1][1] += push
+    """Words that each pattern gives to each of its sources: a largest flow of least cost.  Ties fall by the order of
+    the input.
+
+    Only arcs from the start have costs, and use k costs the same in every pattern, never less than use k - 1.  So a
+    shortest augmenting path is one that begins with the cheapest use left, and successive shortest paths are largest
+    flows with the first uses alone, then with the second ones added, and so on.  Patterns of one source that no
+    overlapping pattern touches give the least of all their uses and the quota.
+    """
+    if list(costs) != sorted(costs):
+        raise ValueError("later uses must not be cheaper")
+    touched = {s for p in patterns if len(p) > 1 for s in p}
+    given = {(p, p[0]): min(words * len(costs), quotas[p[0]]) for p, words in patterns.items() if len(p) == 1 and p[0] not in touched}
+    mixed = {p: words for p, words in patterns.items() if touched.intersection(p)}
+    sources = {s: 2 + len(mixed) + i for i, s in enumerate(s for s in quotas if s in touched)}
+    net = _Network(2 + len(mixed) + len(sources))
+    uses = [net.arc(0, 2 + i, 0) for i in range(len(mixed))]
+    gives = {(p, s): net.arc(2 + i, sources[s], words * len(costs)) for i, (p, words) in enumerate(mixed.items()) for s in p}
+    for s, node in sources.items():
+        net.arc(node, 1, quotas[s])
+    for _ in costs:
+        for use, words in zip(uses, mixed.values(), strict=True):
+            net.left[use] += words
+        net.fill()
+    return given | {key: net.left[i ^ 1] for key, i in gives.items()}
 
 
 @dataclass(frozen=True)
@@ -158,14 +189,14 @@ def mix(df: DataFrame, sources: Column, doc_col: str = "doc_id", text_col: str =
     spark = df.sparkSession
     members = F.array_sort(F.array_distinct(F.when(F.coalesce(F.size(sources), F.lit(0)) > 0, sources).otherwise(F.array(F.lit(None).cast("string")))))
     key = F.xxhash64(F.lit(seed), doc_col, text_col)
-    keyed = df.withColumns({"_pattern": F.to_json(members), "_key": key, "_bucket": F.shiftrightunsigned(key, 65 - BUCKETS.bit_length()).cast("int")})
-    rows = keyed.withColumn("size", size(F.col(text_col)))
+    keyed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), F.col(text_col).alias("_text"), members.alias("_members"), F.to_json(members).alias("_pattern"), key.alias("_key"))
+    keyed = keyed.withColumn("_bucket", F.shiftrightunsigned("_key", 65 - BUCKETS.bit_length()).cast("int"))
+    rows = keyed.withColumn("size", size(F.col("_text")))
     worded = F.when(F.col("size") > 0, F.col("_key"))
-    buckets = rows.groupBy("_pattern", "_bucket").agg(F.sum("size").alias("n"), F.first(members).alias("members"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"), (F.min(worded) < F.max(worded)).alias("several"))
+    buckets = rows.groupBy("_pattern", "_bucket").agg(F.sum("size").alias("n"), F.first("_members").alias("members"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"), (F.min(worded) < F.max(worded)).alias("several"))
     buckets = settled(buckets)  # small (patterns times buckets), and used three times
-    found = buckets.groupBy("_pattern").agg(F.first("members").alias("members"), F.sum("n").alias("n")).orderBy("_pattern").limit(MOST_PATTERNS + 1).collect()
-    if len(found) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
+    found = buckets.groupBy("_pattern").agg(F.first("members").alias("members"), F.sum("n").alias("n")).orderBy("_pattern").collect()
+    small = (lambda table: F.broadcast(table)) if len(found) <= BROADCAST_PATTERNS else (lambda table: table)
     patterns = {tuple(r["members"]): r["n"] for r in found}
     sizes: dict[str | None, int] = defaultdict(int)
     for p, n in patterns.items():
@@ -183,15 +214,15 @@ def mix(df: DataFrame, sources: Column, doc_col: str = "doc_id", text_col: str =
         parts.append((r["_pattern"], base, words - base * n if base < len(costs) else 0))
     table = spark.createDataFrame([(p, rest) for p, _, rest in parts if rest], "_pattern string, _gap bigint")
     shape = "_pattern string, _taken array<bigint>, _gap bigint"
-    filled = settled(buckets.where("n > 0").join(F.broadcast(table), "_pattern").select("_pattern", "_bucket", "n", "_gap").groupBy("_pattern").applyInArrow(_fill("_bucket"), shape))
+    filled = settled(buckets.where("n > 0").join(small(table), "_pattern").select("_pattern", "_bucket", "n", "_gap").groupBy("_pattern").applyInArrow(_fill("_bucket"), shape))
     inside = F.coalesce(F.getbit(F.get("_taken", F.shiftright("_bucket", 6)), F.col("_bucket").bitwiseAND(63)) == 1, F.lit(False))
     gap = {r["_pattern"]: r["_gap"] for r in filled.where("_gap > 0").select("_pattern", "_gap").collect()}
-    free = buckets.where("n > 0").join(F.broadcast(filled.drop("_gap")), "_pattern").where(~inside).drop("_taken")
+    free = buckets.where("n > 0").join(small(filled.drop("_gap")), "_pattern").where(~inside).drop("_taken")
     split, extra = defaultdict(list), defaultdict(list)
 
     def behind() -> DataFrame:
         now = spark.createDataFrame([(p, g, split[p]) for p, g in gap.items() if g], "_pattern string, _gap bigint, _split array<int>")
-        return free.join(F.broadcast(now), "_pattern").where(~F.array_contains("_split", F.col("_bucket")))
+        return free.join(small(now), "_pattern").where(~F.array_contains("_split", F.col("_bucket")))
 
     while any(gap.values()):
         first = Window.partitionBy("_pattern").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -202,7 +233,7 @@ def mix(df: DataFrame, sources: Column, doc_col: str = "doc_id", text_col: str =
         for r in next_ones:
             split[r["_pattern"]].append(r["_bucket"])
         chosen = spark.createDataFrame(next_ones, "_pattern string, _bucket int, _gap bigint")
-        parted = keyed.join(F.broadcast(chosen), ["_pattern", "_bucket"]).withColumn("size", size(F.col(text_col))).where("size > 0")
+        parted = keyed.join(F.broadcast(chosen), ["_pattern", "_bucket"]).withColumn("size", size(F.col("_text"))).where("size > 0")
         single = parted.groupBy("_pattern", "_key").agg(F.sum("size").alias("n"), F.first("_gap").alias("_gap")).where("n <= _gap")
         for r in single.groupBy("_pattern").applyInArrow(_fill("_key"), shape).collect():
             extra[r["_pattern"]] += r["_taken"]
@@ -215,11 +246,16 @@ def mix(df: DataFrame, sources: Column, doc_col: str = "doc_id", text_col: str =
     cuts = spark.createDataFrame([(p, b, closest[p], split[p], extra[p]) for p, b, _ in parts], "_pattern string, _base int, _closest int, _split array<int>, _extra array<bigint>")
     cuts = cuts.join(filled.drop("_gap"), "_pattern", "left")
     again = inside | (F.col("_bucket") == F.col("_closest")) | (F.array_contains("_split", F.col("_bucket")) & F.array_contains("_extra", F.col("_key")))
-    out = rows.join(F.broadcast(cuts), "_pattern", "left").withColumn("copies", F.col("_base") + again.cast("int"))
-    return out.withColumn("taken", F.col("copies") * F.col("size")).drop("_pattern", "_key", "_bucket", "_base", "_closest", "_split", "_extra", "_taken"), Plan(dict(sizes), goal, given, patterns)
+    out = rows.join(small(cuts), "_pattern", "left").withColumn("copies", F.col("_base") + again.cast("int"))
+    kept = [F.col(f"_row.`{c}`") for c in df.columns if c not in ("size", "copies", "taken")]
+    return out.select(*kept, "size", "copies", (F.col("copies") * F.col("size")).alias("taken")), Plan(dict(sizes), goal, given, patterns)
 
 
 def with_targets(mixed: DataFrame, plan: Plan, source: str) -> DataFrame:
-    """``mixed`` with source_size and target of the source in the column ``source``; one broadcast row a source."""
-    table = mixed.sparkSession.createDataFrame([(s, n, plan.targets[s]) for s, n in plan.sizes.items()], "_source string, source_size bigint, target double")
-    return mixed.join(F.broadcast(table), F.col(source).eqNullSafe(F.col("_source")), "left").drop("_source")
+    """``mixed`` with source_size and target of the source in the column ``source``, columns of these names replaced.
+    One row a source is broadcast, or joined as Spark plans it where they are many."""
+    plain = mixed.drop("source_size", "target")
+    name = unused(plain, "source_name")
+    table = mixed.sparkSession.createDataFrame([(s, n, plan.targets[s]) for s, n in plan.sizes.items()], f"{name} string, source_size bigint, target double")
+    table = F.broadcast(table) if len(plan.sizes) <= BROADCAST_PATTERNS else table
+    return plain.join(table, F.col(source).eqNullSafe(F.col(name)), "left").drop(name)

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,3 +108,58 @@ def test_buckets_that_do_not_fit_are_split(spark, monkeypatch):
         assert abs(gap) < 20 and all(together[r["doc_id"]] > gap - 1 for r in own if r["size"] and r["copies"] == base)
     copies = {}
     assert all(copies.setdefault(r["doc_id"], r["copies"]) == r["copies"] for r in rows)
+
+
+def test_many_patterns_and_a_slow_flow_agree(spark):
+    rng = random.Random(12)
+    for _ in range(40):
+        names = "abcde"[: rng.randint(2, 5)]
+        sizes = {tuple(sorted(rng.sample(names, rng.randint(1, min(3, len(names)))))): rng.randint(0, 6) for _ in range(rng.randint(1, 6))}
+        quotas = {s: rng.randint(0, 20) for s in names}
+        given = mixing.flow(sizes, quotas)
+        used = {p: sum(v for (q, _), v in given.items() if q == p) for p in sizes}
+        assert all(v >= 0 for v in given.values()) and all(sum(v for (_, s), v in given.items() if s == x) <= quotas[x] for x in quotas) and all(used[p] <= 3 * sizes[p] for p in sizes)
+        assert (sum(used.values()), sum(cost(used[p], sizes[p]) for p in sizes)) == unit_flow(sizes, quotas)
+
+
+def unit_flow(sizes, quotas):
+    """Words and cost of a cheapest largest flow, one word at a time along a cheapest path found by Bellman and Ford."""
+    arcs = []  # from, to, capacity, cost
+    for p, n in sizes.items():
+        arcs += [["start", p, n, c] for c in mixing.REPEAT_COSTS] + [[p, s, 99, 0] for s in p]
+    arcs += [[s, "end", q, 0] for s, q in quotas.items()]
+    arcs = [x for a, b, c, w in arcs for x in ([a, b, c, w], [b, a, 0, -w])]
+    words = total = 0
+    while True:
+        far, via = {"start": 0}, {}
+        for _ in range(len(sizes) + len(quotas) + 2):
+            for i, (a, b, c, w) in enumerate(arcs):
+                if c and a in far and far[a] + w < far.get(b, 10**9):
+                    far[b], via[b] = far[a] + w, i
+        if "end" not in far:
+            return words, total
+        x = "end"
+        while x != "start":
+            arcs[via[x]][2] -= 1
+            arcs[via[x] ^ 1][2] += 1
+            x = arcs[via[x]][0]
+        words, total = words + 1, total + far["end"]
+
+
+def test_flow_of_many_patterns_is_quick():
+    rng = random.Random(2)
+    single = {(f"s{i}",): rng.randint(1, 1000) for i in range(100_000)}
+    mixed = {tuple(sorted({f"m{rng.randint(0, 3000)}" for _ in range(3)})): rng.randint(1, 1000) for _ in range(20_000)}
+    patterns = single | mixed
+    quotas = {s: rng.randint(1, 3000) for p in patterns for s in p}
+    began = time.time()
+    given = mixing.flow(patterns, quotas)
+    assert time.time() - began < 60 and sum(given.values()) > 0
+
+
+def test_clashing_names_and_patterns_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_PATTERNS", 1)
+    df = documents(spark, 400).withColumns({"_pattern": F.lit(1), "_key": F.lit(2), "_row": F.lit(3), "source_name": F.lit(4), "target": F.lit(5)})
+    mixed, plan = mixing.mix(df, F.array("source"))
+    rows = mixing.with_targets(mixed, plan, "source").collect()
+    assert len(rows) == 400 and all((r["_pattern"], r["_key"], r["_row"], r["source_name"]) == (1, 2, 3, 4) and r["target"] == plan.targets[r["source"]] for r in rows)

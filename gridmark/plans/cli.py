@@ -25,7 +25,7 @@ def parser() -> argparse.ArgumentParser:
     tiling = {"tile": 1280, "overlap": 0.2, "dpi": 150}
     command("analyze", "dataset", out="outputs/analysis")
     command("prepare", "dataset", out="data/yolo", mode="combined", val_frac=0.2, empty_frac=0.1, min_visibility=0.3, **tiling).add_argument("--render", action="store_true")
-    command("predict", "weights", "classes", "pdf", out="outputs/detections", conf=0.25, nms_iou=0.5, pages="", **tiling)
+    command("predict", "weights", "classes", "pdf", out="outputs/detections", conf=0.25, nms_iou=0.5, pages="", **tiling).add_argument("--preview", action="store_true")
     command("counts", "weights", "classes", "dataset", mode="combined", conf=0.25, out="outputs/eval", **tiling)
     command("map", "weights", "data", imgsz=1280)
     command("train", "data", model="yolov8s.pt", imgsz=1280, epochs=100, batch=8, device=None, project="runs", name="level1", patience=25).add_argument("--resume", action="store_true")
@@ -50,7 +50,7 @@ def main(args: list[str] | None = None) -> None:
         jobs.prepare(spark, a.dataset, a.out, a.mode, a.tile, a.overlap, a.dpi, a.val_frac, a.empty_frac, a.min_visibility, rasters.FitzRenderer() if a.render else None).show()
     elif a.command == "predict":
         pages = [int(p) for p in a.pages.split(",") if p]
-        jobs.predict(spark, [a.pdf], a.classes, a.out, rasters.FitzRenderer(), rasters.YoloDetector(a.weights, a.conf), a.tile, a.overlap, a.dpi, a.conf, a.nms_iou, pages).show()
+        jobs.predict(spark, [a.pdf], a.classes, a.out, rasters.FitzRenderer(), rasters.YoloDetector(a.weights, a.conf), a.tile, a.overlap, a.dpi, a.conf, a.nms_iou, pages, preview=a.preview).show()
     else:
         jobs.evaluate(spark, a.dataset, a.classes, a.out, rasters.FitzRenderer(), rasters.YoloDetector(a.weights, a.conf), a.mode, a.tile, a.overlap, a.dpi, a.conf).show()
 

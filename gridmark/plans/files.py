@@ -247,7 +247,7 @@ def cut_tiles(fx: Fixture) -> DataFrame:
 
 @query
 def page_previews(fx: Fixture) -> DataFrame:
-    found = _pages(fx).select("pdf_path", "page", F.lit(3).alias("label"), *(F.lit(v).alias(c) for c, v in (("x1", 5.0), ("y1", 5.0), ("x2", 50.0), ("y2", 40.0))))
+    found = _pages(fx).select("pdf_path", "page", F.lit(3).alias("label"), F.lit(0.5).alias("score"), *(F.lit(v).alias(c) for c, v in (("x1", 5.0), ("y1", 5.0), ("x2", 50.0), ("y2", 40.0))))
     return rasters.previews(_pages(fx), SquareRenderer(), found, ["pdf_path", "page"]).select(N.basename("pdf_path").alias("pdf"), "page", *_png_size("image"))
 
 

@@ -104,8 +104,9 @@ def _stitched(found: DataFrame, conf: float, nms_iou: float) -> DataFrame:
     return stitch.nms(placed, [*SHEET, "label"], ["t_idx"], nms_iou)
 
 
-def predict(spark: SparkSession, pdf_paths: list[str], class_map_path: str, out: str, renderer: rasters.Renderer, detector: rasters.Detector, tile: int = 1280, overlap: float = 0.2, dpi: int = 150, conf: float = 0.25, nms_iou: float = 0.5, pages: list[int] | None = None, batch: int = 16) -> DataFrame:
-    """Sheet records and counts of every page: rendered, tiled and detected once, moved to the sheet, stitched."""
+def predict(spark: SparkSession, pdf_paths: list[str], class_map_path: str, out: str, renderer: rasters.Renderer, detector: rasters.Detector, tile: int = 1280, overlap: float = 0.2, dpi: int = 150, conf: float = 0.25, nms_iou: float = 0.5, pages: list[int] | None = None, batch: int = 16, preview: bool = False) -> DataFrame:
+    """Sheet records and counts of every page: rendered, tiled and detected once, moved to the sheet, stitched.  ``preview``: also
+    images with the detections drawn, for which pages are rendered again."""
     classes = coco.class_map(spark, class_map_path)
     pdfs = spark.createDataFrame([(p,) for p in pdf_paths], "pdf_path string")
     listed = rasters.page_list(pdfs, renderer, pages).withColumns({"width": F.lit(0), "height": F.lit(0)})
@@ -120,6 +121,9 @@ def predict(spark: SparkSession, pdf_paths: list[str], class_map_path: str, out:
     sinks.records(shaped, f"{out}/records")
     summary = counts.select(N.basename("file_id").alias("source"), ident, F.col("name").alias("class"), F.col("n").alias("count"))
     sinks.counts_summary(summary, f"{out}/counts_summary.csv")
+    if preview:
+        named = {"file_id": "pdf_path", "image_id": "page"}
+        rasters.previews(sheets.withColumnsRenamed(named), renderer, kept.withColumnsRenamed(named), ["pdf_path", "page"], dpi=dpi).write.mode("overwrite").parquet(f"{out}/previews")
     return shaped
 
 

@@ -197,18 +197,62 @@ def outlined(image: np.ndarray, boxes: list[tuple[int, float, float, float, floa
     return out
 
 
+#: Lit segments of the digits 0 to 9 on a seven-segment display, a at the top, clockwise, g in the middle.
+SEGMENTS = "abcdef bc abged abgcd fgbc afgcd afgedc abc abcdefg abcdfg".split()
+_SEGMENT_BOX = {"a": (0, 0, 4, 1), "b": (3, 0, 4, 4), "c": (3, 3, 4, 7), "d": (0, 6, 4, 7), "e": (0, 3, 1, 7), "f": (0, 0, 1, 4), "g": (0, 3, 4, 4)}
+
+
+def numerals(text: str) -> np.ndarray:
+    """[row, column] mask of digits, dots and blanks as a seven-segment display shows them, 7 rows by 5 columns each."""
+    out = np.zeros((7, 5 * len(text)), bool)
+    for i, c in enumerate(text):
+        for segment in SEGMENTS[int(c)] if c.isdigit() else "":
+            x0, y0, x1, y1 = _SEGMENT_BOX[segment]
+            out[y0:y1, 5 * i + x0 : 5 * i + x1] = True
+        if c == ".":
+            out[6, 5 * i + 1] = True
+    return out
+
+
+def stamped(image: np.ndarray, x: int, y: int, text: str, colour: tuple[int, int, int], scale: int = 2) -> None:
+    """Writes ``text`` in white on a plate of ``colour`` with its upper left corner at (x, y), clipped to the image."""
+    mask = np.pad(np.kron(numerals(text), np.ones((scale, scale), bool)), scale)
+    high, wide = image.shape[:2]
+    x, y = max(0, min(x, wide - mask.shape[1])), max(0, min(y, high - mask.shape[0]))
+    mask = mask[: high - y, : wide - x]
+    plate = image[y : y + mask.shape[0], x : x + mask.shape[1]]
+    plate[:] = colour
+    plate[mask] = 255
+
+
+def annotated(image: np.ndarray, boxes: list[tuple[int, float, float, float, float, float]], width: int = 3) -> np.ndarray:
+    """``outlined`` (label, score, x1, y1, x2, y2), each box with a tag of its class number and score above it, and a
+    legend at the upper right: a row a class with its number and count, and the total on black."""
+    out = outlined(image, [(label, *corners) for label, _, *corners in boxes], width)
+    for label, score, x1, y1, *_ in boxes:
+        stamped(out, round(x1), round(y1) - 18, f"{label} {score:.2f}", PALETTE[label % len(PALETTE)])
+    counts: dict[int, int] = {}
+    for label, *_ in boxes:
+        counts[label] = counts.get(label, 0) + 1
+    rows = [(f"{label} {counts[label]}", PALETTE[label % len(PALETTE)]) for label in sorted(counts)]
+    rows += [(str(len(boxes)), (0, 0, 0))] if boxes else []
+    for i, (text, colour) in enumerate(rows):
+        stamped(out, out.shape[1] - 10 * len(text) - 8, 4 + 20 * i, text, colour)
+    return out
+
+
 def previews(pages: DataFrame, renderer: Renderer, detections: DataFrame, by: list[str], width: int = 3, dpi: int = 150) -> DataFrame:
-    """(pdf_path, page, image as PNG) of each page with its detections (by, label, x1, y1, x2, y2) outlined; pages
-    without any keep their plain image.  Boxes join the page, which is rendered and drawn on in one task.  Names and
-    counts of the legend are ``stitch.legend``."""
-    listed = detections.groupBy(*by).agg(F.collect_list(F.struct("label", "x1", "y1", "x2", "y2")).alias("boxes"))
+    """(pdf_path, page, image as PNG) of each page with its detections (by, label, score, x1, y1, x2, y2) outlined and
+    tagged, and a legend; pages without any keep their plain image.  Boxes join the page, which is rendered and drawn on
+    in one task.  Tags and legend show class numbers; their names and counts are ``stitch.legend``."""
+    listed = detections.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("label", "score", "x1", "y1", "x2", "y2"))).alias("boxes"))
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.itertuples():
                 image, _ = _drawn(renderer, r, dpi)
                 if image is not None:
-                    found = [(b["label"], b["x1"], b["y1"], b["x2"], b["y2"]) for b in (r.boxes if r.boxes is not None else [])]
-                    yield pd.DataFrame({"pdf_path": [r.pdf_path], "page": [r.page], "image": [png(outlined(image, found, width))]})
+                    found = [tuple(b[c] for c in ("label", "score", "x1", "y1", "x2", "y2")) for b in (r.boxes if r.boxes is not None else [])]
+                    yield pd.DataFrame({"pdf_path": [r.pdf_path], "page": [r.page], "image": [png(annotated(image, found, width))]})
 
     return pages.join(listed, by, "left").select("pdf_path", "page", "width", "height", "boxes").mapInPandas(draw, "pdf_path string, page int, image binary")

@@ -158,7 +158,7 @@ def test_stream_counts(spark, root, tmp_path):
 
 def test_previews(spark):
     pages = spark.createDataFrame([("/a.pdf", 1, 60, 40), ("/a.pdf", 2, 60, 40)], "pdf_path string, page int, width int, height int")
-    found = spark.createDataFrame([("/a.pdf", 1, 23, 5.0, -2.0, 20.0, 30.0)], "pdf_path string, page int, label int, x1 double, y1 double, x2 double, y2 double")
+    found = spark.createDataFrame([("/a.pdf", 1, 23, 0.5, 5.0, -2.0, 20.0, 30.0)], "pdf_path string, page int, label int, score double, x1 double, y1 double, x2 double, y2 double")
     rows = {r["page"]: bytes(r["image"]) for r in rasters.previews(pages, Plain(), found, ["pdf_path", "page"]).collect()}
     assert rows[1] != rows[2] and all(x.startswith(b"\x89PNG") for x in rows.values())
     image = rasters.outlined(np.zeros((40, 60, 3), np.uint8), [(23, 5.0, -2.0, 20.0, 30.0)])
@@ -168,3 +168,14 @@ def test_previews(spark):
 class Plain(Blank):
     def __call__(self, pdf_path, page, dpi, size):
         return np.full((size[1], size[0], 3), 90, np.uint8)
+
+
+def test_numerals_tags_and_legend():
+    shown = ["".join("#" if x else "." for x in row) for row in rasters.numerals("12.")]
+    assert shown == ["...#.####......", "...#....#......", "...#....#......", "...#.####......", "...#.#.........", "...#.#.........", "...#.####..#..."]
+    image = rasters.annotated(np.zeros((200, 300, 3), np.uint8), [(1, 0.91, 20.0, 60.0, 80.0, 90.0), (1, 0.5, 20.0, 120.0, 80.0, 150.0), (2, 0.7, 120.0, 60.0, 180.0, 90.0)])
+    assert tuple(image[43, 21]) == rasters.PALETTE[1] and tuple(image[60, 40]) == rasters.PALETTE[1]
+    legend = image[:70, 230:]
+    assert all((legend == np.array(rasters.PALETTE[k])).all(2).any() for k in (1, 2)) and (legend == 255).all(2).any()
+    tiny = rasters.annotated(np.zeros((5, 6, 3), np.uint8), [(0, 1.0, 0.0, 0.0, 5.0, 5.0)])
+    assert tiny.shape == (5, 6, 3)

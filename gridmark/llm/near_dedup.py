@@ -22,7 +22,7 @@ of other components share takes M^2 / BLOCK_NODES rows, as each pair of blocks i
 A link is confirmed on the full sets of both texts.  Components come from alternating large and small stars (minimum
 labels), each round settled in the shared folder.  Keys, joins and counts are shuffles that AQE can split; nothing is
 gathered to the driver.  Before wide rows are shuffled for a join, those without a partner are dropped by a broadcast
-table of ``BITS`` bits, of that size whatever the input; a full table only drops less.
+table of bits (``store.sifted``), of one size whatever the input; a full table only drops less.
 
 Null text counts as empty.  ``component_id`` is the smallest doc_id reachable (null ids last: only components without
 any id have none).  Repeated rows share a node and keep their rows.  Other columns, whatever their names, play no part.
@@ -40,10 +40,10 @@ from pyspark.sql import functions as F
 
 from .flat import byte_numbers, drawn, groups, mix, span_hashes, spans, text_bytes, white
 from .quality_rules import WORD
-from .store import settled, small_batches, written
+from .store import settled, sifted, small_batches, unused, written
 
 SYMBOLS, DISTANCE = 64, 27
-SMALL, BLOCK_NODES, BLOCK_HASHES, BITS, KEPT_HASHES = 32, 1024, 1 << 21, 1 << 23, 2_000_000
+SMALL, BLOCK_NODES, BLOCK_HASHES, KEPT_HASHES = 32, 1024, 1 << 21, 2_000_000
 _FACTORS = (drawn(7, SYMBOLS) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 #: Chunks of symbols, and the errors allowed in each; errors and chunks together exceed DISTANCE.
 _PARTS = [(np.arange(4 * k, 4 * k + 4), 1) for k in range(10)] + [(np.arange(40 + 3 * k, 43 + 3 * k), 0) for k in range(8)]
@@ -249,16 +249,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return stars.select(F.col("u").alias("id"), F.col("v").alias("root")).union(stars.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
-def sifted(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose ``column`` may be among the values of the one column of ``wanted``: all that are, and
-    those that share a bit with one.  The table of bits is broadcast, BITS / 64 rows at most."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))
-    bits = wanted.select(place(wanted.columns[0]).alias("p")).groupBy(F.floor(F.col("p") / 64).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-    placed = df.withColumn("_p", place(column)).join(F.broadcast(bits), F.floor(F.col("_p") / 64) == F.col("_word"))
-    return placed.where(F.getbit("_bits", (F.col("_p") % 64).cast("int")) == 1).select(df.columns)
-
-
 def _within(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) within the distance whose sizes allow a link."""
     for k in "ab":
@@ -352,14 +342,15 @@ def deduplicated(df: DataFrame, doc_col: str = "doc_id", text_col: str = "text",
     """The rows of ``df``, one of each component: that of the smallest doc id, then the smallest digest of the text.
     Repeated rows count once; rows without words stay, each one."""
     rows = linked(df, doc_col, text_col, width, percent)[0].where("n > 0")
+    key, doc, digest = (unused(df, name) for name in ("dedup_key", "dedup_doc", "dedup_digest"))
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "md5")).alias("m"))
-    first = settled(first.select(F.col("m.doc").alias("_doc"), F.col("m.md5").alias("_md5")))
+    first = settled(first.select(F.col("m.doc").alias(doc), F.col("m.md5").alias(digest)))
     md5 = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     full = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
-    marked = df.withColumn("_key", F.when(full, md5))
-    same = marked[doc_col].eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_md5"))
-    chosen = marked.where("_key IS NOT NULL").join(first, same, "left_semi").dropDuplicates([doc_col, "_key"])
-    return chosen.unionByName(marked.where("_key IS NULL")).drop("_key")
+    marked = df.withColumn(key, F.when(full, md5))
+    same = F.col(doc_col).eqNullSafe(F.col(doc)) & (F.col(key) == F.col(digest))
+    chosen = marked.where(F.col(key).isNotNull()).join(first, same, "left_semi").dropDuplicates([doc_col, key])
+    return chosen.unionByName(marked.where(F.col(key).isNull())).drop(key)
 
 
 def _own(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

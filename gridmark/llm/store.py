@@ -5,11 +5,15 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests), a folder of the warehouse."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset on a local master (tests), a folder of the
+    warehouse.  On a cluster it must be set: a folder of one machine would lose what others read."""
     told = spark.conf.get("spark.checkpoint.dir", None)
+    if not told and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return told or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
@@ -48,5 +52,21 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Bits of the table of ``sifted``.
+BITS = 1 << 23
+
+
+def sifted(df: DataFrame, column: str, wanted: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows of ``df`` whose ``column`` may be among the values of the one column of ``wanted``: all that are, and
+    those that share a bit with one; or, not ``inside``, the others.  The table of bits is broadcast, BITS / 64 rows at
+    most whatever the input; a full table only lets more through."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))
+    bits = wanted.select(place(wanted.columns[0]).alias("p")).groupBy(F.floor(F.col("p") / 64).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    placed = df.withColumn("_p", place(column)).join(F.broadcast(bits), F.floor(F.col("_p") / 64) == F.col("_word"), "inner" if inside else "left")
+    hit = F.coalesce(F.getbit("_bits", (F.col("_p") % 64).cast("int")) == 1, F.lit(False))
+    return placed.where(hit if inside else ~hit).select(df.columns)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

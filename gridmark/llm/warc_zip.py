@@ -32,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import settled, shared_dir, small_batches
+from .store import settled, shared_dir, sifted, small_batches
 
 ARCHIVE_BYTES = 16 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -173,7 +173,11 @@ def _write(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 
 def write(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Archives of the rows of ``df``; the settled manifest (archive, records)."""
+    """Archives of the rows of ``df``; the settled manifest (archive, records).
+
+    Keys are whole numbers (cast to long).  Pages whose payload no other has are written where they are read; only those
+    that may have a copy are shuffled, to learn of the newest one, by a join that Spark can split.
+    """
     spark = df.sparkSession
     small_batches(spark)
     folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
@@ -181,8 +185,10 @@ def write(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "ht
     store.create_dir(path, recursive=True)
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.col(html).alias("html"))
     digest = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
-    newest = rows.select("key", digest.alias("digest")).groupBy("digest").agg(F.max("key").alias("newest"), F.count("*").alias("n")).where("n > 1").drop("n")
-    marked = rows.withColumn("digest", digest).join(newest, "digest", "left")
+    newest = settled(rows.select("key", digest.alias("digest")).groupBy("digest").agg(F.max("key").alias("newest"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    own, names = rows.withColumn("digest", digest), newest.select("digest")
+    alone = sifted(own, "digest", names, inside=False).withColumn("newest", F.lit(None).cast("long"))
+    marked = sifted(own, "digest", names).join(newest, "digest", "left").unionByName(alone)
     revisit = F.col("newest").isNotNull() & ~F.col("key").eqNullSafe(F.col("newest"))
     return settled(marked.select("key", "url", "html", F.col("newest").alias("refers"), revisit.alias("revisit")).mapInArrow(partial(_write, folder), "archive string, records bigint"))
 

@@ -4,7 +4,7 @@ A gear rolling hash over the last 16 bytes cuts every text where the hash ends i
 passages are cut alike wherever they stand.  A chunk's inside, from its first to its last white space, is encoded once
 a worker and kept by content; copies and shared passages meet the kept ids.  A join, the word that a cut runs through
 (over several cuts, if no white space lies between them), is re-encoded whole, then again with a word more on each
-side; if that window's ids aren't the ids of its parts, it is widened until both agree, at last to the whole text.
+side, and so on with twice as many while that window's ids aren't the ids of its words, at last the whole text.
 Agreement within the words of a chunk holds because the vocabulary drops white space, which ``Encoder`` checks.
 
 Words of a new chunk go through a memo of words, so the library encodes a word once while the memo holds it.  Both
@@ -12,7 +12,8 @@ stores are bounded, in two generations: when the young one is full, it becomes t
 
 Reuse is within a Python worker.  A store of chunks for the whole corpus would shuffle all text and then all ids,
 more disk than the input; nothing is shuffled here, rows are independent, and memory is bounded by the stores and one
-batch.  Null and empty texts have no ids.
+batch.  Null and empty texts have no ids; a word of any length is one join or part of a chunk; repeated texts meet kept
+chunks; ids and other columns play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -52,9 +53,11 @@ class Kept:
         self.load += self.weigh(value)
 
 
-def _window(parts: list[bytes], i: int) -> bytes:
-    """The join ``parts[i]`` with the whole word before it and the whole word after it."""
-    return b" ".join([*parts[i - 1].rsplit(None, 1)[-1:], parts[i], *parts[i + 1].split(None, 1)[:1]])
+def _window(parts: list[bytes], i: int, words: int = 1) -> bytes:
+    """The join ``parts[i]`` with the whole words before it and after it, of its neighbouring chunks."""
+    before = parts[i - 1].rsplit(None, words)[-words:] if parts[i - 1].strip() else []
+    after = parts[i + 1].split(None, words)[:words] if parts[i + 1].strip() else []
+    return b" ".join([*before, parts[i], *after])
 
 
 class Encoder:
@@ -141,11 +144,17 @@ class Encoder:
         for key in keys:
             if windows[key] != b"".join(map(known.__getitem__, key.split())):
                 odd.add(key)
-        out = []
-        for ids, parts in texts:
-            wrong = odd and any(_window(parts, i) in odd for i in range(1, len(parts), 2))
-            out.append(self.whole(b"".join(parts)) if wrong else b"".join(ids))
-        return out
+        return [self._repaired(ids, parts, odd) if odd else b"".join(ids) for ids, parts in texts]
+
+    def _repaired(self, ids: list[bytes], parts: list[bytes], odd: set[bytes]) -> bytes:
+        """Joined ids, or the whole text's where a join's window never agrees with its words however wide it grows."""
+        for i in range(1, len(parts), 2):
+            words = 1
+            while (window := _window(parts, i, words)) in odd or words > 1 and self.whole(window) != b"".join(map(self._learn(set(window.split())).__getitem__, window.split())):
+                if window == _window(parts, i, 2 * words):  # no wider window within the chunks
+                    return self.whole(b"".join(parts))
+                words *= 2
+        return b"".join(ids)
 
     def decode(self, ids: bytes) -> bytes:
         """The text of ids, pieces joined by one space as the vocabulary (without a decoder of its own) asks."""

@@ -96,3 +96,22 @@ def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     out = op1_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
     assert out.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
+
+
+def test_the_model_is_bounded_over_all_languages(spark):
+    alphabets = [chr(0x400 + 3 * k) + chr(0x401 + 3 * k) + chr(0x402 + 3 * k) for k in range(70)]
+    text = lambda k, seed: " ".join("".join(alphabets[k][(i * seed + j) % 3] for j in range(4)) for i in range(60))
+    df = spark.createDataFrame([(text(k, 5), f"l{k:02d}") for k in range(70)], "text string, lang string")
+    probes = spark.createDataFrame([(k, text(k, 7)[:80]) for k in range(70)], "k int, text string")
+    for cells in (100_000, 16_000_000):
+        model = language_id.train(df, most_cells=cells)
+        assert sum(c.size for c in model.cost) <= cells and model.node.dtype == np.uint16
+        assert all(r["p"] == f"l{r['k']:02d}" for r in probes.select("k", language_id.identify(model, spark, "text")["lang_pred"].alias("p")).collect())
+
+
+def test_a_language_of_one_long_text_is_learned(spark):
+    df = spark.createDataFrame([("aaa bbb " * 40_000, "long"), *((f"ccc ddd {i}", "short") for i in range(50))], "text string, lang string")
+    model = language_id.train(df, sample_bytes=200)
+    assert model.languages == ("long", "short")
+    probes = spark.createDataFrame([("bbb aaa bbb",), ("ddd ccc",)], "text string")
+    assert [r[0] for r in probes.select(language_id.identify(model, spark, "text")["lang_pred"]).collect()] == ["long", "short"]

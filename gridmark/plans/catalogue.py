@@ -276,7 +276,7 @@ def nms_class_aware(fx: Fixture) -> DataFrame:
 
 @query
 def confident_detections(fx: Fixture) -> DataFrame:
-    return _detections(fx).where(F.col("score") >= 0.25).groupBy("label").agg(F.count("*").alias("n"))
+    return stitch.confident(_detections(fx)).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query

@@ -4,6 +4,7 @@ worked on, and what was written is read back."""
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +27,24 @@ def query(f):
     return f
 
 
+_MADE: dict[tuple, str] = {}
+
+
+def once(make: Callable[[Fixture], str]) -> Callable[[Fixture], str]:
+    """What ``make`` writes, a folder, made once for a session's data folder while it exists."""
+
+    def made(fx: Fixture) -> str:
+        key = (make.__name__, fx.spark.sparkContext.applicationId, fx.sf_dir)
+        path = fx.spark._jvm.org.apache.hadoop.fs.Path
+        conf = fx.spark._jsc.hadoopConfiguration()
+        if key not in _MADE or not path(_MADE[key]).getFileSystem(conf).exists(path(_MADE[key])):
+            _MADE[key] = make(fx)
+        return _MADE[key]
+
+    return made
+
+
+@once
 def annotation_files(fx: Fixture) -> str:
     """The folder of a set: one document a file of the fixture, unusable files, and a PDF in every folder but ``misc``."""
     single = F.col("file_id") % 11 == 5
@@ -124,6 +143,7 @@ def dataset_yaml_text(fx: Fixture) -> DataFrame:
     return _text(fx, path)
 
 
+@once
 def _analysis(fx: Fixture) -> str:
     out = scratch.folder(fx.spark, "analysis")
     jobs.analyze(fx.spark, annotation_files(fx), out)
@@ -257,6 +277,7 @@ def tiled_detections(fx: Fixture) -> DataFrame:
     return found.select(N.basename("pdf_path").alias("pdf"), "page", "width", "height", "t_idx", "label", "score", "x1", "y1", "x2", "y2", "error")
 
 
+@once
 def _predicted_files(fx: Fixture) -> str:
     out = scratch.folder(fx.spark, "predicted")
     path = scratch.folder(fx.spark, "classes")

@@ -44,7 +44,7 @@ class Fixture:
     """The derived tables over one data folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
+        self.spark, self.sf_dir = spark, sf_dir
         self.table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
         self.files, self.images, self.categories, self.annotations, self.pdfs = (self._made(q) for q in (FILES, IMAGES, CATEGORIES, ANNOTATIONS, PDFS))
 

@@ -99,7 +99,7 @@ def prepare(spark: SparkSession, root: str, out: str, mode: str = "combined", ti
 
 def _stitched(found: DataFrame, conf: float, nms_iou: float) -> DataFrame:
     """Confident detections of pages, moved to the sheet and suppressed by class."""
-    confident = found.where(F.col("label").isNotNull() & (F.col("score") >= conf))
+    confident = stitch.confident(found.where("label IS NOT NULL"), conf)
     placed = confident.withColumns({k: F.col(k) + F.col(k[0] + "0") for k in ("x1", "y1", "x2", "y2")}).drop("x0", "y0", "width", "height", "error")
     return stitch.nms(placed, [*SHEET, "label"], ["t_idx"], nms_iou)
 

@@ -39,6 +39,16 @@ def touching(low: Column, high: Column, length: Column, tile: int, overlap: floa
     return F.sequence(first, end)
 
 
+def starts(length: Column, tile: int, overlap: float) -> Column:
+    """Sorted starts of the tiles that cover a side."""
+    return F.transform(indices(length, tile, overlap), lambda i: start(i, length, tile, overlap))
+
+
+def touching_starts(low: Column, high: Column, length: Column, tile: int, overlap: float) -> Column:
+    """Starts of the tiles that may meet the open interval (low, high)."""
+    return F.transform(touching(low, high, length, tile, overlap), lambda i: start(i, length, tile, overlap))
+
+
 def start_list(length: int, tile: int, overlap: float) -> list[int]:
     """``start`` of every tile, for code inside workers."""
     last = max(0, length - tile)

@@ -55,7 +55,7 @@ def test_split(spark, key, bucket, split):
     "length, expected", [(6300, [0, 1024, 2048, 3072, 4096, 5020]), (1280, [0]), (1281, [0, 1]), (1000, [0]), (3000, [0, 1024, 1720]), (4500, [0, 1024, 2048, 3072, 3220]), (0, [0])]
 )
 def test_starts(spark, length, expected):
-    assert one(spark, G.starts(F.lit(length), 1280, 0.2)) == expected
+    assert one(spark, G.starts(F.lit(length), 1280, 0.2)) == expected == G.start_list(length, 1280, 0.2)
 
 
 @settings(max_examples=15, deadline=None)

@@ -3,15 +3,18 @@
 Words are runs of letters (and all bytes from 128 on), of digits, or of punctuation, with A-Z lower-cased, in
 ``BUCKETS`` hash buckets.  Every bucket has a sparse ternary index vector; a bucket's word vector is the normalised
 sum of its neighbours' index vectors (two to each side) over all documents, held out or not, as no label is read.  A
-word also has a form (case, digit,
-punctuation; the word before repeated or not), and every form an index vector.  A document is the mean of its words'
-vectors beside the mean of its forms' vectors.  A tanh layer and a logistic unit, trained with Adam in numpy, give a
-logit; a temperature fitted on a fifth of the sample that training doesn't see turns it into a probability.
+word also has a form (case, digit, punctuation; the word before repeated or not), and every form an index vector.  A
+document is the mean of its words' vectors beside the mean of its forms' vectors.  A tanh layer and a logistic unit,
+trained with Adam in numpy, give a logit; a temperature fitted on a fifth of the sample that training doesn't see turns
+it into a probability.
 
 The sample that the network and the temperature are fitted on is bounded: ``sample_rows`` labelled rows in hash order
-whose texts have at most ``longest`` bytes.  Word vectors and scoring read all of every text.  As the first layer is linear in the mean, the frozen model is one
-table [bucket, hidden unit] in fixed point, so scores don't depend on batches, and scoring is a gather over flat
-bytes.  Null and empty texts have a mean of zero and get the score of that.
+whose texts have at most ``longest`` bytes.  Word vectors and scoring read all of every text.  As the first layer is
+linear in the mean, the frozen model is one table [bucket, hidden unit] in fixed point, so scores don't depend on
+batches, and scoring is a gather over flat bytes.
+
+Null and empty texts have a mean of zero and get the score of that.  Long texts are read whole, in blocks; equal texts
+score alike; null ids meet no label; other columns play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -201,16 +201,16 @@ def resolve(df: DataFrame, pieces_col: str, media: DataFrame) -> DataFrame:
 
 def paragraphs(text: Column) -> Column:
     """The non-empty lines of a text, white space within them as ``pieces`` leaves it."""
-    plain = lambda line: F.trim(F.regexp_replace(line, SPACES.pattern, " "))
-    return F.array_remove(F.transform(F.split(text, "\n"), plain), "")
+    plain = F.trim(F.regexp_replace(text, r"[ \t\f\r]{2,}|[\t\f\r]", " "))
+    return F.array_remove(F.split(plain, " ?\n ?"), "")
 
 
-def page(text: Column, cover: Column, whole: Column, caption: Column) -> Column:
-    """An html page of a text: a reference to its cover, half of its paragraphs, a figure that refers to the whole text,
-    and the other paragraphs.  ``cover`` and ``whole`` are digests."""
-    escaped = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    lines = paragraphs(escaped)
+def page(lines: Column, digest: Column, caption: Column) -> Column:
+    """An html page of paragraphs: a reference to the media named by ``digest`` as its cover, half of the paragraphs, a
+    figure that refers to it again, and the other paragraphs."""
+    escaped = lambda text: F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    mark = F.lit("\n\n")  # no paragraph holds a line break
+    body = lambda part: F.concat(F.lit("<p>"), F.replace(escaped(F.array_join(part, "\n\n")), mark, F.lit("</p><p>")), F.lit("</p>"))
     half = F.floor(F.size(lines) / 2).cast("int")
-    body = lambda part: F.array_join(F.transform(part, lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "")
-    figure = F.concat(F.lit('<figure><img src="sha256:'), whole, F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure>"))
-    return F.concat(F.lit('<img src="sha256:'), cover, F.lit('" alt="cover">'), body(F.slice(lines, 1, half)), figure, body(F.slice(lines, half + 1, F.size(lines))))
+    figure = F.concat(F.lit('<figure><img src="sha256:'), digest, F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure>"))
+    return F.concat(F.lit('<img src="sha256:'), digest, F.lit('" alt="cover">'), body(F.slice(lines, 1, half)), figure, body(F.slice(lines, half + 1, F.size(lines))))

@@ -71,26 +71,27 @@ def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text as an interleaved page: its paragraphs, its first row of bytes as a cover, and the whole text as media
-    in the middle.  References resolve by digest; ``in_order``: the text pieces are the text's paragraphs in order, and
-    both references stand at their places with what they refer to."""
-    text = F.coalesce("text", F.lit(""))
-    raw, first = text.cast("binary"), F.substring(text.cast("binary"), 1, media.ROW)
-    docs = read(spark, sf_dir, "documents").select("doc_id", text.alias("text"), raw.alias("raw"), F.sha2(raw, 256).alias("whole"), first.alias("first"), F.sha2(first, 256).alias("cover"))
-    payloads = docs.select(F.explode(F.array(F.struct(F.col("whole").alias("digest"), F.col("raw").alias("payload")), F.struct(F.col("cover").alias("digest"), F.col("first").alias("payload")))).alias("p")).select("p.*")
-    figures = media.features(media.store(payloads, "digest", "payload"))
-    pages = docs.select("doc_id", F.length("raw").cast("long").alias("n_bytes"), "cover", "whole", F.xxhash64(media.paragraphs(F.col("text"))).alias("said"), media.sequence(media.page(F.col("text"), F.col("cover"), F.col("whole"), F.lit("whole text"))).alias("pieces"))
+    """Every text kept as media, and as an interleaved page: its paragraphs, a reference to the media as the cover and
+    another one in a figure in the middle.  References resolve by digest; ``in_order``: the text pieces are the text's
+    paragraphs in order, and both references stand, captioned, at their places, and resolve alike."""
+    raw, text = F.coalesce("text", F.lit("")).cast("binary"), F.coalesce("text", F.lit(""))
+    docs = read(spark, sf_dir, "documents").select("doc_id", text.alias("text"), raw.alias("raw"), F.sha2(raw, 256).alias("digest"))
+    figures = media.features(media.store(docs, "digest", "raw"))
+    cut = docs.select("doc_id", F.length("raw").cast("long").alias("n_bytes"), "digest", media.paragraphs(F.col("text")).alias("lines"))
+    pages = cut.select("doc_id", "n_bytes", "digest", F.xxhash64("lines").alias("said"), F.size("lines").alias("n"), media.sequence(media.page(F.col("lines"), F.col("digest"), F.lit("whole text"))).alias("pieces"))
     told = F.xxhash64(F.transform(F.filter("pieces", lambda p: p["kind"] == "text"), lambda p: p["text"]))
-    checked = pages.select("doc_id", "n_bytes", "cover", "whole", (F.col("said") == told).alias("told"), F.size("pieces").alias("n_pieces"), F.filter("pieces", lambda p: p["kind"] != "text").alias("pieces"))
+    named = F.transform(F.filter("pieces", lambda p: p["kind"] != "text"), lambda p: F.concat_ws(" ", p["position"].cast("string"), p["ref"], p["caption"]))
+    places = (("0", "cover"), ((1 + F.floor(F.col("n") / 2)).cast("string"), "whole text"))
+    due = F.array(*(F.concat_ws(" ", F.lit(at) if isinstance(at, str) else at, F.concat(F.lit("sha256:"), "digest"), F.lit(caption)) for at, caption in places))
+    references = F.filter("pieces", lambda p: p["kind"] != "text")
+    checked = pages.select("doc_id", "n_bytes", F.xxhash64("digest").alias("of"), ((F.col("said") == told) & (named == due)).alias("placed"), F.size("pieces").alias("n_pieces"), references.alias("pieces"))
     resolved = media.resolve(checked, "pieces", figures)
-    is_whole = F.col("caption") == "whole text"
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    placed = F.when(is_whole, (F.col("ref") == F.concat(F.lit("sha256:"), "whole")) & (F.col("position") > 0)).otherwise((F.col("ref") == F.concat(F.lit("sha256:"), "cover")) & (F.col("position") == 0) & (F.col("caption") == "cover"))
-    folded = resolved.groupBy("doc_id", "n_bytes", "cover", "whole", "told", "n_pieces").agg(
-        F.count_if(is_whole).alias("times"), F.count("*").alias("n"), F.bool_and(F.coalesce(placed & F.col("payload_bytes").isNotNull(), F.lit(False))).alias("placed"),
-        F.max(F.when(is_whole, F.struct("position", *names))).alias("m"),
+    cover = F.col("caption") == "cover"
+    folded = resolved.groupBy("doc_id", "n_bytes", "of", "placed", "n_pieces").agg(
+        F.count_if(~cover).alias("times"), F.count_if(cover).alias("covers"), F.count_if(F.col("payload_bytes").isNull()).alias("open"), F.max(F.when(~cover, F.struct("position", *names))).alias("m"),
     )
-    in_order = (F.col("told") & F.col("placed") & (F.col("n") == 2 * F.col("times"))).alias("in_order")
+    in_order = (F.col("placed") & (F.col("covers") == F.col("times")) & (F.col("open") == 0)).alias("in_order")
     return folded.select("doc_id", "n_bytes", *(F.col(f"m.{c}") for c in names), "n_pieces", "m.position", in_order, F.explode(F.sequence(F.lit(1), "times"))).drop("col")
 
 

@@ -99,7 +99,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_the_model_is_bounded_over_all_languages(spark):
-    alphabets = [chr(0x400 + 3 * k) + chr(0x401 + 3 * k) + chr(0x402 + 3 * k) for k in range(70)]
+    alphabets = [chr(0x4E00 + 3 * k) + chr(0x4E01 + 3 * k) + chr(0x4E02 + 3 * k) for k in range(70)]  # letters all
     text = lambda k, seed: " ".join("".join(alphabets[k][(i * seed + j) % 3] for j in range(4)) for i in range(60))
     df = spark.createDataFrame([(text(k, 5), f"l{k:02d}") for k in range(70)], "text string, lang string")
     probes = spark.createDataFrame([(k, text(k, 7)[:80]) for k in range(70)], "k int, text string")

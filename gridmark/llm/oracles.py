@@ -72,4 +72,46 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
   CASE WHEN page_id IS NOT DISTINCT FROM newest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM newest THEN newest END AS refers_to
 FROM b"""
 
-ORACLES = {"op3_quality_rules": OP3, "op4_license_scan": OP4, "op7_near_dedup": OP7, "op8_warc_zip": OP8}
+#: CRC-32 byte by byte: the 256 remainders by bits, then a fold over the bytes of each different feature.
+OP11 = r"""
+WITH crc AS (SELECT list(list_reduce(range(0, 8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, n::BIGINT) ORDER BY n) AS t FROM range(0, 256) r(n)),
+d AS (SELECT row_number() OVER () AS r, doc_id, true AS own, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT row_number() OVER () AS r, NULL, false, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+gram AS (SELECT r, own, g, count(*) AS n FROM (SELECT r, own, array_to_string(w[p:p + k - 1], ' ') AS g FROM (SELECT r, own, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d CROSS JOIN range(1, 4) x(k))) GROUP BY ALL),
+hashed AS (SELECT g, xor(list_reduce(list_transform(range(0, strlen(g)), lambda i: ('0x' || substr(hex(g), 2 * i::INT + 1, 2))::BIGINT), lambda c, b: xor(c // 256, t[1 + xor(c, b) % 256]), 4294967295::BIGINT), 4294967295::BIGINT) % 10000 AS b FROM (SELECT DISTINCT g FROM gram) CROSS JOIN crc),
+per AS (SELECT r, own, b, sum(n) AS n FROM gram JOIN hashed USING (g) GROUP BY ALL),
+total AS (SELECT b, coalesce(sum(n) FILTER (own), 0) AS s, coalesce(sum(n) FILTER (NOT own), 0) AS t FROM per GROUP BY b),
+size AS (SELECT sum(s) + 10000 AS s_all, sum(t) + 10000 AS t_all FROM total),
+gain AS (SELECT b, floor(1000 * ln((t + 1)::DOUBLE * s_all::DOUBLE / ((s + 1)::DOUBLE * t_all::DOUBLE)))::BIGINT AS gain FROM total CROSS JOIN size),
+weight AS (SELECT r, sum(n)::BIGINT AS n, sum(n * gain)::BIGINT AS weight FROM per JOIN gain USING (b) WHERE own GROUP BY r),
+scored AS (SELECT doc_id, len(w) AS n_words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score FROM (SELECT * FROM d WHERE own) LEFT JOIN weight USING (r)),
+drawn AS (SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) END AS place FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * (SELECT count(*) FROM scored WHERE n_words >= 20) // 100 THEN place END::BIGINT AS rank FROM drawn"""
+
+OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+tok AS (SELECT r, lang, source, t, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS t FROM d) GROUP BY ALL),
+term AS (SELECT lang, t, sum(n)::HUGEINT AS n FROM tok GROUP BY lang, t HAVING count(*) >= 3),
+own AS (SELECT lang, source, t, sum(tok.n)::HUGEINT AS n FROM tok JOIN term USING (lang, t) GROUP BY lang, source, t),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM term GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+gn AS (SELECT g.lang, g.source, v.v, v.n AS lang_n, coalesce((SELECT sum(own.n) FROM own WHERE own.lang = g.lang AND own.source = g.source), 0)::HUGEINT AS n FROM g JOIN v ON v.lang = g.lang),
+p AS (SELECT gn.lang, gn.source, term.t, coalesce(own.n, 0) AS c, 1 + 1000000000 * (coalesce(own.n, 0) + 1) // (gn.n + gn.v) AS p, 1 + 1000000000 * (term.n + 1) // (gn.lang_n + gn.v) AS q
+  FROM gn JOIN term ON term.lang = gn.lang LEFT JOIN own ON own.lang = gn.lang AND own.source = gn.source AND own.t = term.t),
+near AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(near.value, 0)::BIGINT AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN near ON near.lang = x.lang AND near.source = x.source AND near.item = y.source),
+told AS (SELECT lang, source, 'term' AS part, t AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p WHERE c > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item))::INT AS rank FROM pair
+UNION ALL SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item))::INT AS rank FROM told) WHERE rank <= 200"""
+
+OP13 = r"""
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+fit AS (SELECT * FROM e WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+link AS (SELECT a.r AS a, b.r AS b FROM fit a JOIN fit b ON a.label = b.label AND len(a.v) = len(b.v) AND a.r <> b.r WHERE list_cosine_similarity(a.v, b.v) >= 0.98::DOUBLE),
+reach AS (SELECT r AS a, r AS b FROM e UNION SELECT x.a, link.b FROM reach x JOIN link ON link.a = x.b),
+least AS (SELECT x.a AS r, min(e.vec_id) AS m FROM reach x JOIN e ON e.r = x.b GROUP BY 1),
+n AS (SELECT a AS r, count(*) AS n FROM link GROUP BY 1)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, m AS component_id, e.vec_id IS NOT DISTINCT FROM m AS kept FROM e JOIN least USING (r) LEFT JOIN n USING (r)"""
+
+ORACLES = {"op3_quality_rules": OP3, "op4_license_scan": OP4, "op7_near_dedup": OP7, "op8_warc_zip": OP8, "op11_resampling": OP11, "op12_divergence": OP12, "op13_embedding_dedup": OP13}

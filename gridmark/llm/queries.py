@@ -1,4 +1,4 @@
-"""The queries op1 to op10: thin applications of the operators to their whole tables."""
+"""The queries op1 to op13: thin applications of the operators to their whole tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, language_id, license_scan, media, mixing, near_dedup, quality_model, quality_rules, warc_zip
+from . import bpe, divergence, embedding_dedup, html_text, language_id, license_scan, media, mixing, near_dedup, quality_model, quality_rules, resampling, warc_zip
 from .oracles import ORACLES  # noqa: F401  (read with QUERIES)
 from .store import read, small_batches
 
@@ -104,7 +104,26 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document, drawn towards the texts of ``benchmark``."""
+    drawn = resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every two sources of a language, and the terms that set each source apart."""
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings within their labels."""
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_mixing, op3_quality_rules, op4_license_scan, op5_bpe, op6_html_text, op7_near_dedup, op8_warc_zip, op9_media, op10_quality_model)
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_mixing, op3_quality_rules, op4_license_scan, op5_bpe, op6_html_text, op7_near_dedup, op8_warc_zip, op9_media, op10_quality_model,
+        op11_resampling, op12_divergence, op13_embedding_dedup,
+    )
 }
-

@@ -151,7 +151,7 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in runs.whole(batches, ["key", "x", "y"]):
         at = np.append(runs.starts(table, ["key", "x", "y"]), table.num_rows)
         sketch, node, block, x, y = (table.column(c).to_numpy() for c in ("sketch", "node", "block", "x", "y"))
-        near = np.zeros(table.num_rows, bool)
+        sketch, near = sketch.view(np.uint64), np.zeros(table.num_rows, bool)  # bits of negative numbers aren't counted
         size = np.diff(at)
         for n in np.unique(size[(size > 1) & (size <= 16)]):  # short runs of one size at once
             rows = at[:-1][size == n][:, None] + np.arange(n)

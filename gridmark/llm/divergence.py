@@ -1,10 +1,10 @@
 """Source divergence audit: which sources of a language write alike, and which terms set a source apart.
 
 Sort-based streaming.  A task first adds up its own documents of each (lang, term, source), so that a frequent term is
-one row a task and not one a document; those rows are partitioned by (lang, term, source), sorted, and scanned once: a
-run gives the cell's document frequency and count.  Cells are sorted by (lang, term) next; a run is one term's sources,
-and its sum of document frequencies says whether the term stays.  A last scan over the kept runs emits, summed up in the
-task, partial sums for pairs of sources.
+one row a task and source and not one a document; those rows are partitioned by (lang, term), sorted by (lang, term,
+source) and scanned once: a run gives a cell's document frequency and count, and the cells of one term, as many as its
+sources, say whether it stays.  Another scan over the kept runs emits, summed up in the task, partial sums for pairs of
+sources.
 
 Only sources that hold a term meet in its run.  With p0 for the share of a term that a group doesn't hold, a pair's
 value is  sum over terms of a of f(p, q0) + sum over terms of b of f(p0, q) + (V - |a| - |b|) f(p0, q0) + sum over common
@@ -71,19 +71,17 @@ def _partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from sums.rest()
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of each run of (lang, term, source)."""
-    return runs.summed(batches, ["lang", "term", "source"], ["docs", "n"])
-
-
 def _kept(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cells of the terms in at least so many documents of their language, with the term's count there; rows lang, term,
-    source, docs, n by runs of (lang, term)."""
-    for table in runs.whole(batches, ["lang", "term"]):
+    """(lang, term, source, docs, n) sorted so, summed up by run, to the cells of the terms in at least so many
+    documents of their language, with the term's count there."""
+    cells = runs.summed(batches, ["lang", "term", "source"], ["docs", "n"])
+    for table in runs.whole(cells, ["lang", "term"]):
         at = runs.starts(table, ["lang", "term"])
         size = np.diff(np.append(at, table.num_rows))
         docs, n = (np.add.reduceat(table.column(c).to_numpy(), at) for c in ("docs", "n"))
-        out = table.select(["lang", "term", "source", "n"]).append_column("total", pa.array(np.repeat(n, size)))
+        head = np.zeros(table.num_rows, bool)
+        head[at] = True
+        out = table.select(["lang", "term", "source", "n"]).append_column("total", pa.array(np.repeat(n, size))).append_column("head", pa.array(head))
         yield from out.filter(pa.array(np.repeat(docs >= least, size))).to_batches()
 
 
@@ -136,20 +134,20 @@ def _f(p: str, q: str) -> Column:
 
 
 def cells(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(lang, term, source, n, total) of the kept terms: occurrences in the source and in the language."""
+    """(lang, term, source, n, total, head) of the kept terms: occurrences in the source and in the language; head marks one
+    row a term."""
     small_batches(docs.sparkSession)
     plain = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) for c, k in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))))
     part = plain.mapInArrow(_partials, "lang string, term string, source string, docs bigint, n bigint")
-    cell = part.repartition("lang", "term", "source").sortWithinPartitions("lang", "term", "source").mapInArrow(_cells, "lang string, term string, source string, docs bigint, n bigint")
-    whole_terms = cell.repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
-    return written(whole_terms.mapInArrow(lambda batches: _kept(least_docs, batches), "lang string, term string, source string, n bigint, total bigint"), "cells")
+    cell = part.repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
+    return written(cell.mapInArrow(lambda batches: _kept(least_docs, batches), "lang string, term string, source string, n bigint, total bigint, head boolean"), "cells")
 
 
 def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least_docs: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
     """(lang, source, part, item, value, rank): part ``pair`` has every other source of the lang, part ``term`` the
     ``top`` kept terms that the source uses more than the lang does."""
     kept = cells(docs, lang_col, source_col, text_col, least_docs)
-    terms = kept.groupBy("lang", "term").agg(F.max("total").alias("n")).groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("n"))
+    terms = kept.where("head").groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("n"))
     every = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) for c, k in ((lang_col, "lang"), (source_col, "source")))).groupBy("lang", "source").agg(F.lit(1).alias("one")).drop("one")
     held = kept.groupBy("lang", "source").agg(F.sum("n").alias("words"), F.count("*").alias("held"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")

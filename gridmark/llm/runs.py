@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Rows that a task's partial sums hold before they are merged, and after which they are passed on.
-MERGE_ROWS, FLUSH_ROWS = 1_000_000, 300_000
+MERGE_ROWS, FLUSH_ROWS = 1_500_000, 600_000
 
 
 def starts(batch: pa.RecordBatch | pa.Table, keys: list[str]) -> np.ndarray:

@@ -68,7 +68,7 @@ def annotation_files(fx: Fixture) -> str:
 
 
 def _dataset(fx: Fixture) -> coco.Dataset:
-    return coco.dataset(coco.documents(fx.spark, annotation_files(fx)))
+    return coco.load(fx.spark, annotation_files(fx))
 
 
 def _of_file(data: coco.Dataset, table: DataFrame) -> DataFrame:

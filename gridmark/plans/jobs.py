@@ -24,7 +24,7 @@ def _seen() -> F.Column:
 
 def analyze(spark: SparkSession, root: str, out: str) -> dict:
     """Class, sheet and box tables, class maps, and the report in JSON and Markdown; returns the report."""
-    data = coco.dataset(coco.documents(spark, root))
+    data = coco.load(spark, root)
     resolved = scratch.written(_resolved(data), "resolved")
     by_class = profile.class_counts(resolved, ["discipline", "name"], _seen()).orderBy("place")
     sinks.csv(by_class.select(F.col("name").alias("class"), "discipline", F.col("n").alias("instances")), f"{out}/class_counts.csv")
@@ -64,7 +64,7 @@ def prepare(spark: SparkSession, root: str, out: str, mode: str = "combined", ti
     """Label rows and label files, class map and dataset.yaml, and with a renderer the tiles' images; returns tiles
     and boxes per split.  Without a renderer the recorded sizes stand for the rasters'.  Pages that can't be rendered are
     left out."""
-    data = coco.dataset(coco.documents(spark, root))
+    data = coco.load(spark, root)
     files = resolve.in_discipline(data.files, mode)
     classes = resolve.class_map(_category_names(data, mode))
     images = resolve.source_pdf(data.images.join(files.select("file_id", "folder", "coco_file", "discipline"), "file_id"), coco.pdfs(spark, root)).where("pdf_path IS NOT NULL")
@@ -141,7 +141,7 @@ def count_scores(truth: coco.Dataset, predicted: DataFrame, classes: DataFrame,
 
 def evaluate(spark: SparkSession, root: str, class_map_path: str, out: str, renderer: rasters.Renderer, detector: rasters.Detector, mode: str = "combined", tile: int = 1280, overlap: float = 0.2, dpi: int = 150, conf: float = 0.25, nms_iou: float = 0.5, split: str | None = None) -> DataFrame:
     """Count accuracy of a detector over the dataset's own sheets, of one split if named."""
-    data = coco.dataset(coco.documents(spark, root))
+    data = coco.load(spark, root)
     classes = coco.class_map(spark, class_map_path)
     files = resolve.in_discipline(data.files, mode)
     images = resolve.source_pdf(data.images.join(files.select("file_id", "folder", "coco_file"), "file_id"), coco.pdfs(spark, root)).where("pdf_path IS NOT NULL")

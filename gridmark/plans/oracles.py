@@ -62,6 +62,7 @@ PARTS = {
     "detections": f"""SELECT {S}, t_idx, {K}, category_id AS label, CAST((l_partkey * 7919 + l_orderkey * 104729 + t_idx * 31) % 10000 AS DOUBLE) / 10000 AS score,
   cx + x0 AS x1, cy + y0 AS y1, cx + x0 + cw AS x2, cy + y0 + ch AS y2 FROM assigned""",
     "numbered_": f"SELECT *, row_number() OVER (ORDER BY {K}, t_idx) AS n_ FROM detections",
+    "placed_": "SELECT *, unnest(range(y1::INT // 256, y2::INT // 256 + 1)) AS cy FROM (SELECT *, unnest(range(x1::INT // 256, x2::INT // 256 + 1)) AS cx FROM numbered_)",
     "detections_nms": _nms("detections", "file_id, image_id, label"),
     "seven": "SELECT * FROM detections WHERE label = 7",
     "seven_nms": _nms("seven", "file_id, image_id"),
@@ -80,7 +81,7 @@ PARTS = {
 _NEEDS = {
     "files": ["fx_files"], "resolved": ["fx_annotations", "fx_images", "fx_categories", "files"], "class_map": ["fx_categories"], "columns_": ["fx_images"], "cells": ["columns_"],
     "grid": ["cells"], "assigned": ["fx_annotations", "grid"], "labelled": ["assigned"], "splits": ["fx_images", "files"], "empty": ["grid", "assigned"], "detections": ["assigned"],
-    "detections_nms": ["detections"], "numbered_": ["detections"], "seven": ["detections"], "seven_nms": ["seven"], "sheet_classes": ["detections_nms", "names_"], "objects": ["detections_nms", "names_"],
+    "detections_nms": ["detections"], "numbered_": ["detections"], "placed_": ["numbered_"], "seven": ["detections"], "seven_nms": ["seven"], "sheet_classes": ["detections_nms", "names_"], "objects": ["detections_nms", "names_"],
     "predicted": ["detections"], "predicted_nms": ["predicted"], "errors": ["fx_annotations", "predicted_nms", "names_"], "areas": ["resolved"], "sheets": ["resolved"],
 }
 
@@ -162,10 +163,10 @@ ORACLES: dict[str, str] = {
     "empty_tile_sample": _sql("empty splits", f"SELECT {S}, t_idx, sheet_key FROM empty JOIN splits USING ({S}) WHERE ('0x' || md5(concat('sample#', sheet_key, '#', t_idx)))::UHUGEINT % 10000 < 1000"),
     "offset_boxes": _sql("detections", f"SELECT {S}, t_idx, {K}, x1, y1, x2, y2 FROM detections"),
     "iou_pairs": _sql(
-        "detections numbered_",
+        "placed_",
         "SELECT file_id, image_id, label, "
         + ", ".join(f"{s}.{k} AS {k}_{s}" for s in "ab" for k in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "t_idx"))
-        + f", {_iou('a', 'b')} AS iou FROM numbered_ a JOIN numbered_ b USING ({S}, label) WHERE a.n_ < b.n_ AND {_iou('a', 'b')} > 0.5",
+        + f", {_iou('a', 'b')} AS iou FROM placed_ a JOIN placed_ b USING ({S}, label, cx, cy) WHERE a.n_ < b.n_ AND cx = greatest(a.x1, b.x1)::INT // 256 AND cy = greatest(a.y1, b.y1)::INT // 256 AND {_iou('a', 'b')} > 0.5",
     ),
     "nms_single_class": _sql("seven_nms", f"SELECT {S}, t_idx, {K}, label, score FROM seven_kept"),
     "nms_class_aware": _sql("detections_nms", f"SELECT {S}, t_idx, {K}, label, score FROM detections_kept"),

@@ -6,13 +6,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .folders import qualified
+
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``, or below the warehouse where that is unset on a local master (tests)."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{told.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{qualified(spark, told).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import named_files
+
 
 def text_file(spark: SparkSession, path: str, text: str) -> None:
     jvm = spark._jvm
@@ -84,19 +86,8 @@ def label_lines(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def files(rows: DataFrame, folder: str) -> None:
-    """One file for each row (name, body) below a folder, written by the tasks; names may have folders of their own.  A
-    repeated task writes the same bytes again."""
-
-    def write(part) -> None:
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:/") else (fs.LocalFileSystem(), folder)
-        for r in part:
-            store.create_dir(f"{base}/{r['name']}".rpartition("/")[0], recursive=True)
-            with store.open_output_stream(f"{base}/{r['name']}") as out:
-                out.write(r["body"].encode())
-
-    rows.select("name", "body").foreachPartition(write)
+    """One file for each row (name, body) below a folder, all of them or none; names may have folders of their own."""
+    named_files.write(rows, folder)
 
 
 def label_files(lines: DataFrame, folder: str) -> None:

@@ -20,6 +20,8 @@ def qualified(spark: SparkSession, folder: str) -> str:
     """``folder`` with the scheme and host that Spark resolves it with.  Nothing is opened."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(folder)
+    if path.toUri().getScheme():
+        return path.toString()
     return path.makeQualified(jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(conf), jvm.org.apache.hadoop.fs.Path("/")).toString()
 
 

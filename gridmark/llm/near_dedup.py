@@ -273,11 +273,12 @@ def _in_blocks(opened: DataFrame, signed: DataFrame, sets: DataFrame, percent: i
 
 
 def _texts(base: DataFrame, nodes: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, text) of the nodes named by ``ids``.  The text of a node is read from the row of its smallest doc id."""
-    asked = settled(nodes.select("id", "doc", "digest").join(ids, "id", "left_semi"))
-    near = sifted(base, "doc", asked.select("doc")).select(F.col("doc").alias("_doc"), "text")
-    texts = near.join(asked, F.col("_doc").eqNullSafe(F.col("doc"))).select("id", "digest", "text")
-    return written(texts.mapInArrow(partial(_own, width), "id bigint, text string").groupBy("id").agg(F.min("text").alias("text")), "texts")
+    """(id, text) of the nodes named by ``ids``.  A node's text is read from a row of its own: that of the smallest doc id,
+    then of the smallest digest, for ids may be null or stand on several texts."""
+    asked = settled(nodes.select("id", "doc", F.col("md5").alias("_md5")).join(ids, "id", "left_semi"))
+    near = sifted(base, "md5", asked.select("_md5")).select(F.col("doc").alias("_doc"), "md5", "text")
+    texts = near.join(asked, (F.col("md5") == F.col("_md5")) & F.col("_doc").eqNullSafe(F.col("doc"))).select("id", "text")
+    return written(texts.groupBy("id").agg(F.min("text").alias("text")), "texts")
 
 
 def _confirm(base: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -302,25 +303,25 @@ def linked(df: DataFrame, doc_col: str = "doc_id", text_col: str = "text", width
     doc_type = base.schema["doc"].dataType.simpleString()
     hashed = base.withColumn("md5", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     signed = written(hashed.mapInArrow(partial(_signed, width), f"doc {doc_type}, md5 string, n bigint, digest binary, sig binary"), "signed")
-    nodes = signed.where("n > 0").groupBy("digest", "n").agg(F.min("doc").alias("doc"), F.first("sig").alias("sig"))
-    nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    nodes = signed.where("n > 0").groupBy("digest", "n").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "md5")).alias("m"), F.first("sig").alias("sig"))
+    nodes = written(nodes.select("digest", "n", "m.doc", "m.md5", "sig").withColumn("id", F.monotonically_increasing_id()), "nodes")
     marked = nodes.select("id", "n", "sig")
     probes = nodes.select("id", "sig").mapInArrow(_keys, "key bigint, id bigint")
     hubs = written(probes.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("many")).where("many > 1").select("key", "hub"), "hubs")
     member = written(sifted(probes, "key", hubs.select("key")).join(hubs, "key"), "member")
     asked = written(member.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "asked")
-    stars = settled(_confirm(base, nodes, _within(asked, marked, percent), width, percent))
+    stars = settled(_confirm(hashed, nodes, _within(asked, marked, percent), width, percent))
     placed = nodes.select("id", "n").join(components(stars), "id", "left").select("id", "n", F.coalesce("root", "id").alias("root"))
     rooted = member.select("key", "id").join(placed, "id")
     several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("many"), F.sum("n").alias("hashes")).where("lo < hi").drop("lo", "hi")
     opened = written(rooted.drop("n").join(several, "key"), "open")
     large = opened.where(F.col("many") > SMALL)
-    sets = _texts(base, nodes, large.select("id"), width).mapInArrow(partial(_sets, width), "id bigint, own binary")
+    sets = _texts(hashed, nodes, large.select("id"), width).mapInArrow(partial(_sets, width), "id bigint, own binary")
     found = _in_blocks(large, marked, sets, percent)
     x, y = (opened.where(F.col("many") <= SMALL).select("key", F.col("id").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab")
     few = x.join(y, "key").where("root_a <> root_b AND a < b").select("a", "b").distinct()
     few = written(few.join(asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "few")
-    links = settled(stars.unionByName(found).unionByName(_confirm(base, nodes, _within(few, marked, percent), width, percent)).distinct())
+    links = settled(stars.unionByName(found).unionByName(_confirm(hashed, nodes, _within(few, marked, percent), width, percent)).distinct())
     rooted = components(links)
     named = nodes.select("id", "digest", "n", "doc").join(rooted, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = named.groupBy("root").agg(F.min("doc").alias("component_id"))
@@ -351,13 +352,3 @@ def deduplicated(df: DataFrame, doc_col: str = "doc_id", text_col: str = "text",
     same = F.col(doc_col).eqNullSafe(F.col(doc)) & (F.col(key) == F.col(digest))
     chosen = marked.where(F.col(key).isNotNull()).join(first, same, "left_semi").dropDuplicates([doc_col, key])
     return chosen.unionByName(marked.where(F.col(key).isNull())).drop(key)
-
-
-def _own(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) of the rows whose text has the digest asked for: a doc id may stand on several texts."""
-    for batch in batches:
-        data, offsets = text_bytes(batch.column(2))
-        for i, j in groups(offsets):
-            found = _digests(*shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width))
-            want = batch.column(1).slice(i, j - i).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i)], names=["id", "text"]).filter(pa.array([x == y for x, y in zip(found, want, strict=True)], pa.bool_()))

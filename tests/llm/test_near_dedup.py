@@ -1,4 +1,5 @@
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -118,3 +119,22 @@ def test_chunks_of_all_pairs_within_the_distance_meet():
 def test_similarity_below_the_range_is_refused(spark):
     with pytest.raises(ValueError):
         near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), percent=50)
+
+
+def test_null_ids_cost_what_ids_cost(spark):
+    """Pairs of near-equal texts, without ids and under one repeated id: rows are joined by id and text, never by id alone."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(5))
+    texts = []
+    for _ in range(1000):
+        base = [word() for _ in range(80)]
+        texts += [" ".join(base), " ".join(base[:79] + [word()])]
+    times, kept = {}, {}
+    for name, ident in (("ids", lambda i: i), ("null", lambda i: None), ("same", lambda i: 7)):
+        df = spark.createDataFrame([(ident(i), t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+        began = time.time()
+        rows = near_dedup.deduplicated(df, width=4)
+        kept[name] = rows.count()
+        times[name] = time.time() - began
+    assert set(kept.values()) == {1000}
+    assert max(times["null"], times["same"]) < 2 * times["ids"] + 5

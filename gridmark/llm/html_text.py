@@ -1,16 +1,20 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read into blocks, each with its root-to-leaf tag path.  Subtrees that are furniture by their tag (nav,
-header, footer, aside, script, ...) are left out, and so are those that a class, id or role marks, unless they hold an
-article, a main element, an h1 or more than half of the text around them (of their article or main element; of the page
-if it has none), or nothing would be left.  A mark is a whole name of ``FURNITURE`` or a compound of such names and
-``QUALIFIERS`` alone (site-header, comment-list; not related-work); inside article and main only ``STRONG`` names mark.
-
-Over what remains, text length, link text and punctuation are aggregated per tag path and divided by the number of the
-path's blocks; the ratios are smoothed along the page, fused (length without links times one plus punctuation), and
-paths that reach ``SHARE`` of the best fused ratio are content paths.  All their blocks are the text.  Short blocks join
-them: all of the article or main element around a content block, or else of the smallest element that holds most of the
-content paths' text, and headings and list items beside a content block.  Outside article and main, paths that are
+A page is read into blocks, each with its root-to-leaf tag path; container elements are told apart by their classes, so
+that two columns of divs are two paths.  Every block is a candidate, those of menus, notices and comments too; only what
+is no text is left out (scripts, styles, controls).  Text length without links and punctuation are aggregated per tag path
+and divided by the number of the path's blocks, smoothed along the page and fused (length times one plus punctuation).
+
+An element that says that it is furniture lowers the score of the paths below it: nav, footer, aside, form, header (but
+not one inside article or main that holds a heading), or a class, id or role that is a name of ``FURNITURE`` or a compound of such names and
+``QUALIFIERS`` alone (site-header, comment-list; not related-work).  Inside article and main only ``STRONG`` and ``WEAK`` names
+do.  A lowered path keeps ``LOWER`` of its fused ratio (``LESS`` for WEAK names), which counts up to the best one of the paths
+that aren't lowered, so it can't win by length.  A name doesn't lower what holds an article or main element that isn't
+furniture itself, or the page's first h1 where there is none, or more than four fifths of the text around it.
+
+Paths that reach ``SHARE`` of the best score are content paths; all their blocks are text.  Their neighbours join them if
+nothing lowers them: blocks of the article or main element around a content block; elsewhere headings before a content
+block, list items behind one, and short blocks beside one in the same element.  Outside article and main, paths that are
 mostly link text go, never a single block.
 
 Character references are decoded, white space within a block becomes one space, blocks are joined by a newline in
@@ -37,27 +41,36 @@ STOP = re.compile(r">|=\s*[\"']")
 MARKS = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Elements by what they are to a reader.
 RAW = frozenset("script style noscript template svg math iframe object textarea title".split())
-OUT = frozenset("head nav header footer aside button select dialog menu canvas audio video".split()) | RAW
+OUT = frozenset("head button select dialog menu canvas audio video".split()) | RAW
+#: Elements that are furniture whatever they hold, and one that is unless it holds the article.
+ASIDE, FORM = frozenset("nav footer aside header".split()), "form"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption table thead tbody tfoot tr td th caption hr address details summary center "
     "nav header footer aside form fieldset head".split()
 )
-#: Names of class, id and role that mark furniture, everywhere and outside article and main.
+#: Names of class, id and role that are furniture's everywhere, those that the text's own parts may have too,
+#: and names that are furniture's outside article and main.
 STRONG = frozenset(
-    "ad ads advert adverts advertisement advertisements sponsor sponsored promo cookie cookies consent gdpr popup modal newsletter subscribe subscription share sharing social related recommended "
-    "breadcrumb breadcrumbs comment comments disqus sidebar nav navbar navigation pagination".split()
+    "ad ads advert adverts advertisement advertisements sponsor sponsored cookie cookies consent gdpr popup modal newsletter subscribe "
+    "breadcrumb breadcrumbs comment comments disqus sidebar nav navbar navigation pagination banner notice notices login signup copyright replies".split()
 )
-FURNITURE = STRONG | frozenset("menu header footer aside banner notice notices alert overlay reply replies pager widget toolbar login signup search copyright legal".split())
+WEAK = frozenset("promo subscription share sharing social related recommended".split())
+FURNITURE = STRONG | WEAK | frozenset("menu header footer aside alert overlay reply pager widget toolbar search legal".split())
 #: What stands beside such a name in a compound and says where or what part it is.
 QUALIFIERS = frozenset(
     "site page main top bottom left right global primary secondary box bar block list item items area wrap wrapper container section inner outer links link buttons button slot unit text body content "
-    "title form thread reader user post posts article articles story entry".split()
+    "title form thread reader user post posts article articles story entry div".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NAMED = frozenset(("article", "main"))
 LISTS, SHORT = frozenset(("ul", "ol", "dl")), HEADINGS | {"li", "dt", "dd"}
 SHARE, LINKS = 0.15, 0.6
+#: What a lowered path keeps of its ratio: below SHARE, and above it.
+LOWER, LESS = 0.1, 0.4
+CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: Containers, which paths tell apart by their classes.
+CONTAINER = frozenset("div section main article ul ol dl table figure center details".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
 _LONG_REFERENCE = re.compile(r"&#(?:0*[0-9]{8,}|[xX]0*[0-9a-fA-F]{8,});?")
@@ -119,31 +132,36 @@ def scanned(html: str) -> Iterator[tuple[str, str, str]]:
         yield "text", html[text:], ""
 
 
-def _name_marks(name: str, known: frozenset[str]) -> bool:
-    parts = [x for x in re.split(r"[-_]+", name) if x]
-    return any(x in known for x in parts) and all(x in known or x in FURNITURE or x in QUALIFIERS for x in parts)
+def _name_marks(name: str, known: frozenset[str]) -> set[str]:
+    """The furniture's names in a class or id that is made of such names, qualifiers and numbers alone."""
+    parts = [x for x in re.split(r"[-_]+", name) if x and not x.isdigit()]
+    return {x for x in parts if x in known} if all(x in FURNITURE or x in QUALIFIERS for x in parts) else set()
 
 
-def marked(attributes: str, known: frozenset[str] = FURNITURE) -> bool:
-    """Whether a class, id, role or label names furniture."""
-    return any(_name_marks(name, known) for a, b, c in MARKS.findall(attributes) for name in (a or b or c).lower().split())
+def lowered(attributes: str, inside: bool) -> float:
+    """What a class, id, role or label leaves of a path's ratio; ``inside`` article or main."""
+    names = {x for a, b, c in MARKS.findall(attributes) for name in (a or b or c).lower().split() for x in _name_marks(name, STRONG | WEAK if inside else FURNITURE)}
+    return LOWER if names - WEAK else LESS if names else 1.0
 
 
 @dataclass
 class Page:
-    """Blocks (element, text, characters of link text) of a page, and its tree of block elements; element 0 is above the
-    root.  Elements are numbered in page order, so a parent's number is smaller than its children's."""
+    """Blocks (element, text, characters of link text, weight) of a page, and its tree of block elements; element 0 is above
+    the root.  Elements are numbered in page order, so a parent's number is smaller than its children's; ``named`` are the
+    article and main elements that aren't furniture."""
 
     tags: list[str] = field(default_factory=lambda: [""])
     parent: list[int] = field(default_factory=lambda: [0])
     paths: list[int] = field(default_factory=lambda: [0])
-    blocks: list[tuple[int, str, int]] = field(default_factory=list)
+    blocks: list[tuple[int, str, int, float]] = field(default_factory=list)
     names: dict[tuple[int, str], int] = field(default_factory=dict)
+    named: set[int] = field(default_factory=set)
 
-    def add(self, tag: str, parent: int) -> int:
+    def add(self, tag: str, attributes: str, parent: int) -> int:
         self.tags.append(tag)
         self.parent.append(parent)
-        self.paths.append(self.names.setdefault((self.paths[parent], tag), len(self.names) + 1))
+        label = f"{tag} {' '.join(sorted(''.join(m.groups('')).lower().split()))}" if tag in CONTAINER and (m := CLASS.search(attributes)) else tag
+        self.paths.append(self.names.setdefault((self.paths[parent], label), len(self.names) + 1))
         return len(self.tags) - 1
 
     def inherited(self, own) -> list[int]:
@@ -159,17 +177,21 @@ class _Mark:
     around: int  # the mark around it, 0 if none
     base: int  # the article or main element around it, 0 if none
     before: int  # text before it
+    factor: float  # what it leaves of a ratio
+    fixed: bool  # it, or a mark around it, is furniture whatever it holds
+    head: bool = False  # a header inside article or main
     weight: int = 0
     stays: bool = False
 
 
 def parsed(html: str) -> Page:
-    """The page's blocks outside furniture."""
+    """The page's blocks, with what its furniture's names leave of their paths' ratios."""
     page, stack, count = Page(), [], defaultdict(int)  # stack: (tag, element or 0, mark or 0)
     found: list[tuple[int, list[tuple[str, bool, int]]]] = []
     pieces: list[tuple[str, bool, int]] = []
-    marks, named, starts, weights = [_Mark(0, 0, 0, stays=True)], [0], {}, {}
+    marks, named, starts, weights = [_Mark(0, 0, 0, 1.0, False, stays=True)], [0], {}, {}
     element = mark = hidden = total = 0
+    titled = False
 
     def close() -> None:
         nonlocal pieces
@@ -187,7 +209,7 @@ def parsed(html: str) -> Page:
             if sign:
                 marks[sign].weight = total - marks[sign].before
                 mark = marks[sign].around
-            if own and tag in NAMED and named[-1] == own:
+            if own and named[-1] == own:
                 weights[own] = total - starts[own]
                 named.pop()
         del stack[depth:]
@@ -198,7 +220,7 @@ def parsed(html: str) -> Page:
             if not hidden:
                 text = decoded(tag)
                 pieces.append((text, count["a"] > 0, mark))
-                total += sum(map(len, text.split()))
+                total += 0 if marks[mark].fixed else sum(map(len, text.split()))
         elif kind == "close":
             if count[tag] > 0:
                 pop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
@@ -218,21 +240,28 @@ def parsed(html: str) -> Page:
                     if stack[i][0] in BLOCK:
                         break
                 close()
-                element = own = page.add(tag, element)
+                element = own = page.add(tag, attributes, element)
             if not hidden and tag in OUT:
                 hidden = len(stack) + 1
-            elif not hidden and (tag in NAMED or tag == "h1"):
-                sign = mark
-                while sign and not marks[sign].stays:
-                    marks[sign].stays = True
-                    sign = marks[sign].around
-                sign = 0
-                if tag in NAMED:
-                    starts[own] = total
-                    named.append(own)
-            elif not hidden and tag not in ("html", "body") and tag not in HEADINGS and (tag == "form" or attributes and marked(attributes, STRONG if named[-1] else FURNITURE)):
-                marks.append(_Mark(mark, named[-1], total))
-                mark = sign = len(marks) - 1
+            elif not hidden:
+                inside = bool(named[-1])
+                marks[mark].stays |= tag in HEADINGS and marks[mark].head
+                head = tag == "header" and inside
+                factor = LOWER if tag in ASIDE or tag == FORM else lowered(attributes, inside) if attributes and tag not in ("html", "body", *HEADINGS) else 1.0
+                factor = 1.0 if factor == LESS and tag not in BLOCK else factor  # words of a sentence aren't weighed alone
+                if factor < 1 and not (tag == "main" or tag == "article" and factor == LESS):
+                    marks.append(_Mark(mark, named[-1], total, factor, marks[mark].fixed or tag in ASIDE and not head, head))
+                    mark = sign = len(marks) - 1
+                elif tag in NAMED or tag == "h1" and not titled and not page.named:
+                    outer = mark
+                    while outer and not marks[outer].stays:
+                        marks[outer].stays = not marks[outer].fixed
+                        outer = marks[outer].around
+                    titled = titled or tag == "h1" and not marks[mark].fixed
+                    if tag in NAMED:
+                        page.named.add(own)
+                        starts[own] = total
+                        named.append(own)
             stack.append((tag, own, sign))
             count[tag] += 1
     pop(0)
@@ -242,21 +271,19 @@ def parsed(html: str) -> Page:
     else:
         judged = marks[1:]
     for m in judged:
-        m.stays = m.stays or 2 * m.weight > (weights.get(m.base, total) if m.base else total)
-    for everything in (False, True):
-        shown = [True]
-        for m in marks[1:]:
-            shown.append(shown[m.around] and (m.stays or everything))
-        for owner, parts in found:
-            own = [(text, link) for text, link, sign in parts if shown[sign]]
+        m.stays = m.stays or 5 * m.weight > 4 * (weights.get(m.base, total) if m.base else total)
+    shown = [1.0]
+    for m in marks[1:]:
+        shown.append(shown[m.around] if m.stays and not m.fixed else max(shown[m.around] * m.factor, 1e-9))
+    for owner, parts in found:
+        for weight in dict.fromkeys(shown[sign] for _, _, sign in parts):
+            own = [(text, link) for text, link, sign in parts if shown[sign] == weight]
             if text := " ".join("".join(text for text, _ in own).split()):
-                page.blocks.append((owner, text, min(len(text), sum(len(x) for x, link in own if link))))
-        if page.blocks:
-            break
+                page.blocks.append((owner, text, min(len(text), sum(len(x) for x, link in own if link)), weight))
     return page
 
 
-def fused(paths: list[int], lengths: list[int], marks: list[int]) -> list[float]:
+def fused(paths: list, lengths: list[int], marks: list[int]) -> list[float]:
     """The fused ratio at every block: length and punctuation of its path by the path's blocks, each smoothed with the
     block before and after (weights 1, 2, 1), the one times one plus the other."""
     long, mark, nodes = defaultdict(int), defaultdict(int), defaultdict(int)
@@ -298,38 +325,42 @@ def _beside(page: Page, chosen: set[int]) -> list[bool]:
     return out
 
 
+def paths(page: Page) -> list[tuple[int, float]]:
+    """The path of every block: that of its element, and how far it is lowered."""
+    return [(page.paths[e], weight) for e, _, _, weight in page.blocks]
+
+
+def chosen(page: Page) -> set[int]:
+    """Numbers of the blocks on content paths."""
+    own = paths(page)
+    ratios = fused(own, [len(text) - link for _, text, link, _ in page.blocks], [len(PUNCTUATION.findall(text)) for _, text, _, _ in page.blocks])
+    best: dict[tuple[int, float], float] = defaultdict(float)
+    for p, f in zip(own, ratios, strict=True):
+        best[p] = max(best[p], f)
+    free = max(weight for _, weight in best)
+    top = max(f for (_, weight), f in best.items() if weight == free)
+    content_paths = {p for p, f in best.items() if min(f, top) * (p[1] / free) >= SHARE * top}
+    return {i for i, p in enumerate(own) if p in content_paths}
+
+
 def content(html: str) -> str:
     """The main text of a page."""
     page = parsed(html)
     if not page.blocks:
         return ""
-    paths = [page.paths[e] for e, _, _ in page.blocks]
-    ratios = fused(paths, [len(text) - link for _, text, link in page.blocks], [len(PUNCTUATION.findall(text)) for _, text, _ in page.blocks])
-    best, length, links = defaultdict(float), defaultdict(int), defaultdict(int)
-    for p, f, (_, text, link) in zip(paths, ratios, page.blocks, strict=True):
-        best[p] = max(best[p], f)
+    own, best = paths(page), chosen(page)
+    length, links = defaultdict(int), defaultdict(int)
+    for p, (_, text, link, _) in zip(own, page.blocks, strict=True):
         length[p] += len(text)
         links[p] += link
-    least = SHARE * max(best.values())
-    chosen = {i for i, p in enumerate(paths) if best[p] >= least}
-
-    held = [0] * len(page.tags)
-    for i in chosen:
-        held[page.blocks[i][0]] += len(page.blocks[i][1])
-    depth = [0] * len(held)
-    for e in range(1, len(held)):
-        depth[e] = depth[page.parent[e]] + 1
-    for e in range(len(held) - 1, 0, -1):
-        held[page.parent[e]] += held[e]
-    most = [e for e in range(1, len(held)) if held[e] and 2 * held[e] >= held[0]]
-    holder = max([e for e in most if page.tags[e] in NAMED] or [e for e in most if 10 * held[e] >= 9 * held[0]] or most, key=lambda e: (depth[e], e), default=0)
-
-    article = page.inherited(lambda e: page.tags[e] in NAMED)
-    around = {article[page.blocks[i][0]] for i in chosen} - {0} | {holder} - {0}
-    inside = page.inherited(around.__contains__)
+    article = page.inherited(page.named.__contains__)
+    inside = page.inherited({article[page.blocks[i][0]] for i in best if article[page.blocks[i][0]]}.__contains__)
+    direct = {page.parent[page.blocks[i][0]] for i in best} - {e for e, tag in enumerate(page.tags) if tag in ("", "html", "body")}
+    free = max(weight for _, weight in own)
     kept = []
-    for i, ((e, text, _), beside) in enumerate(zip(page.blocks, _beside(page, chosen), strict=True)):
-        if (i in chosen or beside or not holder or inside[e]) and (article[e] or links[paths[i]] < LINKS * length[paths[i]]):
+    for i, ((e, text, _, weight), beside) in enumerate(zip(page.blocks, _beside(page, best), strict=True)):
+        near = weight == free and (beside or inside[e] or page.parent[e] in direct)
+        if (i in best or near) and (article[e] or links[own[i]] < LINKS * length[own[i]]):
             kept.append(text)
     return "\n".join(kept)
 

@@ -322,3 +322,82 @@ def test_records_round_trip(spark, monkeypatch):
 def test_column_names_may_clash(spark):
     df = spark.createDataFrame([("k", "<p>x</p>")], "html_text string, html string").withColumn("pieces", F.lit(1))
     assert df.withColumn("text", html_text.main_text("html")).first()["text"] == "x"
+
+
+SENTENCES = [f"Sentence {k} of the story goes on, with a comma, for quite a while and ends here." for k in range(12)]
+STORY = "".join(f"<p>{s}</p>" for s in SENTENCES)
+WANT = SENTENCES
+USUAL = {
+    "heading in the article's header": ("<article><header><h1>Big Title</h1><p>By A. Writer</p></header>{}</article>", ["Big Title", "By A. Writer", *WANT]),
+    "comments as articles": ('<article><h1>T</h1>{}</article><section id="comments"><h2>3 comments</h2>' + '<article class="comment"><p>I say this, at length, and more.</p></article>' * 3 + "</section>", ["T", *WANT]),
+    "comments inside the article": ('<article><h1>T</h1>{}<section id="comments"><h2>3 comments</h2><article class="comment" id="comment-12"><h3>Me</h3><p>I say this, at length, and much more, again and again.</p></article></section></article>', ["T", *WANT]),
+    "comments in a list": ('<main><h1>T</h1>{}<ol class="replies"><li>I say this, at length, and more.</li></ol></main>', ["T", *WANT]),
+    "notices": ('<article><div class="notice"><p>We have changed our terms, so read them, please, before you go on.</p></div>{}<div class="banner">Sale, sale, sale!</div><div id="login-box"><p>Log in, or sign up, to read on.</p></div><p class="copyright">(c) us, all rights reserved.</p></article>', WANT),
+    "marked sentences of the story": ('<article>{}<p class="promo">This sentence is of the story too, and it is as long as the others are.</p><section class="social"><p>People talked about it, in every street, for as long as they could.</p></section></article>', [*WANT, "This sentence is of the story too, and it is as long as the others are.", "People talked about it, in every street, for as long as they could."]),
+    "short marked lines": ('<article>{}<p class="promo">Buy now</p><div class="social">Follow</div></article>', WANT),
+    "a side column without a known class": ('<body><div class="rail"><p>More here</p><p>And there</p><p>Top ten</p></div><div class="story"><h2>Head</h2>{}</div></body>', ["Head", *WANT]),
+    "a long notice": ('<body><div class="cookie-consent"><p>' + " ".join(SENTENCES * 3) + "</p></div><div>{}</div></body>", WANT),
+    "a side column that holds articles": ("<body><aside><article><h3>Other</h3><p>Another story, of which only this stands here.</p></article></aside><article><h1>T</h1>{}</article></body>", ["T", *WANT]),
+    "site header with a title": ("<body><header><h1>The Site</h1><p>News, every day, for all of you.</p></header><div><h2>Head</h2>{}</div></body>", ["Head", *WANT]),
+}
+
+
+@pytest.mark.parametrize("name", USUAL)
+def test_usual_markup(name):
+    html, want = USUAL[name]
+    assert html_text.content(html.replace("{}", STORY)) == "\n".join(want)
+
+
+def plainly_chosen(page, share):
+    """Content blocks, by the definitions alone: ratios by path, smoothed and fused, against the share of the best."""
+    keys = [(page.paths[e], w) for e, _, _, w in page.blocks]
+    long = [len(t) - link for _, t, link, _ in page.blocks]
+    marks = [sum(c in ".,;:!?…。，、！？" for c in t) for _, t, _, _ in page.blocks]
+    mean = lambda values, i: sum(v for v, k in zip(values, keys) if k == keys[i]) / keys.count(keys[i])
+    means = [(mean(long, i), mean(marks, i)) for i in range(len(keys))]
+    around = lambda i: [(means[i + d], 2 - abs(d)) for d in (-1, 0, 1) if 0 <= i + d < len(keys)]
+    smooth = lambda i, k: sum(m[k] * w for m, w in around(i)) / sum(w for _, w in around(i))
+    score = [smooth(i, 0) * (1 + smooth(i, 1)) for i in range(len(keys))]
+    free = max(w for _, w in keys)
+    top = max(s for s, (_, w) in zip(score, keys) if w == free)
+    at = {k: max(s for s, o in zip(score, keys) if o == k) for k in set(keys)}
+    return {i for i, k in enumerate(keys) if min(at[k], top) * (k[1] / free) >= share * top}
+
+
+def generated(rng, article):
+    line = lambda n: " ".join(rng.choice(["alpha", "beta,", "gamma", "delta.", "of", "the"]) for _ in range(n))
+    parts = []
+    for _ in range(rng.randint(4, 25)):
+        kind = rng.randrange(9)
+        parts.append([f"<p>{line(rng.randint(8, 60))}</p>", f"<h2>{line(3)}</h2>", f"<div class=c{rng.randrange(3)}><p>{line(rng.randint(1, 9))}</p></div>", f"<ul><li>{line(4)}<li>{line(2)}</ul>", f'<div class="ad">{line(9)}</div>', f"<aside><p>{line(20)}</p></aside>", f"<blockquote><p>{line(12)}</p></blockquote>", f'<p class="promo">{line(rng.randint(1, 30))}</p>', f"<table><tr><td>{line(1)}<td>{line(2)}</table>"][kind])
+    body = "".join(parts)
+    return f"<html><body><nav><a href=/>x</a></nav><div class=rail><p>{line(3)}</p></div>{f'<article>{body}</article>' if article else f'<div>{body}</div>'}<footer>{line(5)}</footer></body></html>"
+
+
+def test_selection_is_that_of_the_ratios(monkeypatch):
+    import pyarrow.parquet as pq
+
+    rng = random.Random(3)
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist() + [generated(rng, k % 2) for k in range(200)]
+    texts = {}
+    for share in (0.15, 0.0, 0.9):
+        monkeypatch.setattr(html_text, "SHARE", share)
+        for i, html in enumerate(pages):
+            page = html_text.parsed(html)
+            if page.blocks and (share == 0.15 or i >= len(pages) - 200):
+                assert html_text.chosen(page) == plainly_chosen(page, share)
+        texts[share] = [html_text.content(html) for html in pages]
+    differ = lambda a, b: sum(x != y for x, y in zip(texts[a], texts[b], strict=True))
+    assert differ(0.15, 0.0) >= len(pages) * 0.9 and differ(0.15, 0.9) >= 40
+
+
+def test_articles_of_the_test_pages():
+    """Every page of the table: exactly the blocks of its article."""
+    import re
+
+    import pyarrow.parquet as pq
+
+    for html in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist():
+        if html and len(found := re.findall(r"(?s)<article>(.*)</article>", html)) == 1:
+            alone = html_text.parsed(f"<article>{found[0]}</article>")
+            assert html_text.content(html).replace("\n", " ") == " ".join(text for _, text, _, weight in alone.blocks if weight == 1)

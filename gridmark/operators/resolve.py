@@ -70,10 +70,19 @@ def label_name(detections: DataFrame, classes: DataFrame, label: str = "label")
 
 def source_pdf(images: DataFrame, pdfs: DataFrame) -> DataFrame:
     """Images with ``pdf_path`` of their folder and ``page``: none without a candidate, the only one, or of several
-    the first (by path) whose stem is part of the image's, else the first.  Overlays are no candidates.  A folder's
-    PDFs are one array, so images aren't multiplied by them."""
-    clean = pdfs.where(~N.is_overlay("pdf_path", ".pdf")).select("folder", F.struct("pdf_path", N.stem(N.basename("pdf_path")).alias("stem")).alias("p"))
-    listed = clean.groupBy("folder").agg(F.sort_array(F.collect_set("p")).alias("_pdfs"))
-    named = F.filter("_pdfs", lambda p: F.contains(N.stem("file_name"), p["stem"]))
-    chosen = F.coalesce(F.get(named, F.lit(0))["pdf_path"], F.get("_pdfs", F.lit(0))["pdf_path"])
-    return images.join(listed, "folder", "left").select(*[c for c in images.columns if c != "page"], chosen.alias("pdf_path"), N.page_or_first("page").alias("page"))
+    the first (by path) whose stem is part of the image's, else the first.  Overlays are no candidates.
+
+    The parts of an image's stem that are as long as a stem among its folder's PDFs meet those stems by equality, so the
+    work follows the names' lengths and not images times PDFs; of a folder only the lengths of its stems are one row."""
+    clean = pdfs.where(~N.is_overlay("pdf_path", ".pdf")).select("folder", "pdf_path", N.stem(N.basename("pdf_path")).alias("_part"))
+    by_stem = clean.groupBy("folder", "_part").agg(F.min("pdf_path").alias("_named"))
+    folders = clean.groupBy("folder").agg(F.min("pdf_path").alias("_first"), F.collect_set(F.length("_part")).alias("_lengths"))
+    stem = N.stem("file_name")
+    several = images.where("file_name IS NOT NULL").select("folder", "file_name").distinct().join(folders.select("folder", "_lengths"), "folder")
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length(stem) - n + 1), lambda k: F.substring(stem, k, n))
+    fitting = F.filter("_lengths", lambda n: n <= F.length(stem))
+    parts = several.select("folder", "file_name", F.explode(F.array_distinct(F.flatten(F.transform(fitting, cut)))).alias("_part"))
+    named = parts.join(by_stem, ["folder", "_part"]).groupBy("folder", "file_name").agg(F.min("_named").alias("_named"))
+    chosen = F.coalesce("_named", "_first").alias("pdf_path")
+    joined = images.join(named, ["folder", "file_name"], "left").join(folders.select("folder", "_first"), "folder", "left")
+    return joined.select(*[c for c in images.columns if c != "page"], chosen, N.page_or_first("page").alias("page"))

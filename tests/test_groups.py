@@ -93,3 +93,65 @@ def test_large_group_of_copies_is_dealt_in_blocks(spark):
 
 def test_fold_is_bounded():
     assert greedy.FOLD <= 1024
+
+
+def test_pdfs_by_parts_of_names(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("ab_é.") for _ in range(n))
+    folders = [f"/d/{k}" for k in range(6)]
+    pdfs = [(f, f"{f}/{word(rng.randint(0, 3))}.pdf") for f in folders[:5] for _ in range(rng.randint(0, 6))] + [(folders[0], f"{folders[0]}/a_detected_hvac.pdf")]
+    images = [(k, rng.choice(folders), rng.choice([None, word(rng.randint(1, 6)) + ".png"]), rng.choice([None, 0, 3])) for k in range(150)]
+    stem = lambda name: name.rpartition(".")[0] if "." in name[1:] else name
+    want = []
+    for k, folder, name, page in images:
+        own = sorted({p for f, p in pdfs if f == folder and not p.endswith("_detected_hvac.pdf")})
+        fit = [p for p in own if name is not None and stem(p.rpartition("/")[2]) in stem(name)]
+        want.append((k, (fit or own or [None])[0], page or 1))
+    from gridmark.operators import resolve
+
+    out = resolve.source_pdf(spark.createDataFrame(images, "image_id long, folder string, file_name string, page int"), spark.createDataFrame(pdfs, "folder string, pdf_path string").repartition(3))
+    assert out.columns == ["image_id", "folder", "file_name", "pdf_path", "page"]
+    assert sorted((r["image_id"], r["pdf_path"], r["page"]) for r in out.collect()) == want
+
+
+def test_a_folder_with_many_pdfs_and_images(spark):
+    from gridmark.operators import resolve
+
+    n = 20_000
+    pdfs = spark.range(n).select(F.lit("f").alias("folder"), F.concat(F.lit("f/plan"), F.lpad("id", 6, "0"), F.lit(".pdf")).alias("pdf_path"))
+    images = spark.range(n).select(F.col("id").alias("image_id"), F.lit("f").alias("folder"), F.concat(F.lit("x plan"), F.lpad("id", 6, "0"), F.lit(" p1.png")).alias("file_name"), F.lit(1).alias("page"))
+    out = resolve.source_pdf(images, pdfs)
+    assert out.where(F.col("pdf_path") == F.concat(F.lit("f/plan"), F.lpad("image_id", 6, "0"), F.lit(".pdf"))).count() == n
+
+
+def test_numbers_inside_a_hot_sheet(spark):
+    from gridmark.operators import numbering
+
+    rows = spark.range(4000).select(F.when(F.col("id") % 4 == 0, F.concat(F.lit("s"), (F.col("id") % 20).cast("string"))).otherwise("hot").alias("sheet"), (F.col("id") % 7).alias("label"), (F.col("id") % 11 / 11).alias("score"), "id")
+    order = ["label", F.desc("score"), "id"]
+    plain, split = (numbering.numbered(rows, ["sheet"], order, "i", bound) for bound in (10**6, 500))
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, split.collect()))
+    assert numbering.numbered(rows.limit(0), ["sheet"], order, "i", 0).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_middle_value_in_two_scans(spark, seed):
+    from gridmark.operators import profile
+
+    rng = random.Random(seed)
+    values = [[rng.random() for _ in range(5001)], [rng.randint(0, 3) * 1.5 for _ in range(3000)], [rng.paretovariate(0.3) for _ in range(4000)], [7.0]][seed]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(4)
+    row = profile.spread(df, "v", buckets=16).first()
+    assert tuple(row) == (len(values), min(values), sorted(values)[len(values) // 2], max(values))
+    assert tuple(profile.spread(df.limit(0), "v").first()) == (0, None, None, None)
+    if seed != 2:
+        assert profile.spread(df.withColumn("v", F.col("v").cast("int")), "v").first()["median_value"] == sorted(map(int, values))[len(values) // 2]
+
+
+def test_totals_read_annotations_once(spark):
+    from gridmark.operators import profile
+
+    rows = spark.createDataFrame([(1, 1, "mechanical", "a"), (1, 2, "mechanical", "b"), (2, 1, "electrical", "b"), (2, 1, "electrical", "b"), (3, 1, "unknown", "c")], "file_id long, image_id long, discipline string, name string")
+    out = profile.totals(spark.range(7), rows)
+    assert tuple(out.first()) == (7, 4, 5, 3, 2, 1) and "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+    assert tuple(profile.totals(spark.range(0), rows.limit(0)).first()) == (0, 0, 0, 0, 0, 0)

@@ -19,6 +19,7 @@ def split_of(key: Column | str, val_frac: float = 0.2) -> Column:
     return F.when(bucket(key) < int(val_frac * 10_000), "val").otherwise("train")
 
 
-def sampled(key: Column | str, frac: float) -> Column:
-    """Whether a key belongs to a sample of about ``frac``; by key, so the order of rows doesn't matter."""
-    return bucket(F.concat(F.lit("sample#"), col(key))) < int(frac * 10_000)
+def sampled(key: Column | str, frac: float, seed: int = 0) -> Column:
+    """Whether a key belongs to a sample of about ``frac``; by key, so the order of rows doesn't matter.  Each seed has
+    a sample of its own."""
+    return bucket(F.concat(F.lit(f"sample#{seed}#" if seed else "sample#"), col(key))) < int(frac * 10_000)

@@ -79,9 +79,9 @@ def empty_tiles(tiles: DataFrame, assigned: DataFrame) -> DataFrame:
     return tiles.join(assigned.select("file_id", "image_id", "t_idx").distinct(), ["file_id", "image_id", "t_idx"], "left_anti")
 
 
-def sampled_empty(empty: DataFrame, frac: float = 0.1) -> DataFrame:
-    """About ``frac`` of the empty tiles, by hash of sheet key and tile number."""
-    return empty.where(S.sampled(F.concat_ws("#", "sheet_key", F.col("t_idx").cast("string")), frac))
+def sampled_empty(empty: DataFrame, frac: float = 0.1, seed: int = 0) -> DataFrame:
+    """About ``frac`` of the empty tiles, by hash of sheet key, tile number and seed."""
+    return empty.where(S.sampled(F.concat_ws("#", "sheet_key", F.col("t_idx").cast("string")), frac, seed))
 
 
 def split_stats(assigned: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ PARTS |= {
     "kept_rows": "SELECT r.* FROM resolved r WHERE file_id IN (SELECT file_id FROM kept_files)",
     "kept_names": "SELECT DISTINCT discipline, name FROM fx_categories JOIN kept_files USING (file_id)",
     "tile_named": "SELECT g.*, concat(regexp_replace(regexp_replace(file_name, '\\.png$', ''), '[^A-Za-z0-9_-]', '_', 'g'), '__t', t_idx, '_', x0, '_', y0) AS tile_name FROM grid g",
-    "plan_pages": "SELECT n_nationkey AS n, page, n_nationkey % 5 = 0 AND page = 2 AS damaged FROM nation CROSS JOIN (SELECT unnest([1, 2, 3]) AS page) WHERE page <= 1 + n_nationkey % 3",
 }
 _NEEDS |= {
     "kept_files": ["files"], "sequenced": ["fx_annotations"], "kept_rows": ["resolved", "kept_files"], "kept_names": ["fx_categories", "kept_files"], "tile_named": ["grid"],
@@ -39,16 +38,13 @@ def _with(needs: str, parts: str, body: str) -> str:
 
 
 _LADDER = "[" + ", ".join(f"{k / 100}" for k in range(50, 100, 5)) + "]"
-_SQUARE = "100 + 10 * (n % 7)"
-_COLUMNS = "(VALUES (1, 0, 0, 600), (1, 1, 40, 600), (2, 0, 0, 600), (2, 1, 480, 600), (2, 2, 900, 600)) c(page, i, x0, w)"
-_ROWS = "(VALUES (1, 0, 0, 480), (2, 0, 0, 600), (2, 1, 480, 600), (2, 2, 700, 600)) r(page, j, y0, h)"
 
 FILE_ORACLES: dict[str, str] = {
     "coco_files": _sql("kept_files", "SELECT coco_file, discipline, folder FROM kept_files"),
     "coco_quarantine": "SELECT concat(n_name, '.json') AS file, CASE WHEN n_nationkey % 5 = 2 THEN 'no annotations' ELSE 'no JSON object' END AS reason FROM nation WHERE n_nationkey % 5 < 3",
     "coco_images": _sql("fx_images kept_files", "SELECT coco_file, image_id, file_name, width, height, page FROM fx_images JOIN kept_files USING (file_id)"),
     "coco_categories": _sql("fx_categories kept_files", "SELECT coco_file, CAST(category_id AS BIGINT) AS category_id, name FROM fx_categories JOIN kept_files USING (file_id)"),
-    "coco_annotations": _sql("sequenced kept_files", "SELECT coco_file, ann_seq, image_id, CAST(category_id AS BIGINT) AS category_id, x::DOUBLE AS x, y::DOUBLE AS y, w::DOUBLE AS w, h::DOUBLE AS h FROM sequenced JOIN kept_files USING (file_id)"),
+    "coco_annotations": _sql("sequenced kept_files", "SELECT coco_file, CAST(ann_seq AS BIGINT) AS ann_seq, image_id, CAST(category_id AS BIGINT) AS category_id, x::DOUBLE AS x, y::DOUBLE AS y, w::DOUBLE AS w, h::DOUBLE AS h FROM sequenced JOIN kept_files USING (file_id)"),
     "pdf_listing": _sql("fx_pdfs", "SELECT string_split(folder, '/')[-1] AS folder, string_split(pdf_path, '/')[-1] AS pdf FROM fx_pdfs"),
     "class_map_read": _sql("class_map", "SELECT * FROM class_map"),
     "class_map_inverted": _sql("class_map", "SELECT * FROM class_map"),
@@ -66,13 +62,21 @@ FILE_ORACLES: dict[str, str] = {
         "kept_files kept_rows kept_names",
         f"""SELECT (SELECT count(*) FROM kept_files) AS num_coco_files, count(DISTINCT ({S})) AS num_sheets, count(*) AS total_annotations, (SELECT count(DISTINCT name) FROM kept_names) AS num_classes_combined,
         (SELECT count(*) FROM kept_names WHERE discipline = 'mechanical') AS num_classes_mechanical, (SELECT count(*) FROM kept_names WHERE discipline = 'electrical') AS num_classes_electrical,
-        (SELECT array_to_string(list(name ORDER BY name), ',') FROM kept_names WHERE discipline = 'mechanical') AS mechanical FROM kept_rows""",
+        (SELECT string_agg(x, ';' ORDER BY x) FROM (SELECT concat(discipline, '=', count(*)) AS x FROM kept_files GROUP BY discipline)) AS files_per_discipline,
+        (SELECT array_to_string(list(name ORDER BY name), ',') FROM kept_names WHERE discipline = 'mechanical') AS mechanical, (SELECT coalesce(array_to_string(list(name ORDER BY name), ','), '') FROM kept_names WHERE discipline = 'electrical') AS electrical,
+        (SELECT string_agg(x, ';' ORDER BY x) FROM (SELECT concat(name, '=', count(*)) AS x FROM kept_rows GROUP BY name)) AS instances_per_class FROM kept_rows""",
     ),
     "analyze_markdown": _sql(
-        "kept_rows",
-        """SELECT concat('| ', name, ' | ', count(*), ' |') AS line FROM kept_rows WHERE discipline IN ('mechanical', 'electrical') GROUP BY discipline, name
-        UNION ALL SELECT concat('| **TOTAL** | **', count(*), '** |') FROM kept_rows WHERE discipline IN ('mechanical', 'electrical') GROUP BY discipline
-        UNION ALL SELECT unnest(['## Boxes by class: Mechanical', '## Boxes by class: Electrical', '## Box areas in pixels'])
+        "kept_files kept_rows kept_names",
+        f"""SELECT concat('| ', name, ' | ', count(*), ' |') AS line FROM kept_rows WHERE discipline IN ('mechanical', 'electrical') GROUP BY discipline, name
+        UNION ALL SELECT concat('| **TOTAL** | **', (SELECT count(*) FROM kept_rows WHERE discipline = d), '** |') FROM (SELECT unnest(['mechanical', 'electrical']) AS d)
+        UNION ALL SELECT concat('| of them ', discipline, ' | ', count(*), ' |') FROM kept_files GROUP BY discipline
+        UNION ALL SELECT concat('| annotation files | ', count(*), ' |') FROM kept_files
+        UNION ALL SELECT concat('| sheets | ', count(DISTINCT ({S})), ' |') FROM kept_rows
+        UNION ALL SELECT concat('| boxes | ', count(*), ' |') FROM kept_rows
+        UNION ALL SELECT concat('| classes, combined | ', count(DISTINCT name), ' |') FROM kept_names
+        UNION ALL SELECT concat('| classes, ', d, ' | ', (SELECT count(*) FROM kept_names WHERE discipline = d), ' |') FROM (SELECT unnest(['mechanical', 'electrical']) AS d)
+        UNION ALL SELECT unnest(['# Annotated sheets at a glance', '| What | How many |', '|---|---:|', '## Boxes by class: Mechanical', '## Boxes by class: Electrical', '| Class | Boxes |', '|---|---:|', '| Class | Boxes |', '|---|---:|', '## Box areas in pixels', '', '', '', '', '', '', ''])
         UNION ALL SELECT concat('smallest ', min(a), ', upper median ', max(a) FILTER (r = n // 2), ', largest ', max(a)) FROM (SELECT w * h AS a, row_number() OVER (ORDER BY w * h) - 1 AS r, count(*) OVER () AS n FROM kept_rows)""",
     ),
     "csv_class_counts": _sql("kept_rows", "SELECT name AS class, discipline, CAST(count(*) AS VARCHAR) AS instances FROM kept_rows GROUP BY ALL"),
@@ -96,32 +100,20 @@ FILE_ORACLES: dict[str, str] = {
     "label_files_read": _sql(
         "labelled tile_named",
         f"""SELECT tile_name, category_id AS class_id, {", ".join(f"CAST(format('{{:.6f}}', {a}) AS DOUBLE) AS {b}" for a, b in (("xc", "xc"), ("yc", "yc"), ("yw", "w"), ("yh", "h")))}
-        FROM (SELECT {S}, t_idx, category_id, xc, yc, yw, yh FROM labelled WHERE l_orderkey % 20 = 0) JOIN (SELECT {S}, t_idx, tile_name FROM tile_named) USING ({S}, t_idx)""",
-    ),
-    "rendered_pages": _sql(
-        "plan_pages",
-        """SELECT concat('plan_', n, '.pdf') AS pdf, page, CASE WHEN damaged THEN 0 WHEN page = 1 THEN 640 ELSE 1500 END AS width, CASE WHEN damaged THEN 0 WHEN page = 1 THEN 480 ELSE 1300 END AS height,
-        CASE WHEN damaged THEN 0 ELSE 3 END AS channels, CAST(CASE WHEN damaged THEN 0 WHEN page = 1 THEN 640 * 480 * 3 ELSE 1500 * 1300 * 3 END AS BIGINT) AS n, CASE WHEN damaged THEN 'ValueError: damaged' END AS error FROM plan_pages WHERE page < 3""",
-    ),
-    "cut_tiles": _sql(
-        "plan_pages",
-        f"""SELECT concat('plan_', n, '.pdf') AS pdf, page, concat('plan_', n, '__t', i * (1 + 2 * (page - 1)) + j, '_', x0, '_', y0) AS tile_name, w AS width, h AS height
-        FROM plan_pages JOIN {_COLUMNS} USING (page) JOIN {_ROWS} USING (page) WHERE NOT damaged""",
-    ),
-    "page_previews": _sql("plan_pages", "SELECT concat('plan_', n, '.pdf') AS pdf, page, CASE WHEN page = 1 THEN 640 ELSE 1500 END AS width, CASE WHEN page = 1 THEN 480 ELSE 1300 END AS height FROM plan_pages WHERE page < 3 AND NOT damaged"),
-    "tiled_detections": _sql(
-        "plan_pages",
-        f"""SELECT concat('plan_', n, '.pdf') AS pdf, page, CASE WHEN damaged THEN 0 ELSE 1500 END AS width, CASE WHEN damaged THEN 0 ELSE 1300 END AS height, t_idx, label, score, x1, y1, x2, y2, CASE WHEN damaged THEN 'ValueError: damaged' END AS error
-        FROM plan_pages JOIN LATERAL (SELECT NULL::INT AS t_idx, NULL::INT AS label, NULL::DOUBLE AS score, NULL::DOUBLE AS x1, NULL::DOUBLE AS y1, NULL::DOUBLE AS x2, NULL::DOUBLE AS y2
-          UNION ALL SELECT t, 3, 0.9, {_SQUARE}, 200 - 20 * t, {_SQUARE} + 60, 240 - 20 * t FROM (SELECT unnest([0, 1]) AS t) WHERE NOT damaged
-          UNION ALL SELECT t, 1, 0.1, 0, 0, 9, 9 FROM (SELECT unnest([0, 1]) AS t) WHERE NOT damaged) ON true WHERE page < 3""",
+        FROM (SELECT {S}, t_idx, category_id, xc, yc, yw, yh FROM labelled) JOIN (SELECT {S}, t_idx, tile_name FROM tile_named) USING ({S}, t_idx)""",
     ),
     "predict_records": _sql(
-        "plan_pages",
-        f"""SELECT concat('plan_', n, '_p', page) AS sheet_id, concat('plan_', n, '.pdf') AS source, page, 1500 AS width, 1300 AS height, 150 AS dpi, '{{"Light":1}}' AS counts, 1 AS n, 'obj_00000' AS id, 'Light' AS type,
-        concat_ws(',', {_SQUARE}, 200, {_SQUARE} + 60, 240) AS coords, 0.9::DOUBLE AS confidence FROM plan_pages WHERE NOT damaged""",
+        "fx_images fx_files objects sheet_classes",
+        rf"""SELECT concat(regexp_replace(regexp_replace(file_name, '\.png$', ''), '[^A-Za-z0-9_-]', '_', 'g'), '_p', CASE WHEN page = 0 THEN 1 ELSE page END) AS sheet_id, regexp_replace(path, '^.*/', '') AS source,
+        CASE WHEN page = 0 THEN 1 ELSE page END AS page, width, height, 150 AS dpi, true AS unscaled, coalesce(c.counts, '') AS counts, coalesce(o.objects, '') AS objects
+        FROM fx_images i JOIN fx_files USING (file_id) LEFT JOIN (SELECT {S}, string_agg(concat(name, '=', n), ';' ORDER BY name) AS counts FROM sheet_classes GROUP BY ALL) c USING ({S})
+        LEFT JOIN (SELECT {S}, string_agg(concat_ws(' ', object_id, type, 'bbox', concat_ws(',', 100 * x1::BIGINT, 100 * y1::BIGINT, 100 * x2::BIGINT, 100 * y2::BIGINT), round(score * 10000)::BIGINT), ';' ORDER BY object_id) AS objects FROM objects GROUP BY ALL) o USING ({S})""",
+    ),
+    "csv_counts_summary": _sql(
+        "fx_images fx_files sheet_classes",
+        rf"""SELECT concat(regexp_replace(regexp_replace(file_name, '\.png$', ''), '[^A-Za-z0-9_-]', '_', 'g'), '_p', CASE WHEN page = 0 THEN 1 ELSE page END) AS sheet_id, name AS class, CAST(n AS INT) AS count, regexp_replace(path, '^.*/', '') AS source
+        FROM sheet_classes JOIN fx_images USING ({S}) JOIN fx_files USING (file_id)""",
     ),
-    "csv_counts_summary": _sql("plan_pages", "SELECT concat('plan_', n, '_p', page) AS sheet_id, 'Light' AS class, 1 AS count, concat('plan_', n, '.pdf') AS source FROM plan_pages WHERE NOT damaged"),
     "csv_count_accuracy": _sql(
         "sequenced kept_rows",
         f"""SELECT discipline, coco_file, image_id, name AS class, count(*) AS gt, count(*) FILTER (ann_seq % 7 <> 0) AS pred, count(*) FILTER (ann_seq % 7 = 0) AS abs_err

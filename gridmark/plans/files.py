@@ -3,23 +3,18 @@ worked on, and what was written is read back."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
-
-import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..operators import accuracy, resolve, tiles
-from ..sources import coco, rasters, scratch, sinks
+from ..operators import accuracy, resolve, stitch, tiles
+from ..sources import coco, scratch, sinks
 from . import jobs
-from .catalogue import QUERIES, SHEET, _detections, _label_classes, _predicted
+from .catalogue import QUERIES, SHEET, _detections, _kept, _label_classes, _predicted
 from .fixtures import KEYS, Fixture
 
 #: What unusable files hold, by nation key modulo 5.
 BROKEN = {0: "{nope", 1: "[1]", 2: '{"images": []}'}
-PAGE = (1500, 1300)
 
 
 def query(f):
@@ -27,24 +22,6 @@ def query(f):
     return f
 
 
-_MADE: dict[tuple, str] = {}
-
-
-def once(make: Callable[[Fixture], str]) -> Callable[[Fixture], str]:
-    """What ``make`` writes, a folder, made once for a session's data folder while it exists."""
-
-    def made(fx: Fixture) -> str:
-        key = (make.__name__, fx.spark.sparkContext.applicationId, fx.sf_dir)
-        path = fx.spark._jvm.org.apache.hadoop.fs.Path
-        conf = fx.spark._jsc.hadoopConfiguration()
-        if key not in _MADE or not path(_MADE[key]).getFileSystem(conf).exists(path(_MADE[key])):
-            _MADE[key] = make(fx)
-        return _MADE[key]
-
-    return made
-
-
-@once
 def annotation_files(fx: Fixture) -> str:
     """The folder of a set: one document a file of the fixture, unusable files, and a PDF in every folder but ``misc``."""
     single = F.col("file_id") % 11 == 5
@@ -143,7 +120,6 @@ def dataset_yaml_text(fx: Fixture) -> DataFrame:
     return _text(fx, path)
 
 
-@once
 def _analysis(fx: Fixture) -> str:
     out = scratch.folder(fx.spark, "analysis")
     jobs.analyze(fx.spark, annotation_files(fx), out)
@@ -152,14 +128,16 @@ def _analysis(fx: Fixture) -> str:
 
 @query
 def analyze_report(fx: Fixture) -> DataFrame:
-    report = fx.spark.read.json(f"{_analysis(fx)}/dataset_report.json", multiLine=True)
-    return report.select("num_coco_files", "num_sheets", "total_annotations", "num_classes_combined", "num_classes_mechanical", "num_classes_electrical", F.array_join("classes_mechanical", ",").alias("mechanical"))
+    counts = ("num_coco_files", "num_sheets", "total_annotations", "num_classes_combined", "num_classes_mechanical", "num_classes_electrical")
+    kinds = ", ".join(f"{c} bigint" for c in counts) + ", files_per_discipline map<string,bigint>, classes_mechanical array<string>, classes_electrical array<string>, instances_per_class map<string,bigint>"
+    report = fx.spark.read.schema(kinds).json(f"{_analysis(fx)}/dataset_report.json", multiLine=True)
+    listed = lambda c: F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ";").alias(c)
+    return report.select(*counts, listed("files_per_discipline"), *(F.array_join(f"classes_{d}", ",").alias(d) for d in ("mechanical", "electrical")), listed("instances_per_class"))
 
 
 @query
 def analyze_markdown(fx: Fixture) -> DataFrame:
-    lines = fx.spark.read.text(f"{_analysis(fx)}/dataset_report.md").select(F.col("value").alias("line"))
-    return lines.where(F.col("line").rlike(r"^(## |\| Class \d|\| \*\*TOTAL|smallest)"))
+    return fx.spark.read.text(f"{_analysis(fx)}/dataset_report.md").select(F.col("value").alias("line"))
 
 
 @query
@@ -201,102 +179,37 @@ def label_text(fx: Fixture) -> DataFrame:
 @query
 def label_files_read(fx: Fixture) -> DataFrame:
     root = scratch.folder(fx.spark, "labels")
-    sinks.label_files(sinks.label_lines(_label_rows(fx).where(F.col("l_orderkey") % 20 == 0), KEYS), root)
+    sinks.label_files(sinks.label_lines(_label_rows(fx), KEYS), root)
     return coco.label_files(fx.spark, root)
 
 
-class SquareRenderer:
-    """Pages of plan_<n>.pdf: 1 + n % 3 of them, the second one of every fifth plan is damaged; a white square of 60 x 40
-    pixels lies at (100 + 10 * (n % 7), 200) on grey."""
-
-    def pages(self, pdf_path: str) -> int:
-        return 1 + self.number(pdf_path) % 3
-
-    def number(self, pdf_path: str) -> int:
-        return int(re.findall(r"\d+", pdf_path)[-1])
-
-    def __call__(self, pdf_path: str, page: int, dpi: int, size: tuple[int, int] | None) -> np.ndarray:
-        n = self.number(pdf_path)
-        if n % 5 == 0 and page == 2:
-            raise ValueError("damaged")
-        wide, high = size or PAGE
-        image = np.full((high, wide, 3), 10 * page, np.uint8)
-        x = 100 + 10 * (n % 7)
-        image[200:240, x : x + 60] = 255
-        return image
-
-
-def square_detector(images: list[np.ndarray]) -> list[list[tuple[int, float, float, float, float, float]]]:
-    """The bounds of white pixels, and one detection of little confidence."""
-    out = []
-    for image in images:
-        ys, xs = np.nonzero(image[:, :, 0] == 255)
-        out.append([(3, 0.9, float(xs.min()), float(ys.min()), float(xs.max() + 1), float(ys.max() + 1)), (1, 0.1, 0.0, 0.0, 9.0, 9.0)] if len(xs) else [])
-    return out
-
-
-def _plans(fx: Fixture) -> DataFrame:
-    return fx.table("nation").select(F.concat(F.lit("/plans/plan_"), "n_nationkey", F.lit(".pdf")).alias("pdf_path"))
-
-
-def _pages(fx: Fixture) -> DataFrame:
-    """Pages 1 and 2 of the plans; a size is recorded for the first ones."""
-    recorded = lambda n: F.when(F.col("page") == 1, n).otherwise(0)
-    return rasters.page_list(_plans(fx), SquareRenderer(), [1, 2]).withColumns({"width": recorded(640), "height": recorded(480)})
-
-
-@query
-def rendered_pages(fx: Fixture) -> DataFrame:
-    drawn = rasters.rendered(_pages(fx), SquareRenderer())
-    return drawn.select(N.basename("pdf_path").alias("pdf"), "page", "width", "height", "channels", F.length("pixels").cast("long").alias("n"), "error")
-
-
-def _png_size(image: str) -> list[Column]:
-    side = lambda at: F.conv(F.hex(F.substring(image, at, 4)), 16, 10).cast("int")
-    return [side(17).alias("width"), side(21).alias("height")]
-
-
-@query
-def cut_tiles(fx: Fixture) -> DataFrame:
-    pages = rasters.page_sizes(_pages(fx), SquareRenderer()).where("width > 0")
-    grid = tiles.grid(pages, 600, 0.2, keep=["pdf_path", "page"])
-    named = grid.withColumn("tile_name", N.tile_name(N.stem(N.basename("pdf_path")), "t_idx", "x0", "y0"))
-    listed = named.groupBy("pdf_path", "page").agg(F.collect_list(F.struct("tile_name", "x0", "y0", "x1", "y1")).alias("tiles"))
-    return rasters.tile_images(pages.join(listed, ["pdf_path", "page"]), SquareRenderer()).select(N.basename("pdf_path").alias("pdf"), "page", "tile_name", *_png_size("image"))
-
-
-@query
-def page_previews(fx: Fixture) -> DataFrame:
-    found = _pages(fx).select("pdf_path", "page", F.lit(3).alias("label"), F.lit(0.5).alias("score"), *(F.lit(v).alias(c) for c, v in (("x1", 5.0), ("y1", 5.0), ("x2", 50.0), ("y2", 40.0))))
-    return rasters.previews(_pages(fx), SquareRenderer(), found, ["pdf_path", "page"]).select(N.basename("pdf_path").alias("pdf"), "page", *_png_size("image"))
-
-
-@query
-def tiled_detections(fx: Fixture) -> DataFrame:
-    found = rasters.page_detections(_pages(fx).withColumns({"width": F.lit(0), "height": F.lit(0)}), SquareRenderer(), square_detector)
-    return found.select(N.basename("pdf_path").alias("pdf"), "page", "width", "height", "t_idx", "label", "score", "x1", "y1", "x2", "y2", "error")
-
-
-@once
-def _predicted_files(fx: Fixture) -> str:
-    out = scratch.folder(fx.spark, "predicted")
-    path = scratch.folder(fx.spark, "classes")
-    sinks.class_map(fx.spark.createDataFrame([("Door", 0), ("Fan", 1), ("Grille", 2), ("Light", 3)], "name string, class_id int"), path)
-    jobs.predict(fx.spark, [r["pdf_path"] for r in _plans(fx).collect()], path, out, SquareRenderer(), square_detector)
-    return out
+def _sheets(fx: Fixture) -> tuple[DataFrame, DataFrame]:
+    """Records of the stitched sheets, and their counts by class."""
+    kept, classes = scratch.written(_kept(fx), "kept"), _label_classes(fx)
+    counts = stitch.sheet_class_counts(kept, classes, SHEET)
+    ident = N.sheet_id(N.stem("file_name"), N.page_or_first("page")).alias("sheet_id")
+    sheets = fx.images.join(fx.files.select("file_id", N.basename("path").alias("source")), "file_id").select(*SHEET, ident, "source", N.page_or_first("page").alias("page"), "width", "height", F.lit(150).alias("dpi"))
+    records = stitch.sheet_records(stitch.object_records(kept, classes, SHEET, [*KEYS, "t_idx"]), counts, sheets, SHEET)
+    return records, counts.join(sheets.select(*SHEET, "sheet_id", "source"), SHEET)
 
 
 @query
 def predict_records(fx: Fixture) -> DataFrame:
+    out = scratch.folder(fx.spark, "records")
+    sinks.records(_sheets(fx)[0].select("sheet_id", "source", "page", "width", "height", "dpi", "scale", "counts", "objects"), out)
     kinds = "sheet_id string, source string, page int, width int, height int, dpi int, scale double, counts map<string,int>, objects array<struct<id:string,type:string,geometry:struct<kind:string,coords:array<double>>,confidence:double>>"
-    first = F.get("objects", F.lit(0))
-    records = fx.spark.read.schema(kinds).json(f"{_predicted_files(fx)}/records")
-    return records.select("sheet_id", N.basename("source").alias("source"), "page", "width", "height", "dpi", F.to_json("counts").alias("counts"), F.size("objects").alias("n"), first["id"].alias("id"), first["type"].alias("type"), F.array_join(first["geometry"]["coords"].cast("array<int>"), ",").alias("coords"), first["confidence"].alias("confidence"))
+    counted = F.array_join(F.array_sort(F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ";")
+    number = lambda v, by: F.round(v * by).cast("long").cast("string")
+    shown = lambda o: F.concat_ws(" ", o["id"], o["type"], o["geometry"]["kind"], F.array_join(F.transform(o["geometry"]["coords"], lambda v: number(v, 100)), ","), number(o["confidence"], 10_000))
+    records = fx.spark.read.schema(kinds).json(out)
+    return records.select("sheet_id", "source", "page", "width", "height", "dpi", F.col("scale").isNull().alias("unscaled"), counted.alias("counts"), F.array_join(F.transform("objects", shown), ";").alias("objects"))
 
 
 @query
 def csv_counts_summary(fx: Fixture) -> DataFrame:
-    return fx.spark.read.csv(f"{_predicted_files(fx)}/counts_summary.csv", header=True, schema="sheet_id string, class string, count int, source string")
+    out = scratch.folder(fx.spark, "counts")
+    sinks.counts_summary(_sheets(fx)[1].select("source", "sheet_id", F.col("name").alias("class"), F.col("n").alias("count")), out)
+    return fx.spark.read.csv(out, header=True, schema="sheet_id string, class string, count int, source string")
 
 
 @query

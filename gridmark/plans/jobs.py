@@ -60,10 +60,10 @@ def _category_names(data: coco.Dataset, mode: str) -> DataFrame:
     return data.categories.join(kept, "file_id", "left_semi")
 
 
-def prepare(spark: SparkSession, root: str, out: str, mode: str = "combined", tile: int = 1280, overlap: float = 0.2, dpi: int = 150, val_frac: float = 0.2, empty_frac: float = 0.1, least_visible: float = 0.3, renderer: rasters.Renderer | None = None) -> DataFrame:
+def prepare(spark: SparkSession, root: str, out: str, mode: str = "combined", tile: int = 1280, overlap: float = 0.2, dpi: int = 150, val_frac: float = 0.2, empty_frac: float = 0.1, least_visible: float = 0.3, renderer: rasters.Renderer | None = None, seed: int = 0) -> DataFrame:
     """Label rows and label files, class map and dataset.yaml, and with a renderer the tiles' images; returns tiles
     and boxes per split.  Without a renderer the recorded sizes stand for the rasters'.  Pages that can't be rendered are
-    left out."""
+    left out.  ``seed`` chooses among the empty tiles."""
     data = coco.load(spark, root)
     files = resolve.in_discipline(data.files, mode)
     classes = resolve.class_map(_category_names(data, mode))
@@ -79,7 +79,7 @@ def prepare(spark: SparkSession, root: str, out: str, mode: str = "combined", ti
     name = N.tile_name(N.stem("file_name"), "t_idx", "x0", "y0").alias("tile_name")
     full = shown.select("split", *SHEET, "t_idx", "x0", "y0", "x1", "y1", name, "ann_seq", "class_id", "xc", "yc", F.col("yw").alias("w"), F.col("yh").alias("h"))
     grid = tiles.grid(images, tile, overlap, [*SHEET, "file_name", "split", "sheet_key"])
-    empty = tiles.sampled_empty(tiles.empty_tiles(grid, shown), empty_frac)
+    empty = tiles.sampled_empty(tiles.empty_tiles(grid, shown), empty_frac, seed)
     bare = empty.select("split", *SHEET, "t_idx", "x0", "y0", "x1", "y1", name)
     everything = full.unionByName(bare, allowMissingColumns=True)
     if renderer is not None:
@@ -104,11 +104,15 @@ def _stitched(found: DataFrame, conf: float, nms_iou: float) -> DataFrame:
     return stitch.nms(placed, [*SHEET, "label"], ["t_idx"], nms_iou)
 
 
-def predict(spark: SparkSession, pdf_paths: list[str], class_map_path: str, out: str, renderer: rasters.Renderer, detector: rasters.Detector, tile: int = 1280, overlap: float = 0.2, dpi: int = 150, conf: float = 0.25, nms_iou: float = 0.5, pages: list[int] | None = None, batch: int = 16, preview: bool = False) -> DataFrame:
-    """Sheet records and counts of every page: rendered, tiled and detected once, moved to the sheet, stitched.  ``preview``: also
-    images with the detections drawn, for which pages are rendered again."""
+def predict(spark: SparkSession, pdfs: DataFrame | str | list[str], class_map_path: str, out: str, renderer: rasters.Renderer, detector: rasters.Detector, tile: int = 1280, overlap: float = 0.2, dpi: int = 150, conf: float = 0.25, nms_iou: float = 0.5, pages: list[int] | None = None, batch: int = 16, preview: bool = False) -> DataFrame:
+    """Sheet records and counts of every page: rendered, tiled and detected once, moved to the sheet, stitched.  ``pdfs``: a
+    table (pdf_path), a folder whose PDFs are taken, or a few paths.  ``preview``: also images with the detections drawn, for
+    which pages are rendered again."""
     classes = coco.class_map(spark, class_map_path)
-    pdfs = spark.createDataFrame([(p,) for p in pdf_paths], "pdf_path string")
+    if isinstance(pdfs, str):
+        pdfs = coco.pdfs(spark, pdfs, "").select("pdf_path")
+    elif isinstance(pdfs, list):
+        pdfs = spark.createDataFrame([(p,) for p in pdfs], "pdf_path string")
     listed = rasters.page_list(pdfs, renderer, pages).withColumns({"width": F.lit(0), "height": F.lit(0)})
     drawn = scratch.written(rasters.page_detections(listed, renderer, detector, tile, overlap, dpi, batch), "detections").withColumnsRenamed({"pdf_path": "file_id", "page": "image_id"})
     sheets = drawn.where("label IS NULL AND error IS NULL").select(*SHEET, "width", "height")
@@ -139,17 +143,34 @@ def count_scores(truth: coco.Dataset, predicted: DataFrame, classes: DataFrame,
     return accuracy.count_accuracy_overall(errors)
 
 
-def evaluate(spark: SparkSession, root: str, class_map_path: str, out: str, renderer: rasters.Renderer, detector: rasters.Detector, mode: str = "combined", tile: int = 1280, overlap: float = 0.2, dpi: int = 150, conf: float = 0.25, nms_iou: float = 0.5, split: str | None = None) -> DataFrame:
-    """Count accuracy of a detector over the dataset's own sheets, of one split if named."""
+def _detected(spark: SparkSession, root: str, renderer: rasters.Renderer, detector: rasters.Detector, mode: str, tile: int, overlap: float, dpi: int, conf: float, nms_iou: float, split: str | None) -> tuple[coco.Dataset, DataFrame]:
+    """The dataset's part that a detector saw (of one split if named), and its stitched detections."""
     data = coco.load(spark, root)
-    classes = coco.class_map(spark, class_map_path)
     files = resolve.in_discipline(data.files, mode)
     images = resolve.source_pdf(data.images.join(files.select("file_id", "folder", "coco_file"), "file_id"), coco.pdfs(spark, root)).where("pdf_path IS NOT NULL")
     images = tiles.with_split(images)
     images = images.where(F.col("split") == split) if split else images
     drawn = scratch.written(rasters.page_detections(images, renderer, detector, tile, overlap, dpi), "detections")
     sheets = images.select(*SHEET, "pdf_path", "page").join(drawn.where("label IS NULL AND error IS NULL").select("pdf_path", "page"), ["pdf_path", "page"])
-    kept = _stitched(drawn.join(sheets, ["pdf_path", "page"]), conf, nms_iou)
+    kept = scratch.written(_stitched(drawn.join(sheets, ["pdf_path", "page"]), conf, nms_iou), "kept")
     seen = sheets.select(*SHEET).distinct()
-    truth = coco.Dataset(files, data.images.join(seen, SHEET, "left_semi"), data.categories, data.annotations, data.quarantine)
+    return coco.Dataset(files, data.images.join(seen, SHEET, "left_semi"), data.categories, data.annotations, data.quarantine), kept
+
+
+def evaluate(spark: SparkSession, root: str, class_map_path: str, out: str, renderer: rasters.Renderer, detector: rasters.Detector, mode: str = "combined", tile: int = 1280, overlap: float = 0.2, dpi: int = 150, conf: float = 0.25, nms_iou: float = 0.5, split: str | None = None) -> DataFrame:
+    """Count accuracy of a detector over the dataset's own sheets, of one split if named."""
+    classes = coco.class_map(spark, class_map_path)
+    truth, kept = _detected(spark, root, renderer, detector, mode, tile, overlap, dpi, conf, nms_iou, split)
     return count_scores(truth, stitch.sheet_class_counts(kept, classes, SHEET), classes, out)
+
+
+def mean_precision(spark: SparkSession, root: str, class_map_path: str, renderer: rasters.Renderer, detector: rasters.Detector, mode: str = "combined", tile: int = 1280, overlap: float = 0.2, dpi: int = 150, conf: float = 0.001, nms_iou: float = 0.5, split: str | None = "val") -> DataFrame:
+    """(class, n_truth, ap50, ap50_95) of a detector over the dataset's own sheets, of the validation split unless told
+    otherwise, and a row without a class: the means over classes."""
+    classes = coco.class_map(spark, class_map_path)
+    truth, kept = _detected(spark, root, renderer, detector, mode, tile, overlap, dpi, conf, nms_iou, split)
+    boxes = resolve.with_class(_resolved(truth), classes).select(*SHEET, "ann_seq", F.col("class_id").alias("label"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"))
+    scored = accuracy.mean_average_precision(kept, scratch.written(boxes, "truth"), SHEET, ["t_idx", "x1", "y1", "x2", "y2"], ["ann_seq"])
+    named = scored.join(classes, F.col("label") == F.col("class_id")).select(F.col("name").alias("class"), "n_truth", "ap50", "ap50_95")
+    mean = scored.agg(F.lit(None).cast("string").alias("class"), F.sum("n_truth").alias("n_truth"), F.avg("ap50").alias("ap50"), F.avg("ap50_95").alias("ap50_95"))
+    return named.unionByName(mean)

@@ -118,8 +118,8 @@ def dataset(docs: DataFrame, single: str = "duct_segment", large: tuple[list[Dat
 
 
 def pdfs(spark: SparkSession, root: str, split: str = "training") -> DataFrame:
-    """(folder, pdf_path) of every PDF; contents aren't read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(f"{root.rstrip('/')}/{split}")
+    """(folder, pdf_path) of every PDF below <root>/<split>; contents aren't read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(f"{root.rstrip('/')}/{split}".rstrip("/"))
     path = plain(F.col("path"))
     return found.select(N.folder(path).alias("folder"), path.alias("pdf_path"))
 

@@ -136,6 +136,31 @@ def test_evaluate(spark, root, tmp_path):
     assert (scores["Fan"]["gt"], scores["Panel"]["gt"], scores["Panel"]["accuracy"], scores["OVERALL"]["gt"]) == (1, 1, 0.0, 3)
 
 
+def test_mean_precision(spark, root, tmp_path):
+    """Every sheet shows one white mark; the detector finds it where no truth box is, so nothing matches."""
+    sinks.class_map(spark.createDataFrame([("Fan", 0), ('Grille, "x"', 1), ("Panel", 2)], "name string, class_id int"), str(tmp_path / "classes.json"))
+    rows = {r["class"]: r for r in jobs.mean_precision(spark, root, str(tmp_path / "classes.json"), Blank(), bright, split=None).collect()}
+    assert (rows["Fan"]["n_truth"], rows["Fan"]["ap50"], rows[None]["n_truth"], rows[None]["ap50_95"]) == (1, 0.0, 3, 0.0)
+    exact = lambda images: [[(0, 0.9, 10.0, 10.0, 110.0, 110.0)] for _ in images]
+    rows = {r["class"]: r for r in jobs.mean_precision(spark, root, str(tmp_path / "classes.json"), Blank(), exact, split=None).collect()}
+    assert 0 < rows["Fan"]["ap50"] <= 1 and rows["Panel"]["ap50"] == 0.0
+
+
+def test_predict_takes_a_folder_or_a_table(spark, root, tmp_path):
+    sinks.class_map(spark.createDataFrame([("Fan", 0)], "name string, class_id int"), str(tmp_path / "classes.json"))
+    folder = jobs.predict(spark, root, str(tmp_path / "classes.json"), str(tmp_path / "a"), Blank(), bright).collect()
+    table = jobs.predict(spark, coco.pdfs(spark, root).select("pdf_path"), str(tmp_path / "classes.json"), str(tmp_path / "b"), Blank(), bright).collect()
+    assert len(folder) == len(table) == 4
+
+
+def test_samples_have_seeds(spark):
+    from gridmark.functions import splits
+
+    keys = spark.range(4000).selectExpr("CAST(id AS STRING) AS key")
+    drawn = [{r["key"] for r in keys.where(splits.sampled("key", 0.2, seed)).collect()} for seed in (0, 1, 1)]
+    assert drawn[0] != drawn[1] == drawn[2] and all(600 < len(d) < 1000 for d in drawn)
+
+
 def test_render_failures_are_rows(spark):
     pages = spark.createDataFrame([("/a.pdf", 3, 0, 0), ("/a.pdf", 1, 50, 40)], "pdf_path string, page int, width int, height int")
     rows = {r["page"]: r for r in rasters.rendered(pages, Blank()).collect()}

@@ -1,19 +1,23 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A gear rolling hash over the last 16 bytes cuts every text where the hash ends in ``CUT_BITS`` zeros, so equal
-passages are cut alike wherever they stand.  A chunk's inside, from its first to its last white space, is encoded once
-a worker and kept by content; copies and shared passages meet the kept ids.  A join, the word that a cut runs through
-(over several cuts, if no white space lies between them), is re-encoded whole, then again with a word more on each
-side, and so on with twice as many while that window's ids aren't the ids of its words, at last the whole text.
-Agreement within the words of a chunk holds because the vocabulary drops white space, which ``Encoder`` checks.
+passages are cut alike wherever they stand.  A chunk's inside, from its first to its last white space, is encoded by
+itself.  A join, the word that a cut runs through (over several cuts, if no white space lies between them), is re-encoded
+whole, then again with a word more on each side, and so on with twice as many while that window's ids aren't the ids of
+its words, at last the whole text.  Agreement within the words of a chunk holds because the vocabulary drops white space
+and has no normalizer or pre-tokenizer that looks across it, which ``Encoder`` tries.
+
+Chunks that several documents hold are encoded once for all of them (``encoded``): chunks are counted by digest, 16 bytes
+for about 1,000 of text; the bodies of those in more than one document, one of each, are shuffled and encoded; their ids
+come back to the documents by digest, and documents are joined from them and from the chunks that are theirs alone,
+which are encoded where they stand.  Only documents with shared chunks are shuffled for that.  ``digests`` and ``encode`` are
+columns without that exchange; they keep chunks by worker.
 
 Words of a new chunk go through a memo of words, so the library encodes a word once while the memo holds it.  Both
 stores are bounded, in two generations: when the young one is full, it becomes the old one and the old one goes.
 
-Reuse is within a Python worker.  A store of chunks for the whole corpus would shuffle all text and then all ids,
-more disk than the input; nothing is shuffled here, rows are independent, and memory is bounded by the stores and one
-batch.  Null and empty texts have no ids; a word of any length is one join or part of a chunk; repeated texts meet kept
-chunks; ids and other columns play no part; an empty table gives an empty result.
+Null and empty texts have no ids; a word of any length is one join or part of a chunk; repeated texts share all chunks;
+ids and other columns, whatever their names, play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,16 +26,25 @@ import hashlib
 import os
 from array import array
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .flat import drawn, groups, text_bytes, white
+from .store import sifted, small_batches, written
 
 WINDOW, CUT_BITS = 16, 10
 WORDS_KEPT, CHUNK_BYTES_KEPT, TEXT_BYTES = 100_000, 6_000_000, 1 << 21
+#: Bytes of a chunk's inside from which it is worth sharing.
+LEAST_SHARED = 64
+
+
+def digest(chunk: bytes) -> bytes:
+    return hashlib.blake2b(chunk, digest_size=16).digest()
+
 
 
 class Kept:
@@ -77,6 +90,11 @@ class Encoder:
         self.space = white() == 0
         if self.whole(b"ab \n\tcd") != self.whole(b"ab") + self.whole(b"cd"):
             raise ValueError("this vocabulary gives ids to white space; chunks couldn't be joined")
+        if self.tokenizer.decoder is not None:
+            raise ValueError("this vocabulary has a decoder of its own; pieces couldn't be joined by a space")
+        for words in ("a b", "Ab C. d", "e\u0301 \u0301e", "don 't", "1 2", "\u65e5 \u672c"):
+            if self.whole(words.encode()) != b"".join(self.whole(w.encode()) for w in words.split(" ")):
+                raise ValueError("this vocabulary reads across white space; chunks couldn't be joined")
 
     def whole(self, text: bytes) -> bytes:
         return array("I", self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
@@ -97,11 +115,10 @@ class Encoder:
             h[k:] += h[:-k] << np.uint32(k)
         return np.flatnonzero((h >> np.uint32(12)) & np.uint32((1 << CUT_BITS) - 1) == 0) + 1
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-        """Ids of the texts in a flat byte buffer."""
+    def parts(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[list[bytes]]:
+        """For each text of a flat byte buffer chunks and joins in turn, a chunk first and last."""
         raw = data.tobytes()
         cuts, gaps = self.cuts(data), np.flatnonzero(self.space[data])
-        plans, new_chunks, new_words = [], set(), set()
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             own = cuts[np.searchsorted(cuts, a + WINDOW) : np.searchsorted(cuts, b)]
             g = gaps[np.searchsorted(gaps, a) : np.searchsorted(gaps, b)]
@@ -112,23 +129,37 @@ class Encoder:
             for left, right in zip(lefts.tolist(), rights.tolist(), strict=True):
                 parts += [raw[at:left], raw[left:right]]
                 at = right
-            parts.append(raw[at:b])
-            plans.append(parts)
+            yield [*parts, raw[at:b]]
+
+    def chunk(self, chunk: bytes) -> bytes:
+        """Ids of a chunk's inside."""
+        ids = self._learn(set(chunk.split()))
+        return b"".join(map(ids.__getitem__, chunk.split()))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, given: list[dict[bytes, bytes]] | None = None) -> list[bytes]:
+        """Ids of the texts in a flat byte buffer; ``given``: for each text ids of some of its chunks by digest."""
+        plans, new_chunks, new_words, known = list(self.parts(data, offsets)), set(), set(), {}
+        for k, parts in enumerate(plans):
+            shared = given[k] if given else {}
             for i, part in enumerate(parts):
                 if i % 2:
                     new_words.add(part)
-                elif part not in new_chunks and self.chunks.get(part) is None:
+                elif part in new_chunks or part in known:
+                    continue
+                elif shared and len(part) > LEAST_SHARED and (ids := shared.get(digest(part))) is not None:
+                    known[part] = ids
+                elif self.chunks.get(part) is None:
                     new_chunks.add(part)
                     new_words.update(part.split())
         new_words.discard(b"")
         ids = self._learn(new_words)
         ids[b""] = b""
-        fresh = {}
+        fresh = known
         for chunk in new_chunks:
             fresh[chunk] = b"".join(map(ids.__getitem__, chunk.split()))
             if len(chunk) > 64:
                 self.chunks.put(chunk, fresh[chunk])
-        got = lambda part, i: ids[part] if i % 2 else fresh[part] if part in fresh else self.chunks.get(part) or b"".join(self._learn({w})[w] for w in part.split())
+        got = lambda part, i: ids[part] if i % 2 else fresh[part] if part in fresh else self.chunks.get(part) or self.chunk(part)
         return self._agreed([([got(p, i) for i, p in enumerate(parts)], parts) for parts in plans])
 
     def _agreed(self, texts: list[tuple[list[bytes], list[bytes]]]) -> list[bytes]:
@@ -171,11 +202,83 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _encoded(path: str, column: pa.Array) -> Iterator[bytes]:
+def _encoded(path: str, column: pa.Array, given: list[dict[bytes, bytes]] | None = None) -> Iterator[bytes]:
     own = encoder(path)
     data, offsets = text_bytes(column)
     for i, j in groups(offsets, TEXT_BYTES):
-        yield from own.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        yield from own.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], given[i:j] if given else None)
+
+
+_FIGURES = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>"
+
+
+def _figures(path: str, found: Iterator[bytes]) -> pa.StructArray:
+    own, n, ids, back = encoder(path), [], [], []
+    for x in found:
+        n.append(len(x) // 4)
+        ids.append(hashlib.sha256(x).hexdigest())
+        back.append(hashlib.sha256(own.decode(x)).hexdigest())
+    return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def _references(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(md5, text) to (md5, digest) of every different chunk of a text."""
+    own = encoder(path)
+    for batch in batches:
+        data, offsets = text_bytes(batch.column(1))
+        for i, j in groups(offsets, TEXT_BYTES):
+            held = [{digest(p) for p in parts[::2] if len(p) > LEAST_SHARED} for parts in own.parts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
+            of = np.repeat(np.arange(i, j), [len(x) for x in held])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array([d for x in held for d in x], pa.binary())], names=["md5", "digest"])
+
+
+def _bodies(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) to (digest, body) of its chunks, once in a few megabytes of text."""
+    own = encoder(path)
+    for batch in batches:
+        data, offsets = text_bytes(batch.column(0))
+        for i, j in groups(offsets, TEXT_BYTES):
+            found = {digest(p): p for parts in own.parts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for p in parts[::2] if len(p) > LEAST_SHARED}
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["digest", "body"])
+
+
+def _chunk_ids(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, body) to (digest, ids)."""
+    own = encoder(path)
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.chunk(x) for x in batch.column(1).to_pylist()], pa.binary())], names=["digest", "ids"])
+
+
+def _joined(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, text, pieces) to (row, d)."""
+    for batch in batches:
+        given = [{p["digest"]: p["ids"] for p in x or ()} for x in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), _figures(path, _encoded(path, batch.column(1), given))], names=["row", "d"])
+
+
+def shared_chunks(references: DataFrame, texts: DataFrame, path: str) -> DataFrame:
+    """(digest, ids) of the chunks that more than one row of ``references`` names, each of them encoded once."""
+    several = written(references.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "several")
+    bodies = sifted(texts.select("text").mapInArrow(partial(_bodies, path), "digest binary, body binary"), "digest", several)
+    one = bodies.groupBy("digest").agg(F.first("body").alias("body")).join(several, "digest", "left_semi")
+    return written(one.mapInArrow(partial(_chunk_ids, path), "digest binary, ids binary"), "chunks")
+
+
+def encoded(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """(row, d): the rows of ``df`` as structs, and n_tokens, ids_sha256, decoded_sha256 of their texts' encoding.  Chunks that
+    several rows hold are encoded once."""
+    small_batches(df.sparkSession)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = df.select(F.struct("*").alias("row"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("md5"))
+    references = written(rows.select("md5", "text").mapInArrow(partial(_references, path), "md5 binary, digest binary"), "references")
+    chunks = shared_chunks(references, rows, path)
+    named = sifted(references, "digest", chunks.select("digest")).distinct().join(chunks, "digest")
+    pieces = written(named.groupBy("md5").agg(F.collect_list(F.struct("digest", "ids")).alias("pieces")), "pieces")
+    with_pieces = sifted(rows, "md5", pieces.select("md5")).join(pieces, "md5", "left")
+    without = sifted(rows, "md5", pieces.select("md5"), inside=False).withColumn("pieces", F.lit(None).cast(pieces.schema["pieces"].dataType))
+    kind = f"row {rows.schema['row'].dataType.simpleString()}, d {_FIGURES}"
+    ready = with_pieces.select("row", "text", "pieces").unionByName(without.select("row", "text", "pieces"))
+    return ready.mapInArrow(partial(_joined, path), kind)
 
 
 def encode(text: Column | str, path: str) -> Column:
@@ -206,15 +309,9 @@ def decode(ids: Column | str, path: str) -> Column:
 def digests(text: Column | str, path: str) -> Column:
     """A struct n_tokens, ids_sha256, decoded_sha256 of the text's encoding and of its decoding."""
 
-    @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
+    @F.arrow_udf(_FIGURES)
     def figures(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = encoder(path)
         for column in texts:
-            n, ids, decoded = [], [], []
-            for x in _encoded(path, column):
-                n.append(len(x) // 4)
-                ids.append(hashlib.sha256(x).hexdigest())
-                decoded.append(hashlib.sha256(own.decode(x)).hexdigest())
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
+            yield _figures(path, _encoded(path, column))
 
     return figures(text)

@@ -48,9 +48,8 @@ def vocabulary() -> str:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoding and decoding of every document."""
-    small_batches(spark)
-    docs = read(spark, sf_dir, "documents").select("doc_id", bpe.digests("text", vocabulary()).alias("d"))
-    return docs.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
+    docs = bpe.encoded(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
+    return docs.select("row.doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,3 +89,40 @@ def test_a_vocabulary_with_white_space_is_refused():
 
     with pytest.raises(ValueError):
         bpe.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_chunks_in_many_documents_are_encoded_once(spark, library, monkeypatch):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(chr(c) for c in rng.integers(97, 123, rng.integers(2, 9)))
+    passage = " ".join(word() for _ in range(3000))
+    texts = [f"{i} {word()} " + passage + f" {word()} {i}" for i in range(300)] + [" ".join(word() for _ in range(800)) for _ in range(20)] + ODD + ODD
+    df = spark.createDataFrame([(i % 200 or None, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, d string").repartition(8)
+    out = bpe.encoded(df, vocabulary()).collect()
+    want = sorted((t or "", *(lambda ids: (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()))(library.encode(t or "", add_special_tokens=False).ids)) for t in texts)
+    assert sorted((r["row"]["text"] or "", r["d"]["n_tokens"], r["d"]["ids_sha256"]) for r in out) == want
+    assert all(r["row"]["d"] == "x" for r in out) and bpe.encoded(df.limit(0), vocabulary()).count() == 0
+
+    rows = df.selectExpr("coalesce(text, '') AS text", "unhex(md5(coalesce(text, ''))) AS md5")
+    from functools import partial
+
+    references = rows.select("md5", "text").mapInArrow(partial(bpe._references, vocabulary()), "md5 binary, digest binary")
+    chunks = {bytes(r["digest"]): bytes(r["ids"]) for r in bpe.shared_chunks(references, rows, vocabulary()).collect()}
+    assert bpe.shared_chunks(references, rows, vocabulary()).count() == len(chunks) > 5  # one row a chunk, whatever the partitions
+    own = bpe.Encoder(vocabulary())
+    monkeypatch.setattr(own, "_learn", lambda words, learn=own._learn: asked.update(words) or learn(words))
+    asked: set[bytes] = set()
+    data, offsets = text_bytes(pa.array(texts[:1]))
+    plan = next(own.parts(data, offsets))
+    inside = {w for p in plan[::2] if len(p) > bpe.LEAST_SHARED and bpe.digest(p) in chunks for w in p.split()}
+    assert own.encode(data, offsets, [chunks])[0] == np.array(library.encode(texts[0], add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(inside) > 1000 and len(asked & inside) < 0.2 * len(inside)  # what is asked stands at joins and borders
+
+
+def test_a_vocabulary_with_a_decoder_is_refused(tmp_path):
+    import json
+
+    file = json.loads(open(vocabulary()).read())
+    file["decoder"] = {"type": "Metaspace", "replacement": "_", "prepend_scheme": "always", "split": True}
+    (tmp_path / "v.json").write_text(json.dumps(file))
+    with pytest.raises(ValueError, match="decoder"):
+        bpe.Encoder(str(tmp_path / "v.json"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gridmark.llm import bpe, language_id, mixing, near_dedup, quality_rules
 from gridmark.llm.queries import vocabulary
-from gridmark.llm.store import read, settled, small_batches, unused, written
+from gridmark.llm.store import read, settled, unused, written
 
 LEAST_SCORE = 0.5
 
@@ -61,8 +61,7 @@ def memberships(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded text."""
-    small_batches(spark)
-    return docs.select("doc_id", bpe.digests("text", vocabulary()).alias("d")).select("doc_id", "d.*")
+    return bpe.encoded(docs.select("doc_id", "text"), vocabulary()).select("row.doc_id", "d.*")
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

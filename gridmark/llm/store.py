@@ -7,14 +7,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folders import qualified
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; where that is unset on a local master (tests), a folder of the
-    warehouse.  On a cluster it must be set: a folder of one machine would lose what others read."""
+    warehouse.  On a cluster it must be set: a folder of one machine would lose what others read.  The name is full: without
+    a scheme it is of the default file system."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if not told and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return told or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    return qualified(spark, told or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
 
 
 #: Rows of a text column that go to a Python worker at a time.

@@ -28,13 +28,15 @@ from collections.abc import Iterator
 from functools import partial
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.folders import opened
 from .store import settled, shared_dir, sifted, small_batches
 
 ARCHIVE_BYTES = 16 << 20
+#: Bytes of neighbouring records that are read at once.
+RUN_BYTES = 1 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 
 
@@ -136,19 +138,28 @@ class Archive:
         return offset + 30 + sum(struct.unpack_from("<HH", head, 26))
 
     def records(self) -> Iterator[bytes]:
-        """The records of the index, each read by its range."""
+        """The records of the index by their ranges; ranges side by side are read together, up to RUN_BYTES."""
         start, index = self.start(DATA), self.start(INDEX)
-        for line in self.file.read_at(self.members[INDEX][1], index).splitlines():
-            entry = json.loads(line)
-            yield self.file.read_at(entry["length"], start + entry["offset"])
+        run: list[tuple[int, int]] = []
 
+        def read() -> Iterator[bytes]:
+            first = run[0][0]
+            raw = self.file.read_at(sum(run[-1]) - first, start + first)
+            for offset, length in run:
+                yield raw[offset - first : offset - first + length]
+            run.clear()
 
-def _at(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:/") else (fs.LocalFileSystem(), folder)
+        for line in self.file.read_at(self.members[INDEX][1], index).splitlines():
+            entry = json.loads(line)
+            if run and (entry["offset"] != sum(run[-1]) or sum(run[-1]) - run[0][0] >= RUN_BYTES):
+                yield from read()
+            run.append((entry["offset"], entry["length"]))
+        if run:
+            yield from read()
 
 
 def _write(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    store, path = _at(folder)
+    store, path = opened(folder)
     held: list[tuple[str, bytes]] = []
 
     def flush() -> pa.RecordBatch:
@@ -181,7 +192,7 @@ def write(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "ht
     spark = df.sparkSession
     small_batches(spark)
     folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    store, path = _at(folder)
+    store, path = opened(folder)
     store.create_dir(path, recursive=True)
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.col(html).alias("html"))
     digest = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
@@ -205,7 +216,7 @@ class _File:
 
 
 def _records(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    store, _ = _at(folder)
+    store, _ = opened(folder)
     ident = lambda x: int(x) if (x := x[len("<urn:page:") : -1]) else None
     for batch in batches:
         for name, count in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -131,26 +131,26 @@ class Encoder:
                 at = right
             yield [*parts, raw[at:b]]
 
-    def chunk(self, chunk: bytes) -> bytes:
-        """Ids of a chunk's inside."""
-        ids = self._learn(set(chunk.split()))
-        return b"".join(map(ids.__getitem__, chunk.split()))
-
-    def encode(self, data: np.ndarray, offsets: np.ndarray, given: list[dict[bytes, bytes]] | None = None) -> list[bytes]:
-        """Ids of the texts in a flat byte buffer; ``given``: for each text ids of some of its chunks by digest."""
+    def insides(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of the insides of chunks."""
+        split = [c.split() for c in chunks]
+        ids = self._learn({w for words in split for w in words})
+        return [b"".join(map(ids.__getitem__, words)) for words in split]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, given: list[dict[int, bytes]] | None = None) -> list[bytes]:
+        """Ids of the texts in a flat byte buffer; ``given``: for each text ids of some of its chunks by their start."""
         plans, new_chunks, new_words, known = list(self.parts(data, offsets)), set(), set(), {}
         for k, parts in enumerate(plans):
-            shared = given[k] if given else {}
+            shared, at = given[k] if given else {}, 0
             for i, part in enumerate(parts):
                 if i % 2:
                     new_words.add(part)
-                elif part in new_chunks or part in known:
-                    continue
-                elif shared and len(part) > LEAST_SHARED and (ids := shared.get(digest(part))) is not None:
+                elif (ids := shared.get(at)) is not None:
                     known[part] = ids
-                elif self.chunks.get(part) is None:
+                elif part not in new_chunks and part not in known and self.chunks.get(part) is None:
                     new_chunks.add(part)
                     new_words.update(part.split())
+                at += len(part)
         new_words.discard(b"")
         ids = self._learn(new_words)
         ids[b""] = b""
@@ -159,7 +159,7 @@ class Encoder:
             fresh[chunk] = b"".join(map(ids.__getitem__, chunk.split()))
             if len(chunk) > 64:
                 self.chunks.put(chunk, fresh[chunk])
-        got = lambda part, i: ids[part] if i % 2 else fresh[part] if part in fresh else self.chunks.get(part) or self.chunk(part)
+        got = lambda part, i: ids[part] if i % 2 else fresh[part] if part in fresh else self.chunks.get(part) or self.insides([part])[0]
         return self._agreed([([got(p, i) for i, p in enumerate(parts)], parts) for parts in plans])
 
     def _agreed(self, texts: list[tuple[list[bytes], list[bytes]]]) -> list[bytes]:
@@ -202,7 +202,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _encoded(path: str, column: pa.Array, given: list[dict[bytes, bytes]] | None = None) -> Iterator[bytes]:
+def _encoded(path: str, column: pa.Array, given: list[dict[int, bytes]] | None = None) -> Iterator[bytes]:
     own = encoder(path)
     data, offsets = text_bytes(column)
     for i, j in groups(offsets, TEXT_BYTES):
@@ -221,47 +221,56 @@ def _figures(path: str, found: Iterator[bytes]) -> pa.StructArray:
     return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def _references(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(md5, text) to (md5, digest) of every different chunk of a text."""
-    own = encoder(path)
-    for batch in batches:
-        data, offsets = text_bytes(batch.column(1))
-        for i, j in groups(offsets, TEXT_BYTES):
-            held = [{digest(p) for p in parts[::2] if len(p) > LEAST_SHARED} for parts in own.parts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
-            of = np.repeat(np.arange(i, j), [len(x) for x in held])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array([d for x in held for d in x], pa.binary())], names=["md5", "digest"])
+_REFERENCE = "md5 binary, digest binary, start bigint, size bigint"
 
 
-def _bodies(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) to (digest, body) of its chunks, once in a few megabytes of text."""
+def _references(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(md5, text) to (md5, digest, start, size) of every chunk of a text."""
     own = encoder(path)
     for batch in batches:
-        data, offsets = text_bytes(batch.column(0))
+        data, offsets = text_bytes(batch.column(1))
         for i, j in groups(offsets, TEXT_BYTES):
-            found = {digest(p): p for parts in own.parts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for p in parts[::2] if len(p) > LEAST_SHARED}
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["digest", "body"])
+            of, digests_, starts, sizes = [], [], [], []
+            for k, parts in enumerate(own.parts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), i):
+                at = 0
+                for n, part in enumerate(parts):
+                    if n % 2 == 0 and len(part) > LEAST_SHARED:
+                        of.append(k)
+                        digests_.append(digest(part))
+                        starts.append(at)
+                        sizes.append(len(part))
+                    at += len(part)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array(digests_, pa.binary()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], names=["md5", "digest", "start", "size"])
 
 
 def _chunk_ids(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(digest, body) to (digest, ids)."""
     own = encoder(path)
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.chunk(x) for x in batch.column(1).to_pylist()], pa.binary())], names=["digest", "ids"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.insides(batch.column(1).to_pylist()), pa.binary())], names=["digest", "ids"])
 
 
 def _joined(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, text, pieces) to (row, d)."""
+    """(row, text, starts, ids) to (row, d)."""
     for batch in batches:
-        given = [{p["digest"]: p["ids"] for p in x or ()} for x in batch.column(2).to_pylist()]
+        given = [dict(zip(x or (), y or (), strict=True)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), _figures(path, _encoded(path, batch.column(1), given))], names=["row", "d"])
 
 
-def shared_chunks(references: DataFrame, texts: DataFrame, path: str) -> DataFrame:
-    """(digest, ids) of the chunks that more than one row of ``references`` names, each of them encoded once."""
-    several = written(references.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "several")
-    bodies = sifted(texts.select("text").mapInArrow(partial(_bodies, path), "digest binary, body binary"), "digest", several)
-    one = bodies.groupBy("digest").agg(F.first("body").alias("body")).join(several, "digest", "left_semi")
-    return written(one.mapInArrow(partial(_chunk_ids, path), "digest binary, ids binary"), "chunks")
+def references(rows: DataFrame, path: str) -> DataFrame:
+    """(md5, digest, start, size) of the chunks of rows (md5, text)."""
+    return written(rows.select("md5", "text").mapInArrow(partial(_references, path), _REFERENCE), "references")
+
+
+def shared_chunks(named: DataFrame, rows: DataFrame, path: str) -> DataFrame:
+    """(digest, ids) of the chunks that ``references`` name more than once, each of them encoded once: its bytes are cut from
+    one text that holds it."""
+    first = named.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("md5", "start", "size")).alias("h")).where("n > 1")
+    holders = written(first.groupBy("h.md5").agg(F.collect_list(F.struct("digest", "h.start", "h.size")).alias("held")), "holders")
+    texts = sifted(rows.select("md5", "text"), "md5", holders.select("md5")).dropDuplicates(["md5"]).join(holders, "md5")
+    cut = texts.select(F.col("text").cast("binary").alias("text"), F.explode("held").alias("c"))
+    bodies = cut.select("c.digest", F.substring(F.col("text"), (F.col("c.start") + 1).cast("int"), F.col("c.size").cast("int")).alias("body"))
+    return written(bodies.mapInArrow(partial(_chunk_ids, path), "digest binary, ids binary"), "chunks")
 
 
 def encoded(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
@@ -270,15 +279,16 @@ def encoded(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     small_batches(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.struct("*").alias("row"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("md5"))
-    references = written(rows.select("md5", "text").mapInArrow(partial(_references, path), "md5 binary, digest binary"), "references")
-    chunks = shared_chunks(references, rows, path)
-    named = sifted(references, "digest", chunks.select("digest")).distinct().join(chunks, "digest")
-    pieces = written(named.groupBy("md5").agg(F.collect_list(F.struct("digest", "ids")).alias("pieces")), "pieces")
+    named = references(rows, path)
+    chunks = shared_chunks(named, rows, path)
+    placed = sifted(named, "digest", chunks.select("digest")).select("md5", "digest", "start").distinct().join(chunks, "digest")
+    listed = placed.groupBy("md5").agg(F.collect_list(F.struct("start", "ids")).alias("p"))
+    pieces = written(listed.select("md5", F.col("p.start").alias("starts"), F.col("p.ids").alias("ids")), "pieces")
     with_pieces = sifted(rows, "md5", pieces.select("md5")).join(pieces, "md5", "left")
-    without = sifted(rows, "md5", pieces.select("md5"), inside=False).withColumn("pieces", F.lit(None).cast(pieces.schema["pieces"].dataType))
-    kind = f"row {rows.schema['row'].dataType.simpleString()}, d {_FIGURES}"
-    ready = with_pieces.select("row", "text", "pieces").unionByName(without.select("row", "text", "pieces"))
-    return ready.mapInArrow(partial(_joined, path), kind)
+    nothing = {c: F.lit(None).cast(pieces.schema[c].dataType) for c in ("starts", "ids")}
+    without = sifted(rows, "md5", pieces.select("md5"), inside=False).withColumns(nothing)
+    ready = [t.select("row", "text", "starts", "ids") for t in (with_pieces, without)]
+    return ready[0].unionByName(ready[1]).mapInArrow(partial(_joined, path), f"row {rows.schema['row'].dataType.simpleString()}, d {_FIGURES}")
 
 
 def encode(text: Column | str, path: str) -> Column:

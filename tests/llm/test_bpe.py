@@ -103,18 +103,18 @@ def test_chunks_in_many_documents_are_encoded_once(spark, library, monkeypatch):
     assert all(r["row"]["d"] == "x" for r in out) and bpe.encoded(df.limit(0), vocabulary()).count() == 0
 
     rows = df.selectExpr("coalesce(text, '') AS text", "unhex(md5(coalesce(text, ''))) AS md5")
-    from functools import partial
-
-    references = rows.select("md5", "text").mapInArrow(partial(bpe._references, vocabulary()), "md5 binary, digest binary")
-    chunks = {bytes(r["digest"]): bytes(r["ids"]) for r in bpe.shared_chunks(references, rows, vocabulary()).collect()}
-    assert bpe.shared_chunks(references, rows, vocabulary()).count() == len(chunks) > 5  # one row a chunk, whatever the partitions
+    named = bpe.references(rows, vocabulary())
+    chunks = {bytes(r["digest"]): bytes(r["ids"]) for r in bpe.shared_chunks(named, rows, vocabulary()).collect()}
+    assert bpe.shared_chunks(named, rows, vocabulary()).count() == len(chunks) > 5  # one row a chunk, whatever the partitions
     own = bpe.Encoder(vocabulary())
     monkeypatch.setattr(own, "_learn", lambda words, learn=own._learn: asked.update(words) or learn(words))
     asked: set[bytes] = set()
     data, offsets = text_bytes(pa.array(texts[:1]))
     plan = next(own.parts(data, offsets))
     inside = {w for p in plan[::2] if len(p) > bpe.LEAST_SHARED and bpe.digest(p) in chunks for w in p.split()}
-    assert own.encode(data, offsets, [chunks])[0] == np.array(library.encode(texts[0], add_special_tokens=False).ids, "<u4").tobytes()
+    starts = np.concatenate([[0], np.cumsum([len(p) for p in plan])])
+    given = {int(starts[i]): chunks[bpe.digest(p)] for i, p in enumerate(plan) if i % 2 == 0 and bpe.digest(p) in chunks}
+    assert own.encode(data, offsets, [given])[0] == np.array(library.encode(texts[0], add_special_tokens=False).ids, "<u4").tobytes()
     assert len(inside) > 1000 and len(asked & inside) < 0.2 * len(inside)  # what is asked stands at joins and borders
 
 

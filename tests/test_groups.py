@@ -48,13 +48,13 @@ def test_pairs_on_the_grid(spark, name):
     assert sorted(map(tuple, found)) == sorted(want)
 
 
-@pytest.mark.parametrize("fold", [0, 40, 1 << 20])
-def test_suppression_in_rounds_equals_the_fold(spark, fold):
+@pytest.mark.parametrize(("fold", "small"), [(0, 0), (40, 30), (1 << 20, 1 << 20)])
+def test_suppression_in_rounds_equals_the_fold(spark, fold, small):
     rng = random.Random(fold)
     rows = boxes(rng, 300, 120, 50, labels=3) + boxes(rng, 40, 900, 60, labels=9, start=1000)
     rows += [(2000 + k, 5, 0.001 * k, 3.0 * k, 0.0, 3.0 * k + 10, 10.0) for k in range(25)]  # a chain: each box suppresses the next one
     odd = [(3000, 0, None, 1.0, 1.0, 2.0, 2.0), (3001, 0, 0.5, float("nan"), 1.0, 2.0, 2.0), (3002, 0, float("nan"), 1.0, 1.0, 2.0, 2.0), (3003, 0, 0.9, None, 1.0, 2.0, 2.0)]
-    got = stitch.nms(table(spark, rows + odd), ["sheet", "label"], ["k"], 0.5, bound=16, fold=fold)
+    got = stitch.nms(table(spark, rows + odd), ["sheet", "label"], ["k"], 0.5, bound=16, fold=fold, small=small)
     assert got.columns == ["sheet", "label", "k", *CORNERS, "score"]
     assert sorted(r["k"] for r in got.collect()) == kept(rows, 0.5)
     assert stitch.nms(table(spark, rows).limit(0), ["sheet", "label"], ["k"]).count() == 0

@@ -17,11 +17,14 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
 win AS (SELECT r, p, array_to_string(w[p:p + 7], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS p FROM d)),
 twice AS (SELECT r, p FROM win QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
 covered AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + 8)) AS q FROM twice) GROUP BY r),
-line AS (SELECT r, l, regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS w FROM (SELECT r, unnest(string_split(text, chr(10))) AS l FROM d)),
-judged AS (SELECT r, l, len(w) AS n, greatest(length(regexp_replace(l, '{_SYMBOLS}', '', 'g')), len(regexp_extract_all(l, '!!+|\?\?+'))) AS marks,
+line AS (SELECT r, i, l, regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS w FROM (SELECT r, unnest(s) AS l, unnest(range(len(s))) AS i FROM (SELECT r, string_split(text, chr(10)) AS s FROM d))),
+judged AS (SELECT r, i, l, len(w) AS n, greatest(length(regexp_replace(l, '{_SYMBOLS}', '', 'g')), len(regexp_extract_all(l, '!!+|\?\?+'))) AS marks,
   len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS again, len(regexp_extract_all(l, '[»›•·]')) AS seps,
-  {" OR ".join(f"contains(lower(l), '{p}')" for p in _PHRASES)} AS furniture FROM line),
-verdict AS (SELECT *, n > 0 AND (marks >= 0.3::DOUBLE * n OR (n >= 8 AND again >= 0.3::DOUBLE * n) OR (n <= 25 AND (seps >= 2 OR furniture))) AS fails FROM judged),
+  regexp_matches(l, '[.!?…:;。！？：；।؟۔]["''”’»)\]）」』]*[\x20\x09-\x0D]*\z|[\x{{0E00}}-\x{{109F}}\x{{1780}}-\x{{17FF}}]') AS closed, {" OR ".join(f"contains(lower(l), '{p}')" for p in _PHRASES)} AS furniture FROM line),
+alone AS (SELECT *, n > 0 AND (marks >= 0.3::DOUBLE * n OR (n >= 8 AND again >= 0.3::DOUBLE * n) OR (n <= 25 AND (seps >= 2 OR furniture))) AS own FROM judged),
+opened AS (SELECT *, n BETWEEN 1 AND 25 AND NOT own AND NOT closed AS open, n BETWEEN 1 AND 3 AND NOT own AND NOT closed AS item FROM alone),
+run AS (SELECT *, i - row_number() OVER (PARTITION BY r, item ORDER BY i) AS run, count(*) FILTER (open) OVER (PARTITION BY r) AS n_open, count(*) FILTER (n > 0) OVER (PARTITION BY r) AS n_full FROM opened),
+verdict AS (SELECT *, own OR (open AND n_open >= 5 AND 2 * n_open >= n_full) OR (item AND count(*) OVER (PARTITION BY r, item, run) >= 4) AS fails FROM run),
 byline AS (SELECT r, count(*) FILTER (n > 0) - count(DISTINCT l) FILTER (n > 0) AS dup, coalesce(sum(length(l)) FILTER (fails), 0) AS lost FROM verdict GROUP BY r),
 f AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(text, '{_SYMBOLS}', '', 'g'))::BIGINT AS n_symbols,
   dup::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, CASE WHEN length(text) = 0 THEN 0.0::DOUBLE ELSE lost::DOUBLE / length(text) END AS lost_share

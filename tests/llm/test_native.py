@@ -49,6 +49,52 @@ def test_quality_figures(spark):
     assert quality_rules.judge(df.limit(0)).count() == 0
 
 
+def plain_lines(text):
+    """The lines that pass, by the docstring's rules, line by line."""
+    kinds, lines = [], text.split("\n")
+    for line in lines:
+        w = re.findall(r"[^\x20\x09-\x0D]+", line)
+        marks = max(len(re.findall(r"[#*$%&|<>]", line)), len(re.findall(r"!!+|\?\?+", line)))
+        furniture = any(p in line.lower() for p in quality_rules.BOILERPLATE) or len(re.findall("[»›•·]", line)) >= 2
+        again = sum(a == b for a, b in zip(w, w[1:]))
+        if not w:
+            kinds.append("blank")
+        elif marks >= 0.3 * len(w) or (len(w) <= 25 and furniture) or (len(w) >= 8 and again >= 0.3 * len(w)):
+            kinds.append("failed")
+        elif len(w) > 25 or line.rstrip(" \t\n\x0b\x0c\r").rstrip("\"'”’»)]）」』")[-1:] in tuple(".!?…:;。！？：；।؟۔") or re.search("[\u0e00-\u109f\u1780-\u17ff]", line):
+            kinds.append("closed")
+        else:
+            kinds.append("item" if len(w) <= 3 else "open")
+    n_open = sum(k in ("item", "open") for k in kinds)
+    crowd = n_open >= 5 and 2 * n_open >= sum(k != "blank" for k in kinds)
+    out = []
+    for i, (line, kind) in enumerate(zip(lines, kinds)):
+        a = b = i
+        while kind == "item" and a > 0 and kinds[a - 1] == "item":
+            a -= 1
+        while kind == "item" and b + 1 < len(kinds) and kinds[b + 1] == "item":
+            b += 1
+        if kind != "failed" and not (crowd and kind in ("item", "open")) and not (kind == "item" and b - a >= 3):
+            out.append(line)
+    return out
+
+
+def test_lines_by_their_company(spark):
+    article = "\n".join(f"Sentence {i} of the article says this and that about the matter at hand." for i in range(12))
+    menu = "\n".join(["Home", "News", "Sport", "About us"])
+    thai = "\n".join(["สวัสดี ชาวโลก"] * 3 + [f"ข้อความ ที่ {i}" for i in range(20)])
+    listing = "\n".join(f"item number {i} of a long list" for i in range(30))
+    named = [f"Heading\n{article}", f"{menu}\n{article}", f"Home\nNews\n\nSport\nAbout us\n{article}", thai, listing, f"Title\n\nBy line\n{article}\nHe said \"so.\"\nend (of it.)  "]
+    rng = random.Random(3)
+    pieces = ["Home", "About us", "A sentence that ends.", "an open line of words", "", "a » b » c", "x" * 40, "word " * 30, "End.”", "ok!", "** ** **", "ไทย ไทย", "end.\u2028", "end. \t\r", "no no no no no no no no"]
+    texts = named + ["\n".join(rng.choices(pieces, k=rng.randint(1, 14))) for _ in range(250)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["cleaned"] for r in quality_rules.judge(df).collect()}
+    assert [out[i] for i in range(6)] == [named[0], article, named[2], thai, "", named[5]]
+    for i, text in enumerate(texts):
+        assert out[i] == "\n".join(plain_lines(text)), text
+
+
 def test_lines_of_any_length_and_clashing_names(spark):
     nav = "Home » News » " + " ".join(["Sport"] * 4 + ["W" * 90] * 4)
     long_nav = nav.replace("W" * 90, "W" * 400)

@@ -37,6 +37,8 @@ from .store import small_batches
 UNIT = 640
 UNKNOWN = "und"
 LEAST = 8
+#: Most languages whose sampling limits are broadcast to the texts; more are joined as Spark plans it.
+BROADCAST_LANGUAGES = 10_000
 
 
 @dataclass(frozen=True)
@@ -93,14 +95,14 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND length(text) > 0")
     draw = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 20))
-    totals = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n"), F.min(draw).alias("first")).collect()
-    if not totals:
-        return LanguageModel((), np.zeros(256, np.int32), np.zeros(1, np.uint16), (), 1)
-    limits = {r["lang"]: max(r["first"] + 1, int(min(1.0, sample_bytes / r["n"]) * (1 << 20))) for r in totals}
-    limit = F.element_at(F.create_map(*(F.lit(x) for pair in limits.items() for x in pair)), F.col("lang"))
-    sample = rows.where(draw < limit).select("lang", F.substring("text", 1, sample_bytes).alias("text"))
+    share = F.least(F.lit(1.0), F.lit(float(sample_bytes)) / F.sum(F.octet_length("text")))
+    per_lang = rows.groupBy("lang").agg(F.greatest(F.min(draw) + 1, (share * (1 << 20)).cast("bigint")).alias("limit")).toArrow()
+    limits = labelled.sparkSession.createDataFrame(per_lang)
+    sample = rows.join(F.broadcast(limits) if len(per_lang) <= BROADCAST_LANGUAGES else limits, "lang").where(draw < F.col("limit")).select("lang", F.substring("text", 1, sample_bytes).alias("text"))
     counts = sample.mapInArrow(_grams, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    names = tuple(sorted(limits))
+    names = tuple(sorted(per_lang["lang"].to_pylist()))
+    if not names:
+        return LanguageModel((), np.zeros(256, np.int32), np.zeros(1, np.uint16), (), 1)
     lang = np.searchsorted(np.array(names, object), np.array(counts["lang"].to_pylist(), object))
     gram, n = counts["gram"].to_numpy(), counts["n"].to_numpy()
     past = [gram >> 9 * k & 511 for k in (3, 2, 1, 0)]
@@ -159,7 +161,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
 
 
 def code_lengths(model: LanguageModel, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """[text, language] code lengths in 1/1024 bits."""
+    """[text, language] code lengths, ``UNIT`` to a bit."""
     out = np.zeros((len(offsets) - 1, len(model.languages)), np.int64)
     width = model.width
     for a in range(0, len(data), BLOCK):

@@ -68,8 +68,8 @@ def index_vectors(n: int, seed: int) -> np.ndarray:
     return out
 
 
-#: Pairs of neighbours that are summed at a time.
-PAIRS = 1 << 18
+#: Pairs of neighbours that are summed at a time, and tasks a core that sum.
+PAIRS, TASKS = 1 << 18, 4
 
 
 def neighbour_sums(data: np.ndarray, offsets: np.ndarray, out: np.ndarray) -> None:
@@ -96,7 +96,8 @@ def normalised(sums: np.ndarray) -> np.ndarray:
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Normalised sums of the neighbours' index vectors for every bucket, over all texts.
 
-    Every task gives one row a bucket that it met, at most BUCKETS, and so many come to the driver.
+    Every task gives one row a bucket that it met, at most BUCKETS, and so many come to the driver.  Partitions are read
+    together, ``TASKS`` tasks a core, so that these rows grow with the cluster and not with the number of files.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +109,8 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     small_batches(docs.sparkSession)
     names = ["bucket", *(f"d{d}" for d in range(WIDTH))]
-    parts = docs.select(text_col).mapInArrow(partial, ", ".join(f"{n} bigint" for n in names))
+    few = TASKS * docs.sparkSession.sparkContext.defaultParallelism
+    parts = docs.select(text_col).coalesce(few).mapInArrow(partial, ", ".join(f"{n} bigint" for n in names))
     rows = parts.groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names[1:])).toArrow()
     out = np.zeros((BUCKETS, WIDTH), np.int64)
     if len(rows):

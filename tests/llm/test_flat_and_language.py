@@ -115,3 +115,12 @@ def test_a_language_of_one_long_text_is_learned(spark):
     assert model.languages == ("long", "short")
     probes = spark.createDataFrame([("bbb aaa bbb",), ("ddd ccc",)], "text string")
     assert [r[0] for r in probes.select(language_id.identify(model, spark, "text")["lang_pred"]).collect()] == ["long", "short"]
+
+
+def test_limits_joined_give_the_model_of_limits_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame([(f"der hund {i} und die katze", "de") for i in range(40)] + [("le chat", "fr"), (None, "es"), ("", "it"), ("x", None)], "text string, lang string")
+    whole = language_id.train(df, sample_bytes=300)
+    monkeypatch.setattr(language_id, "BROADCAST_LANGUAGES", 0)
+    again = language_id.train(df, sample_bytes=300)
+    assert whole.languages == again.languages == ("de", "fr")
+    assert all((a == b).all() for a, b in zip(whole.cost, again.cost)) and (whole.node == again.node).all()

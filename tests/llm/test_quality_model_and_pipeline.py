@@ -270,3 +270,10 @@ def test_pipeline_of_nothing(spark, tmp_path):
 
     spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_word_vectors_do_not_depend_on_tasks(spark, monkeypatch):
+    df = spark.createDataFrame([(f"word{i % 7} near other{i % 5} and word{i % 3}",) for i in range(200)] + [(None,), ("",)], "text string")
+    whole = quality_model.word_vectors(df.repartition(40))
+    monkeypatch.setattr(quality_model, "TASKS", 1)
+    assert (quality_model.word_vectors(df.repartition(40)) == whole).all() and (quality_model.word_vectors(df.coalesce(1)) == whole).all()

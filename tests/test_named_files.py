@@ -1,3 +1,4 @@
+import json
 import os
 
 import pytest
@@ -60,3 +61,22 @@ def test_label_files_come_back(spark, tmp_path):
     sinks.label_files(lines, str(tmp_path / "labels"))
     assert sorted(found(tmp_path / "labels")) == ["train/a b.txt", "val/c.txt"]
     assert sorted((r["tile_name"], r["class_id"], r["xc"]) for r in coco.label_files(spark, str(tmp_path / "labels")).collect()) == [("a b", 1, 0.5), ("a b", 2, 0.25)]
+
+
+def test_documents_are_streamed_from_their_elements(spark, tmp_path):
+    """Elements come in any order, over several batches and partitions, and none of the rows holds a document."""
+    n = F.col("id")
+    rows = spark.range(100).repartition(5).select(F.concat(F.lit("d/"), (n % 3).cast("string"), F.lit(" ü.json")).alias("name"), F.when(n % 2 == 0, 0).otherwise(2).alias("section"), n.alias("at"), F.to_json(F.struct("id")).alias("body"))
+    empty = spark.createDataFrame([("d/none.json", 0, None, None)], "name string, section int, at bigint, body string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+        sinks.json_documents(rows.unionByName(empty), str(tmp_path / "out"), ["a", "b", "c"], ["at"])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found(tmp_path / "out") == ["d/0 ü.json", "d/1 ü.json", "d/2 ü.json", "d/none.json"]
+    for k in range(3):
+        ids = [i for i in range(100) if i % 3 == k]
+        whole = {"a": [{"id": i} for i in ids if i % 2 == 0], "b": [], "c": [{"id": i} for i in ids if i % 2]}
+        assert json.loads((tmp_path / f"out/d/{k} ü.json").read_text()) == whole
+    assert json.loads((tmp_path / "out/d/none.json").read_text()) == {"a": [], "b": [], "c": []}

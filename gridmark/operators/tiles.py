@@ -62,8 +62,9 @@ def back_on_sheet(labels: DataFrame) -> DataFrame:
 
 
 def offset(detections: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Tile detections (x1, y1, x2, y2 in tile coordinates) moved to the sheet."""
-    origin = tiles.select("file_id", "image_id", "t_idx", F.col("x0").alias("_x0"), F.col("y0").alias("_y0"))
+    """Tile detections (x1, y1, x2, y2 in tile coordinates) moved to the sheet.  Tiles are sorted for the join: Spark takes them
+    for as few as the sheets that they are exploded from, and would broadcast them."""
+    origin = tiles.select("file_id", "image_id", "t_idx", F.col("x0").alias("_x0"), F.col("y0").alias("_y0")).hint("merge")
     joined = detections.join(origin, ["file_id", "image_id", "t_idx"])
     return joined.withColumns({k: F.col(k) + F.col("_x0" if k[0] == "x" else "_y0") for k in ("x1", "y1", "x2", "y2")}).drop("_x0", "_y0")
 

@@ -35,3 +35,11 @@ def test_groups_go_on_over_batches():
 def test_small_groups_are_not_collected(spark):
     kept = stitch.nms(catalogue._detections(Fixture(spark, SF)), ["file_id", "image_id", "label"], ["l_orderkey", "l_linenumber"])
     assert "collect_list" not in kept._jdf.queryExecution().toString()
+
+
+def test_tiles_are_not_broadcast(spark):
+    fx = Fixture(spark, SF)
+    local = catalogue._assigned(fx).select("file_id", "image_id", "t_idx", *(tiles.F.lit(0).alias(c) for c in ("x1", "y1", "x2", "y2")))
+    moved = tiles.offset(local, tiles.grid(fx.images))
+    top = moved._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [file_id" in top

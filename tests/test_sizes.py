@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from gridmark.operators import overlaps, runs, stitch, tiles
+from gridmark.operators import accuracy, overlaps, runs, stitch, tiles
 from gridmark.plans import catalogue
 from gridmark.plans.fixtures import Fixture
 
@@ -43,3 +43,22 @@ def test_tiles_are_not_broadcast(spark):
     moved = tiles.offset(local, tiles.grid(fx.images))
     top = moved._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin [file_id" in top
+
+
+def test_matching_where_groups_lie_and_on_the_grid(spark):
+    rows = [(None if i % 41 == 0 else f"s{i % 3}", i % 2, i, float(i * 37 % 60), float(i * 23 % 50), (i * 29 % 20) / 20) for i in range(240)]
+    kinds = "sheet string, label int, k int, x double, y double, score double"
+    made = lambda r, shift: spark.createDataFrame(r, kinds).selectExpr("sheet", "label", "k", f"x + {shift} x1", "y y1", f"x + 20 + {shift} x2", "y + 15 y2", "score")
+    found, truth = made(rows, 1), made(rows[::2], 0)
+    plain = lambda df: sorted(map(str, df.collect()))
+    for f, more in ((accuracy.greedy_matches, ([0.3, 0.6],)), (accuracy.mean_average_precision, ()), (accuracy.average_precision, ())):
+        one, other = (plain(f(found, truth, ["sheet"], ["k"], ["k"], *more, small=small)) for small in (0, 256))
+        assert one and one == other
+
+
+def test_detections_are_not_repeated_for_thresholds(spark):
+    fx = Fixture(spark, SF)
+    found = catalogue._predicted(fx)
+    truth = fx.annotations.selectExpr("file_id", "image_id", "category_id label", "l_orderkey", "x x1", "y y1", "x + w x2", "y + h y2")
+    scored = accuracy.mean_average_precision(found, truth, ["file_id", "image_id"], ["l_orderkey", "t_idx"], ["l_orderkey"])
+    assert "explode" not in scored._jdf.queryExecution().optimizedPlan().toString()

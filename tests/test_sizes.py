@@ -8,6 +8,7 @@ import pyarrow as pa
 from gridmark.operators import accuracy, overlaps, runs, stitch, tiles
 from gridmark.plans import catalogue
 from gridmark.plans.fixtures import Fixture
+from gridmark.sources import sinks
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,3 +63,10 @@ def test_detections_are_not_repeated_for_thresholds(spark):
     truth = fx.annotations.selectExpr("file_id", "image_id", "category_id label", "l_orderkey", "x x1", "y y1", "x + w x2", "y + h y2")
     scored = accuracy.mean_average_precision(found, truth, ["file_id", "image_id"], ["l_orderkey", "t_idx"], ["l_orderkey"])
     assert "explode" not in scored._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_label_lines_are_formatted_in_streams(spark):
+    rows = spark.createDataFrame([("train", "b", 2, 7, 0.5, 0.25, 0.0078125, 1.0), ("train", "b", 1, 3, 0.5, 0.25, 0.1, 1.0), ("val", "a", None, None, None, None, None, None)], "split string, tile_name string, k int, class_id int, xc double, yc double, w double, h double")
+    lines = sinks.label_lines(rows, ["k"])
+    assert "collect_list" not in lines._jdf.queryExecution().toString()
+    assert sorted(lines.collect()) == [("train", "b", "3 0.500000 0.250000 0.100000 1.000000\n7 0.500000 0.250000 0.007812 1.000000"), ("val", "a", "")]

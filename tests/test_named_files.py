@@ -80,3 +80,14 @@ def test_documents_are_streamed_from_their_elements(spark, tmp_path):
         whole = {"a": [{"id": i} for i in ids if i % 2 == 0], "b": [], "c": [{"id": i} for i in ids if i % 2]}
         assert json.loads((tmp_path / f"out/d/{k} ü.json").read_text()) == whole
     assert json.loads((tmp_path / "out/d/none.json").read_text()) == {"a": [], "b": [], "c": []}
+
+
+def test_small_files_are_listed_and_opened_by_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(named_files, "OPENED", 1)
+    for name, body in {"a/b/x +%41.txt": "1 0 0 1 1\r\n2 0 0 1 1\r3 0 0 1 1\n", "a/y.txt": "\n 4  0 0 1 1", "z.txt": "", "z.csv": "5 0 0 1 1", "_h/n.txt": "6 0 0 1 1", "a/.n.txt": "7 0 0 1 1"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(body.encode())
+    read = coco.label_files(spark, str(tmp_path))
+    assert not any(f.endswith(".txt") for f in read.inputFiles())
+    assert sorted((r["tile_name"], r["class_id"]) for r in read.collect()) == [("x +%41", 1), ("x +%41", 2), ("x +%41", 3), ("y", 4)]
+    assert [r["class_id"] for r in coco.label_files(spark, str(tmp_path / "a/y.txt")).collect()] == [4]

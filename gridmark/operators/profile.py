@@ -26,8 +26,12 @@ def counts_with_total(counts: DataFrame, name: str = "name", n: str = "n", total
 
 
 def sheet_counts(resolved: DataFrame, keys: list[str]) -> DataFrame:
-    """Sheets with a resolvable annotation: objects and distinct classes."""
-    return resolved.groupBy(*keys).agg(F.count("*").alias("num_objects"), F.count_distinct("name").alias("num_classes"))
+    """Sheets with a resolvable annotation: objects and distinct classes.
+
+    Annotations of a sheet lie anywhere, so counting before the shuffle would hold about a row an annotation in a task, and
+    tasks that read files grow with these.  Sheets are dealt first; Spark cuts what it shuffled into tasks of one size."""
+    dealt = resolved.select(*keys, "name").repartition(*([k for k in keys if k in ("file_id", "image_id")] or keys))
+    return dealt.groupBy(*keys).agg(F.count("*").alias("num_objects"), F.count_distinct("name").alias("num_classes"))
 
 
 def totals(files: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -5,10 +5,10 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from gridmark.operators import accuracy, overlaps, runs, stitch, tiles
+from gridmark.operators import accuracy, overlaps, profile, runs, stitch, tiles
 from gridmark.plans import catalogue
 from gridmark.plans.fixtures import Fixture
-from gridmark.sources import sinks
+from gridmark.sources import scratch, sinks
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +70,15 @@ def test_label_lines_are_formatted_in_streams(spark):
     lines = sinks.label_lines(rows, ["k"])
     assert "collect_list" not in lines._jdf.queryExecution().toString()
     assert sorted(lines.collect()) == [("train", "b", "3 0.500000 0.250000 0.100000 1.000000\n7 0.500000 0.250000 0.007812 1.000000"), ("val", "a", "")]
+
+
+def test_sheets_are_dealt_before_they_are_counted(spark):
+    rows = spark.createDataFrame([(1, 1, "a", "x"), (1, 1, "a", "y"), (1, 1, "a", "x"), (1, 2, None, "x")], "file_id long, image_id long, file_name string, name string")
+    counted = profile.sheet_counts(rows, ["file_id", "image_id", "file_name"])
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.rindex("Aggregate") < plan.index("Exchange")
+    assert sorted(counted.collect()) == [(1, 1, "a", 3, 2), (1, 2, None, 1, 1)]
+
+
+def test_scratch_tables_are_packed(spark):
+    assert all(".zstd." in f for f in scratch.written(spark.range(9), "packed").inputFiles())

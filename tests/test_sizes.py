@@ -82,3 +82,17 @@ def test_sheets_are_dealt_before_they_are_counted(spark):
 
 def test_scratch_tables_are_packed(spark):
     assert all(".zstd." in f for f in scratch.written(spark.range(9), "packed").inputFiles())
+
+
+def test_what_only_sorts_stays_out_of_python(spark):
+    by, keys = ["file_id", "image_id", "label"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "t_idx"]
+    found = catalogue._detections(Fixture(spark, SF))
+    full = stitch.nms(found, by, keys)
+    counted = lambda df: sorted(df.groupBy(*by).count().collect())
+    for small in (2, 256):
+        few = stitch.nms(found, by, keys, small=small, shown=by)
+        assert few.columns == by and counted(few) == counted(full)
+    node = few._jdf.queryExecution().optimizedPlan()
+    while "MapInArrow" not in node.nodeName():
+        node = node.children().head()
+    assert [node.children().head().output().apply(k).name() for k in range(node.children().head().output().size())] == [*by, "x1", "y1", "x2", "y2"]

@@ -96,3 +96,8 @@ def test_what_only_sorts_stays_out_of_python(spark):
     while "MapInArrow" not in node.nodeName():
         node = node.children().head()
     assert [node.children().head().output().apply(k).name() for k in range(node.children().head().output().size())] == [*by, "x1", "y1", "x2", "y2"]
+
+
+def test_suppression_runs_once_for_numbers(spark):
+    plan = catalogue.QUERIES["object_records"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "MapInArrow" not in plan

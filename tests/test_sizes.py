@@ -101,3 +101,11 @@ def test_what_only_sorts_stays_out_of_python(spark):
 def test_suppression_runs_once_for_numbers(spark):
     plan = catalogue.QUERIES["object_records"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan and "MapInArrow" not in plan
+
+
+def test_true_positives_are_not_broadcast(spark):
+    """Packed, a million of them is less than a megabyte."""
+    judged = spark.range(400).selectExpr("id % 3 label", "'s' sheet", "id / 400 score", "id _dk", "CAST(id % 4 AS INT) _hit")
+    curve = accuracy._curve(judged, [accuracy.F.desc("score"), "sheet", "_dk"], 2)
+    plan = curve._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and "Broadcast" not in plan  # the first join stands in the plan twice

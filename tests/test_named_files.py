@@ -91,3 +91,37 @@ def test_small_files_are_listed_and_opened_by_tasks(spark, tmp_path, monkeypatch
     assert not any(f.endswith(".txt") for f in read.inputFiles())
     assert sorted((r["tile_name"], r["class_id"]) for r in read.collect()) == [("x +%41", 1), ("x +%41", 2), ("x +%41", 3), ("y", 4)]
     assert [r["class_id"] for r in coco.label_files(spark, str(tmp_path / "a/y.txt")).collect()] == [4]
+
+
+def test_very_many_label_files_stay_in_archives(spark, tmp_path, monkeypatch):
+    """Sets of 30 files, of which 20 may be loose, over each other in one folder."""
+    made = lambda n, first: spark.range(n).repartition(3).selectExpr("IF(id % 2 = 0, 'train', 'val') split", "concat('é ', repeat('x', 120), id) tile_name", f"IF(id = 7, '', concat('{first} 0.5 0.5 0.1 0.1\n', id, ' 0.25 0.5 0.1 0.2')) body")
+    read = lambda: sorted((r["tile_name"][122:], r["class_id"]) for r in coco.label_files(spark, str(tmp_path)).collect())
+    want = lambda n, first: sorted((str(i), k) for i in range(n) if i != 7 for k in (first, i))
+    monkeypatch.setattr(named_files, "LOOSE", 20)
+    sinks.label_files(made(20, 40), str(tmp_path))
+    assert len(found(tmp_path)) == 20 and all(f.endswith(".txt") for f in found(tmp_path)) and read() == want(20, 40)
+    for first in (50, 60):
+        sinks.label_files(made(30, first), str(tmp_path))
+        assert all(f.endswith(named_files.PACKED) for f in found(tmp_path)) and len(found(tmp_path)) <= 3
+        assert read() == want(30, first) and (tmp_path / "_SUCCESS").exists() and not (tmp_path / "_attempts").exists()
+    plain = tmp_path / "val" / ("é " + "x" * 120 + "7.txt")
+    sinks.label_files(made(20, 70), str(tmp_path))
+    assert len(found(tmp_path)) == 20 and read() == want(20, 70) and plain.read_text() == ""
+
+
+def test_archives_end(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(named_files, "PACK", 3)
+    monkeypatch.setattr(named_files, "PACK_BYTES", 5000)
+    names, bodies = [f"val/{i}.txt" for i in range(8)] + ["val/big.txt", "val/last.txt"], [f"{i} 0 0 1 1" for i in range(8)] + ["1 0 0 1 1\n" * 1000, None]
+    writer = named_files._PackedWriter((tmp_path / "out").as_uri(), "j")
+    made = [writer.write(iter([pa.RecordBatch.from_arrays([pa.array(names[i : i + 4]), pa.array(bodies[i : i + 4])], names=["name", "body"]) for i in (0, 4, 8)])), writer.write(iter([]))]
+    assert [m.files for m in made] == [10, 0]
+    archives = sorted(os.listdir(tmp_path / "out/_attempts/j" / made[0].name))
+    store, base = folders.opened((tmp_path / "out/_attempts/j" / made[0].name).as_uri())
+    held = [[(name, file.read().decode()) for name, file in named_files._members(store, f"{base}/{a}")] for a in archives]
+    assert [len(h) for h in held] == [3, 3, 3, 1] and [x for h in held for x in h] == [(n, b or "") for n, b in zip(names, bodies, strict=True)]
+    writer.commit(made)
+    assert (tmp_path / "out/_attempts/j/_files").read_text() == "10"

@@ -204,3 +204,12 @@ def test_numerals_tags_and_legend():
     assert all((legend == np.array(rasters.PALETTE[k])).all(2).any() for k in (1, 2)) and (legend == 255).all(2).any()
     tiny = rasters.annotated(np.zeros((5, 6, 3), np.uint8), [(0, 1.0, 0.0, 0.0, 5.0, 5.0)])
     assert tiny.shape == (5, 6, 3)
+
+
+def test_prepare_keeps_very_many_labels_in_archives(spark, root, tmp_path, monkeypatch):
+    from gridmark.sources import named_files
+
+    monkeypatch.setattr(named_files, "LOOSE", 2)
+    stats = jobs.prepare(spark, root, str(tmp_path), empty_frac=1.0)
+    assert sum(r["num_boxes"] for r in stats.collect()) == 3 and not list((tmp_path / "labels").rglob("*.txt"))
+    assert list((tmp_path / "labels").glob(f"*{named_files.PACKED}")) and coco.label_files(spark, str(tmp_path / "labels")).count() == 3

@@ -134,3 +134,17 @@ def test_scores_and_records_do_not_carry_keys(spark):
             scratch.written = before
         assert all("l_orderkey" not in kind for what, kind in carried if what == "kept") and not any("_dk:struct<l_orderkey" in kind for _, kind in carried)
         assert any(stitch.PLACE in kind for _, kind in carried)
+
+
+def test_record_parts_are_packed_if_asked_for(spark, tmp_path):
+    rows = spark.range(500).selectExpr("id", "CAST(null AS double) scale", "transform(sequence(1, 9), i -> named_struct('id', concat('obj_', i), 'v', i / 4.0D)) objects")
+    size = {}
+    for kind, ending in (("none", ".json"), ("gzip", ".json.gz")):
+        out = tmp_path / kind
+        sinks.records(rows, str(out), kind)
+        parts = list(out.glob("part-*"))
+        size[kind] = sum(p.stat().st_size for p in parts)
+        assert all(p.name.endswith(ending) for p in parts)
+        assert sorted(spark.read.schema(rows.schema).json(str(out)).collect()) == sorted(rows.collect())
+        assert spark.read.text(str(out)).where("value LIKE '%\"scale\":null%'").count() == 500
+    assert size["gzip"] * 4 < size["none"]

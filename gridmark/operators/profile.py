@@ -15,7 +15,11 @@ SKETCH, MARGIN = 800, 0.02
 def class_counts(resolved: DataFrame, by: list[str], first: Column) -> DataFrame:
     """``n`` per group, and ``place`` by count descending, first-seen order breaking ties.  ``first`` orders rows as
     they were seen.  The ranking window runs over the groups only."""
-    counted = resolved.groupBy(*by).agg(F.count("*").alias("n"), F.min(first).alias("_first"))
+    return placed(resolved.groupBy(*by).agg(F.count("*").alias("n"), F.min(first).alias("_first")))
+
+
+def placed(counted: DataFrame) -> DataFrame:
+    """The ranking of counts ``n`` that were first seen at ``_first``."""
     return counted.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "_first"))).drop("_first")
 
 
@@ -25,13 +29,14 @@ def counts_with_total(counts: DataFrame, name: str = "name", n: str = "n", total
     return rolled.withColumn(name, F.when(F.col("is_total") == 1, total).otherwise(F.col(name))).where(F.col(n).isNotNull())
 
 
-def sheet_counts(resolved: DataFrame, keys: list[str]) -> DataFrame:
-    """Sheets with a resolvable annotation: objects and distinct classes.
+def sheet_counts(resolved: DataFrame, keys: list[str], first: str | None = None) -> DataFrame:
+    """Sheets with a resolvable annotation: objects and distinct classes, and as ``_first`` the smallest of a column if one is named.
 
     Annotations of a sheet lie anywhere, so counting before the shuffle would hold about a row an annotation in a task, and
     tasks that read files grow with these.  Sheets are dealt first; Spark cuts what it shuffled into tasks of one size."""
-    dealt = resolved.select(*keys, "name").repartition(*([k for k in keys if k in ("file_id", "image_id")] or keys))
-    return dealt.groupBy(*keys).agg(F.count("*").alias("num_objects"), F.count_distinct("name").alias("num_classes"))
+    more = [first] if first else []
+    dealt = resolved.select(*keys, "name", *more).repartition(*([k for k in keys if k in ("file_id", "image_id")] or keys))
+    return dealt.groupBy(*keys).agg(F.count("*").alias("num_objects"), F.count_distinct("name").alias("num_classes"), *(F.min(c).alias("_first") for c in more))
 
 
 def totals(files: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -26,11 +26,12 @@ def analyze(spark: SparkSession, root: str, out: str) -> dict:
     """Class, sheet and box tables, class maps, and the report in JSON and Markdown; returns the report."""
     data = coco.load(spark, root)
     resolved = scratch.written(_resolved(data), "resolved")
-    by_class = profile.class_counts(resolved, ["discipline", "name"], _seen()).orderBy("place")
+    seen = scratch.written(resolved.groupBy("discipline", "name").agg(F.count("*").alias("n"), F.min(_seen()).alias("_first")), "classes")
+    by_class = profile.placed(seen).orderBy("place")
+    by_name = profile.placed(seen.groupBy("name").agg(F.sum("n").alias("n"), F.min("_first").alias("_first")))
     sinks.csv(by_class.select(F.col("name").alias("class"), "discipline", F.col("n").alias("instances")), f"{out}/class_counts.csv")
-    sheets = profile.sheet_counts(resolved, ["discipline", "coco_file", *SHEET, "file_name", "width", "height"])
-    first = resolved.groupBy(*SHEET).agg(F.min(_seen()).alias("_first"))
-    ordered = sheets.join(first, SHEET).orderBy("_first")
+    sheets = scratch.written(profile.sheet_counts(resolved, ["discipline", "coco_file", *SHEET, "file_name", "width", "height"], "ann_seq"), "sheets")
+    ordered = sheets.orderBy(F.lower("file_id"), "file_id", "_first")  # a file's path is its id
     sinks.csv(ordered.select("discipline", "coco_file", "file_name", "width", "height", "num_objects", "num_classes"), f"{out}/sheet_counts.csv", parts=True)
     sinks.csv(profile.box_sizes(resolved).withColumnRenamed("name", "class"), f"{out}/box_sizes.csv", parts=True)
     maps = {mode: resolve.class_map(_category_names(data, mode)) for mode in ("combined", "mechanical", "electrical")}
@@ -44,7 +45,7 @@ def analyze(spark: SparkSession, root: str, out: str) -> dict:
         "files_per_discipline": {r["discipline"]: r["n"] for r in data.files.groupBy("discipline").agg(F.count("*").alias("n")).orderBy("discipline").collect()},
         "num_sheets": total["num_sheets"], "total_annotations": total["total_annotations"],
         **{f"num_classes_{mode}": len(names) for mode, names in listed.items()}, "classes_mechanical": listed["mechanical"], "classes_electrical": listed["electrical"],
-        "instances_per_class": {r["name"]: r["n"] for r in profile.class_counts(resolved, ["name"], _seen()).orderBy("place").collect()},
+        "instances_per_class": {r["name"]: r["n"] for r in by_name.orderBy("place").collect()},
     }
     sinks.report_json(spark, report, f"{out}/dataset_report.json")
     tables = {d: [(r["name"], r["n"]) for r in rows if r["discipline"] == d] for d in ("mechanical", "electrical")}

@@ -213,3 +213,20 @@ def test_prepare_keeps_very_many_labels_in_archives(spark, root, tmp_path, monke
     stats = jobs.prepare(spark, root, str(tmp_path), empty_frac=1.0)
     assert sum(r["num_boxes"] for r in stats.collect()) == 3 and not list((tmp_path / "labels").rglob("*.txt"))
     assert list((tmp_path / "labels").glob(f"*{named_files.PACKED}")) and coco.label_files(spark, str(tmp_path / "labels")).count() == 3
+
+
+def test_analyze_reads_annotations_no_more_than_needed(spark, root, tmp_path, monkeypatch):
+    """Counts of classes and sheets are made once; CSVs, the report and the histogram go on from them."""
+    from gridmark.operators import profile
+    from gridmark.sources import scratch
+
+    kept, seen = [], []
+    monkeypatch.setattr(scratch, "written", lambda df, name, f=scratch.written: (kept.append(name), f(df, name))[1])
+    monkeypatch.setattr(sinks, "csv", lambda df, path, *a, f=sinks.csv, **k: (seen.append((Path(path).name, df._jdf.queryExecution().optimizedPlan().toString())), f(df, path, *a, **k))[1])
+    monkeypatch.setattr(profile, "class_counts", None)
+    report = jobs.analyze(spark, root, str(tmp_path))
+    assert list(report["instances_per_class"].items()) == [("Panel", 1), ("Fan", 1), ('Grille, "x"', 1)]
+    assert {"classes", "sheets"} <= set(kept)
+    assert all("num_classes#" in p and "Aggregate" not in p for name, p in seen if name == "sheet_counts.csv")
+    rows = [x.split(",")[2] for f in sorted((tmp_path / "sheet_counts.csv").glob("part-*.csv")) for x in f.read_text().split("\n")[1:] if x]
+    assert rows == ["other.png", "sheet_page1.png"]

@@ -125,3 +125,13 @@ def test_archives_end(tmp_path, monkeypatch):
     assert [len(h) for h in held] == [3, 3, 3, 1] and [x for h in held for x in h] == [(n, b or "") for n, b in zip(names, bodies, strict=True)]
     writer.commit(made)
     assert (tmp_path / "out/_attempts/j/_files").read_text() == "10"
+
+
+def test_odd_names_in_archives(spark, tmp_path):
+    """As in folders: no name is the file ``None``, which isn't read; nor is what is hidden."""
+    import pyarrow as pa
+
+    names = [None, "train//a.txt", "train/.txt", "_h/b.txt"]
+    made = named_files._PackedWriter((tmp_path / "out").as_uri(), "j").write(iter([pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(["1 0 0 1 1"] * 4)], names=["name", "body"])]))
+    folder = tmp_path / "out/_attempts/j" / made.name
+    assert made.files == 4 and [(r["tile_name"], r["class_id"]) for r in coco.label_files(spark, str(folder)).collect()] == [("a", 1)]
